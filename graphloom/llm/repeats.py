@@ -127,16 +127,12 @@ def shared_anchors(docs: DataFrame, anchors: Callable, n: int) -> DataFrame:
 
 
 def holders(blobs: DataFrame) -> DataFrame:
-    """(doc_id) of all documents in packed rows, some of them several times."""
+    """(doc_id) of all documents in rows packed by the documents' buckets, each once."""
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                found = [unpack(b.as_buffer().to_pybytes())[0] for b in batch.column(0).slice(i, 64)]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)))], names=["doc_id"])
+    def unique(t: pa.Table) -> pa.Table:
+        return pa.table([pa.array(np.unique(np.concatenate([unpack(b.as_buffer().to_pybytes())[0] for b in t.column("blob")])))], names=["doc_id"])
 
-    return blobs.select("blob").mapInArrow(task, "doc_id long")
+    return blobs.groupBy("part").applyInArrow(unique, "doc_id long")
 
 
 class Members:
