@@ -85,21 +85,36 @@ def doc_bucket_column(doc_id: Column, n: int) -> Column:
     return ((F.floor(F.pmod(doc_id, F.lit(1000003)) * 7919 / 64)) % n).cast("int")
 
 
-#: Bits of the filter of document ids: 4 MB at most, whatever the number of ids.
-FILTER_BITS = 1 << 25
+#: Bits of the filter of document ids (a prime): 4 MB at most, whatever the number of ids.
+FILTER_BITS = 33_554_393
 _PAGE = 32768
 
 
 def _bit(doc_id: Column) -> Column:
-    return F.pmod(F.xxhash64(doc_id), F.lit(FILTER_BITS))
+    return F.pmod(doc_id, F.lit(FILTER_BITS))
 
 
 def id_filter(ids: DataFrame) -> DataFrame:
-    """A bitmap of the hashes of ``ids`` (column doc_id): at most FILTER_BITS / 32768 rows of 4 KB."""
+    """A bitmap of ``ids`` (column doc_id): 1024 pages of 4 KB at most."""
     h = ids.select(_bit(F.col("doc_id")).alias("h"))
     return h.groupBy((F.col("h") / _PAGE).cast("int").alias("__page")).agg(F.bitmap_construct_agg(F.col("h") % _PAGE).alias("__bits"))
 
 
+def blob_filter(blobs: DataFrame) -> DataFrame:
+    """The same of all documents that packed rows name; each task sends its pages, 1024 at most."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1024 * _PAGE, bool)
+        for batch in batches:
+            for b in batch.column(0):
+                bits[np.unique(unpack(b.as_buffer().to_pybytes())[0]) % FILTER_BITS] = True
+        pages = bits.reshape(1024, _PAGE)
+        used = np.flatnonzero(pages.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([p.tobytes() for p in np.packbits(pages[used], axis=1, bitorder="little")], pa.binary())], names=["__page", "__bits"])
+
+    return blobs.select("blob").mapInArrow(task, "__page int, __bits binary").groupBy("__page").agg(F.bitmap_or_agg("__bits").alias("__bits"))
+
+
 def with_maybe(df: DataFrame, bitmap: DataFrame) -> DataFrame:
     """Adds __maybe: false only for rows whose doc_id is surely not in the bitmap. Its bound is FILTER_BITS, so it is broadcast."""
     h = _bit(F.col("doc_id"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import U64, chunks, mix, runs
-from .exchange import BLOBS, deal, doc_bucket, doc_bucket_column, gather, id_filter, table, unpack, with_maybe
+from .exchange import BLOBS, blob_filter, deal, doc_bucket, doc_bucket_column, gather, table, with_maybe
 
 KINDS = "part int, kind int, blob binary"
 SENT, OWN = 0, 1
@@ -126,15 +126,6 @@ def shared_anchors(docs: DataFrame, anchors: Callable, n: int) -> DataFrame:
     return docs.where("doc_id is not null").mapInArrow(task, KINDS).groupBy("part").applyInArrow(meet, BLOBS)
 
 
-def holders(blobs: DataFrame) -> DataFrame:
-    """(doc_id) of all documents in rows packed by the documents' buckets, each once."""
-
-    def unique(t: pa.Table) -> pa.Table:
-        return pa.table([pa.array(np.unique(np.concatenate([unpack(b.as_buffer().to_pybytes())[0] for b in t.column("blob")])))], names=["doc_id"])
-
-    return blobs.groupBy("part").applyInArrow(unique, "doc_id long")
-
-
 class Members:
     """Which (document, anchor) pairs a bucket's rows hold."""
 
@@ -155,7 +146,7 @@ class Members:
 
 def with_blobs(docs: DataFrame, blobs: DataFrame, n: int, function: Callable, schema: str) -> DataFrame:
     """function(documents, blobs) -> table, for each bucket of the documents that blobs may name."""
-    left = with_maybe(docs.where("doc_id is not null"), id_filter(holders(blobs))).where("__maybe").drop("__maybe").withColumn("part", doc_bucket_column(F.col("doc_id"), n))
+    left = with_maybe(docs.where("doc_id is not null"), blob_filter(blobs)).where("__maybe").drop("__maybe").withColumn("part", doc_bucket_column(F.col("doc_id"), n))
     return left.groupBy("part").cogroup(blobs.groupBy("part")).applyInArrow(function, schema)
 
 
@@ -196,7 +187,7 @@ class Marks:
 
 def cut_out(docs: DataFrame, marks: DataFrame, n: int, rewrite: Callable, schema: str) -> DataFrame:
     """rewrite(doc ids, texts' rows, Marks) -> table with the schema's columns, over all rows; only documents that marks may name are moved."""
-    seen = with_maybe(docs, id_filter(holders(marks)))
+    seen = with_maybe(docs, blob_filter(marks))
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = Marks()

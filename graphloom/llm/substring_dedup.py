@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytescan import U64, chunks, mix, powers, prefix_sums, ragged, rolling, runs, word_hashes, words
+from .bytescan import U64, chunks, mix, powers, prefix_sums, ragged, rolling, word_hashes, words
 from .exchange import BLOBS, buckets, deal, gather, stored
 from .repeats import KINDS, Marks, Members, blob_table, cut_out, keyed, kind_table, mark_rows, shared_anchors, split_kinds, with_blobs
 
@@ -121,6 +121,3 @@ def _least(h: np.ndarray, h2: np.ndarray, names: np.ndarray) -> np.ndarray:
         return names
     first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (h2[1:] != h2[:-1]))))
     return np.repeat(np.minimum.reduceat(names, first), np.diff(np.append(first, len(h))))
-
-
-__all__ = ["WINDOW", "remove_repeats", "runs"]
