@@ -227,7 +227,7 @@ def first_round(docs: DataFrame, n: int) -> DataFrame:
 
 
 def second_round(sets: DataFrame, n: int) -> DataFrame:
-    """Over single shingles: (kind PAIR, a, b, n lists), (HEAVY, a, n long lists) and (MEMBER, blob) of the long lists' entries by document."""
+    """Over single shingles: (kind PAIR, a, b, n lists) and (MEMBER, part, blob) of the long lists' entries by document."""
     schema = "kind int, a long, b long, n long, part int, blob binary"
     names = ["kind", "a", "b", "n", "part", "blob"]
 
@@ -247,44 +247,47 @@ def second_round(sets: DataFrame, n: int) -> DataFrame:
         a, b, _, s = light_pairs(docs, start, count, np.zeros(len(docs), np.int64))
         each = np.repeat(count, count)
         long_ = each > LIGHT
-        h, c = np.unique(docs[long_], return_counts=True)
         rows = deal(doc_bucket(docs[long_], n), docs[long_], size[long_], each[long_].astype(np.uint32), np.full(int(long_.sum()), part, np.uint32), low[long_])
-        z = lambda k: np.zeros(k, np.int64)
-        cols = [
-            np.concatenate((np.full(len(a), PAIR), np.full(len(h), HEAVY), np.full(len(rows), MEMBER))).astype(np.int32),
-            np.concatenate((a, h, z(len(rows)))).astype(np.int64), np.concatenate((b, z(len(h) + len(rows)))).astype(np.int64), np.concatenate((s, c, z(len(rows)))).astype(np.int64),
-            np.concatenate((z(len(a) + len(h)), [r[0] for r in rows])).astype(np.int32),
-        ]
-        return pa.table([*map(pa.array, cols), pa.array([None] * (len(a) + len(h)) + [r[1] for r in rows], pa.binary())], names=names)
+        z = np.zeros(len(rows), np.int64)
+        cols = [np.concatenate((np.full(len(a), PAIR), np.full(len(rows), MEMBER))).astype(np.int32), *(np.concatenate((c, z)).astype(np.int64) for c in (a, b, s)), np.concatenate((np.zeros(len(a)), [r[0] for r in rows])).astype(np.int32)]
+        return pa.table([*map(pa.array, cols), pa.array([None] * len(a) + [r[1] for r in rows], pa.binary())], names=names)
 
     return sets.mapInArrow(task, BLOBS).groupBy("part").applyInArrow(meet, schema)
 
 
+#: Classes of long lists in a set's sketch; the sum of the smaller counts bounds what two sets share.
+SKETCH = 64
+#: part of the row that has a set's light shingles and no list.
+NO_LIST = -1
+
+
 def rarest(members: DataFrame) -> DataFrame:
-    """(part, low, doc, light, size): of the long lists, those that a set needs besides its light shingles, the shortest first, so that a quarter of it and one more are looked up."""
+    """(part, low, doc, light, size, sketch): of the long lists, those that a set needs besides its light shingles, the shortest first, so that a quarter of it and one more are looked up; and a row without a list for each set."""
 
     def choose(t: pa.Table) -> pa.Table:
         docs, size, count, part, low = gather(t.column("blob"), (np.int64, np.uint32, np.uint32, np.uint32, np.uint32))
         o = np.lexsort((low, part, count, docs))
-        docs, size, count, part, low = docs[o], size[o].astype(np.int64), count[o], part[o], low[o]
+        docs, size, count, part, low = docs[o], size[o].astype(np.int64), count[o], part[o].astype(np.int64), low[o]
         start = runs(docs)
         heavy = np.diff(np.append(start, len(docs)))
-        light = np.repeat(size[start] - heavy, heavy)
-        keep = np.arange(len(docs)) - np.repeat(start, heavy) < size // 4 + 1 - light
-        return pa.table([pa.array(c[keep].astype(np.int64)) for c in (part, low, docs, light, size)], names=["part", "low", "doc", "light", "size"])
-
-    return members.groupBy("part").applyInArrow(choose, "part long, low long, doc long, light long, size long")
-
+        who = np.repeat(np.arange(len(start)), heavy)
+        light = size[start] - heavy
+        sketch = np.bincount(who * SKETCH + low % SKETCH, minlength=len(start) * SKETCH).reshape(-1, SKETCH)
+        sketch = np.minimum(sketch, 65535).astype(np.uint16)
+        keep = np.flatnonzero(np.arange(len(docs)) - start[who] < size // 4 + 1 - light[who])
+        w = np.concatenate((who[keep], np.arange(len(start))))
+        cols = [np.concatenate((part[keep], np.full(len(start), NO_LIST))), np.concatenate((low[keep], np.zeros(len(start)))), docs[start][w], light[w], size[start][w]]
+        raw = [r.tobytes() for r in sketch]
+        return pa.table([*(pa.array(c.astype(np.int64)) for c in cols), pa.array([raw[i] for i in w.tolist()], pa.binary())], names=["part", "low", "doc", "light", "size", "sketch"])
 
-def _may_link(ca, cb, na, nb):
-    return (ca + cb <= (na + nb) // 7) & (4 * np.minimum(na, nb) >= 3 * np.maximum(na, nb))
+    return members.groupBy("part").applyInArrow(choose, "part long, low long, doc long, light long, size long, sketch binary")
 
 
 def star_pairs(lists_: DataFrame) -> DataFrame:
-    """(a, b): each long list's set with the fewest light shingles, with every other that it may link to."""
-    key = F.struct("light", "doc", "size")
-    leader = lists_.groupBy("part", "low").agg(F.min(key).alias("l"))
-    both = lists_.join(leader, ["part", "low"]).where((F.col("doc") != F.col("l.doc")) & (F.col("light") + F.col("l.light") <= F.floor((F.col("size") + F.col("l.size")) / 7)) & (4 * F.least("size", "l.size") >= 3 * F.greatest("size", "l.size")))
+    """(a, b): each long list's set with the fewest light shingles, with every other that it may link to: what both have in long lists must do for the similarity."""
+    leader = lists_.groupBy("part", "low").agg(F.min(F.struct("light", "doc", "size")).alias("l"))
+    shared = F.least(F.col("size") - F.col("light"), F.col("l.size") - F.col("l.light"))
+    both = lists_.join(leader, ["part", "low"]).where((F.col("doc") != F.col("l.doc")) & (7 * shared >= 3 * (F.col("size") + F.col("l.size"))))
     return both.select(F.least("doc", "l.doc").alias("a"), F.greatest("doc", "l.doc").alias("b")).distinct()
 
 
@@ -296,18 +299,19 @@ def apart_pairs(lists_: DataFrame, labels: DataFrame) -> DataFrame:
 
     def pairs(t: pa.Table) -> pa.Table:
         low, docs, light, size, label = (t.column(c).to_numpy() for c in ("low", "doc", "light", "size", "label"))
-        o = np.lexsort((light, low))
+        o = np.argsort(low)
         low, docs, light, size, label = (c[o] for c in (low, docs, light, size, label))
+        # A count that doesn't fit bounds nothing.
+        sketch = np.frombuffer(b"".join(s.as_buffer().to_pybytes() for s in t.column("sketch")), np.uint16).reshape(-1, SKETCH)[o].astype(np.int64)
+        sketch[sketch == 65535] = 1 << 40
+        heavy, found = size - light, []
         start = np.append(runs(low), len(low))
-        found = []
         for x, y in zip(start[:-1], start[1:]):
-            most = int(size[x:y].max())
             for i in range(x, y - 1):
-                end = x + int(np.searchsorted(light[x:y], (size[i] + most) // 7 - light[i], "right"))
-                if end <= i + 1:
-                    continue
-                j = np.arange(i + 1, end)
-                j = j[(label[j] != label[i]) & _may_link(light[i], light[j], size[i], size[j])]
+                j = np.arange(i + 1, y)
+                need = 3 * (size[i] + size[i + 1 : y])
+                j = j[(label[i + 1 : y] != label[i]) & (7 * np.minimum(heavy[i], heavy[i + 1 : y]) >= need)]
+                j = j[7 * np.minimum(sketch[i], sketch[j]).sum(1) >= 3 * (size[i] + size[j])]
                 if len(j):
                     found.append(np.stack((np.minimum(docs[i], docs[j]), np.maximum(docs[i], docs[j]))))
         got = np.unique(np.concatenate(found, 1), axis=1) if found else np.zeros((2, 0), np.int64)
@@ -409,13 +413,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     with small_batches(spark):
         again = stored(second_round(with_maybe(sets, id_filter(left_over)).where("__maybe").drop("__maybe"), n), "shingles")
-    sizes = sets.select("doc_id", "size")
-    heavy = again.where(F.col("kind") == HEAVY).groupBy("a").agg(F.sum("n").alias("heavy"))
-    lights = sizes.join(heavy.withColumnRenamed("a", "doc_id"), "doc_id", "left").select("doc_id", "size", (F.col("size") - F.coalesce("heavy", F.lit(0))).alias("light"))
+    members = stored(rarest(again.where(F.col("kind") == MEMBER).select("part", "blob")), "lists")
+    lights = sets.select("doc_id", "size").join(members.where(F.col("part") == NO_LIST).select(F.col("doc").alias("doc_id"), "light"), "doc_id", "left").withColumn("light", F.coalesce("light", "size"))
+    long_lists = members.where(F.col("part") != NO_LIST)
     side = lambda x: lights.select(F.col("doc_id").alias(x), F.col("size").alias(f"size_{x}"), F.col("light").alias(f"light_{x}"))
     fine = again.where(F.col("kind") == PAIR).groupBy("a", "b").agg(F.sum("n").alias("met")).join(side("a"), "a").join(side("b"), "b")
     fine = fine.where((F.col("light_a") + F.col("light_b") - 2 * F.col("met") <= differ) & (4 * F.least("size_a", "size_b") >= 3 * F.greatest("size_a", "size_b"))).select("a", "b")
-    long_lists = stored(rarest(again.where(F.col("kind") == MEMBER).select("part", "blob")), "lists")
 
     with small_batches(spark):
         links = stored(verified(pairs.union(fine).union(star_pairs(long_lists)).distinct(), sets), "links")
