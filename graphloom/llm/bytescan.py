@@ -7,7 +7,8 @@ A chunk holds whole documents: ``data`` (their UTF-8 bytes, end to end) and ``bo
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,49 @@ _BASE, _BASE_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
 _powers = [np.ones(1, U64), np.ones(1, U64)]
 
 
+def release() -> None:
+    """Gives freed memory back to the system. A Python worker outlives its task, and the next one may run elsewhere."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def lean_task(task: Callable) -> Callable:
+    """A task over batches that leaves no memory behind."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            release()
+
+    return run
+
+
+def lean(function: Callable) -> Callable:
+    """The same for a function of one group."""
+
+    def run(group: pa.Table) -> pa.Table:
+        out = function(group)
+        release()
+        return out
+
+    return run
+
+
+def lean_pair(function: Callable) -> Callable:
+    """The same for a function of a key and its group, or of two groups."""
+
+    def run(first, second):  # without hints: Spark infers from them, and knows tables by default
+        out = function(first, second)
+        release()
+        return out
+
+    return run
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse."""
     if len(_powers[0]) < n:

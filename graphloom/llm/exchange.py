@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bytescan import lean_task
+
 BLOBS = "part int, blob binary"
 _SCHEMA = pa.schema([("part", pa.int32()), ("blob", pa.binary())])
 
@@ -112,7 +114,7 @@ def blob_filter(blobs: DataFrame) -> DataFrame:
         used = np.flatnonzero(pages.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([p.tobytes() for p in np.packbits(pages[used], axis=1, bitorder="little")], pa.binary())], names=["__page", "__bits"])
 
-    return blobs.select("blob").mapInArrow(task, "__page int, __bits binary").groupBy("__page").agg(F.bitmap_or_agg("__bits").alias("__bits"))
+    return blobs.select("blob").mapInArrow(lean_task(task), "__page int, __bits binary").groupBy("__page").agg(F.bitmap_or_agg("__bits").alias("__bits"))
 
 
 def with_maybe(df: DataFrame, bitmap: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytescan import chunks
+from .bytescan import chunks, release
 
 #: Documents of each language that the trees are fitted on, as expected: those whose hash is below a threshold.
 FIT_DOCUMENTS = 400
@@ -162,31 +162,32 @@ def identify(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(trees)
 
-    @F.pandas_udf("lang_pred string, score double, bits_per_byte double")
-    def predict(text):
-        import pandas as pd
-
-        trees, names, scores, bits = shared.value, [], [], []
-        column = pa.Array.from_pandas(text, type=pa.large_string())
-        for lo, hi, data, bounds in chunks(column):
-            size = np.diff(bounds)
-            letters = np.concatenate(([0], np.cumsum(((data | 32) >= 97) & ((data | 32) <= 122))))[bounds]
-            known = np.diff(letters) > 0
-            for i in np.flatnonzero(~known & (size > 0)).tolist():
-                known[i] = any(map(str.isalpha, column[lo + i].as_py()))
-            if not trees.languages:
-                known[:] = False
-                lengths = np.zeros((hi - lo, 1))
-            else:
-                lengths = trees.lengths(data, bounds) / UNIT
-            best = lengths.argmin(1)
-            least = lengths.min(1)
-            odds = np.exp2(-(lengths - least[:, None]) / np.sqrt(np.maximum(size, 1))[:, None]).sum(1)
-            names += [trees.languages[b] if k else "und" for b, k in zip(best.tolist(), known.tolist())]
-            scores.append(np.where(known, 1 / odds, 0.0))
-            bits.append(least / np.maximum(size, 1))
-        join = lambda c: np.concatenate(c) if c else np.zeros(0)
-        return pd.DataFrame({"lang_pred": names, "score": join(scores), "bits_per_byte": join(bits)})
+    kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
+
+    def chunk(trees: Trees, texts: pa.Array, data: np.ndarray, bounds: np.ndarray) -> tuple:
+        size = np.diff(bounds)
+        letters = np.concatenate(([0], np.cumsum(((data | 32) >= 97) & ((data | 32) <= 122))))[bounds]
+        known = np.diff(letters) > 0
+        for i in np.flatnonzero(~known & (size > 0)).tolist():
+            known[i] = any(map(str.isalpha, texts[i].as_py()))
+        known &= bool(trees.languages)
+        lengths = trees.lengths(data, bounds) / UNIT if trees.languages else np.zeros((len(size), 1))
+        least = lengths.min(1)
+        odds = np.exp2(-(lengths - least[:, None]) / np.sqrt(np.maximum(size, 1))[:, None]).sum(1)
+        names = [trees.languages[b] if k else "und" for b, k in zip(lengths.argmin(1).tolist(), known.tolist())]
+        return names, np.where(known, 1 / odds, 0.0), least / np.maximum(size, 1)
+
+    @F.arrow_udf("lang_pred string, score double, bits_per_byte double")
+    def predict(text: pa.Array) -> pa.Array:
+        names, scores, bits = [], [np.zeros(0)], [np.zeros(0)]
+        for lo, hi, data, bounds in chunks(text):
+            n, s, b = chunk(shared.value, text.slice(lo, hi - lo), data, bounds)
+            names += n
+            scores.append(s)
+            bits.append(b)
+        out = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(scores)), pa.array(np.concatenate(bits))], fields=list(kind))
+        release()
+        return out
 
     out = docs.withColumn("__p", predict(F.col(text_col)))
     return out.drop("lang_pred", "score", "bits_per_byte").select("*", "__p.*").drop("__p")

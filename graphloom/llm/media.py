@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytescan import lean_task
+
 # Element ids of the Matroska specification.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
 TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID, AUDIO = 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0xE1
@@ -188,7 +190,7 @@ def _each(function, names: list[str], types: list[pa.DataType]):
                 rows = [function((v.as_buffer().to_pybytes() if v.is_valid else b"")) for v in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), types))], names=names)
 
-    return task
+    return lean_task(task)
 
 
 def mux_payloads(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", align: int = 64) -> DataFrame:
@@ -249,7 +251,7 @@ def media_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 cols = [pa.array(c, t) for c, t in zip(zip(*rows), (_PACKET_ARROW, _CUE_ARROW, pa.list_(pa.string()), pa.string(), pa.binary(), pa.binary()))]
                 yield pa.RecordBatch.from_arrays([part.column(0), m.field("n_bytes"), *cols], names=["doc_id", "n_bytes", "packets", "cues", "codecs", "status", "payload", "media"])
 
-    read = media.mapInArrow(task, f"doc_id long, n_bytes long, {MEDIA}, payload binary, media binary")
+    read = media.mapInArrow(lean_task(task), f"doc_id long, n_bytes long, {MEDIA}, payload binary, media binary")
     count = lambda name: F.size(F.filter("packets", lambda p: p["lacing"] == name))
     return read.select(
         "doc_id", "n_bytes",

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytescan import U64, chunks, mix, powers, prefix_sums, ragged, runs, word_hashes, words
+from .bytescan import U64, chunks, lean, lean_pair, lean_task, mix, powers, prefix_sums, ragged, runs, word_hashes, words
 from .exchange import BLOBS, buckets, deal, doc_bucket, gather, id_filter, stored, table, with_maybe
 from .repeats import FLUSH, KINDS, kind_batch
 
@@ -223,7 +223,7 @@ def first_round(docs: DataFrame, n: int) -> DataFrame:
         out.append(_rows(HEAVY, h[0], None, h[1], c))
         return pa.Table.from_batches(out)
 
-    return docs.where("doc_id is not null").mapInArrow(task, KINDS).groupBy("part").applyInArrow(meet, FOUND)
+    return docs.where("doc_id is not null").mapInArrow(lean_task(task), KINDS).groupBy("part").applyInArrow(lean(meet), FOUND)
 
 
 def second_round(sets: DataFrame, n: int) -> DataFrame:
@@ -252,7 +252,7 @@ def second_round(sets: DataFrame, n: int) -> DataFrame:
         cols = [np.concatenate((np.full(len(a), PAIR), np.full(len(rows), MEMBER))).astype(np.int32), *(np.concatenate((c, z)).astype(np.int64) for c in (a, b, s)), np.concatenate((np.zeros(len(a)), [r[0] for r in rows])).astype(np.int32)]
         return pa.table([*map(pa.array, cols), pa.array([None] * len(a) + [r[1] for r in rows], pa.binary())], names=names)
 
-    return sets.mapInArrow(task, BLOBS).groupBy("part").applyInArrow(meet, schema)
+    return sets.mapInArrow(lean_task(task), BLOBS).groupBy("part").applyInArrow(lean_pair(meet), schema)
 
 
 #: Classes of long lists in a set's sketch; the sum of the smaller counts bounds what two sets share.
@@ -280,7 +280,7 @@ def rarest(members: DataFrame) -> DataFrame:
         raw = [r.tobytes() for r in sketch]
         return pa.table([*(pa.array(c.astype(np.int64)) for c in cols), pa.array([raw[i] for i in w.tolist()], pa.binary())], names=["part", "low", "doc", "light", "size", "sketch"])
 
-    return members.groupBy("part").applyInArrow(choose, "part long, low long, doc long, light long, size long, sketch binary")
+    return members.groupBy("part").applyInArrow(lean(choose), "part long, low long, doc long, light long, size long, sketch binary")
 
 
 def star_pairs(lists_: DataFrame) -> DataFrame:
@@ -317,7 +317,7 @@ def apart_pairs(lists_: DataFrame, labels: DataFrame) -> DataFrame:
         got = np.unique(np.concatenate(found, 1), axis=1) if found else np.zeros((2, 0), np.int64)
         return pa.table([pa.array(got[0]), pa.array(got[1])], names=["a", "b"])
 
-    return rows.groupBy("part").applyInArrow(pairs, "a long, b long").distinct()
+    return rows.groupBy("part").applyInArrow(lean(pairs), "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -333,7 +333,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-    return left.select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
+    return left.select("a", "b", "x", "y").mapInArrow(lean_task(test), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -409,7 +409,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(first)), pa.array([raw[x:y] for x, y in zip(cut, cut[1:])], pa.binary())], names=["doc_id", "size", "shingles"])
 
     wanted = with_maybe(source.where("doc_id is not null"), id_filter(needed)).where("__maybe").drop("__maybe")
-    sets = stored(wanted.mapInArrow(sets_of, "doc_id long, size long, shingles binary").dropDuplicates(["doc_id"]), "sets")
+    sets = stored(wanted.mapInArrow(lean_task(sets_of), "doc_id long, size long, shingles binary").dropDuplicates(["doc_id"]), "sets")
 
     with small_batches(spark):
         again = stored(second_round(with_maybe(sets, id_filter(left_over)).where("__maybe").drop("__maybe"), n), "shingles")

@@ -19,13 +19,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytescan import chunks, ragged, word_hashes, words
+from .bytescan import chunks, lean_task, ragged, word_hashes, words
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 #: Pieces that a task packs together; more begin a new block, so a task's memory is bounded.
 BLOCK_PIECES = 400_000
 #: Distinct words whose ids a task remembers before it forgets them all.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 400_000
 
 
 class WindowTree:
@@ -205,7 +205,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 2048, end
 
         for batch in batches:
             names = batch.column(0).to_pylist()
-            for lo, hi, data, bounds in chunks(batch.column(1), 1 << 21):
+            for lo, hi, data, bounds in chunks(batch.column(1), 1 << 20):
                 ids, cut = tokens.ids(data, bounds)
                 raw, cut = memoryview(ids.astype("<u4")).cast("B"), cut.tolist()
                 for i in range(hi - lo):
@@ -227,4 +227,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 2048, end
         yield from rows(full)
         yield from packed()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(task, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean_task(task), PIECES)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytescan import U64, chunks, mix, runs
+from .bytescan import U64, chunks, lean_pair, lean_task, mix, runs
 from .exchange import BLOBS, blob_filter, deal, doc_bucket, doc_bucket_column, gather, table, with_maybe
 
 KINDS = "part int, kind int, blob binary"
@@ -123,7 +123,7 @@ def shared_anchors(docs: DataFrame, anchors: Callable, n: int) -> DataFrame:
             rows = _pairs(docs[answer], low[answer].astype(U64) | U64(key[0].as_py()) << U64(32), n)
         return pa.concat_tables([blob_table(rows), passing.cast(blob_table([]).schema)])
 
-    return docs.where("doc_id is not null").mapInArrow(task, KINDS).groupBy("part").applyInArrow(meet, BLOBS)
+    return docs.where("doc_id is not null").mapInArrow(lean_task(task), KINDS).groupBy("part").applyInArrow(lean_pair(meet), BLOBS)
 
 
 class Members:
@@ -147,7 +147,7 @@ class Members:
 def with_blobs(docs: DataFrame, blobs: DataFrame, n: int, function: Callable, schema: str) -> DataFrame:
     """function(documents, blobs) -> table, for each bucket of the documents that blobs may name."""
     left = with_maybe(docs.where("doc_id is not null"), blob_filter(blobs)).where("__maybe").drop("__maybe").withColumn("part", doc_bucket_column(F.col("doc_id"), n))
-    return left.groupBy("part").cogroup(blobs.groupBy("part")).applyInArrow(function, schema)
+    return left.groupBy("part").cogroup(blobs.groupBy("part")).applyInArrow(lean_pair(function), schema)
 
 
 def mark_rows(docs: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) -> list[tuple[int, bytes]]:
@@ -198,6 +198,6 @@ def cut_out(docs: DataFrame, marks: DataFrame, n: int, rewrite: Callable, schema
     def marked(left: pa.Table, right: pa.Table) -> pa.Table:
         return rewrite(left.drop_columns(["part"]), Marks(right.column("blob")))
 
-    untouched = seen.where("not __maybe or doc_id is null").drop("__maybe").mapInArrow(alone, schema)
+    untouched = seen.where("not __maybe or doc_id is null").drop("__maybe").mapInArrow(lean_task(alone), schema)
     moved = seen.where("__maybe and doc_id is not null").drop("__maybe").withColumn("part", doc_bucket_column(F.col("doc_id"), n))
-    return untouched.unionByName(moved.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(marked, schema))
+    return untouched.unionByName(moved.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(lean_pair(marked), schema))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytescan import U64, chunks, mix, powers, prefix_sums, ragged, rolling, word_hashes, words
+from .bytescan import U64, chunks, lean, mix, powers, prefix_sums, ragged, rolling, word_hashes, words
 from .exchange import BLOBS, buckets, deal, gather, stored
 from .repeats import KINDS, Marks, Members, blob_table, cut_out, keyed, kind_table, mark_rows, shared_anchors, split_kinds, with_blobs
 
@@ -85,7 +85,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
         later = names > _least(h, h2, names)
         return pa.concat_tables([blob_table(mark_rows(names[later], at[later], at[later] + window, n)), passing.cast(blob_table([]).schema)])
 
-    marks = stored(with_blobs(source, hits, n, extend, KINDS).groupBy("part").applyInArrow(meet, BLOBS), "marks")
+    marks = stored(with_blobs(source, hits, n, extend, KINDS).groupBy("part").applyInArrow(lean(meet), BLOBS), "marks")
 
     def rewrite(t: pa.Table, marks: Marks) -> pa.Table:
         ids = t.column("doc_id").fill_null(0).to_numpy()

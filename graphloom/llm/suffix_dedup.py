@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytescan import BYTE_VALUE, U64, chunks, mix, powers, ragged, rolling, runs
+from .bytescan import BYTE_VALUE, U64, chunks, lean, mix, powers, ragged, rolling, runs
 from .exchange import BLOBS, buckets, narrow, stored
 from .repeats import KINDS, Marks, Members, blob_table, cut_out, keyed, kind_table, mark_rows, shared_anchors, split_kinds, with_blobs
 
@@ -240,7 +240,7 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, span: int = SPA
             marks = mark_rows(names[hit], at[hit] - furthest, at[hit] - nearest + window, n)
         return pa.concat_tables([blob_table(marks), passing.cast(blob_table([]).schema)])
 
-    marks = stored(with_blobs(source, hits, n, sort, KINDS).groupBy("part").applyInArrow(merge, BLOBS), "marks")
+    marks = stored(with_blobs(source, hits, n, sort, KINDS).groupBy("part").applyInArrow(lean(merge), BLOBS), "marks")
 
     def rewrite(t: pa.Table, marks: Marks) -> pa.Table:
         ids = t.column("doc_id").fill_null(0).to_numpy()

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytescan import chunks, word_hashes, words
+from .bytescan import chunks, lean_task, word_hashes, words
 
 #: Pre-tokens whose counts a worker remembers before it forgets them all.
 MEMO = 1_000_000
@@ -112,4 +112,4 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
                     most[some] = np.maximum.reduceat(each, first[some])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(bounds)), pa.array(np.diff(first)), pa.array(np.diff(sums)), pa.array(most)], names=["doc_id", "n_bytes", "n_pretokens", "n_tokens", "most_tokens"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(task, "doc_id long, n_bytes long, n_pretokens long, n_tokens long, most_tokens long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean_task(task), "doc_id long, n_bytes long, n_pretokens long, n_tokens long, most_tokens long")
