@@ -284,6 +284,10 @@ ORACLE_SQL = {
       SELECT f AS field_name, v AS value, count(*) AS n FROM merged WHERE v IS NOT NULL AND f = 'o_orderstatus' GROUP BY ALL""",
     "field_baseline_hash": f"WITH {TRIO_SQL} SELECT CAST(k AS VARCHAR) AS object_id, f AS field_name, 3 AS base_revision, sha256(v) AS field_sha256 FROM b",
     "document_fingerprint": "SELECT true AS same",
+    "stale_commands": """WITH RECURSIVE log AS (SELECT user_id AS document_id, event_id AS command_id, CASE WHEN event_id % 3 = 0 THEN event_id % 40 END AS expected, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+      walk AS (SELECT document_id, command_id, rn, CAST(0 AS BIGINT) AS revision_before, coalesce(expected <> 0, false) AS is_stale FROM log WHERE rn = 1
+        UNION ALL SELECT l.document_id, l.command_id, l.rn, w.revision_before + CASE WHEN w.is_stale THEN 0 ELSE 1 END, coalesce(l.expected <> w.revision_before + CASE WHEN w.is_stale THEN 0 ELSE 1 END, false) FROM walk w JOIN log l ON l.document_id = w.document_id AND l.rn = w.rn + 1)
+      SELECT document_id, command_id, revision_before, is_stale FROM walk""",
     "undo_state": f"WITH {LOG_SQL} SELECT document_id, CAST(object AS VARCHAR) AS object_id, CAST(arg_max_null(num, revision) AS VARCHAR) AS value FROM log WHERE revision <= 25 GROUP BY document_id, object",
     "command_history": f"WITH {LOG_SQL}, back AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY revision DESC) AS steps_back FROM log) SELECT document_id, command_id, steps_back FROM back WHERE steps_back <= 12",
     "command_log_fold": f"WITH {LOG_SQL} SELECT document_id, command_id, revision, CAST(last_value(num IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY revision ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS VARCHAR) AS value_after FROM log",

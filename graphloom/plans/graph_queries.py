@@ -146,7 +146,7 @@ def geometry_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def port_allocation(spark: SparkSession, d: str) -> DataFrame:
-    line = A.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("card"), F.when(F.col("l_returnflag") == "A", "left").otherwise("right").alias("side"), F.concat_ws("#", "l_orderkey", "l_linenumber", "l_partkey", F.col("l_extendedprice").cast("string")).alias("edge_id"), F.col("l_partkey").alias("opposite")).where("card < 20")
+    line = A.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("card"), F.when(F.col("l_returnflag") == "A", "left").otherwise("right").alias("side"), F.concat_ws("#", "l_orderkey", "l_linenumber", "l_partkey", F.round(F.col("l_extendedprice") * 100).cast("long").cast("string")).alias("edge_id"), F.col("l_partkey").alias("opposite")).where("card < 20")
     return L.ports(line.distinct()).select("card", "side", "edge_id", F.round("fraction", 9).alias("fraction"))
 
 
@@ -207,4 +207,10 @@ ORACLE_SQL = {
     "column_fallback": """WITH c AS (SELECT p_brand AS "group", row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS i, count(*) OVER (PARTITION BY p_brand) AS n FROM part) SELECT "group", i % least(3, n) AS rank, count(*) AS n FROM c GROUP BY ALL""",
     "geometry_overlap": """WITH b AS (SELECT p_brand AS "group", lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS node_id, p_partkey % 37 * 60.0 AS x, p_partkey % 23 * 45.0 AS y, p_size * 4.0 AS w, p_size * 3.0 AS h FROM part)
       SELECT a."group", a.node_id AS a, b.node_id AS b FROM b a JOIN b b ON a."group" = b."group" AND a.node_id < b.node_id AND a.x + 1 < b.x + b.w AND b.x + 1 < a.x + a.w AND a.y + 1 < b.y + b.h AND b.y + 1 < a.y + a.h""",
+    "port_allocation": """WITH e AS (SELECT DISTINCT l_suppkey AS card, CASE WHEN l_returnflag = 'A' THEN 'left' ELSE 'right' END AS side, CAST(l_orderkey AS VARCHAR) || '#' || CAST(l_linenumber AS VARCHAR) || '#' || CAST(l_partkey AS VARCHAR) || '#' || CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR) AS edge_id, l_partkey AS opposite FROM lineitem WHERE l_suppkey < 20)
+      SELECT card, side, edge_id, round(row_number() OVER (PARTITION BY card, side ORDER BY opposite, edge_id) * 1.0::DOUBLE / (count(*) OVER (PARTITION BY card, side) + 1), 9) AS fraction FROM e""",
+    "shelf_packing": """WITH RECURSIVE u AS (SELECT p_brand AS g, lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS unit_id, p_size * 10.0::DOUBLE AS w, p_size % 7 * 20.0::DOUBLE + 20 AS h, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i FROM part),
+      walk AS (SELECT g, unit_id, w, h, i, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, h AS tall FROM u WHERE i = 1
+        UNION ALL SELECT u.g, u.unit_id, u.w, u.h, u.i, CASE WHEN k.x + k.w + 40 + u.w > 1200 THEN 0.0 ELSE k.x + k.w + 40 END, CASE WHEN k.x + k.w + 40 + u.w > 1200 THEN k.y + k.tall + 40 ELSE k.y END, CASE WHEN k.x + k.w + 40 + u.w > 1200 THEN u.h ELSE greatest(k.tall, u.h) END FROM walk k JOIN u ON u.g = k.g AND u.i = k.i + 1)
+      SELECT g AS "group", unit_id, x, y, w AS width, h AS height FROM walk""",
 }
