@@ -9,8 +9,6 @@ agree are merged before they are sent, so a value that all documents hold costs
 from __future__ import annotations
 
 import struct
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +16,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import stored
 from .bytescan import lean_task
 
+__all__ = ["BLOBS", "blob_filter", "buckets", "deal", "doc_bucket", "doc_bucket_column", "gather", "id_filter", "narrow", "pack", "stored", "table", "unpack", "with_maybe"]
+
 BLOBS = "part int, blob binary"
 _SCHEMA = pa.schema([("part", pa.int32()), ("blob", pa.binary())])
 
@@ -126,30 +127,3 @@ def with_maybe(df: DataFrame, bitmap: DataFrame) -> DataFrame:
         .withColumn("__maybe", F.coalesce(F.expr("shiftright(cast(conv(hex(substring(__bits, cast(__at div 8 as int) + 1, 1)), 16, 10) as int), cast(__at % 8 as int)) & 1") == 1, F.lit(False)))
         .drop("__page", "__at", "__bits")
     )
-
-
-_own: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a local session that names none gets a folder of its own."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not top:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        if not _own:
-            _own.append("file://" + tempfile.mkdtemp(prefix="graphloom-"))
-        top = _own[0]
-    return top
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it again: the lineage is cut, and what was written survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/graphloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def batches(rows: list[tuple[int, bytes]], size: int = 256) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(rows), size):
-        yield table(rows[i : i + size])

@@ -79,6 +79,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_jaccard_join": r"""
+      WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        spots AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS s FROM spots),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+        l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id WHERE r.root < e.b)
+      SELECT d.doc_id, coalesce(n, 0) AS n_shingles, m.root AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT doc_id, min(root) AS root FROM r GROUP BY doc_id) m ON m.doc_id = d.doc_id""",
+    "op9_substring_dedup": r"""
+      WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        spots AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w WHERE len(w) >= 50),
+        k AS (SELECT doc_id, i, md5(array_to_string(w[i:i+49], ' ')) AS k FROM spots),
+        f AS (SELECT k, min(doc_id) AS first FROM k GROUP BY k),
+        m AS (SELECT k.doc_id, i FROM k JOIN f ON f.k = k.k WHERE first < k.doc_id),
+        x AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM m),
+        g AS (SELECT doc_id, count(*) AS n FROM x GROUP BY doc_id),
+        t AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM w),
+        kept AS (SELECT t.doc_id, string_agg(word, ' ' ORDER BY t.j) AS kept FROM t LEFT JOIN x ON x.doc_id = t.doc_id AND x.j = t.j WHERE x.j IS NULL GROUP BY t.doc_id)
+      SELECT w.doc_id, len(w) AS n_words, coalesce(g.n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN g ON g.doc_id = w.doc_id LEFT JOIN kept ON kept.doc_id = w.doc_id""",
     "op6_preferences": """
       WITH last AS (SELECT conv_id, max(turn) AS last_turn FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
       reply AS (SELECT l.conv_id, l.last_turn, max(c.text) AS said FROM last l JOIN conversations c
@@ -97,4 +118,18 @@ ORACLE_SQL: dict[str, str] = {
         UNION ALL SELECT s.pair_id, 'rejected', s.turn, rb, tb FROM both_sides s JOIN cut c ON c.pair_id = s.pair_id WHERE s.turn >= c.first AND rb IS NOT NULL)
       SELECT pair_id, part, turn, role, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS rendered,
              (part <> 'prompt' AND role = 'assistant') AS loss FROM parts""",
+    "op10_mixing": """
+      WITH RECURSIVE counted AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+      shares AS (SELECT source, pow(n::DOUBLE, 0.5) * 200 / sum(pow(n::DOUBLE, 0.5)) OVER () AS share FROM counted),
+      wholes AS (SELECT source, share, CAST(floor(share) AS BIGINT) AS whole, 200 - sum(CAST(floor(share) AS BIGINT)) OVER () AS spare FROM shares),
+      quotas AS (SELECT source, greatest(whole + CASE WHEN row_number() OVER (ORDER BY round(share - whole, 9) DESC, source) <= spare THEN 1 ELSE 0 END, 1) AS quota FROM wholes),
+      sized AS (SELECT source, CAST(quota AS BIGINT) AS quota, CAST(sum(quota) OVER () AS BIGINT) AS slots FROM quotas),
+      walk AS (SELECT CAST(-1 AS BIGINT) AS slot, source, quota, slots, CAST(0 AS BIGINT) AS done, false AS chosen FROM sized
+        UNION ALL SELECT slot + 1, source, quota, slots, done + CASE WHEN pick = 1 THEN 1 ELSE 0 END, pick = 1
+        FROM (SELECT *, row_number() OVER (ORDER BY CASE WHEN done < quota AND done * slots // quota <= slot + 1 THEN 0 ELSE 1 END, ((done + 1) * slots + quota - 1) // quota, source) AS pick FROM walk WHERE slot < slots - 1) q),
+      cycle AS (SELECT source, quota, slots, slot, done - 1 AS nth FROM walk WHERE chosen),
+      ranked AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS r FROM documents),
+      placed AS (SELECT doc_id, k.source, r, r // 8 AS block, r // 8 // quota AS cycle, r // 8 % quota AS nth, quota, slots FROM ranked k JOIN sized s ON s.source = k.source)
+      SELECT p.doc_id, p.source, p.quota / p.slots AS target_weight, p.block, p.cycle, c.slot, (p.cycle * p.slots + c.slot) * 8 + p.r % 8 AS position, p.nth + 1 - (c.slot + 1) * p.quota / p.slots AS deviation
+      FROM placed p JOIN cycle c ON c.source = p.source AND c.nth = p.nth""",
 }

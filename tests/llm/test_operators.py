@@ -292,6 +292,11 @@ def test_every_source_is_on_time(spark):
         assert i * total // quota[s] <= slot < -(-(i + 1) * total // quota[s])
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_sql(name, spark, sf):
+    assert spark_rows(queries.QUERIES[name](spark, sf)) == sql_rows(connection(sf), queries.ORACLE_SQL[name])
+
+
 OPERATORS = {
     "op1": (lambda d: media.media_digests(d), 1),
     "op2": (lambda d: ngram_join.jaccard_components(d), 1),
