@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from ..storage import stored
 from .bytescan import lean_task
 
-__all__ = ["BLOBS", "blob_filter", "buckets", "deal", "doc_bucket", "doc_bucket_column", "gather", "id_filter", "narrow", "pack", "stored", "table", "unpack", "with_maybe"]
+__all__ = ["BLOBS", "blob_filter", "buckets", "deal", "doc_bucket", "doc_bucket_column", "gather", "id_filter", "narrow", "pack", "small_batches", "stored", "stored_lean", "table", "unpack", "with_maybe"]
 
 BLOBS = "part int, blob binary"
 _SCHEMA = pa.schema([("part", pa.int32()), ("blob", pa.binary())])
@@ -127,3 +128,20 @@ def with_maybe(df: DataFrame, bitmap: DataFrame) -> DataFrame:
         .withColumn("__maybe", F.coalesce(F.expr("shiftright(cast(conv(hex(substring(__bits, cast(__at div 8 as int) + 1, 1)), 16, 10) as int), cast(__at % 8 as int)) & 1") == 1, F.lit(False)))
         .drop("__page", "__at", "__bits")
     )
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
+    """While tables are written, Python gets so many rows at a time: whole texts or sets are large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def stored_lean(df: DataFrame, name: str) -> DataFrame:
+    with small_batches(df.sparkSession):
+        return stored(df, name)

@@ -14,15 +14,14 @@ make too many differences. Candidates are verified on their whole sets of 64-bit
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import U64, chunks, lean, lean_pair, lean_task, mix, powers, prefix_sums, ragged, runs, word_hashes, words
-from .exchange import BLOBS, buckets, deal, doc_bucket, gather, id_filter, stored, table, with_maybe
+from .exchange import BLOBS, buckets, deal, doc_bucket, gather, id_filter, small_batches, stored, stored_lean, table, with_maybe
 from .repeats import FLUSH, KINDS, kind_batch
 
 WORDS = 5
@@ -141,18 +140,6 @@ def lists(docs: np.ndarray, key: np.ndarray, *columns: np.ndarray) -> tuple:
     return docs, key, columns, start, np.diff(np.append(start, len(docs)))
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 400):
-    """Rows that hold whole sets go to Python a few at a time."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def first_round(docs: DataFrame, n: int) -> DataFrame:
     """FOUND rows: PAIR, CLASS (a's equal of smallest id b, n shingles), FILLED (segments in use in a band) and HEAVY (long lists in a band)."""
 
@@ -163,7 +150,7 @@ def first_round(docs: DataFrame, n: int) -> DataFrame:
 
         def send() -> Iterator[pa.RecordBatch]:
             who, band, sig = (np.concatenate(c) for c in zip(*held))
-            rows = deal(((sig >> U64(40)) % U64(n)).astype(np.int64), who, sig.astype(np.uint32), band.astype(np.uint8))
+            rows = deal(((sig >> U64(40)) % U64(n)).astype(np.int64), who, sig.astype(np.uint32), band)
             for i in range(0, len(rows), 64):
                 yield kind_batch(SIGNATURE, rows[i : i + 64])
 
@@ -185,7 +172,7 @@ def first_round(docs: DataFrame, n: int) -> DataFrame:
                 own = np.flatnonzero(new)
                 part = np.concatenate(([0], np.cumsum(size[own])))
                 for owner, band, sig, mine, b, filled in signatures(sets[ragged(first[own], size[own])], part):
-                    held.append((names[own][owner], band, sig))
+                    held.append((names[own][owner], band.astype(np.uint8), sig))
                     count += len(sig)
                     if filled is not None:
                         used.append((names[own][mine], b, filled))
@@ -376,7 +363,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     n = buckets(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = stored(first_round(source, n), "segments")
+    found = stored_lean(first_round(source, n), "segments")
     profile = found.where(F.col("kind") == CLASS).select(F.col("a").alias("doc_id"), F.col("b").alias("set_id"), F.col("n").alias("size"))
     one = profile.groupBy("doc_id").agg(F.min("set_id").alias("set_id"), F.max("size").alias("size"))
 
@@ -409,9 +396,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(first)), pa.array([raw[x:y] for x, y in zip(cut, cut[1:])], pa.binary())], names=["doc_id", "size", "shingles"])
 
     wanted = with_maybe(source.where("doc_id is not null"), id_filter(needed)).where("__maybe").drop("__maybe")
-    sets = stored(wanted.mapInArrow(lean_task(sets_of), "doc_id long, size long, shingles binary").dropDuplicates(["doc_id"]), "sets")
+    sets = stored_lean(wanted.mapInArrow(lean_task(sets_of), "doc_id long, size long, shingles binary").dropDuplicates(["doc_id"]), "sets")
 
-    with small_batches(spark):
+    with small_batches(spark, 400):
         again = stored(second_round(with_maybe(sets, id_filter(left_over)).where("__maybe").drop("__maybe"), n), "shingles")
     members = stored(rarest(again.where(F.col("kind") == MEMBER).select("part", "blob")), "lists")
     lights = sets.select("doc_id", "size").join(members.where(F.col("part") == NO_LIST).select(F.col("doc").alias("doc_id"), "light"), "doc_id", "left").withColumn("light", F.coalesce("light", "size"))
@@ -420,10 +407,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     fine = again.where(F.col("kind") == PAIR).groupBy("a", "b").agg(F.sum("n").alias("met")).join(side("a"), "a").join(side("b"), "b")
     fine = fine.where((F.col("light_a") + F.col("light_b") - 2 * F.col("met") <= differ) & (4 * F.least("size_a", "size_b") >= 3 * F.greatest("size_a", "size_b"))).select("a", "b")
 
-    with small_batches(spark):
+    with small_batches(spark, 400):
         links = stored(verified(pairs.union(fine).union(star_pairs(long_lists)).distinct(), sets), "links")
     labels = components(links)
-    with small_batches(spark):
+    with small_batches(spark, 400):
         more = stored(verified(apart_pairs(long_lists, labels), sets), "more-links")
     if not more.isEmpty():
         labels = components(links.union(more))

@@ -24,7 +24,7 @@ from .exchange import BLOBS, blob_filter, deal, doc_bucket, doc_bucket_column, g
 KINDS = "part int, kind int, blob binary"
 SENT, OWN = 0, 1
 #: Anchors that a task merges before it sends them.
-FLUSH = 2_000_000
+FLUSH = 800_000
 
 
 def keyed(hashes: np.ndarray, n: int) -> np.ndarray:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import U64, chunks, lean, mix, powers, prefix_sums, ragged, rolling, word_hashes, words
-from .exchange import BLOBS, buckets, deal, gather, stored
+from .exchange import BLOBS, buckets, deal, gather, stored_lean
 from .repeats import KINDS, Marks, Members, blob_table, cut_out, keyed, kind_table, mark_rows, shared_anchors, split_kinds, with_blobs
 
 WINDOW = 50
@@ -46,7 +46,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
         hashes, first, at, who = _windows(data, bounds, window, block)
         return rolling(hashes, block)[at], who, (at - first[who]) % block == 0
 
-    hits = stored(shared_anchors(source, anchors, n), "anchors")
+    hits = stored_lean(shared_anchors(source, anchors, n), "anchors")
 
     def extend(left: pa.Table, right: pa.Table) -> pa.Table:
         member, found = Members(right.column("blob")), []
@@ -85,7 +85,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
         later = names > _least(h, h2, names)
         return pa.concat_tables([blob_table(mark_rows(names[later], at[later], at[later] + window, n)), passing.cast(blob_table([]).schema)])
 
-    marks = stored(with_blobs(source, hits, n, extend, KINDS).groupBy("part").applyInArrow(lean(meet), BLOBS), "marks")
+    marks = stored_lean(with_blobs(source, hits, n, extend, KINDS).groupBy("part").applyInArrow(lean(meet), BLOBS), "marks")
 
     def rewrite(t: pa.Table, marks: Marks) -> pa.Table:
         ids = t.column("doc_id").fill_null(0).to_numpy()

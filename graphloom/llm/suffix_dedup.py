@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import BYTE_VALUE, U64, chunks, lean, mix, powers, ragged, rolling, runs
-from .exchange import BLOBS, buckets, narrow, stored
+from .exchange import BLOBS, buckets, narrow, stored_lean
 from .repeats import KINDS, Marks, Members, blob_table, cut_out, keyed, kind_table, mark_rows, shared_anchors, split_kinds, with_blobs
 
 WINDOW, SPAN = 50, 24
@@ -194,7 +194,7 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, span: int = SPA
         hashes, _, who = minimizers(data, bounds, window, span)
         return hashes, who, np.ones(len(who), bool)
 
-    hits = stored(shared_anchors(source, anchors, n), "anchors")
+    hits = stored_lean(shared_anchors(source, anchors, n), "anchors")
 
     def sort(left: pa.Table, right: pa.Table) -> pa.Table:
         member, found = Members(right.column("blob")), []
@@ -240,7 +240,7 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, span: int = SPA
             marks = mark_rows(names[hit], at[hit] - furthest, at[hit] - nearest + window, n)
         return pa.concat_tables([blob_table(marks), passing.cast(blob_table([]).schema)])
 
-    marks = stored(with_blobs(source, hits, n, sort, KINDS).groupBy("part").applyInArrow(lean(merge), BLOBS), "marks")
+    marks = stored_lean(with_blobs(source, hits, n, sort, KINDS).groupBy("part").applyInArrow(lean(merge), BLOBS), "marks")
 
     def rewrite(t: pa.Table, marks: Marks) -> pa.Table:
         ids = t.column("doc_id").fill_null(0).to_numpy()
