@@ -33,11 +33,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     """(doc_id, n_words, n_removed, kept_text, carried): every word is removed that lies in a run of ``window`` words which also starts in a document with a smaller id.
 
     Runs are judged on the input. kept_text joins the words that stay by one space; without any
-    it is empty. Without ``normalise`` a text that loses nothing stays as it was. Null text has no words. Columns named in ``carry`` come along in the struct
-    ``carried`` (null without any); all others are ignored, so names can't clash. Repeated rows
-    of one document remove nothing from each other, and each gets the document's marks. A row
-    with a null id stays whole and removes nothing. No rows give none. Runs are compared by 96-bit
-    hashes. A task holds a bucket of texts at a time.
+    it is empty. Without ``normalise`` a text that loses nothing stays as it was. Null text has
+    no words. Columns named in ``carry`` come along in the struct ``carried`` (null without any);
+    all others are ignored, so names can't clash. Repeated rows of one document remove nothing
+    from each other, and each gets the document's marks. A row with a null id stays whole and
+    removes nothing. No rows give none. Runs are compared by 96-bit hashes. A task holds a bucket
+    of texts at a time.
     """
     n, block = buckets(docs.sparkSession), window // 2
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
