@@ -24,8 +24,10 @@ from .bytescan import chunks, lean_task, ragged, word_hashes, words
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 #: Pieces that a task packs together; more begin a new block, so a task's memory is bounded.
 BLOCK_PIECES = 400_000
+#: Bytes of text that are tokenised at a time: what a task holds besides its memo grows with it.
+CHUNK = 1 << 18
 #: Distinct words whose ids a task remembers before it forgets them all.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 
 
 class WindowTree:
@@ -205,7 +207,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 2048, end
 
         for batch in batches:
             names = batch.column(0).to_pylist()
-            for lo, hi, data, bounds in chunks(batch.column(1), 1 << 20):
+            for lo, hi, data, bounds in chunks(batch.column(1), CHUNK):
                 ids, cut = tokens.ids(data, bounds)
                 raw, cut = memoryview(ids.astype("<u4")).cast("B"), cut.tolist()
                 for i in range(hi - lo):
