@@ -24,7 +24,7 @@ from .exchange import BLOBS, blob_filter, deal, doc_bucket, doc_bucket_column, g
 KINDS = "part int, kind int, blob binary"
 SENT, OWN = 0, 1
 #: Anchors that a task merges before it sends them.
-FLUSH = 800_000
+FLUSH = 200_000
 
 
 def keyed(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -61,7 +61,7 @@ def _pairs(docs: np.ndarray, keys: np.ndarray, n: int) -> list[tuple[int, bytes]
     return deal(doc_bucket(docs, n), docs, (keys >> U64(32)).astype(np.uint32), keys.astype(np.uint32))
 
 
-def shared_anchors(docs: DataFrame, anchors: Callable, n: int) -> DataFrame:
+def shared_anchors(docs: DataFrame, anchors: Callable, n: int, flush: int = FLUSH) -> DataFrame:
     """(part, blob) of (document, anchor's bucket, anchor) where another document has the anchor too.
 
     anchors: (data, bounds) -> hashes, documents' places in the chunk, flags; an anchor counts
@@ -103,7 +103,7 @@ def shared_anchors(docs: DataFrame, anchors: Callable, n: int) -> DataFrame:
                 hashes, who, flags = anchors(data, bounds)
                 held.append((ids[lo:hi][who], keyed(hashes, n), flags))
                 count += len(who)
-                if count >= FLUSH:
+                if count >= flush:
                     yield from sends(*(np.concatenate(c) for c in zip(*held)))
                     held, count = [], 0
         if count:

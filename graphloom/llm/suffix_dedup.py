@@ -24,6 +24,8 @@ from .exchange import BLOBS, buckets, narrow, stored_lean
 from .repeats import KINDS, Marks, Members, blob_table, cut_out, keyed, kind_table, mark_rows, shared_anchors, split_kinds, with_blobs
 
 WINDOW, SPAN = 50, 24
+#: Anchors that a task merges before it sends them: they are fewer than windows of words, so more text fits.
+FLUSH = 800_000
 
 
 def minimizers(data: np.ndarray, bounds: np.ndarray, window: int = WINDOW, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -194,7 +196,7 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, span: int = SPA
         hashes, _, who = minimizers(data, bounds, window, span)
         return hashes, who, np.ones(len(who), bool)
 
-    hits = stored_lean(shared_anchors(source, anchors, n), "anchors")
+    hits = stored_lean(shared_anchors(source, anchors, n, FLUSH), "anchors")
 
     def sort(left: pa.Table, right: pa.Table) -> pa.Table:
         member, found = Members(right.column("blob")), []
