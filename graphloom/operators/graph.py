@@ -30,28 +30,44 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return labels
 
 
-def strong_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node_id, scc): the smallest member of each node's strong component, by forward and backward colouring.
 
     Each round, nodes take the smallest colour that reaches them; those that also reach their
     colour's root are its component and leave. Nodes without in- or out-edges leave first.
     """
-    left, rest = nodes.select("node_id").distinct(), edges.select("a", "b").where("a <> b").distinct()
+    ids = nodes.select("node_id").distinct()
+    rest = edges.select("a", "b").where("a <> b").distinct().join(ids.withColumnRenamed("node_id", "a"), "a", "left_semi").join(ids.withColumnRenamed("node_id", "b"), "b", "left_semi").select("a", "b")
     done: DataFrame | None = None
-    for _ in range(max_rounds):
+    while True:
+        rest = _trimmed(rest)
         if rest.isEmpty():
             break
+        left = rest.select(F.col("a").alias("node_id")).distinct()
         colour = _spread(left.withColumn("c", F.col("node_id")), rest)
         same = rest.join(colour.select(F.col("node_id").alias("a"), F.col("c").alias("ca")), "a").join(colour.select(F.col("node_id").alias("b"), F.col("c").alias("cb")), "b").where("ca = cb").select(F.col("b").alias("a"), F.col("a").alias("b"))
         roots = colour.withColumn("hit", F.when(F.col("node_id") == F.col("c"), F.lit(0)).otherwise(F.lit(1))).select("node_id", F.col("hit").alias("c"))
         back = _spread(roots, stored(same, "same"))
         found = stored(colour.join(back.where("c = 0").select("node_id"), "node_id", "left_semi").withColumnRenamed("c", "scc"), "scc")
         done = found if done is None else done.unionByName(found)
-        left = stored(left.join(found, "node_id", "left_anti"), "left")
         gone = found.select("node_id")
-        rest = stored(rest.join(gone.withColumnRenamed("node_id", "a"), "a", "left_anti").join(gone.withColumnRenamed("node_id", "b"), "b", "left_anti"), "rest")
-    alone = left.withColumn("scc", F.col("node_id"))
-    return alone if done is None else done.unionByName(alone)
+        rest = stored(rest.join(gone.withColumnRenamed("node_id", "a"), "a", "left_anti").join(gone.withColumnRenamed("node_id", "b"), "b", "left_anti").select("a", "b"), "rest")
+    if done is None:
+        return ids.withColumn("scc", F.col("node_id"))
+    return done.unionByName(ids.join(done, "node_id", "left_anti").withColumn("scc", F.col("node_id")))
+
+
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """The edges (a, b) left when nodes without in- or out-edges have gone, again and again: such nodes are on no cycle."""
+    edges = stored(edges, "trimmed")
+    n = edges.count()
+    while n:
+        entered, left = edges.select(F.col("b").alias("a")).distinct(), edges.select(F.col("a").alias("b")).distinct()
+        edges = stored(edges.join(entered, "a", "left_semi").join(left, "b", "left_semi").select("a", "b"), "trimmed")
+        before, n = n, edges.count()
+        if n == before:
+            break
+    return edges
 
 
 def _spread(values: DataFrame, edges: DataFrame) -> DataFrame:

@@ -52,3 +52,9 @@ def test_strong_components_and_groups_of_all_relations(spark, sf):
     got = catalogue.QUERIES["relation_groups"](spark, sf).collect()
     assert sorted(r.members for r in got if not r.is_isolated) == sorted(map(len, groups))
     assert sum(r.members for r in got) == len(nodes)
+
+
+def test_long_chain_into_a_cycle(spark):
+    n = spark.createDataFrame([(x,) for x in range(103)], "node_id int")
+    e = spark.createDataFrame([(x, x + 1) for x in range(102)] + [(102, 100)], "a int, b int")
+    assert {r.node_id: r.scc for r in G.strong_components(n, e).collect()} == {x: min(x, 100) for x in range(103)}
