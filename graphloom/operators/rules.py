@@ -47,7 +47,7 @@ def document_issues(doc: dict[str, DataFrame]) -> DataFrame:
     scoped = r.join(s.select(F.col("scope_id").alias("source_id"), F.lit(True).alias("a")), "source_id", "left").join(s.select(F.col("scope_id").alias("target_id"), F.lit(True).alias("b")), "target_id", "left").withColumn("a", F.coalesce("a", F.lit(False))).withColumn("b", F.coalesce("b", F.lit(False)))
     archived = n.where("lifecycle_state = 'archived'").select("node_id")
     ends = r.select("relation_id", "lifecycle_state", F.explode(F.array("source_id", "target_id")).alias("node_id"))
-    fact = Window.partitionBy("relation_family", "source_id", "relation_type", "target_id").orderBy("ord")
+    fact = Window.partitionBy("relation_family", "source_id", "relation_type", "target_id").orderBy("ord", "relation_id")
     structure = active.where("relation_family = 'structure'")
     with_state = s.join(n.select(F.col("node_id").alias("scope_id"), F.col("lifecycle_state").alias("node_state")), "scope_id")
     return report(

@@ -58,3 +58,14 @@ def test_long_chain_into_a_cycle(spark):
     n = spark.createDataFrame([(x,) for x in range(103)], "node_id int")
     e = spark.createDataFrame([(x, x + 1) for x in range(102)] + [(102, 100)], "a int, b int")
     assert {r.node_id: r.scc for r in G.strong_components(n, e).collect()} == {x: min(x, 100) for x in range(103)}
+
+
+DOCUMENTS = ("integrity_report", "document_quality", "projection_ledger", "projection_issues", "publish_preflight", "publish_status", "membership_choice", "archive_cascade", "quality_report", "quality_rollup")
+
+
+@pytest.mark.parametrize("name", DOCUMENTS)
+def test_documents_of_all_lines(name, spark, sf):
+    sql = whole(catalogue.ORACLE_SQL[name], (" WHERE l_orderkey % 40 = 0", " WHERE l_orderkey % 100 = 0"))
+    # Over all lines, facts of equal ord occur.
+    sql = sql.replace("relation_type, target_id ORDER BY ord)", "relation_type, target_id ORDER BY ord, relation_id)")
+    assert spark_rows(catalogue.QUERIES[name](spark, sf)) == sql_rows(connection(sf), sql)
