@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import langid, mixing, ngram_join, packing, substring_dedup
-from graphloom.llm.exchange import id_filter, stored, with_maybe
+from graphloom.llm.exchange import buckets, id_filter, stored, with_maybe
 from graphloom.llm.queries import tokenizer_file
 
 
@@ -29,6 +29,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return kept.select(*docs.columns)
 
 
+#: Pieces of consecutive documents of the mixture that are packed together: about five cycles of its slots.
+MIXED_PIECES = 8192
+
+
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Runs of 50 words that a document with a smaller id has too are cut out of the texts; all documents stay."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
@@ -43,7 +47,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, tokenizer_file("word_bpe_49k.json"))
+    """Packs documents that were stored in the order of the mixture, and numbers sequences in that order.
+
+    Spark deals the files of a table out by their size, so the order is taken from the names of
+    the files and the places of their rows.
+    """
+    placed = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    ordered = placed.repartitionByRange(buckets(spark), "__file", "__row").sortWithinPartitions("__file", "__row")
+    return packing.pack_documents(ordered, tokenizer_file("word_bpe_49k.json"), block_pieces=MIXED_PIECES)
 
 
 STAGES = [

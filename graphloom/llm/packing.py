@@ -177,13 +177,14 @@ def tokenizer(path: str, end_id: int) -> WordTokenizer:
     return _known[path, end_id]
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", block_pieces: int = BLOCK_PIECES) -> DataFrame:
     """A row for each piece of a document: where its ids lie in the document and in a sequence.
 
     Null text is empty: the document is the end id alone. Each row of a repeated document is
     packed for itself; a null id stays null. No rows give no sequences. Texts of any length are
     tokenised whole. Other columns are ignored. sequence_id holds the task's partition in its
-    high bits, so a task that runs again gives the same numbers.
+    high bits, so a task that runs again gives the same numbers. Sequences are numbered in the
+    order of the blocks of block_pieces pieces that are packed together.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,11 +222,11 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 2048, end
                             sequence += 1
                         else:
                             rest.append(piece)
+                    if len(rest) >= block_pieces:
+                        yield from packed()
                 if len(full) >= 50_000:
                     yield from rows(full)
                     full.clear()
-                if len(rest) >= BLOCK_PIECES:
-                    yield from packed()
         yield from rows(full)
         yield from packed()
 

@@ -1,6 +1,7 @@
 import pytest
 
 import corpus_pipeline as pipeline
+from graphloom.llm import mixing
 
 from . import brute
 from .test_operators import frame, made
@@ -41,3 +42,24 @@ def test_registered(name):
     import __spark_entry__ as e
 
     assert name in e.queries() and "pipeline" in e.queries()
+
+
+def test_sequences_follow_the_mixture(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pipeline, "MIXED_PIECES", 100)
+    rows = [(i, "word " * (300 if i % 2 else 20), "en", "long" if i % 2 else "short", 0) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    weights = {r.source: r.target_weight for r in mixing.mix(docs).collect()}
+    place = {r.doc_id: r.position for r in mixing.mix(docs).collect()}
+    pipeline.mix_sources(spark, docs, "").write.parquet(str(tmp_path / "mixed"))
+    packed = pipeline.pack_sequences(spark, spark.read.parquet(str(tmp_path / "mixed")), "").collect()
+    assert len(packed) == len(rows)
+    parts = {}
+    for r in sorted(packed, key=lambda r: r.sequence_id):
+        parts.setdefault(r.sequence_id >> 36, []).append(r.doc_id)
+    blocks = [ids[i : i + 100] for _, ids in sorted(parts.items()) for i in range(0, len(ids), 100)]
+    assert len(blocks) >= 12
+    for one, two in zip(blocks, blocks[1:]):
+        assert max(place[i] for i in one) < min(place[i] for i in two)
+    for ids in blocks:
+        for source, rest in (("long", 1), ("short", 0)):
+            assert abs(sum(i % 2 == rest for i in ids) - weights[source] * len(ids)) <= 16
