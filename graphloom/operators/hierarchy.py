@@ -43,17 +43,18 @@ def projected(nodes: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataF
     return single.join(looped.select(F.col("node_id").alias("child")), "child", "left_anti"), issues
 
 
-def ancestors(parents: DataFrame, max_depth: int = 64) -> DataFrame:
+def ancestors(parents: DataFrame) -> DataFrame:
     """(node_id, ancestor, distance), itself at 0 excluded, of a forest without cycles (child, parent), by doubling: log2 of the depth rounds."""
     reach = parents.select(F.col("child").alias("node_id"), F.col("parent").alias("ancestor"), F.lit(1).alias("distance"))
-    step = 1
-    while step < max_depth:
+    step, edges = 1, parents.count()
+    while True:
+        if step > 2 * edges + 1:
+            raise ValueError("the forest has a cycle")
         far = reach.where(F.col("distance") == step).select("node_id", F.col("ancestor").alias("via"))
         more = far.join(reach.select(F.col("node_id").alias("via"), "ancestor", F.col("distance").alias("d")), "via").where(F.col("d") <= step).select("node_id", "ancestor", (F.col("d") + step).alias("distance"))
         if more.isEmpty():
-            break
+            return reach
         reach, step = stored(reach.unionByName(more), "reach"), step * 2
-    return reach
 
 
 def cycle_members(parents: DataFrame, max_rounds: int = 32) -> DataFrame:

@@ -80,7 +80,7 @@ def pdf_pages(f: DataFrame) -> DataFrame:
 
 def page_ranges(pdfs: DataFrame, ranges: DataFrame) -> DataFrame:
     """(path, range_id, first, last) for each of ranges (first, last, label): in bounds, or an error."""
-    r = pdfs.crossJoin(F.broadcast(ranges.limit(10_000)))  # a reader's list of ranges
+    r = pdfs.crossJoin(ranges)
     bad = (F.col("first") < 1) | (F.col("last") < F.col("first")) | (F.col("last") > F.col("page_count"))
     ident = F.concat(F.lit("_p"), F.col("first").cast("string"), F.lit("_p"), F.col("last").cast("string"), F.when(F.col("label") != "", F.concat(F.lit("_"), T.safe_id_part(F.col("label")))).otherwise(""))
     return r.select(F.when(bad, F.raise_error(F.lit("page range out of bounds"))).otherwise(F.col("path")).alias("path"), ident.alias("range_id"), "first", "last")

@@ -3,8 +3,10 @@
 import pytest
 
 from graphloom.operators import graph as G
+from graphloom.operators import hierarchy as H
 from graphloom.plans import catalogue
 from graphloom.sources import adapters as A
+from graphloom.sources import readers
 
 from .compare import connection, spark_rows, sql_rows
 
@@ -69,3 +71,16 @@ def test_documents_of_all_lines(name, spark, sf):
     # Over all lines, facts of equal ord occur.
     sql = sql.replace("relation_type, target_id ORDER BY ord)", "relation_type, target_id ORDER BY ord, relation_id)")
     assert spark_rows(catalogue.QUERIES[name](spark, sf)) == sql_rows(connection(sf), sql)
+
+
+def test_closure_of_a_deep_chain(spark):
+    p = spark.createDataFrame([(i + 1, i) for i in range(200)], "child int, parent int")
+    assert sorted(map(tuple, H.ancestors(p).collect())) == sorted((i, j, i - j) for i in range(201) for j in range(i))
+    with pytest.raises(ValueError, match="cycle"):
+        H.ancestors(spark.createDataFrame([(1, 2), (2, 1)], "child int, parent int"))
+
+
+def test_no_range_is_lost(spark):
+    pdfs = spark.createDataFrame([("x.pdf", 20_000, "")], "path string, page_count int, text string")
+    ranges = spark.range(1, 10_101).selectExpr("cast(id as int) as first", "cast(id as int) as last", "'' as label")
+    assert readers.page_ranges(pdfs, ranges).count() == 10_100
