@@ -190,7 +190,7 @@ DOCUMENT_SQL = r"""
     UNION ALL SELECT 't' || CAST(n_nationkey AS VARCHAR), 'structure', 'n' || CAST(n_nationkey % 5 AS VARCHAR), 'n' || CAST(n_nationkey AS VARCHAR), CASE WHEN n_nationkey = 17 THEN 'explains' ELSE 'contains' END, n_nationkey + 200000 FROM nation WHERE n_nationkey >= 5
     UNION ALL SELECT 't99', 'structure', 'n3', 'n20', 'contains', 300000 FROM nation WHERE n_nationkey = 20
     UNION ALL SELECT 'x#' || CAST(l_orderkey AS VARCHAR) || '#' || CAST(l_linenumber AS VARCHAR) || '#' || CAST(l_partkey AS VARCHAR), CASE WHEN l_linenumber = 7 THEN 'unresolved' ELSE 'semantic' END, 's' || CAST(l_suppkey AS VARCHAR), 's' || CAST(l_partkey % 104 AS VARCHAR),
-      CASE l_returnflag WHEN 'A' THEN 'prerequisite' WHEN 'R' THEN 'contrast' ELSE 'related_to' END, l_orderkey * 10 + l_linenumber + 1000000 FROM lineitem WHERE l_orderkey % 40 = 0),
+      CASE l_returnflag WHEN 'A' THEN 'prerequisite' WHEN 'R' THEN 'contrast' ELSE 'related_to' END, l_orderkey * 10 + l_linenumber + 1000000 FROM lineitem),
   relations AS (SELECT *, CASE WHEN ord % 23 = 1 THEN 'archived' ELSE 'active' END AS lifecycle_state, CASE ord % 6 WHEN 1 THEN 'rejected' WHEN 2 THEN 'pending' ELSE 'accepted' END AS review_status FROM facts),
   occurrences AS (SELECT 'o' || CAST(s_suppkey AS VARCHAR) AS occurrence_id, 's' || CAST(s_suppkey + CASE WHEN s_suppkey % 19 = 3 THEN 500 ELSE 0 END AS VARCHAR) AS node_id, s_suppkey % 33 AS anchor FROM supplier),
   ends AS (SELECT relation_id, lifecycle_state, source_id AS node_id FROM relations UNION ALL SELECT relation_id, lifecycle_state, target_id FROM relations),
@@ -203,7 +203,7 @@ DOCUMENT_SQL = r"""
     UNION SELECT 'occurrence_evidence_missing', occurrence_id FROM occurrences WHERE anchor >= 30 OR anchor NOT IN (SELECT item_id FROM benchmark)
     UNION SELECT 'relation_endpoint_missing', relation_id FROM ends WHERE node_id NOT IN (SELECT node_id FROM nodes)
     UNION SELECT 'active_relation_archived_endpoint', relation_id FROM ends e JOIN nodes n ON n.node_id = e.node_id WHERE e.lifecycle_state = 'active' AND n.lifecycle_state = 'archived'
-    UNION SELECT 'duplicate_relation_fact', relation_id FROM (SELECT relation_id, row_number() OVER (PARTITION BY relation_family, source_id, relation_type, target_id ORDER BY ord) AS k FROM relations) q WHERE k > 1
+    UNION SELECT 'duplicate_relation_fact', relation_id FROM (SELECT relation_id, row_number() OVER (PARTITION BY relation_family, source_id, relation_type, target_id ORDER BY ord, relation_id) AS k FROM relations) q WHERE k > 1
     UNION SELECT 'relation_occurrence_missing', relation_id FROM relations WHERE ord % 120 NOT IN (SELECT s_suppkey FROM supplier)
     UNION SELECT 'structure_relation_type_invalid', 't17' UNION SELECT 'structure_multiple_parents', target_id FROM relations WHERE relation_family = 'structure' AND lifecycle_state = 'active' AND review_status <> 'rejected' GROUP BY target_id HAVING count(DISTINCT source_id) > 1
     UNION SELECT 'membership_scope_missing', relation_id FROM relations WHERE relation_family = 'membership' AND source_id NOT IN (SELECT scope_id FROM scopes)
@@ -235,7 +235,7 @@ DRAFT_SQL = r"""
   nodes AS (SELECT 's' || CAST(s_suppkey AS VARCHAR) AS node_id, CASE WHEN s_suppkey % 37 = 1 THEN ' ' ELSE 'name ' || CAST(s_suppkey % 60 AS VARCHAR) END AS display_name, s_suppkey < 10 AS box, CASE WHEN s_suppkey >= 10 THEN 's' || CAST(s_suppkey % 10 AS VARCHAR) ELSE '' END AS parent_id,
       CASE s_suppkey % 8 WHEN 2 THEN 'pending' WHEN 3 THEN 'needs_revision' ELSE 'accepted' END AS status, CASE WHEN s_suppkey % 6 = 5 THEN '' ELSE 'text' END AS evidence FROM supplier),
   edges AS (SELECT 's' || CAST(l_suppkey AS VARCHAR) AS a, CASE WHEN l_linenumber = 6 THEN '' ELSE 's' || CAST(l_partkey % 103 AS VARCHAR) END AS b, CASE l_returnflag WHEN 'A' THEN 'prerequisite' WHEN 'R' THEN 'contains' ELSE 'explains' END AS kind,
-      CASE WHEN l_linestatus = 'F' THEN 'accepted' WHEN l_linenumber % 2 = 0 THEN 'pending' ELSE 'needs_revision' END AS status, CASE WHEN l_linenumber = 3 THEN '' ELSE 'said' END AS evidence FROM lineitem WHERE l_orderkey % 100 = 0),
+      CASE WHEN l_linestatus = 'F' THEN 'accepted' WHEN l_linenumber % 2 = 0 THEN 'pending' ELSE 'needs_revision' END AS status, CASE WHEN l_linenumber = 3 THEN '' ELSE 'said' END AS evidence FROM lineitem),
   e AS (SELECT *, a || '--' || kind || '--' || b AS id FROM edges), ok AS (SELECT * FROM nodes WHERE status = 'accepted'), good AS (SELECT * FROM e WHERE status = 'accepted'), whole AS (SELECT * FROM good WHERE a <> '' AND b <> ''),
   ends AS (SELECT id, kind, a AS x FROM whole WHERE a <> b UNION ALL SELECT id, kind, b FROM whole WHERE a <> b),
   kids AS (SELECT node_id, parent_id FROM ok WHERE NOT box AND parent_id <> ''), inner_edges AS (SELECT p.parent_id FROM good JOIN kids p ON p.node_id = a JOIN kids q ON q.node_id = b WHERE kind = 'prerequisite' AND p.parent_id = q.parent_id),
