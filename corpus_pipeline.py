@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import langid, mixing, ngram_join, packing, substring_dedup
-from graphloom.llm.exchange import buckets, id_filter, stored, with_maybe
+from graphloom.llm.exchange import id_filter, maybe_rows, partitions, stored
 from graphloom.llm.queries import tokenizer_file
 
 
@@ -24,9 +24,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each component of linked documents the one of smallest id stays."""
     found = ngram_join.jaccard_components(docs)
     gone = stored(found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "near-copies")
-    seen = with_maybe(docs, id_filter(gone))
-    kept = seen.where(~F.col("__maybe")).unionByName(seen.where("__maybe").join(gone, "doc_id", "left_anti"))
-    return kept.select(*docs.columns)
+    seen = maybe_rows(docs, id_filter(gone))
+    kept = seen.where("not __maybe").select("row").unionByName(seen.where("__maybe").join(gone, "doc_id", "left_anti").select("row"))
+    return kept.select("row.*")
 
 
 #: Pieces of consecutive documents of the mixture that are packed together: about five cycles of its slots.
@@ -35,10 +35,10 @@ MIXED_PIECES = 8192
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Runs of 50 words that a document with a smaller id has too are cut out of the texts; all documents stay."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    found = substring_dedup.remove_repeats(docs, carry=others, normalise=False)
-    found = found.select("doc_id", F.col("kept_text").alias("text"), F.length("kept_text").cast("long").alias("n_chars"), "carried.*")
-    return found.select(*docs.columns)
+    found = substring_dedup.cut_documents(docs)
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return found
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     the files and the places of their rows.
     """
     placed = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    ordered = placed.repartitionByRange(buckets(spark), "__file", "__row").sortWithinPartitions("__file", "__row")
+    ordered = placed.repartitionByRange(partitions(spark), "__file", "__row").sortWithinPartitions("__file", "__row")
     return packing.pack_documents(ordered, tokenizer_file("word_bpe_49k.json"), block_pieces=MIXED_PIECES)
 
 

@@ -27,7 +27,9 @@ _powers = [np.ones(1, U64), np.ones(1, U64)]
 
 
 def release() -> None:
-    """Gives freed memory back to the system. A Python worker outlives its task, and the next one may run elsewhere."""
+    """Gives memory back to the system, that of long tables of powers as well. A Python worker outlives its task, and the next one may run elsewhere."""
+    if len(_powers[0]) > 1 << 17:
+        _powers[:] = [np.ones(1, U64), np.ones(1, U64)]
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -20,40 +20,63 @@ from pyspark.sql import functions as F
 from ..storage import stored
 from .bytescan import lean_task
 
-__all__ = ["BLOBS", "blob_filter", "buckets", "deal", "doc_bucket", "doc_bucket_column", "gather", "id_filter", "narrow", "pack", "small_batches", "stored", "stored_lean", "table", "unpack", "with_maybe"]
+__all__ = ["BLOBS", "blob_filter", "buckets", "deal", "doc_bucket", "doc_bucket_column", "gather", "id_filter", "maybe_rows", "narrow", "pack", "packed_column", "partitions", "read_column", "small_batches", "stored", "stored_lean", "table", "unpack", "with_maybe"]
 
 BLOBS = "part int, blob binary"
 _SCHEMA = pa.schema([("part", pa.int32()), ("blob", pa.binary())])
 
 
-def buckets(spark: SparkSession) -> int:
-    """As many buckets as the session has shuffle partitions."""
+#: Buckets for each shuffle partition: Spark reads several in a task, which holds one of them at a time.
+BUCKETS_A_PARTITION = 4
+
+
+def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def buckets(spark: SparkSession) -> int:
+    """Four times as many buckets as the session has shuffle partitions, so that a bucket is a fraction of what a task is meant to hold."""
+    return BUCKETS_A_PARTITION * partitions(spark)
+
+
 def narrow(x: np.ndarray) -> np.ndarray:
     top = int(x.max()) if len(x) else 0
     return x.astype(np.uint8 if top < 2**8 else np.uint16 if top < 2**16 else np.uint32 if top < 2**32 else np.uint64)
 
 
+#: Kind of a column that holds one value throughout.
+_SAME = b"="
+
+
+def packed_column(c: np.ndarray) -> bytes:
+    """A column's kind and values; one of the same value throughout takes the place of one."""
+    if c[0] == c[-1] and bool((c == c[0]).all()):
+        return _SAME + c.dtype.char.encode() + c[:1].tobytes()
+    return c.dtype.char.encode() + c.tobytes()
+
+
+def read_column(blob: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
+    """n values of the column that begins at a place, and where it ends."""
+    same = blob[at : at + 1] == _SAME
+    at += same
+    t = np.dtype(blob[at : at + 1].decode())
+    if same:
+        return np.full(n, np.frombuffer(blob, t, 1, at + 1)[0], t), at + 1 + t.itemsize
+    return np.frombuffer(blob, t, n, at + 1), at + 1 + n * t.itemsize
+
+
 def pack(docs: np.ndarray, *columns: np.ndarray) -> bytes:
     """docs must ascend."""
     deltas = narrow(np.diff(docs, prepend=docs[:1]))
-    parts = [struct.pack("<qqcB", len(docs), int(docs[0]), deltas.dtype.char.encode(), len(columns)), deltas.tobytes()]
-    for c in columns:
-        parts += [c.dtype.char.encode(), c.tobytes()]
-    return b"".join(parts)
+    return b"".join((struct.pack("<qqB", len(docs), int(docs[0]), len(columns)), packed_column(deltas), *map(packed_column, columns)))
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
-    n, base, kind, more = struct.unpack_from("<qqcB", blob)
-    at, out = 18, []
-    for i in range(more + 1):
-        if i:
-            kind, at = blob[at : at + 1], at + 1
-        t = np.dtype(kind.decode())
-        out.append(np.frombuffer(blob, t, n, at))
-        at += n * t.itemsize
+    n, base, more = struct.unpack_from("<qqB", blob)
+    at, out = 17, []
+    for _ in range(more + 1):
+        column, at = read_column(blob, at, n)
+        out.append(column)
     out[0] = base + np.cumsum(out[0].astype(np.int64))
     return out
 
@@ -130,6 +153,11 @@ def with_maybe(df: DataFrame, bitmap: DataFrame) -> DataFrame:
     )
 
 
+def maybe_rows(df: DataFrame, bitmap: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(row, doc_id, __maybe): the same of rows with columns of any names, each whole in the struct ``row``."""
+    return with_maybe(df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(id_col).cast("long").alias("doc_id")), bitmap)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
     """While tables are written, Python gets so many rows at a time: whole texts or sets are large."""

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .exchange import buckets
+from .exchange import partitions
 
 LOCATED, DENSE = 64, 4
 _LOW, _WIDE = (1 << 32) - 1, (1 << 48) - 1
@@ -66,7 +66,7 @@ def with_next(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     well, so no task holds more than a range. Equal ids follow each other in the order of their
     texts; a null id comes after all others.
     """
-    spark, n = df.sparkSession, buckets(df.sparkSession)
+    n = partitions(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     shares = [i / n for i in range(1, n)] or [0.5]
     # n - 1 numbers, whatever the input

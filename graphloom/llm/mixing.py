@@ -91,8 +91,8 @@ def mix(df: DataFrame, weights: DataFrame | None = None, slots: int = SLOTS, blo
 
 def interleaved(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of df themselves, in the order of the mixture, dealt into ranges of it."""
-    from .exchange import buckets
+    from .exchange import partitions
 
     places = mix(df.select(id_col, options.get("source_col", "source")), id_col=id_col, **options).groupBy("doc_id").agg(F.min("position").alias("__position"))
     joined = df.join(places, df[id_col].cast("long").eqNullSafe(places["doc_id"])).drop(places["doc_id"])
-    return joined.repartitionByRange(buckets(df.sparkSession), "__position").sortWithinPartitions("__position").drop("__position")
+    return joined.repartitionByRange(partitions(df.sparkSession), "__position").sortWithinPartitions("__position").drop("__position")

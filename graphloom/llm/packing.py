@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytescan import chunks, lean_task, ragged, word_hashes, words
+from .bytescan import SEPARATOR, chunks, lean_task, ragged, word_hashes, words
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 #: Pieces that a task packs together; more begin a new block, so a task's memory is bounded.
@@ -87,8 +87,21 @@ _MARK = (_BYTES > 32) & (_BYTES < 127) & ~_ALNUM & (_BYTES != 39)
 _LATIN = (_BYTES >= 0x80) & (_BYTES <= 0xBF) & (_BYTES != 0x97) & (_BYTES != 0xB7)
 
 
-def spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words, cut between letters or digits and ASCII marks other than the apostrophe, where no pre-token spans.
+def occurrences(raw: bytes, bounds: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the places where one of ``texts`` stands inside one document."""
+    found = []
+    for t in texts:
+        at = raw.find(t)
+        while at >= 0:
+            found.append((at, at + len(t)))
+            at = raw.find(t, at + len(t))
+    starts, ends = np.array(sorted(found), np.int64).reshape(-1, 2).T
+    inside = np.searchsorted(bounds, starts, "right") == np.searchsorted(bounds, ends, "left")
+    return starts[inside], ends[inside]
+
+
+def spans(data: np.ndarray, bounds: np.ndarray, special: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, cut between letters or digits and ASCII marks other than the apostrophe, where no pre-token spans; a special token is a span of its own.
 
     Starts, ends, each document's first, and which are letters alone (ASCII and Latin-1): one pre-token each.
     """
@@ -100,6 +113,10 @@ def spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     letter, sign, mark = _ALPHA[data] | latin, _ALNUM[data] | latin, _MARK[data]
     cut = np.zeros(len(data), bool)
     cut[1:] = (sign[:-1] & mark[1:]) | (mark[:-1] & sign[1:])
+    for a, b in zip(*(x.tolist() for x in occurrences(data.tobytes(), bounds, special))):
+        cut[a + 1 : b] = False
+        for edge in (a, b):
+            cut[edge : edge + 1] = 0 < edge < len(data) and not SEPARATOR[data[edge - 1 : edge + 1]].any()
     first, last = cut.copy(), cut
     first[starts] = True
     starts = np.flatnonzero(first)
@@ -111,15 +128,24 @@ def spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(starts, bounds), letters[ends] - letters[starts] == ends - starts
 
 
+def roomy(a: np.ndarray, need: int) -> np.ndarray:
+    """a, or a copy of twice the size or more if it has fewer than ``need`` places."""
+    if len(a) >= need:
+        return a
+    out = np.zeros(max(need, 2 * len(a)), a.dtype)
+    out[: len(a)] = a
+    return out
+
+
 class WordTokenizer:
-    """Ids of whole chunks of text. The tokenizer drops white space and lower-cases, so words are tokenised apart, each distinct one once."""
+    """Ids of whole chunks of text. The tokenizer drops white space and lower-cases, so words are tokenised apart, each distinct one once. Special tokens in a text are what the tokenizer makes of them."""
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.end_id = end_id
         self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.closes[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
@@ -127,8 +153,19 @@ class WordTokenizer:
 
     def forget(self) -> None:
         self.slot: dict[int, int] = {}
-        self.flat = np.array([self.end_id], np.uint32)
-        self.at, self.size = np.array([0]), np.array([1])
+        #: Ids of all remembered words, end to end, and where each word's begin and how many they are; the arrays have room to grow.
+        self.flat, self.n_flat = np.array([self.end_id], np.uint32), 1
+        self.at, self.size, self.n_words = np.array([0]), np.array([1]), 1
+
+    def remember(self, hashes: np.ndarray, flat: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Slots of new words."""
+        slots = self.n_words + np.arange(len(size))
+        self.slot.update(zip(hashes.tolist(), slots.tolist()))
+        self.flat, self.at, self.size = roomy(self.flat, self.n_flat + len(flat)), roomy(self.at, self.n_words + len(size)), roomy(self.size, self.n_words + len(size))
+        self.flat[self.n_flat : self.n_flat + len(flat)] = flat
+        self.at[slots], self.size[slots] = self.n_flat + np.cumsum(size) - size, size
+        self.n_flat, self.n_words = self.n_flat + len(flat), self.n_words + len(size)
+        return slots
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts and how many each has."""
@@ -149,7 +186,7 @@ class WordTokenizer:
         """Ids of all documents, each closed by the end id, and their bounds."""
         if len(self.slot) > MEMO_WORDS:
             self.forget()
-        starts, ends, first, plain = spans(data, bounds)
+        starts, ends, first, plain = spans(data, bounds, self.special)
         distinct, where, back = np.unique(word_hashes(data, starts, ends, lower=True), return_index=True, return_inverse=True)
         slots = np.fromiter(map(self.slot.get, distinct.tolist(), repeat(-1)), np.int64, len(distinct))
         raw, unknown = data.tobytes(), slots < 0
@@ -157,10 +194,7 @@ class WordTokenizer:
             if not len(new):
                 continue
             flat, size = encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist())])
-            slots[new] = len(self.at) + np.arange(len(new))
-            self.slot.update(zip(distinct[new].tolist(), slots[new].tolist()))
-            self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(size) - size])
-            self.flat, self.size = np.concatenate([self.flat, flat]), np.concatenate([self.size, size])
+            slots[new] = self.remember(distinct[new], flat, size)
         each = np.insert(slots[back.ravel()], first[1:], 0)
         sizes = self.size[each]
         ends = np.concatenate(([0], np.cumsum(sizes)))

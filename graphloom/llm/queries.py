@@ -45,7 +45,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = _table(spark, sf_dir, "conversations")
-    return chat.preference_segments(chosen, chat.swapped_replies(chosen), pair_col="conv_id")
+    return chat.preference_turns(chosen, chat.swapped_replies(chosen), edits=True, pair_col="conv_id")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,16 +108,16 @@ ORACLE_SQL: dict[str, str] = {
         SELECT c.conv_id, c.turn, c.role,
                CASE WHEN c.turn = r.last_turn AND c.role = 'assistant' THEN coalesce(o.said, '') ELSE c.text END AS text
         FROM conversations c LEFT JOIN reply r ON r.conv_id = c.conv_id LEFT JOIN reply o ON o.conv_id = xor(c.conv_id, 1)),
-      both_sides AS (
-        SELECT coalesce(a.conv_id, b.conv_id) AS pair_id, coalesce(a.turn, b.turn) AS turn, a.role AS ra, a.text AS ta, b.role AS rb, b.text AS tb
-        FROM conversations a FULL JOIN rejected b ON a.conv_id = b.conv_id AND a.turn = b.turn),
-      cut AS (SELECT pair_id, min(turn) AS first FROM both_sides WHERE ra IS DISTINCT FROM rb OR ta IS DISTINCT FROM tb GROUP BY pair_id),
-      parts AS (
-        SELECT s.pair_id, 'prompt' AS part, s.turn, ra AS role, ta AS text FROM both_sides s LEFT JOIN cut c ON c.pair_id = s.pair_id WHERE c.first IS NULL OR s.turn < c.first
-        UNION ALL SELECT s.pair_id, 'chosen', s.turn, ra, ta FROM both_sides s JOIN cut c ON c.pair_id = s.pair_id WHERE s.turn >= c.first AND ra IS NOT NULL
-        UNION ALL SELECT s.pair_id, 'rejected', s.turn, rb, tb FROM both_sides s JOIN cut c ON c.pair_id = s.pair_id WHERE s.turn >= c.first AND rb IS NOT NULL)
-      SELECT pair_id, part, turn, role, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS rendered,
-             (part <> 'prompt' AND role = 'assistant') AS loss FROM parts""",
+      both_sides AS (SELECT a.conv_id AS pair_id, a.turn, a.role AS ra, a.text AS ta, b.role AS rb, b.text AS tb FROM conversations a JOIN rejected b ON a.conv_id = b.conv_id AND a.turn = b.turn),
+      cut AS (SELECT pair_id, min(turn) AS first FROM both_sides WHERE ra <> rb OR ta <> tb GROUP BY pair_id),
+      shown AS (SELECT s.pair_id, turn, ra, rb, ta, tb, first IS NULL OR turn < first AS shared, '<|im_start|>' || ra || chr(10) AS ha, '<|im_start|>' || rb || chr(10) AS hb FROM both_sides s LEFT JOIN cut c ON c.pair_id = s.pair_id),
+      sized AS (SELECT *, ha || ta || '<|im_end|>' || chr(10) AS a, hb || tb || '<|im_end|>' || chr(10) AS b FROM shown),
+      placed AS (SELECT *, CAST(coalesce(sum(length(a)) OVER before, 0) AS BIGINT) AS p0, CAST(coalesce(sum(CASE WHEN NOT shared THEN length(a) END) OVER before, 0) AS BIGINT) AS a0, CAST(coalesce(sum(CASE WHEN NOT shared THEN length(b) END) OVER before, 0) AS BIGINT) AS b0
+        FROM sized WINDOW before AS (PARTITION BY pair_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+      SELECT pair_id, turn, CASE WHEN shared THEN 'prompt' ELSE 'completion' END AS part, CASE WHEN shared THEN a END AS prompt, CASE WHEN shared THEN p0 END AS prompt_start,
+        CASE WHEN NOT shared THEN a END AS chosen, CASE WHEN NOT shared THEN a0 END AS chosen_start, CASE WHEN NOT shared AND ra = 'assistant' THEN a0 + length(ha) END AS chosen_loss_start, CASE WHEN NOT shared AND ra = 'assistant' THEN length(ta) + 10 END AS chosen_loss_length,
+        CASE WHEN NOT shared THEN b END AS rejected, CASE WHEN NOT shared THEN b0 END AS rejected_start, CASE WHEN NOT shared AND rb = 'assistant' THEN b0 + length(hb) END AS rejected_loss_start, CASE WHEN NOT shared AND rb = 'assistant' THEN length(tb) + 10 END AS rejected_loss_length
+      FROM placed""",
     "op10_mixing": """
       WITH RECURSIVE counted AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
       shares AS (SELECT source, pow(n::DOUBLE, 0.5) * 200 / sum(pow(n::DOUBLE, 0.5)) OVER () AS share FROM counted),

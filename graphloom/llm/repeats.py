@@ -7,6 +7,9 @@ that also starts in a document with a smaller id comes back as a mark (document,
 the third, the marks are cut out. A task sends each value once, for the smallest document that
 holds it, and marks the others itself; so a passage that a third of all documents hold costs one
 entry a task.
+
+Rows that share an id but not their text are told apart by a tag, a hash of the text, which is 0
+for all ids that occur once: marks belong to one text alone.
 """
 
 from __future__ import annotations
@@ -18,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytescan import U64, chunks, lean_pair, lean_task, mix, runs
-from .exchange import BLOBS, blob_filter, deal, doc_bucket, doc_bucket_column, gather, table, with_maybe
+from .bytescan import U64, chunks, lean_pair, lean_task, mix, ragged, runs
+from .exchange import BLOBS, blob_filter, deal, doc_bucket, doc_bucket_column, gather, id_filter, stored, table, with_maybe
 
 KINDS = "part int, kind int, blob binary"
 SENT, OWN = 0, 1
@@ -27,6 +30,13 @@ SENT, OWN = 0, 1
 FLUSH = 200_000
 
 
+def tagged(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, text and others) with tag: 32 bits of the text's hash for ids that occur more than once, otherwise 0."""
+    again = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    seen = with_maybe(rows, stored(id_filter(again), "repeated-ids"))
+    return seen.withColumn("tag", F.when(F.col("__maybe"), F.hash("text")).otherwise(0)).drop("__maybe")
+
+
 def keyed(hashes: np.ndarray, n: int) -> np.ndarray:
     """Bucket in the high 32 bits, 32 bits of the hash in the low ones."""
     return ((hashes >> U64(40)) % U64(n)) << U64(32) | (hashes & U64(0xFFFFFFFF))
@@ -123,7 +133,7 @@ def shared_anchors(docs: DataFrame, anchors: Callable, n: int, flush: int = FLUS
             rows = _pairs(docs[answer], low[answer].astype(U64) | U64(key[0].as_py()) << U64(32), n)
         return pa.concat_tables([blob_table(rows), passing.cast(blob_table([]).schema)])
 
-    return docs.where("doc_id is not null").mapInArrow(lean_task(task), KINDS).groupBy("part").applyInArrow(lean_pair(meet), BLOBS)
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(lean_task(task), KINDS).groupBy("part").applyInArrow(lean_pair(meet), BLOBS)
 
 
 class Members:
@@ -150,43 +160,55 @@ def with_blobs(docs: DataFrame, blobs: DataFrame, n: int, function: Callable, sc
     return left.groupBy("part").cogroup(blobs.groupBy("part")).applyInArrow(lean_pair(function), schema)
 
 
-def mark_rows(docs: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) -> list[tuple[int, bytes]]:
-    """Marks by the document's bucket; those that touch are one."""
+def mark_rows(docs: np.ndarray, tags: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) -> list[tuple[int, bytes]]:
+    """Marks by the document's bucket; those of one text that touch are one."""
     if not len(docs):
         return []
-    o = np.lexsort((starts, docs))
-    docs, starts, ends = docs[o], starts[o].astype(np.int64), ends[o].astype(np.int64)
-    turn = np.concatenate(([True], docs[1:] != docs[:-1]))
-    # The furthest end so far in the same document: ends plus an offset that grows with the document.
+    o = np.lexsort((starts, tags, docs))
+    docs, tags, starts, ends = docs[o], tags[o].astype(np.int32), starts[o].astype(np.int64), ends[o].astype(np.int64)
+    turn = np.concatenate(([True], (docs[1:] != docs[:-1]) | (tags[1:] != tags[:-1])))
+    # The furthest end so far in the same text: ends plus an offset that grows with the text.
     offset = np.cumsum(turn) * (int(ends.max()) + 1)
     reach = np.maximum.accumulate(ends + offset)
     new = turn.copy()
     new[1:] |= starts[1:] + offset[1:] > reach[:-1]
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(docs)) - 1
-    return deal(doc_bucket(docs[first], n), docs[first], starts[first].astype(np.uint32), (reach[last] - offset[last]).astype(np.uint32))
+    return deal(doc_bucket(docs[first], n), docs[first], tags[first], starts[first].astype(np.uint32), (reach[last] - offset[last]).astype(np.uint32))
 
 
 class Marks:
-    """Marks of a bucket; covered() gives the number of marks over each place of a chunk."""
+    """Marks of a bucket; covered() tells which places of a chunk lie under one."""
 
     def __init__(self, blobs: pa.ChunkedArray | None = None):
-        self.docs, self.starts, self.ends = gather(blobs if blobs is not None else [], (np.int64, np.uint32, np.uint32))
+        self.docs, self.tags, self.starts, self.ends = gather(blobs if blobs is not None else [], (np.int64, np.int32, np.uint32, np.uint32))
         o = np.argsort(self.docs, kind="stable")
-        self.docs, self.starts, self.ends = self.docs[o], self.starts[o].astype(np.int64), self.ends[o].astype(np.int64)
+        self.docs, self.tags, self.starts, self.ends = self.docs[o], self.tags[o], self.starts[o].astype(np.int64), self.ends[o].astype(np.int64)
 
-    def covered(self, ids: np.ndarray, first: np.ndarray, total: int) -> np.ndarray:
+    def covered(self, ids: np.ndarray, tags: np.ndarray, first: np.ndarray, total: int) -> np.ndarray:
+        """ids, tags: of the chunk's rows; first: their bounds in it."""
         if not len(self.docs):
             return np.zeros(total, bool)
         lo, hi = np.searchsorted(self.docs, ids, "left"), np.searchsorted(self.docs, ids, "right")
-        at = np.repeat(lo - np.concatenate(([0], np.cumsum(hi - lo)[:-1])), hi - lo) + np.arange(int((hi - lo).sum()))
-        base = np.repeat(first[:-1], hi - lo)
+        at, row = ragged(lo, hi - lo), np.repeat(np.arange(len(ids)), hi - lo)
+        own = self.tags[at] == tags[row]
+        at, base = at[own], first[:-1][row[own]]
         change = np.bincount(base + self.starts[at], minlength=total + 1).astype(np.int64) - np.bincount(base + self.ends[at], minlength=total + 1)
         return np.cumsum(change[:total]) > 0
 
 
+def moved_rows(seen: DataFrame, marks: DataFrame, n: int, rewrite: Callable, schema: str) -> DataFrame:
+    """rewrite(rows, Marks) -> table with the schema's columns, over the rows of ``seen`` (with __maybe) that marks may name."""
+
+    def marked(left: pa.Table, right: pa.Table) -> pa.Table:
+        return rewrite(left.drop_columns(["part"]), Marks(right.column("blob")))
+
+    moved = seen.where("__maybe and doc_id is not null").drop("__maybe").withColumn("part", doc_bucket_column(F.col("doc_id"), n))
+    return moved.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(lean_pair(marked), schema)
+
+
 def cut_out(docs: DataFrame, marks: DataFrame, n: int, rewrite: Callable, schema: str) -> DataFrame:
-    """rewrite(doc ids, texts' rows, Marks) -> table with the schema's columns, over all rows; only documents that marks may name are moved."""
+    """rewrite(rows, Marks) -> table with the schema's columns, over all rows; only documents that marks may name are moved."""
     seen = with_maybe(docs, blob_filter(marks))
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,9 +217,5 @@ def cut_out(docs: DataFrame, marks: DataFrame, n: int, rewrite: Callable, schema
             for i in range(0, batch.num_rows, 2000):
                 yield from rewrite(pa.Table.from_batches([batch.slice(i, 2000)]), none).to_batches()
 
-    def marked(left: pa.Table, right: pa.Table) -> pa.Table:
-        return rewrite(left.drop_columns(["part"]), Marks(right.column("blob")))
-
     untouched = seen.where("not __maybe or doc_id is null").drop("__maybe").mapInArrow(lean_task(alone), schema)
-    moved = seen.where("__maybe and doc_id is not null").drop("__maybe").withColumn("part", doc_bucket_column(F.col("doc_id"), n))
-    return untouched.unionByName(moved.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(lean_pair(marked), schema))
+    return untouched.unionByName(moved_rows(seen, marks, n, rewrite, schema))

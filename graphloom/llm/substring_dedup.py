@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import U64, chunks, lean, mix, powers, prefix_sums, ragged, rolling, word_hashes, words
-from .exchange import BLOBS, buckets, deal, gather, stored_lean
-from .repeats import KINDS, Marks, Members, blob_table, cut_out, keyed, kind_table, mark_rows, shared_anchors, split_kinds, with_blobs
+from .exchange import BLOBS, blob_filter, buckets, deal, gather, stored_lean, with_maybe
+from .repeats import KINDS, Marks, Members, blob_table, cut_out, keyed, kind_table, mark_rows, moved_rows, shared_anchors, split_kinds, tagged, with_blobs
 
 WINDOW = 50
 
@@ -29,19 +29,9 @@ def _windows(data: np.ndarray, bounds: np.ndarray, window: int, size: int) -> tu
     return hashes, first, ragged(first[:-1], each), np.repeat(np.arange(len(count)), each)
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), normalise: bool = True) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_text, carried): every word is removed that lies in a run of ``window`` words which also starts in a document with a smaller id.
-
-    Runs are judged on the input. kept_text joins the words that stay by one space; without any
-    it is empty. Without ``normalise`` a text that loses nothing stays as it was. Null text has
-    no words. Columns named in ``carry`` come along in the struct ``carried`` (null without any);
-    all others are ignored, so names can't clash. Repeated rows of one document remove nothing
-    from each other, and each gets the document's marks. A row with a null id stays whole and
-    removes nothing. No rows give none. Runs are compared by 96-bit hashes. A task holds a bucket
-    of texts at a time.
-    """
-    n, block = buckets(docs.sparkSession), window // 2
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def repeat_marks(source: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(part, blob): marks of the runs of ``window`` words of each row (doc_id, text, tag) that also start in a document with a smaller id."""
+    n, block = buckets(source.sparkSession), window // 2
 
     def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple:
         hashes, first, at, who = _windows(data, bounds, window, block)
@@ -51,7 +41,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
 
     def extend(left: pa.Table, right: pa.Table) -> pa.Table:
         member, found = Members(right.column("blob")), []
-        ids = left.column("doc_id").to_numpy()
+        ids, tags = left.column("doc_id").to_numpy(), left.column("tag").to_numpy()
         for lo, hi, data, bounds in chunks(left.column("text")):
             hashes, first, at, who = _windows(data, bounds, window, block)
             names = ids[lo:hi]
@@ -67,53 +57,89 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
                 continue
             back = powers(len(hashes) + 1)[1][s]
             one, two = prefix_sums(hashes), prefix_sums(mix(hashes ^ U64(0x5851F42D4C957F2D)))
-            found.append((mix((one[s + window] - one[s]) * back), mix((two[s + window] - two[s]) * back).astype(np.uint32), names[who], (s - first[who]).astype(np.uint32)))
+            found.append((mix((one[s + window] - one[s]) * back), mix((two[s + window] - two[s]) * back).astype(np.uint32), names[who], tags[lo:hi][who], (s - first[who]).astype(np.uint32)))
         if not found:
             return kind_table([], [])
-        h, h2, names, at = (np.concatenate(c) for c in zip(*found))
+        h, h2, names, tag, at = (np.concatenate(c) for c in zip(*found))
+        found.clear()
         o = np.argsort(h)
-        h, h2, names, at = h[o], h2[o], names[o], at[o]
+        h, h2, names, tag, at = h[o], h2[o], names[o], tag[o], at[o]
         later = names > _least(h, h2, names)
         sent = ~later
         parts = ((h[sent] >> U64(40)) % U64(n)).astype(np.int64)
-        return kind_table(deal(parts, names[sent], h[sent], h2[sent], at[sent]), mark_rows(names[later], at[later], at[later] + window, n))
+        return kind_table(deal(parts, names[sent], h[sent], h2[sent], tag[sent], at[sent]), mark_rows(names[later], tag[later], at[later], at[later] + window, n))
 
     def meet(t: pa.Table) -> pa.Table:
         sent, passing = split_kinds(t)
-        names, h, h2, at = gather(sent, (np.int64, np.uint64, np.uint32, np.uint32))
+        names, h, h2, tag, at = gather(sent, (np.int64, np.uint64, np.uint32, np.int32, np.uint32))
         o = np.argsort(h)
-        h, h2, names, at = h[o], h2[o], names[o], at[o]
+        h, h2, names, tag, at = h[o], h2[o], names[o], tag[o], at[o]
         later = names > _least(h, h2, names)
-        return pa.concat_tables([blob_table(mark_rows(names[later], at[later], at[later] + window, n)), passing.cast(blob_table([]).schema)])
+        return pa.concat_tables([blob_table(mark_rows(names[later], tag[later], at[later], at[later] + window, n)), passing.cast(blob_table([]).schema)])
+
+    return stored_lean(with_blobs(source, hits, n, extend, KINDS).groupBy("part").applyInArrow(lean(meet), BLOBS), "marks")
+
+
+def _kept(texts: pa.ChunkedArray, ids: np.ndarray, tags: np.ndarray, marks: Marks, normalise: bool) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Words, removed words and what is left of each text."""
+    counts, gone, kept = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+    for lo, hi, data, bounds in chunks(texts):
+        starts, ends, first = words(data, bounds)
+        stay = ~marks.covered(ids[lo:hi], tags[lo:hi], first, len(starts))
+        left = np.concatenate(([0], np.cumsum(stay)))[first]
+        size = ends[stay] - starts[stay] + 1
+        text = np.append(data, np.uint8(32))[ragged(starts[stay], size)]
+        text[np.cumsum(size) - 1] = 32
+        text, cut = text.tobytes(), np.concatenate(([0], np.cumsum(size)))[left].tolist()
+        found = [text[a : max(a, b - 1)] for a, b in zip(cut, cut[1:])]
+        counts.append(np.diff(first))
+        gone.append(np.diff(first) - np.diff(left))
+        if not normalise:
+            for i in np.flatnonzero(gone[-1] == 0).tolist():
+                found[i] = data[bounds[i] : bounds[i + 1]].tobytes()
+        kept += found
+    return np.concatenate(counts), np.concatenate(gone), kept
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_text): every word is removed that lies in a run of ``window`` words which also starts in a document with a smaller id.
 
-    marks = stored_lean(with_blobs(source, hits, n, extend, KINDS).groupBy("part").applyInArrow(lean(meet), BLOBS), "marks")
+    Runs are judged on the input. kept_text joins the words that stay by one space; without any
+    it is empty. Null text has no words. Other columns are ignored, so names can't clash. Rows
+    that repeat an id remove nothing from each other; each is judged by its own text. A row with
+    a null id stays whole and removes nothing. No rows give none. Runs are compared by 96-bit
+    hashes. A task holds a bucket of texts at a time; a text, however long, is handled whole.
+    """
+    source = tagged(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    marks = repeat_marks(source, window)
 
     def rewrite(t: pa.Table, marks: Marks) -> pa.Table:
-        ids = t.column("doc_id").fill_null(0).to_numpy()
-        counts, gone, kept = [], [], []
-        for lo, hi, data, bounds in chunks(t.column("text")):
-            starts, ends, first = words(data, bounds)
-            stay = ~marks.covered(ids[lo:hi], first, len(starts))
-            left = np.concatenate(([0], np.cumsum(stay)))[first]
-            size = ends[stay] - starts[stay] + 1
-            text = np.append(data, np.uint8(32))[ragged(starts[stay], size)]
-            text[np.cumsum(size) - 1] = 32
-            text, cut = text.tobytes(), np.concatenate(([0], np.cumsum(size)))[left].tolist()
-            texts = [text[a : max(a, b - 1)] for a, b in zip(cut, cut[1:])]
-            counts.append(np.diff(first))
-            gone.append(np.diff(first) - np.diff(left))
-            if not normalise:
-                for i in np.flatnonzero(gone[-1] == 0).tolist():
-                    texts[i] = data[bounds[i] : bounds[i + 1]].tobytes()
-            kept += texts
-        join = lambda c: pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64())
-        return pa.table([t.column("doc_id"), join(counts), join(gone), pa.array(kept, pa.binary()), t.column("carried")], names=["doc_id", "n_words", "n_removed", "kept", "carried"])
-
-    carried = F.struct(*carry) if carry else F.lit(None).cast("int")
-    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), carried.alias("carried"))
-    kind = whole.schema["carried"].dataType.simpleString()
-    out = cut_out(whole, marks, n, rewrite, f"doc_id long, n_words long, n_removed long, kept binary, carried {kind}")
-    return out.select("doc_id", "n_words", "n_removed", F.col("kept").cast("string").alias("kept_text"), "carried")
+        counts, gone, kept = _kept(t.column("text"), t.column("doc_id").fill_null(0).to_numpy(), t.column("tag").to_numpy(), marks, True)
+        return pa.table([t.column("doc_id"), pa.array(counts), pa.array(gone), pa.array(kept, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
+
+    out = cut_out(source, marks, buckets(docs.sparkSession), rewrite, "doc_id long, n_words long, n_removed long, kept binary")
+    return out.select("doc_id", "n_words", "n_removed", F.col("kept").cast("string").alias("kept_text"))
+
+
+def cut_documents(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the same repeats cut out of the texts. A text that loses nothing stays as it was, null too; all other columns come along, whatever their names.
+
+    Documents that no mark can name don't reach Python, nor do they move.
+    """
+    rest = [c for c in docs.columns if c != text_col]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row"))
+    whole = tagged(rows)
+    marks = repeat_marks(whole.select("doc_id", "text", "tag"), window)
+    seen = with_maybe(whole, blob_filter(marks))
+
+    def rewrite(t: pa.Table, marks: Marks) -> pa.Table:
+        _, _, kept = _kept(t.column("text"), t.column("doc_id").to_numpy(), t.column("tag").to_numpy(), marks, False)
+        kept = pa.array([k if v else None for k, v in zip(kept, t.column("text").is_valid().to_pylist())], pa.binary())
+        return pa.table([t.column("row"), kept], names=["row", "kept"])
+
+    moved = moved_rows(seen, marks, buckets(docs.sparkSession), rewrite, f"row {whole.schema['row'].dataType.simpleString()}, kept binary")
+    out = moved.select("row", F.col("kept").cast("string").alias("kept")).unionByName(seen.where("not __maybe or doc_id is null").select("row", F.col("text").alias("kept")))
+    return out.select(*(F.col("kept").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def _least(h: np.ndarray, h2: np.ndarray, names: np.ndarray) -> np.ndarray:

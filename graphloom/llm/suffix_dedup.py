@@ -6,8 +6,8 @@ anchors that one document alone holds end there. For the rest, tasks sort the su
 at anchors, together with the bytes before them, into runs; a run goes out front-coded (common
 prefix with its predecessor, then what differs), all suffixes of one anchor to one task. There a
 loser tree merges the runs: it compares common-prefix lengths, and bytes only beyond a prefix that
-both are known to share; the lengths it puts out are the suffix array's LCP table, from which all
-windows of 50 bytes around an anchor are decided.
+both are known to share; the lengths it puts out are the suffix array's LCP table, whose intervals
+decide all windows of 50 bytes around an anchor, without hashes.
 """
 
 from __future__ import annotations
@@ -19,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytescan import BYTE_VALUE, U64, chunks, lean, mix, powers, ragged, rolling, runs
-from .exchange import BLOBS, buckets, narrow, stored_lean
-from .repeats import KINDS, Marks, Members, blob_table, cut_out, keyed, kind_table, mark_rows, shared_anchors, split_kinds, with_blobs
+from .bytescan import BYTE_VALUE, U64, chunks, lean, ragged, rolling, runs
+from .exchange import BLOBS, buckets, narrow, packed_column, read_column, stored_lean
+from .repeats import KINDS, Marks, Members, blob_table, cut_out, keyed, kind_table, mark_rows, shared_anchors, split_kinds, tagged, with_blobs
 
 WINDOW, SPAN = 50, 24
 #: Anchors that a task merges before it sends them: they are fewer than windows of words, so more text fits.
 FLUSH = 800_000
+#: Anchors whose surroundings are looked at together.
+SLICE = 20_000
 
 
 def minimizers(data: np.ndarray, bounds: np.ndarray, window: int = WINDOW, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,71 +66,86 @@ def _near(edges: np.ndarray, before: int, limit: int) -> np.ndarray:
     return at[(at >= 0) & (at < limit)]
 
 
-def front_coded(rows: np.ndarray, docs: np.ndarray, at: np.ndarray, after: np.ndarray, before: np.ndarray) -> bytes:
-    """A sorted run: rows (n x width bytes) as common prefix and remainder, with document, place and lengths."""
+def front_coded(rows: np.ndarray, docs: np.ndarray, *columns: np.ndarray) -> bytes:
+    """A sorted run: rows (n x width bytes) as common prefix and remainder, with document and further whole numbers."""
     n, width = rows.shape
-    lcp = np.zeros(n, np.uint8)
-    if n > 1:
-        same = rows[1:] == rows[:-1]
-        lcp[1:] = np.where(same.all(1), width, same.argmin(1))
+    lcp = common(rows)
     base = int(docs.min())
-    offset = narrow(docs - base)
     rest = rows[np.arange(width) >= lcp[:, None]]
-    return b"".join((struct.pack("<qqc", n, base, offset.dtype.char.encode()), offset.tobytes(), at.astype(np.uint32).tobytes(), after.astype(np.uint8).tobytes(), before.astype(np.uint8).tobytes(), lcp.tobytes(), rest.tobytes()))
+    return b"".join((struct.pack("<qqB", n, base, len(columns)), *(packed_column(narrow(c)) for c in (docs - base, *columns)), lcp.tobytes(), rest.tobytes()))
 
 
-def decoded(blob: bytes, width: int) -> tuple[list[int], list[int], list[np.ndarray]]:
-    """A run's rows as whole numbers of ``width`` bytes, their common prefixes, and the other columns."""
-    n, base, kind = struct.unpack_from("<qqc", blob)
+def common(rows: np.ndarray) -> np.ndarray:
+    """Bytes that each row shares with the one before it."""
+    lcp = np.zeros(len(rows), np.uint8)
+    for i in range(1, len(rows), SLICE):
+        same = rows[i : i + SLICE] == rows[i - 1 : i - 1 + SLICE][: len(rows) - i]
+        lcp[i : i + SLICE] = np.where(same.all(1), rows.shape[1], same.argmin(1))
+    return lcp
+
+
+def decoded(blob: bytes, width: int) -> tuple[list[bytes], list[int], list[np.ndarray]]:
+    """A run's rows, their common prefixes, and the other columns."""
+    n, base, more = struct.unpack_from("<qqB", blob)
     p, columns = 17, []
-    for t in (np.dtype(kind.decode()), np.dtype(np.uint32), *[np.dtype(np.uint8)] * 3):
-        columns.append(np.frombuffer(blob, t, n, p))
-        p += n * t.itemsize
-    columns[0] = base + columns[0].astype(np.int64)
-    lcp = columns.pop().tolist()
-    row, rows, number = b"", [], int.from_bytes
+    for _ in range(more + 1):
+        column, p = read_column(blob, p, n)
+        columns.append(column.astype(np.int64))
+    columns[0] += base
+    lcp = list(blob[p : p + n])
+    p += n
+    row, rows = b"", []
     for k in lcp:
         q = p + width - k
         row = row[:k] + blob[p:q]
         p = q
-        rows.append(number(row, "big"))
+        rows.append(row)
     return rows, lcp, columns
 
 
-def merged(sorted_runs: list[tuple[list[int], list[int]]], width: int) -> tuple[list[int], list[int], list[int]]:
+def beyond(x: bytes, y: bytes, known: int) -> int:
+    """Bytes that x and y share; the first ``known`` of them aren't looked at again."""
+    number = int.from_bytes
+    apart = number(x[known:], "big") ^ number(y[known:], "big")
+    return len(x) - ((apart.bit_length() + 7) >> 3)
+
+
+def merged(sorted_runs: list[tuple[list[bytes], list[int]]], width: int) -> tuple[list[int], list[int], list[int]]:
     """Run, row and common prefix with its predecessor of every row, in order, by a loser tree.
 
     Each head's lcp is its common prefix with the row that was put out last. Of two heads the one
-    with the longer prefix is the smaller; only if they are equal are their bytes looked at, and
-    the loser then remembers the prefix that it shares with the winner.
+    with the longer prefix is the smaller; only if they are equal are bytes looked at, from that
+    prefix on, and the loser then remembers the prefix that it shares with the winner.
     """
     k = len(sorted_runs)
     size = 1 << max(0, k - 1).bit_length()
     rows = [r for r, _ in sorted_runs] + [[]] * (size - k)
     prefixes = [p for _, p in sorted_runs] + [[]] * (size - k)
-    at, head, lcp = [0] * size, [r[0] if r else 0 for r in rows], [0 if r else -1 for r in rows]
-    loser, winner = [0] * size, list(range(size))
-
-    def beats(a: int, b: int) -> bool:
-        if lcp[a] != lcp[b]:
-            return lcp[a] > lcp[b]
-        x = head[a] ^ head[b]
-        shared = width - ((x.bit_length() + 7) >> 3)
-        won = head[a] <= head[b]
-        if lcp[a] >= 0:
-            lcp[b if won else a] = shared
-        return won
-
-    node = [0] * size + winner
+    at, head, lcp = [0] * size, [r[0] if r else b"" for r in rows], [0 if r else -1 for r in rows]
+    loser = [0] * size
+
+    def duel(a: int, b: int) -> tuple[int, int]:
+        """(winner, loser)"""
+        known = lcp[a]
+        if known != lcp[b]:
+            return (a, b) if known > lcp[b] else (b, a)
+        if known < 0:
+            return a, b
+        shared = beyond(head[a], head[b], known)
+        if shared < width and head[b][shared] < head[a][shared]:
+            a, b = b, a
+        lcp[b] = shared
+        return a, b
+
+    node = [0] * size + list(range(size))
     for i in range(size - 1, 0, -1):
-        a, b = node[2 * i], node[2 * i + 1]
-        node[i], loser[i] = (a, b) if beats(a, b) else (b, a)
+        node[i], loser[i] = duel(node[2 * i], node[2 * i + 1])
     w = node[1] if size > 1 else 0
-    of, row, common = [], [], []
+    of, row, common_ = [], [], []
     for _ in range(sum(map(len, rows))):
         of.append(w)
         row.append(at[w])
-        common.append(lcp[w])
+        common_.append(lcp[w])
         at[w] = p = at[w] + 1
         if p < len(rows[w]):
             head[w], lcp[w] = rows[w][p], prefixes[w][p]
@@ -137,37 +154,40 @@ def merged(sorted_runs: list[tuple[list[int], list[int]]], width: int) -> tuple[
         i = (w + size) >> 1
         while i:
             o = loser[i]
-            a, b = lcp[w], lcp[o]
-            if b > a:
+            known, other = lcp[w], lcp[o]
+            if other > known:
                 loser[i], w = w, o
-            elif a == b and a >= 0:
-                x, y = head[w], head[o]
-                shared = width - (((x ^ y).bit_length() + 7) >> 3)
-                if y < x:
-                    lcp[w] = shared
-                    loser[i], w = w, o
-                else:
-                    lcp[o] = shared
+            elif other == known >= 0:
+                w, loser[i] = duel(w, o)
             i >>= 1
-    return of, row, common
+    return of, row, common_
 
 
 def repeated(rows: np.ndarray, lcp: np.ndarray, docs: np.ndarray, after: np.ndarray, before: np.ndarray, window: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of sorted rows: which have a window that a smaller document has too, and the least and most bytes before the anchor at which such windows begin."""
+    """Of sorted rows: which have a window that a smaller document has too, and the least and most bytes before the anchor at which such windows begin.
+
+    Two rows share the window that begins ``a`` bytes before the anchor if they lie in one
+    interval of the LCP table at depth window - a, and, sorted by the bytes before the anchor, in
+    one interval of that order's table at depth a.
+    """
     n, wide = len(rows), window - span + 1
     first = np.flatnonzero(lcp < span)
     of_many = np.repeat(np.minimum.reduceat(docs, first) != np.maximum.reduceat(docs, first), np.diff(np.append(first, n)))
     keep = np.flatnonzero(of_many)
     rows, lcp, docs, after, before = rows[keep], lcp[keep], docs[keep], after[keep], before[keep]
     nearest, furthest = np.full(len(keep), 255, np.uint8), np.zeros(len(keep), np.uint8)
-    left = np.zeros(len(keep), U64)
+    if not len(keep):
+        return keep, nearest.astype(np.int64), furthest.astype(np.int64)
+    back = np.ascontiguousarray(rows[:, window:])
+    by_back = np.argsort(back.view(f"S{back.shape[1]}").ravel(), kind="stable")
+    back_lcp = common(back[by_back])
     for a in range(wide):
-        if a:
-            left = left + BYTE_VALUE[rows[:, window + a - 1]] * powers(wide + 1)[0][a]
         able = np.flatnonzero((after >= window - a) & (before >= a))
         if not len(able):
             continue
-        key = mix(np.cumsum(lcp < window - a).astype(U64)[able] * U64(0xD1342543DE82EF95) + left[able])
+        behind = np.empty(len(keep), np.int64)
+        behind[by_back] = np.cumsum(back_lcp < a)
+        key = (np.cumsum(lcp < window - a) * (len(keep) + 1) + behind)[able]
         o = np.argsort(key)
         key, who = key[o], able[o]
         start = runs(key)
@@ -179,18 +199,42 @@ def repeated(rows: np.ndarray, lcp: np.ndarray, docs: np.ndarray, after: np.ndar
     return keep[hit], nearest[hit].astype(np.int64), furthest[hit].astype(np.int64)
 
 
+def contexts(data: np.ndarray, bounds: np.ndarray, at: np.ndarray, who: np.ndarray, window: int, wide: int) -> tuple[np.ndarray, ...]:
+    """Anchors with the bytes around them: rows, places in the document, documents, extents, bytes after and before.
+
+    A row holds ``window`` bytes from the anchor on and ``wide`` bytes before it, backwards; what
+    lies outside the document is 0. Neighbours with equal rows, as in a run of one letter, are one
+    entry that extends from the first to the last: their windows overlap.
+    """
+    steps = np.concatenate((np.arange(window), -1 - np.arange(wide)))
+    found = []
+    for i in range(0, len(at), SLICE):
+        p, w = at[i : i + SLICE], who[i : i + SLICE]
+        after, before = np.minimum(bounds[w + 1] - p, window), np.minimum(p - bounds[w], wide)
+        rows = data[np.clip(p[:, None] + steps, 0, len(data) - 1)]
+        rows[:, :window][np.arange(window) >= after[:, None]] = 0
+        rows[:, window:][np.arange(wide) >= before[:, None]] = 0
+        new = np.ones(len(p), bool)
+        new[1:] = (rows[1:] != rows[:-1]).any(1) | (w[1:] != w[:-1]) | (p[1:] - p[:-1] > window - SPAN + 1) | (after[1:] != after[:-1]) | (before[1:] != before[:-1])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(p)) - 1
+        found.append((rows[first], (p - bounds[w])[first], w[first], (p[last] - p[first]).astype(np.uint32), after[first].astype(np.uint8), before[first].astype(np.uint8)))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
 def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, spans, kept): every byte is removed that a string of ``window`` bytes covers which also starts in a document with a smaller id.
 
     Strings are judged on the input; matches never cross documents. spans are the maximal removed
     runs (start, end) and kept the bytes that stay (perhaps not valid UTF-8). Null text is empty.
-    Repeated rows of one document remove nothing from each other, and each gets the document's
-    marks. A row with a null id stays whole and removes nothing. No rows give none; other columns
-    are ignored. Ids may be any whole numbers; ties don't occur, as equal ids are one document.
+    Rows that repeat an id remove nothing from each other; each is judged by its own text. A row
+    with a null id stays whole and removes nothing. No rows give none; other columns are ignored.
+    Ids may be any whole numbers. A text is handled whole, so a task needs memory for the longest;
+    a run of one letter, however long, is one entry.
     """
     n, width = buckets(docs.sparkSession), 2 * window - span
     wide = window - span
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    source = tagged(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")))
 
     def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple:
         hashes, _, who = minimizers(data, bounds, window, span)
@@ -200,7 +244,7 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, span: int = SPA
 
     def sort(left: pa.Table, right: pa.Table) -> pa.Table:
         member, found = Members(right.column("blob")), []
-        ids = left.column("doc_id").to_numpy()
+        ids, tags = left.column("doc_id").to_numpy(), left.column("tag").to_numpy()
         for lo, hi, data, bounds in chunks(left.column("text")):
             hashes, at, who = minimizers(data, bounds, window, span)
             keys = keyed(hashes, n)
@@ -208,25 +252,24 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, span: int = SPA
             at, who, keys = at[hit], who[hit], keys[hit]
             if not len(at):
                 continue
-            after, before = np.minimum(bounds[who + 1] - at, window), np.minimum(at - bounds[who], wide)
-            steps = np.concatenate((np.arange(window), -1 - np.arange(wide)))
-            rows = data[np.clip(at[:, None] + steps, 0, len(data) - 1)]
-            rows[:, :window][np.arange(window) >= after[:, None]] = 0
-            rows[:, window:][np.arange(wide) >= before[:, None]] = 0
-            found.append((rows, ids[lo:hi][who], at - bounds[who], after, before, (keys >> U64(32)).astype(np.int64)))
+            rows, place, w, extent, after, before = contexts(data, bounds, at, who, window, wide)
+            part = keys[np.searchsorted(at, place + bounds[w])] >> U64(32)
+            found.append((rows, ids[lo:hi][w], tags[lo:hi][w], place, extent, after, before, part.astype(np.int64)))
         if not found:
             return kind_table([], [])
-        rows, names, at, after, before, part = (np.concatenate(c) for c in zip(*found))
+        rows, names, tag, at, extent, after, before, part = (np.concatenate(c) for c in zip(*found))
+        found.clear()
         o = np.lexsort((names, np.ascontiguousarray(rows).view(f"S{width}").ravel(), part))
-        rows, names, at, after, before, part = (c[o] for c in (rows, names, at, after, before, part))
-        new = np.concatenate(([True], (rows[1:] != rows[:-1]).any(1) | (part[1:] != part[:-1]) | (after[1:] != after[:-1]) | (before[1:] != before[:-1])))
+        rows, names, tag, at, extent, after, before, part = (c[o] for c in (rows, names, tag, at, extent, after, before, part))
+        new = np.ones(len(rows), bool)
+        new[1:] = (common(rows)[1:] < width) | (part[1:] != part[:-1]) | (after[1:] != after[:-1]) | (before[1:] != before[:-1])
         first = np.flatnonzero(new)
         later = names > np.repeat(np.minimum.reduceat(names, first), np.diff(np.append(first, len(names))))
-        whole = later & (after + before >= window)
-        own = mark_rows(names[whole], (at - before)[whole], (at + after)[whole], n)
-        rows, names, at, after, before, part = (c[~later] for c in (rows, names, at, after, before, part))
+        whole = later & (after.astype(np.int64) + before >= window)
+        own = mark_rows(names[whole], tag[whole], (at - before)[whole], (at + extent + after)[whole], n)
+        rows, names, tag, at, extent, after, before, part = (c[~later] for c in (rows, names, tag, at, extent, after, before, part))
         cuts = np.append(runs(part), len(part))
-        return kind_table([(int(part[a]), front_coded(rows[a:b], names[a:b], at[a:b], after[a:b], before[a:b])) for a, b in zip(cuts, cuts[1:])], own)
+        return kind_table([(int(part[a]), front_coded(*(c[a:b] for c in (rows, names, tag.view(np.uint32), at, extent, after, before)))) for a, b in zip(cuts, cuts[1:])], own)
 
     def merge(t: pa.Table) -> pa.Table:
         sent, passing = split_kinds(t)
@@ -236,19 +279,19 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, span: int = SPA
             of, row, lcp = merged([(r, p) for r, p, _ in found], width)
             start = np.concatenate(([0], np.cumsum([len(r) for r, _, _ in found])))
             place = start[np.array(of)] + np.array(row)
-            names, at, after, before = (np.concatenate([c[i] for _, _, c in found])[place] for i in range(4))
-            rows = np.frombuffer(b"".join([found[f][0][r].to_bytes(width, "big") for f, r in zip(of, row)]), np.uint8).reshape(-1, width)
+            names, tag, at, extent, after, before = (np.concatenate([c[i] for _, _, c in found])[place] for i in range(6))
+            rows = np.frombuffer(b"".join([found[f][0][r] for f, r in zip(of, row)]), np.uint8).reshape(-1, width)
             hit, nearest, furthest = repeated(rows, np.array(lcp, np.uint8), names, after, before, window, span)
-            marks = mark_rows(names[hit], at[hit] - furthest, at[hit] - nearest + window, n)
+            marks = mark_rows(names[hit], tag[hit].astype(np.uint32).view(np.int32), at[hit] - furthest, (at + extent)[hit] - nearest + window, n)
         return pa.concat_tables([blob_table(marks), passing.cast(blob_table([]).schema)])
 
     marks = stored_lean(with_blobs(source, hits, n, sort, KINDS).groupBy("part").applyInArrow(lean(merge), BLOBS), "marks")
 
     def rewrite(t: pa.Table, marks: Marks) -> pa.Table:
-        ids = t.column("doc_id").fill_null(0).to_numpy()
+        ids, tags = t.column("doc_id").fill_null(0).to_numpy(), t.column("tag").to_numpy()
         size, gone, number, spans, kept = [], [], [], [], []
         for lo, hi, data, bounds in chunks(t.column("text")):
-            cut = marks.covered(ids[lo:hi], bounds, len(data))
+            cut = marks.covered(ids[lo:hi], tags[lo:hi], bounds, len(data))
             begins, ends = cut.copy(), cut.copy()
             begins[1:] &= ~cut[:-1]
             ends[:-1] &= ~cut[1:]

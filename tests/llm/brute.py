@@ -7,37 +7,46 @@ from collections import Counter, defaultdict
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def substring_dedup(docs, n=50):
-    words, first = {i: WORD.findall(t or "") for i, t in docs}, {}
-    for i, w in words.items():
+def substring_rows(docs, n=50):
+    """A result for each row; ids may repeat."""
+    words, first = [(i, WORD.findall(t or "")) for i, t in docs], {}
+    for i, w in words:
         for j in range(len(w) - n + 1):
             k = tuple(w[j : j + n])
             first[k] = min(first.get(k, i), i)
-    out = {}
-    for i, w in words.items():
+    out = []
+    for i, w in words:
         gone = [False] * len(w)
         for j in range(len(w) - n + 1):
             if first[tuple(w[j : j + n])] < i:
                 gone[j : j + n] = [True] * n
-        out[i] = (len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g))
+        out.append((i, len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g)))
     return out
 
 
-def suffix_dedup(docs, n=50):
-    raw, first = {i: (t or "").encode() for i, t in docs}, {}
-    for i, b in raw.items():
+def substring_dedup(docs, n=50):
+    return {r[0]: r[1:] for r in substring_rows(docs, n)}
+
+
+def suffix_rows(docs, n=50):
+    raw, first = [(i, (t or "").encode()) for i, t in docs], {}
+    for i, b in raw:
         for j in range(len(b) - n + 1):
             first[b[j : j + n]] = min(first.get(b[j : j + n], i), i)
-    out = {}
-    for i, b in raw.items():
+    out = []
+    for i, b in raw:
         gone = bytearray(len(b))
         for j in range(len(b) - n + 1):
             if first[b[j : j + n]] < i:
                 gone[j : j + n] = b"\1" * n
-        out[i] = (len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), bytes(x for x, g in zip(b, gone) if not g))
+        out.append((i, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), bytes(x for x, g in zip(b, gone) if not g)))
     return out
 
 
+def suffix_dedup(docs, n=50):
+    return {r[0]: r[1:] for r in suffix_rows(docs, n)}
+
+
 def shingles(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     w = WORD.findall(low)

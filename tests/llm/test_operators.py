@@ -77,6 +77,32 @@ def test_suffix_dedup(spark, docs):
     assert all(sum(s.end - s.start for s in r.spans) == r.n_removed and len(r.spans) == r.n_spans for r in rows)
 
 
+def repeated_ids():
+    """Rows that share an id but not their text, beside passages of smaller and larger ids."""
+    r = random.Random(9)
+    prose = lambda n: " ".join(str(r.randint(0, 999)) for _ in range(n))
+    shared, other = prose(200), prose(80)
+    return [(1, shared), (5, shared), (5, "a b c"), (7, prose(300)), (5, prose(30) + " " + other + " " + prose(9)), (3, other), (5, shared), (5, None), (9, "x" * 4000), (4, "y " + "x" * 900), (9, "ab" * 500 + other), (2, "ab" * 300)]
+
+
+def test_rows_of_one_id(spark):
+    docs = repeated_ids()
+    got = substring_dedup.remove_repeats(frame(spark, docs)).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got) == sorted(brute.substring_rows(docs))
+    got = suffix_dedup.remove_repeated_bytes(frame(spark, docs)).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == sorted(brute.suffix_rows(docs))
+    for run in (ngram_join.jaccard_components, fingerprint.fingerprints):
+        assert sorted(r.doc_id for r in run(frame(spark, docs)).collect()) == sorted(i for i, _ in docs)
+    pieces = packing.pack_documents(frame(spark, docs), queries.tokenizer_file("word_bpe_49k.json")).where("start = 0").collect()
+    assert sorted(r.doc_id for r in pieces) == sorted(i for i, _ in docs)
+
+
+def test_a_long_run_of_one_letter(spark):
+    docs = [(2, "z" * 300_000 + "q"), (1, "z" * 70), (3, "k" + "z" * 60)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeated_bytes(frame(spark, docs)).collect()}
+    assert got == {1: (70, 0, 0), 2: (300_001, 300_000, 1), 3: (61, 60, 1)}
+
+
 def test_loser_tree():
     r = random.Random(3)
     rows = [sorted(bytes(r.choice(b"ab") for _ in range(6)) for _ in range(r.randint(0, 30))) for _ in range(5)]
@@ -85,9 +111,9 @@ def test_loser_tree():
         a = np.frombuffer(b"".join(run), np.uint8).reshape(-1, 6)
         if len(run):
             z = np.zeros(len(run), np.int64)
-            ints, lcp, _ = suffix_dedup.decoded(suffix_dedup.front_coded(a, z, z, z, z), 6)
-            assert [i.to_bytes(6, "big") for i in ints] == run
-            runs.append((ints, lcp))
+            got, lcp, _ = suffix_dedup.decoded(suffix_dedup.front_coded(a, z, z, z, z), 6)
+            assert got == run
+            runs.append((got, lcp))
         else:
             runs.append(([], []))
     of, row, lcp = suffix_dedup.merged(runs, 6)
@@ -195,14 +221,67 @@ def test_code_lengths_follow_the_escapes():
     assert abs(got - want) < 0.01
 
 
+def plain_preferences(chosen, rejected):
+    """By pair: prompt, chosen, rejected and the loss spans of both completions."""
+
+    def side(rows):
+        turns = {}
+        for p, t, role, text in rows:
+            turns.setdefault(p, {}).setdefault(t, []).append((role or "user", text or ""))
+        return {p: {t: min(v) for t, v in ts.items()} for p, ts in turns.items()}
+
+    a, b, out = side(chosen), side(rejected), {}
+    order = lambda t: (t is not None, t or 0)
+    show = lambda s: f"<|im_start|>{s[0]}\n{s[1]}<|im_end|>\n"
+    for p in a.keys() | b.keys():
+        x, y = a.get(p, {}), b.get(p, {})
+        turns = sorted(x.keys() | y.keys(), key=order)
+        cut = next((i for i, t in enumerate(turns) if x.get(t) != y.get(t)), len(turns))
+        found = ["".join(show(x[t]) for t in turns[:cut])]
+        for s in (x, y):
+            text, loss = "", []
+            for t in turns[cut:]:
+                if t in s:
+                    if s[t][0] == "assistant":
+                        loss.append((len(text) + len(f"<|im_start|>{s[t][0]}\n"), len(s[t][1]) + len("<|im_end|>")))
+                    text += show(s[t])
+            found += [text, loss]
+        out[p] = tuple(found)
+    return out
+
+
+SIDE = "pair_id long, turn long, role string, text string"
+
+
+def both_ways(spark, a, b):
+    got = chat.preference_pairs(chat.preference_turns(spark.createDataFrame(a, SIDE), spark.createDataFrame(b, SIDE))).collect()
+    assert {r.pair_id: (r.prompt, r.chosen, [tuple(s) for s in r.chosen_loss], r.rejected, [tuple(s) for s in r.rejected_loss]) for r in got} == plain_preferences(a, b) and len(got) == len({r.pair_id for r in got})
+
+
 def test_preferences(spark, sf):
     assert spark_rows(queries.op6_preferences(spark, sf)) == sql_rows(connection(sf), queries.ORACLE_SQL["op6_preferences"])
-    a = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (1, 1, "assistant", "yes"), (2, 0, None, None), (None, 0, "user", "x")], "pair_id long, turn long, role string, text string")
-    b = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "no"), (1, 2, "user", "more"), (3, 0, "user", "alone"), (None, 0, "user", "x")], "pair_id long, turn long, role string, text string")
-    got = sorted((str(r.pair_id), r.turn, r.part, r.role, r.loss) for r in chat.preference_segments(a, b).collect())
-    assert got == [("1", 0, "prompt", "user", False), ("1", 1, "chosen", "assistant", True), ("1", 1, "rejected", "assistant", True), ("1", 2, "rejected", "user", False), ("2", 0, "chosen", "user", False), ("3", 0, "rejected", "user", False), ("None", 0, "prompt", "user", False)]
-    one = chat.preference_pairs(chat.preference_segments(a, b)).where("pair_id = 1").first()
-    assert one.prompt == "<|im_start|>user\nhi<|im_end|>\n" and one.chosen.startswith("<|im_start|>assistant\nyes") and [tuple(s)[:2] for s in one.rejected_loss] == [(0, len("<|im_start|>assistant\nno<|im_end|>\n"))]
+    a = [(1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (1, 1, "assistant", "yes"), (2, 0, None, None), (None, 0, "user", "x"), (None, None, "assistant", "y"), (7, -3, "user", "a"), (7, 200, "assistant", "b"), (0, 5, "user", "same")]
+    b = [(1, 0, "user", "hi"), (1, 1, "assistant", "no"), (1, 2, "user", "more"), (3, 0, "user", "alone"), (None, 0, "user", "x"), (7, -3, "user", "a"), (7, 200, "assistant", "c"), (0, 5, "user", "same")]
+    both_ways(spark, a, b)
+    r = random.Random(6)
+    a, b = [], []
+    for p in range(40):
+        n, cut = r.choice((3, 70, 300)), r.random()
+        for t in range(n):
+            role = "assistant" if t % 2 else "user"
+            a.append((p, t, role, "x" * r.randint(0, 9)))
+            b.append(a[-1] if t < cut * n else (p, t, role, "y" * r.randint(0, 9)))
+    both_ways(spark, a, b)
+    empty = spark.createDataFrame([], SIDE)
+    assert chat.preference_turns(empty, empty).count() == 0
+    noisy = spark.createDataFrame([(4, 0, "user", "hi", 1, "k", True), (4, 1, "assistant", "ho", 1, "k", True)], SIDE + ", chunk int, pk string, starts boolean")
+    assert [r.part for r in chat.preference_turns(noisy, noisy).collect()] == ["prompt"] * 2
+
+
+def test_swapped_replies(spark):
+    rows = [(0, 0, "user", "q"), (0, 1, "assistant", "a"), (1, 0, "user", "r"), (1, 1, "assistant", "b"), (1, 3, "assistant", None), (4, 0, "assistant", "c"), (6, 0, "user", "z"), (None, 0, "assistant", "n")]
+    got = chat.swapped_replies(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted(map(tuple, got)) == [(0, 1, "assistant", ""), (1, 3, "assistant", "a"), (4, 0, "assistant", "")]
 
 
 def test_token_counts(spark, docs):
@@ -252,6 +331,27 @@ def test_packing(spark, docs):
         assert [p.offset for p in ps] == list(np.cumsum([0] + [p.length for p in ps])[:-1]) and sum(p.length for p in ps) == ps[0].sequence_tokens <= 256
 
 
+def test_special_tokens_are_the_tokenizers(spark):
+    from tokenizers import Tokenizer
+
+    path, r = queries.tokenizer_file("word_bpe_49k.json"), random.Random(4)
+    bits = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "endoftext", " ", "\n", "a", "don't", "é", "x1", "中文", "!?"]
+    docs = list(enumerate(["hello <|endoftext|> world", "x <|endof", "text|> y", "<|endoftext|>", "<|endoftext|>"] + ["".join(r.choice(bits) for _ in range(r.randint(0, 12))) for _ in range(2000)]))
+    tokenizer = Tokenizer.from_file(path)
+    rows = packing.pack_documents(frame(spark, docs), path).collect()
+    assert len(rows) >= len(docs)
+    for p in rows:
+        ids = tokenizer.encode(docs[p.doc_id][1], add_special_tokens=False).ids + [1]
+        assert p.doc_tokens == len(ids) and p.ids_crc32 == zlib.crc32(np.array(ids[p.start : p.start + p.length], "<u4").tobytes())
+
+
+def test_little_padding(spark, sf):
+    rows = packing.pack_documents(spark.read.parquet(f"{sf}/documents.parquet"), queries.tokenizer_file("word_bpe_49k.json")).collect()
+    fill = {r.sequence_id: r.sequence_tokens for r in rows}
+    assert all(n <= 2048 for n in fill.values()) and sum(r.length for r in rows) == sum(fill.values())
+    assert len(fill) <= -(-sum(fill.values()) // 2048) + 1
+
+
 def test_best_fit_decreasing():
     r = random.Random(2)
     lengths = [r.randint(1, 64) for _ in range(500)]
