@@ -14,14 +14,27 @@ from graphloom.llm.exchange import id_filter, maybe_rows, partitions, stored
 from graphloom.llm.queries import tokenizer_file
 
 
+#: Rows in a batch that goes to Python: whole texts are large, and a batch takes its size several times, in the JVM and in Python.
+BATCH_ROWS = 1000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Set for the session, as a stage's rows are written after the stage has returned."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without text or letters go; a missing language is filled in."""
+    _small_batches(spark)
     found = langid.identify(docs, langid.fit(docs)).where(F.col("lang_pred") != "und")
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of linked documents the one of smallest id stays."""
+    _small_batches(spark)
     found = ngram_join.jaccard_components(docs)
     gone = stored(found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "near-copies")
     seen = maybe_rows(docs, id_filter(gone))
@@ -35,6 +48,7 @@ MIXED_PIECES = 8192
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Runs of 50 words that a document with a smaller id has too are cut out of the texts; all documents stay."""
+    _small_batches(spark)
     found = substring_dedup.cut_documents(docs)
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -52,9 +66,10 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Spark deals the files of a table out by their size, so the order is taken from the names of
     the files and the places of their rows.
     """
+    _small_batches(spark)
     placed = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
     ordered = placed.repartitionByRange(partitions(spark), "__file", "__row").sortWithinPartitions("__file", "__row")
-    return packing.pack_documents(ordered, tokenizer_file("word_bpe_49k.json"), block_pieces=MIXED_PIECES)
+    return packing.pack_documents(ordered, tokenizer_file("word_bpe_49k.json"), block_pieces=MIXED_PIECES, keep_tokenizer=False)
 
 
 STAGES = [

@@ -11,7 +11,6 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +24,9 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 #: Pieces that a task packs together; more begin a new block, so a task's memory is bounded.
 BLOCK_PIECES = 400_000
 #: Bytes of text that are tokenised at a time: what a task holds besides its memo grows with it.
-CHUNK = 1 << 18
-#: Distinct words whose ids a task remembers before it forgets them all.
-MEMO_WORDS = 200_000
+CHUNK = 1 << 19
+#: Distinct words whose ids are remembered before all are forgotten: 50 bytes each.
+MEMO_WORDS = 1_000_000
 
 
 class WindowTree:
@@ -128,6 +127,41 @@ def spans(data: np.ndarray, bounds: np.ndarray, special: list[bytes]) -> tuple[n
     return starts, ends, np.searchsorted(starts, bounds), letters[ends] - letters[starts] == ends - starts
 
 
+class HashSlots:
+    """Whole numbers by 64-bit hash: open addressing over whole arrays of hashes at a time."""
+
+    def __init__(self, bits: int = 16):
+        self.key, self.slot, self.count = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32), 0
+
+    def get(self, hashes: np.ndarray) -> np.ndarray:
+        """The hashes' numbers, -1 for those without one."""
+        out, mask = np.full(len(hashes), -1, np.int64), len(self.key) - 1
+        place, left = (hashes & np.uint64(mask)).astype(np.int64), np.arange(len(hashes))
+        while len(left):
+            found = self.slot[place]
+            same = (found >= 0) & (self.key[place] == hashes[left])
+            out[left[same]] = found[same]
+            on = (found >= 0) & ~same
+            left, place = left[on], (place[on] + 1) & mask
+        return out
+
+    def put(self, hashes: np.ndarray, slots: np.ndarray) -> None:
+        """hashes must be distinct and new."""
+        if 2 * (self.count + len(hashes)) > len(self.key):
+            used = self.slot >= 0
+            hashes, slots = np.concatenate([self.key[used], hashes]), np.concatenate([self.slot[used], slots])
+            self.__init__((2 * len(hashes)).bit_length())
+        self.count += len(hashes)
+        mask = len(self.key) - 1
+        place = (hashes & np.uint64(mask)).astype(np.int64)
+        while len(hashes):
+            free = self.slot[place] < 0
+            self.key[place[free]] = hashes[free]
+            won = free & (self.key[place] == hashes)
+            self.slot[place[won]] = slots[won]
+            hashes, slots, place = hashes[~won], slots[~won], (place[~won] + 1) & mask
+
+
 def roomy(a: np.ndarray, need: int) -> np.ndarray:
     """a, or a copy of twice the size or more if it has fewer than ``need`` places."""
     if len(a) >= need:
@@ -152,15 +186,15 @@ class WordTokenizer:
         self.forget()
 
     def forget(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.slots = HashSlots()
         #: Ids of all remembered words, end to end, and where each word's begin and how many they are; the arrays have room to grow.
         self.flat, self.n_flat = np.array([self.end_id], np.uint32), 1
-        self.at, self.size, self.n_words = np.array([0]), np.array([1]), 1
+        self.at, self.size, self.n_words = np.zeros(1, np.uint32), np.ones(1, np.uint32), 1
 
     def remember(self, hashes: np.ndarray, flat: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Slots of new words."""
         slots = self.n_words + np.arange(len(size))
-        self.slot.update(zip(hashes.tolist(), slots.tolist()))
+        self.slots.put(hashes, slots)
         self.flat, self.at, self.size = roomy(self.flat, self.n_flat + len(flat)), roomy(self.at, self.n_words + len(size)), roomy(self.size, self.n_words + len(size))
         self.flat[self.n_flat : self.n_flat + len(flat)] = flat
         self.at[slots], self.size[slots] = self.n_flat + np.cumsum(size) - size, size
@@ -184,11 +218,11 @@ class WordTokenizer:
 
     def ids(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents, each closed by the end id, and their bounds."""
-        if len(self.slot) > MEMO_WORDS:
+        if self.n_words > MEMO_WORDS:
             self.forget()
         starts, ends, first, plain = spans(data, bounds, self.special)
         distinct, where, back = np.unique(word_hashes(data, starts, ends, lower=True), return_index=True, return_inverse=True)
-        slots = np.fromiter(map(self.slot.get, distinct.tolist(), repeat(-1)), np.int64, len(distinct))
+        slots = self.slots.get(distinct)
         raw, unknown = data.tobytes(), slots < 0
         for encode, new in ((self.encode_letters, np.flatnonzero(unknown & plain[where])), (self.encode, np.flatnonzero(unknown & ~plain[where]))):
             if not len(new):
@@ -196,33 +230,39 @@ class WordTokenizer:
             flat, size = encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist())])
             slots[new] = self.remember(distinct[new], flat, size)
         each = np.insert(slots[back.ravel()], first[1:], 0)
-        sizes = self.size[each]
+        sizes = self.size[each].astype(np.int64)
         ends = np.concatenate(([0], np.cumsum(sizes)))
-        return self.flat[ragged(self.at[each], sizes)], ends[first + np.arange(len(first))]
+        return self.flat[ragged(self.at[each].astype(np.int64), sizes)], ends[first + np.arange(len(first))]
 
 
 _known: dict[tuple[str, int], WordTokenizer] = {}
 
 
-def tokenizer(path: str, end_id: int) -> WordTokenizer:
-    """One for each Python worker, which outlives a task."""
+def tokenizer(path: str, end_id: int, keep: bool) -> WordTokenizer:
+    """One for each Python worker, which outlives a task, or else a new one."""
+    if not keep:
+        return WordTokenizer(path, end_id)
     if (path, end_id) not in _known:
         _known[path, end_id] = WordTokenizer(path, end_id)
     return _known[path, end_id]
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", block_pieces: int = BLOCK_PIECES) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", block_pieces: int = BLOCK_PIECES, keep_tokenizer: bool = True) -> DataFrame:
     """A row for each piece of a document: where its ids lie in the document and in a sequence.
 
     Null text is empty: the document is the end id alone. Each row of a repeated document is
     packed for itself; a null id stays null. No rows give no sequences. Texts of any length are
     tokenised whole. Other columns are ignored. sequence_id holds the task's partition in its
-    high bits, so a task that runs again gives the same numbers. Sequences are numbered in the
-    order of the blocks of block_pieces pieces that are packed together.
+    high bits, so a task that runs again gives the same numbers. A task packs its pieces in
+    blocks of block_pieces, in the order of its rows: within a block longest first (ties in that
+    order), and no window stays open beyond its block, which bounds a task's memory and costs one
+    window a block at most where there are short pieces. Sequences are numbered in the order of
+    the blocks. keep_tokenizer: Python workers keep the tokenizer and the ids of MEMO_WORDS words
+    between tasks, which saves time and takes memory.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, sequence = tokenizer(tokenizer_path, end_id), TaskContext.get().partitionId() << 36
+        tokens, sequence = tokenizer(tokenizer_path, end_id, keep_tokenizer), TaskContext.get().partitionId() << 36
         full: list[tuple] = []
         rest: list[tuple] = []
 
