@@ -126,7 +126,7 @@ ORACLE_SQL: dict[str, str] = {
       sized AS (SELECT source, CAST(quota AS BIGINT) AS quota, CAST(sum(quota) OVER () AS BIGINT) AS slots FROM quotas),
       walk AS (SELECT CAST(-1 AS BIGINT) AS slot, source, quota, slots, CAST(0 AS BIGINT) AS done, false AS chosen FROM sized
         UNION ALL SELECT slot + 1, source, quota, slots, done + CASE WHEN pick = 1 THEN 1 ELSE 0 END, pick = 1
-        FROM (SELECT *, row_number() OVER (ORDER BY CASE WHEN done < quota AND done * slots // quota <= slot + 1 THEN 0 ELSE 1 END, ((done + 1) * slots + quota - 1) // quota, source) AS pick FROM walk WHERE slot < slots - 1) q),
+        FROM (SELECT *, row_number() OVER (ORDER BY CASE WHEN done < quota AND done * slots // quota <= slot + 1 THEN 0 ELSE 1 END, ((done + 1) * slots + quota - 1) // quota, CASE WHEN quota = 1 THEN md5('=' || source) ELSE '' END, source) AS pick FROM walk WHERE slot < slots - 1) q),
       cycle AS (SELECT source, quota, slots, slot, done - 1 AS nth FROM walk WHERE chosen),
       ranked AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS r FROM documents),
       placed AS (SELECT doc_id, k.source, r, r // 8 AS block, r // 8 // quota AS cycle, r // 8 % quota AS nth, quota, slots FROM ranked k JOIN sized s ON s.source = k.source)

@@ -2,8 +2,11 @@
 
 import hashlib
 import re
+import struct
 from collections import Counter, defaultdict
 
+import xxhash
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -74,3 +77,40 @@ def jaccard(docs):
 
 def sha(text):
     return hashlib.sha256(text.encode() if isinstance(text, str) else text).hexdigest()
+
+
+def _signed64(x):
+    return x - 2**64 if x >= 2**63 else x
+
+
+def _chained(h, k):
+    """xxhash64 of a long and then an int."""
+    seed = xxhash.xxh64(struct.pack("<q", h), seed=42).intdigest()
+    return xxhash.xxh64(struct.pack("<i", k), seed=seed).intdigest()
+
+
+def fingerprint(text):
+    """124 signed lanes modulo 2**16 and 4 dense ones modulo 2**48."""
+    lanes, dense = [0] * 124, [0] * 4
+    for p in re.split(r"\n+|(?<=[.!?])[ \t\n\x0b\f\r]+", text or ""):
+        if p:
+            h = _signed64(xxhash.xxh64(p.encode(), seed=42).intdigest())
+            bits = [_chained(h, 100), _chained(h, 101)]
+            for j in range(124):
+                lanes[j] += 1 if bits[j // 62] >> j % 62 & 1 else -1
+            for k in range(4):
+                dense[k] += _chained(h, k) & (2**48 - 1)
+    return [x % 2**16 for x in lanes] + [x % 2**48 for x in dense]
+
+
+def fingerprint_text(v):
+    return "".join(f"{x:04x}" for x in v[:124]) + "".join(f"{x:012x}" for x in v[124:])
+
+
+def likeness(a, b):
+    if a == b:
+        return 1.0
+    whole = lambda x: (x + 32768) % 65536 - 32768
+    square = lambda v: sum(whole(x) ** 2 for x in v[:124])
+    near = 1 - square([x - y for x, y in zip(a, b)]) / max(1, square(a) + square(b))
+    return max(0.0, min(near, 1 - 1 / 1024))

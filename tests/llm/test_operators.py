@@ -160,14 +160,22 @@ def test_fingerprints(spark, docs):
     text = {i: t or "" for i, t in docs}
     order = sorted(text, reverse=True)
     after = dict(zip(order, order[1:] + order[:1]))
-    prints = {r.doc_id: r.fingerprint for r in rows}
+    assert len(rows) == len(docs)
+    prints = {t: brute.fingerprint(t) for t in set(text.values())}
     for r in rows:
         t, h = text[r.doc_id], len(text[r.doc_id]) // 2
         edited = t[: len(t) - h] + text[after[r.doc_id]][:h]
-        assert (r.n_chars, r.edited_sha256) == (len(t), brute.sha(edited))
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-        assert (r.near_edited == 1) == (r.fingerprint == r.edited_fingerprint)
-        assert all(prints[r.doc_id] == prints[i] for i in text if text[i] == t)
+        own, changed = prints[t], brute.fingerprint(edited)
+        assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(t), brute.sha(edited), brute.fingerprint_text(own), brute.fingerprint_text(changed))
+        assert r.near_edited == pytest.approx(brute.likeness(own, changed)) and r.near_next == pytest.approx(brute.likeness(own, prints[text[after[r.doc_id]]]))
+
+
+def test_likeness_of_long_texts(spark):
+    r = random.Random(8)
+    line = lambda: " ".join(str(r.randint(0, 10**6)) for _ in range(6)) + ".\n"
+    docs = [(i, "".join(line() for _ in range(n))) for i, n in enumerate((3000, 3000, 300, 300, 6000, 6000))]
+    for row in fingerprint.fingerprints(frame(spark, docs)).collect():
+        assert 0.3 < row.near_edited < 0.75 and row.near_next < 0.3
 
 
 def test_fingerprint_is_a_multiset_hash(spark):
@@ -382,8 +390,15 @@ def test_mixing(spark):
         mixing.mix(df, own).collect()
 
 
-def test_every_source_is_on_time(spark):
-    quota = {"a": 7, "b": 5, "c": 3, "d": 1, "e": 1}
+def test_more_sources_than_slots(spark):
+    rows = [(i, f"site{i}") for i in range(10_001)] + [(20_000 + i, "big") for i in range(3000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string")).collect()
+    assert len(got) == len(rows) == len({r.position for r in got}) and all(-1 < r.deviation < 1 for r in got)
+    assert {r.cycle for r in got if r.source != "big"} == {0} and len({r.slot for r in got if r.source != "big"}) == 10_001
+
+
+@pytest.mark.parametrize("quota", [{"a": 7, "b": 5, "c": 3, "d": 1, "e": 1}, {"a": 1, "b": 1}, {"a": 3}, {"a": 2, "b": 9, "c": 1, "d": 4}])
+def test_every_source_is_on_time(spark, quota):
     w = spark.createDataFrame(list(quota.items()), "source string, quota int")
     slots = {r.slot: (r.source, r.nth) for r in mixing.cycle(w).collect()}
     total = sum(quota.values())
