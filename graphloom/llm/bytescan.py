@@ -170,3 +170,38 @@ def runs(sorted_keys: np.ndarray) -> np.ndarray:
     if not len(sorted_keys):
         return np.zeros(0, np.int64)
     return np.flatnonzero(np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1])))
+
+
+class HashSlots:
+    """Whole numbers by 64-bit hash: open addressing over whole arrays of hashes at a time."""
+
+    def __init__(self, bits: int = 16):
+        self.key, self.slot, self.count = np.zeros(1 << bits, U64), np.full(1 << bits, -1, np.int32), 0
+
+    def get(self, hashes: np.ndarray) -> np.ndarray:
+        """The hashes' numbers, -1 for those without one."""
+        out, mask = np.full(len(hashes), -1, np.int64), len(self.key) - 1
+        place, left = (hashes & U64(mask)).astype(np.int64), np.arange(len(hashes))
+        while len(left):
+            found = self.slot[place]
+            same = (found >= 0) & (self.key[place] == hashes[left])
+            out[left[same]] = found[same]
+            on = (found >= 0) & ~same
+            left, place = left[on], (place[on] + 1) & mask
+        return out
+
+    def put(self, hashes: np.ndarray, slots: np.ndarray) -> None:
+        """hashes must be distinct and new."""
+        if 2 * (self.count + len(hashes)) > len(self.key):
+            used = self.slot >= 0
+            hashes, slots = np.concatenate([self.key[used], hashes]), np.concatenate([self.slot[used], slots])
+            self.__init__((2 * len(hashes)).bit_length())
+        self.count += len(hashes)
+        mask = len(self.key) - 1
+        place = (hashes & U64(mask)).astype(np.int64)
+        while len(hashes):
+            free = self.slot[place] < 0
+            self.key[place[free]] = hashes[free]
+            won = free & (self.key[place] == hashes)
+            self.slot[place[won]] = slots[won]
+            hashes, slots, place = hashes[~won], slots[~won], (place[~won] + 1) & mask

@@ -1,9 +1,8 @@
 """Language identification by prediction by partial matching.
 
-Each language has a variable-order byte context tree (orders 3 to 0, escapes by method C) whose
-statistics are frozen after training, so a text's exact code length under a language is a sum over
-its bytes, found in tables. The shortest code wins. Bytes are folded into 64 classes first: case,
-digits and ASCII marks don't tell languages apart.
+Each language has a variable-order byte context tree (orders 4 to 0, escapes by method C, and all
+bytes alike below) whose statistics are frozen after training, so a text's exact code length
+under a language is a sum over its bytes, found in tables. The shortest code wins.
 """
 
 from __future__ import annotations
@@ -15,101 +14,90 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytescan import chunks, release
+from .bytescan import HashSlots, chunks, lean_task, mix, release
 
 #: Documents of each language that the trees are fitted on, as expected: those whose hash is below a threshold.
 FIT_DOCUMENTS = 400
 #: A thousandth of a bit is the unit of code lengths.
 UNIT = 1000
-START, SPACE, DIGIT, MARK, OTHER, LETTERS, HIGH = 0, 1, 2, 3, 4, 5, 31
+#: Bytes of the longest context.
+ORDER = 4
+#: Bytes of text that are scored at a time.
+CHUNK = 1 << 18
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def classes(high: list[int]) -> np.ndarray:
-    """Class of each byte; high: the bytes above 127 that have one of their own, 33 at most."""
-    c = np.full(256, OTHER, np.uint32)
-    c[33:127] = MARK
-    c[[32, *range(9, 14)]] = SPACE
-    c[48:58] = DIGIT
-    c[65:91] = c[97:123] = LETTERS + np.arange(26)
-    c[high] = HIGH + np.arange(len(high))
-    return c
-
-
-def grams(data: np.ndarray, bounds: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Each byte's class behind those of the three bytes before it in its document, 6 bits each."""
-    s = classes[data]
-    out = s.copy()
-    for k in (1, 2, 3):
-        back = np.zeros(len(s), np.uint32)
-        back[k:] = s[:-k]
+def grams(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Each byte behind the ORDER bytes before it in its document, 8 bits each; before the start there are zeros."""
+    out = data.astype(np.uint64)
+    for k in range(1, ORDER + 1):
+        back = np.zeros(len(data), np.uint64)
+        back[k:] = data[: max(0, len(data) - k)]
         for j in range(k):
             at = bounds[:-1] + j
-            back[at[at < np.minimum(bounds[1:], len(s))]] = START
-        out |= back << np.uint32(6 * k)
+            back[at[at < np.minimum(bounds[1:], len(data))]] = 0
+        out |= back << np.uint64(8 * k)
     return out
 
 
+def _bits(parts: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    return np.log2(np.maximum(whole, 1) / np.maximum(parts, 1))
+
+
 class Trees:
-    """Frozen statistics of all languages as tables of code lengths.
+    """Frozen statistics of all languages as tables of code lengths, one for each order.
 
-    ``pair[l]`` has the code length of each class after two others, ``escape[l]`` what it costs to
-    leave each context of three, and ``code[l]`` the code lengths of the grams that some language
-    has seen, whose ranks come from a bitmap.
+    ``slots[o]`` finds a gram of o + 1 bytes that some language has seen (or the context at the
+    start of a text), ``code[o]`` has what its last byte costs each language after the others,
+    escapes included, and ``escape[o]`` what it costs to leave a context of o bytes, which is a
+    gram of the order below.
     """
 
-    def __init__(self, languages: list[str], high: list[int], found: np.ndarray, counts: np.ndarray):
-        """found: sorted grams; counts: languages x grams."""
-        self.languages, self.classes = languages, classes(high)
-        self.bits = np.zeros(1 << 18, np.uint64)
-        np.bitwise_or.at(self.bits, found >> 6, np.uint64(1) << (found & 63).astype(np.uint64))
-        each = np.bitwise_count(self.bits).astype(np.uint32)
-        self.rank = np.cumsum(each, dtype=np.uint32) - each
-        self.pair, self.escape, self.code = [], [], []
-        for c in counts.astype(float):
-            shorter = -np.log2(np.full(64, 1 / 64))
-            for order in (0, 1, 2):
-                shorter = self._order(found & ((1 << 6 * (order + 1)) - 1), c, order, shorter)
-            seen, total, kinds = self._context(found >> 6, c, 3)
-            escape = np.where(total > 0, -np.log2(np.maximum(kinds, 1) / np.maximum(total + kinds, 1)), 0)
-            context = found >> 6
-            code = np.where(c > 0, -np.log2(np.maximum(c, 1) / np.maximum(total + kinds, 1)[context]), escape[context] + shorter[found & 0x3FFFF])
-            self.pair.append(np.round(shorter * UNIT).astype(np.uint16))
-            self.escape.append(np.round(escape * UNIT).astype(np.uint16))
-            self.code.append(np.round(code * UNIT).astype(np.uint16))
-
-    @staticmethod
-    def _context(context: np.ndarray, c: np.ndarray, order: int) -> tuple:
-        size = 1 << 6 * order
-        return None, np.bincount(context, c, size), np.bincount(context[c > 0], minlength=size)
-
-    def _order(self, gram: np.ndarray, c: np.ndarray, order: int, shorter: np.ndarray) -> np.ndarray:
-        """Code lengths of all classes after all contexts of one order, from those of the order below."""
-        count = np.bincount(gram, c, 1 << 6 * (order + 1)).reshape(-1, 64)
-        total, kinds = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True)
-        below = np.tile(shorter.reshape(-1, 64), (64, 1)) if order else shorter.reshape(1, 64)
-        escape = np.where(total > 0, -np.log2(np.maximum(kinds, 1) / np.maximum(total + kinds, 1)), 0)
-        return np.where(count > 0, -np.log2(np.maximum(count, 1) / np.maximum(total + kinds, 1)), escape + below[: len(count)]).ravel()
+    def __init__(self, languages: list[str], found: np.ndarray, counts: np.ndarray):
+        """found: grams of ORDER + 1 bytes; counts: languages x grams."""
+        self.languages, self.slots, self.code, self.escape = languages, [], [], []
+        keys, shorter = np.zeros(0, np.uint64), np.full((0, len(languages)), 8.0)
+        for o in range(ORDER + 1):
+            below, keys = keys, np.unique(np.append(found & np.uint64((1 << 8 * (o + 1)) - 1), np.uint64(0)))
+            at = np.searchsorted(keys, found & np.uint64((1 << 8 * (o + 1)) - 1))
+            count = np.stack([np.bincount(at, c, len(keys)) for c in counts], 1) if len(counts) else np.zeros((len(keys), 0))
+            contexts, of = np.unique(keys >> np.uint64(8), return_inverse=True)
+            total, kinds = (np.stack([np.bincount(of, w, len(contexts)) for w in v.T], 1) if len(counts) else np.zeros((len(contexts), 0)) for v in (count, count > 0))
+            leave = np.where(total > 0, _bits(kinds, total + kinds), 0.0)
+            suffix = np.searchsorted(below, keys & np.uint64((1 << 8 * o) - 1)) if o else None
+            less = shorter[suffix] if o else np.full(count.shape, 8.0)
+            shorter = np.where(count > 0, _bits(count, (total + kinds)[of]), leave[of] + less)
+            escape = np.zeros((max(1, len(below)), len(languages)))
+            escape[np.searchsorted(below, contexts) if o else [0]] = leave
+            slots = HashSlots(max(4, (2 * len(keys)).bit_length()))
+            slots.put(mix(keys), np.arange(len(keys), dtype=np.int32))
+            self.slots.append(slots)
+            self.code.append(np.round(shorter * UNIT).astype(np.uint32))
+            self.escape.append(np.round(escape * UNIT).astype(np.uint32))
 
     def lengths(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Code length of each document under each language, in UNITs of a bit."""
         out = np.zeros((len(bounds) - 1, len(self.languages)), np.int64)
         if not len(data):
             return out
-        g = grams(data, bounds, self.classes)
-        word, bit = self.bits[g >> 6], (g & 63).astype(np.uint64)
-        hit = (word >> bit) & np.uint64(1) == 1
-        rank = self.rank[g[hit] >> 6] + np.bitwise_count(word[hit] & ((np.uint64(1) << bit[hit]) - np.uint64(1)))
-        context, tail = g[~hit] >> 6, g[~hit] & 0x3FFFF
+        g = grams(data, bounds)
+        costs, left = np.zeros((len(g), len(self.languages)), np.uint32), np.arange(len(g))
+        for o in range(ORDER, -1, -1):
+            rank = self.slots[o].get(mix(g & np.uint64((1 << 8 * (o + 1)) - 1)))
+            seen = rank >= 0
+            costs[left[seen]] += self.code[o][rank[seen]]
+            left, g = left[~seen], g[~seen]
+            if not o:
+                costs[left] += self.escape[0][0] + np.uint32(8 * UNIT)
+                break
+            context = self.slots[o - 1].get(mix(g >> np.uint64(8) & np.uint64((1 << 8 * o) - 1)))
+            seen = context >= 0
+            costs[left[seen]] += self.escape[o][context[seen]]
         some = np.flatnonzero(np.diff(bounds))
-        costs = np.empty(len(g), np.uint32)
-        for k in range(len(self.languages)):
-            costs[hit] = self.code[k][rank]
-            costs[~hit] = self.escape[k][context].astype(np.uint32) + self.pair[k][tail]
-            out[some, k] = np.add.reduceat(costs, bounds[some], dtype=np.int64)
+        out[some] = np.add.reduceat(costs, bounds[some], axis=0, dtype=np.int64)
         return out
 
 
@@ -124,30 +112,23 @@ def fit(docs: DataFrame, per_language: int = FIT_DOCUMENTS, id_col: str = "doc_i
     limit = (F.lit(float(per_language << 30)) / F.col("n")).cast("long")
     sample = docs.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < limit).select("lang", "text")
 
-    def tally(batches: Iterator[pa.RecordBatch], count) -> Iterator[pa.RecordBatch]:
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = np.array(batch.column(0).to_pylist(), object)
             for lang in sorted(set(names)):
                 column = batch.filter(pa.array(names == lang)).column(1)
                 for _, _, data, bounds in chunks(column):
                     if len(data):
-                        found, n = np.unique(count(data, bounds), return_counts=True)
+                        found, n = np.unique(grams(data, bounds), return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found.astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
-    def run(count) -> pa.Table:
-        return sample.mapInArrow(lambda b: tally(b, count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-
-    raw = run(lambda data, bounds: data)
-    total = np.bincount(raw["gram"].to_numpy(), raw["n"].to_numpy(), 256) if raw.num_rows else np.zeros(256)
-    high = sorted(sorted(np.flatnonzero(total[128:]) + 128, key=lambda b: (-total[b], b))[: 64 - HIGH])
-    table = classes(high)
-    got = run(lambda data, bounds: grams(data, bounds, table))
+    got = sample.mapInArrow(lean_task(tally), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(set(got["lang"].to_pylist()))
-    found, at = np.unique(got["gram"].to_numpy(), return_inverse=True)
+    found, at = np.unique(got["gram"].to_numpy().astype(np.uint64), return_inverse=True)
     counts = np.zeros((len(languages), len(found)), np.int64)
     if languages:
         counts[np.searchsorted(np.array(languages), np.array(got["lang"].to_pylist())), at] = got["n"].to_numpy()
-    return Trees(languages, high, found, counts)
+    return Trees(languages, found, counts)
 
 
 def identify(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,7 +138,8 @@ def identify(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: st
     text if no language was learned. score is the share of the best language among all, when
     each counts 2 to the minus code length over the root of the text's length; ties go to the
     first name. Texts of any length are read whole. Columns lang_pred, score and bits_per_byte
-    of docs are replaced; null ids and repeated rows need nothing special.
+    of docs are replaced; all others stay, whatever their names, and are never looked at. Null
+    ids and repeated rows need nothing special; an empty table gives an empty one.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(trees)
@@ -180,7 +162,7 @@ def identify(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: st
     @F.arrow_udf("lang_pred string, score double, bits_per_byte double")
     def predict(text: pa.Array) -> pa.Array:
         names, scores, bits = [], [np.zeros(0)], [np.zeros(0)]
-        for lo, hi, data, bounds in chunks(text):
+        for lo, hi, data, bounds in chunks(text, CHUNK):
             n, s, b = chunk(shared.value, text.slice(lo, hi - lo), data, bounds)
             names += n
             scores.append(s)
@@ -189,5 +171,6 @@ def identify(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: st
         release()
         return out
 
-    out = docs.withColumn("__p", predict(F.col(text_col)))
-    return out.drop("lang_pred", "score", "bits_per_byte").select("*", "__p.*").drop("__p")
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "bits_per_byte")]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), predict(F.col(text_col)).alias("found"))
+    return rows.select("row.*", "found.*")

@@ -197,36 +197,70 @@ def test_language(spark, sf):
     assert {r.lang_pred for r in langid.identify(docs, untaught).collect()} == {"und"}
 
 
-def test_code_lengths_follow_the_escapes():
-    text = b"abracadabra abracadabra"
-    data, bounds = np.frombuffer(text, np.uint8), np.array([0, len(text)])
-    found, n = np.unique(langid.grams(data, bounds, langid.classes([])), return_counts=True)
-    trees = langid.Trees(["x"], [], found.astype(np.int64), n[None])
-    new = b"abrxc"
-    cls = langid.classes([])
-    counts = [{} for _ in range(4)]
-    for i in range(len(text)):
-        ctx = [int(cls[text[j]]) if j >= 0 else 0 for j in range(i - 3, i)]
-        for o in range(4):
-            counts[o].setdefault(tuple(ctx[3 - o :]), {}).setdefault(int(cls[text[i]]), 0)
-            counts[o][tuple(ctx[3 - o :])][int(cls[text[i]])] += 1
-    want = 0.0
-    for i in range(len(new)):
-        ctx, sym, p = [int(cls[new[j]]) if j >= 0 else 0 for j in range(i - 3, i)], int(cls[new[i]]), 1.0
-        for o in (3, 2, 1, 0):
-            c = counts[o].get(tuple(ctx[3 - o :]))
+def context_counts(teachers):
+    counts = [{} for _ in range(5)]
+    for text in teachers:
+        padded = bytes(4) + text
+        for i in range(4, len(padded)):
+            for o in range(5):
+                c = counts[o].setdefault(padded[i - o : i], {})
+                c[padded[i]] = c.get(padded[i], 0) + 1
+    return counts
+
+
+def code_length(counts, new):
+    """Bits of ``new`` by prediction by partial matching, orders 4 to 0, method C."""
+    padded, bits = bytes(4) + new, 0.0
+    for i in range(4, len(padded)):
+        p = 1.0
+        for o in (4, 3, 2, 1, 0):
+            c = counts[o].get(padded[i - o : i])
             if c is None:
                 continue
             total, kinds = sum(c.values()), len(c)
-            if sym in c:
-                p *= c[sym] / (total + kinds)
+            if padded[i] in c:
+                p *= c[padded[i]] / (total + kinds)
                 break
             p *= kinds / (total + kinds)
         else:
-            p /= 64
-        want -= np.log2(p)
-    got = trees.lengths(np.frombuffer(new, np.uint8), np.array([0, len(new)]))[0, 0] / langid.UNIT
-    assert abs(got - want) < 0.01
+            p /= 256
+        bits -= np.log2(p)
+    return bits
+
+
+def test_code_lengths_follow_the_escapes():
+    one, two = [b"abracadabra abracadabra", b"abrX"], [b"brac brac", "déjà vu".encode()]
+    table = {}
+    for k, texts in enumerate((one, two)):
+        data, bounds = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts])
+        for g in langid.grams(data, bounds).tolist():
+            table.setdefault(g, [0, 0])[k] += 1
+    found = np.array(sorted(table), np.uint64)
+    trees = langid.Trees(["x", "y"], found, np.array([table[g] for g in found.tolist()]).T)
+    r = random.Random(1)
+    new = [b"abrxc", b"", b"brac abra", "dé".encode()] + [bytes(r.choice(b"abrc \0z") for _ in range(r.randint(1, 40))) for _ in range(50)]
+    got = trees.lengths(np.frombuffer(b"".join(new), np.uint8), np.cumsum([0] + [len(t) for t in new])) / langid.UNIT
+    for t, lengths in zip(new, got.tolist()):
+        assert lengths == pytest.approx([code_length(context_counts(one), t), code_length(context_counts(two), t)], abs=0.002 * len(t) + 1e-9)
+
+
+def test_predictions_are_the_shortest_codes(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()
+    teachers = {}
+    for r in rows:
+        if r.lang and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            teachers.setdefault(r.lang, []).append(r.text.encode())
+    counts = {k: context_counts(v) for k, v in teachers.items()}
+    got = {r.doc_id: r for r in queries.op5_language(spark, sf).collect()}
+    assert len(got) == len(rows)
+    short = sorted((r for r in rows if r.text and any(map(str.isalpha, r.text))), key=lambda r: len(r.text))[:25]
+    for r in short:
+        raw = r.text.encode()
+        bits = {k: code_length(c, raw) for k, c in counts.items()}
+        best, odds = min(bits.values()), got[r.doc_id]
+        assert bits[odds.lang_pred] <= best + 0.002 * len(raw)
+        assert odds.score == pytest.approx(1 / sum(2 ** ((best - b) / len(raw) ** 0.5) for b in bits.values()), abs=0.01)
+        assert odds.bits_per_byte == pytest.approx(best / len(raw), abs=0.003)
 
 
 def plain_preferences(chosen, rejected):
