@@ -145,42 +145,57 @@ PLAN = "chapter string, node_id string, place string, parent string, position lo
 def chapter_plans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """PLAN rows: each knowledge node's place (path, branch, auxiliary or unassigned) in its chapter, what it hangs on, and its position.
 
-    Paths follow the heaviest unvisited edge, so they are walked one chapter at a time; a chapter
-    has a few dozen nodes.
+    Paths follow the heaviest unvisited edge, so they are walked step by step, one chapter at a
+    time: a task holds a chapter's ids and edges, and takes time in proportion to them. Chapters
+    must be of a bounded size.
     """
-    marked = node_scores(nodes, edges).select("chapter", "node_id", "score", "incoming")
-    left = nodes.select("chapter", "node_id", "node_type", "ord").join(marked, ["chapter", "node_id"], "left")
+    scores = node_scores(nodes, edges).select("chapter", "node_id", "score", "incoming")
+    left = nodes.select("chapter", "node_id", "node_type", "ord").join(scores, ["chapter", "node_id"], "left")
+    strong = backbone(nodes, edges).select("chapter", "source_id", "target_id", "weight")
+    helpers = nodes.where(F.col("node_type").isin(*vocab.AUXILIARY_TYPES)).select("chapter", "node_id")
+    ends = edges.where("relation_type <> 'contains'").select("chapter", "source_id", "target_id")
+    loose = ends.join(helpers.withColumnRenamed("node_id", "source_id"), ["chapter", "source_id"], "left_semi").unionByName(ends.join(helpers.withColumnRenamed("node_id", "target_id"), ["chapter", "target_id"], "left_semi")).distinct()
+    right = strong.unionByName(loose.withColumn("weight", F.lit(0)))
 
     def plan(key: tuple, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         n = n.sort_values("ord")
         order = {x: i for i, x in enumerate(n.node_id)}
-        main = [x for x, t in zip(n.node_id, n.node_type) if t in vocab.MAIN_TYPES]
-        extra = [x for x, t in zip(n.node_id, n.node_type) if t in vocab.AUXILIARY_TYPES]
         score, incoming = dict(zip(n.node_id, n.score)), dict(zip(n.node_id, n.incoming))
-        strong = [r for r in e.itertuples() if r.relation_type in vocab.BACKBONE and r.source_id in score and r.target_id in score and r.source_id in set(main) and r.target_id in set(main)]
+        main = [x for x, t in zip(n.node_id, n.node_type) if t in vocab.MAIN_TYPES]
+        ahead: dict[str, list] = {}
+        behind: dict[str, list] = {}
+        beside: dict[str, tuple[list, list]] = {}
+        for a, b, w in zip(e.source_id, e.target_id, e.weight):
+            if w:
+                ahead.setdefault(a, []).append(((-w, -score[b], incoming[b], order[b]), b))
+                behind.setdefault(b, []).append(a)
+            else:
+                beside.setdefault(a, ([], []))[0].append(b)
+                beside.setdefault(b, ([], []))[1].append(a)
         rows: list[tuple] = []
-        path: list[str] = []
+        at: dict[str, int] = {}
+        here = min(main, key=lambda x: (incoming[x], -score[x], order[x]), default=None)
+        while here is not None:
+            rows.append((here, "path", "", len(at)))
+            at[here] = len(at)
+            here = min((r for r in ahead.get(here, ()) if r[1] not in at), default=(None, None))[1]
+        root = min(at, key=order.get, default=None)
+        for x in main:
+            if x not in at:
+                near = [y for y in behind.get(x, ()) if y in at] or [b for _, b in ahead.get(x, ()) if b in at]
+                rows.append((x, "branch", min(near, key=at.get) if near else root, order[x]))
         if main:
-            path = [min(main, key=lambda x: (incoming[x], -score[x], order[x]))]
-            while True:
-                ahead = [r for r in strong if r.source_id == path[-1] and r.target_id not in path]
-                if not ahead:
-                    break
-                path.append(min(ahead, key=lambda r: (-vocab.BACKBONE_WEIGHTS[r.relation_type], -score[r.target_id], incoming[r.target_id], order[r.target_id])).target_id)
-            rows += [(x, "path", "", i) for i, x in enumerate(path)]
-            at = {x: i for i, x in enumerate(path)}
-            for x in main:
-                if x not in at:
-                    near = [r.source_id for r in strong if r.target_id == x and r.source_id in at] or [r.target_id for r in strong if r.source_id == x and r.target_id in at]
-                    rows.append((x, "branch", min(near, key=lambda y: (at[y], order[y])) if near else min(path, key=order.get), order[x]))
-            targets = path + sorted((x for x in main if x not in at), key=order.get)
-            for x in extra:
-                near = [r.target_id for r in e.itertuples() if r.source_id == x and r.target_id in set(targets)] + [r.source_id for r in e.itertuples() if r.target_id == x and r.source_id in set(targets)]
-                rows.append((x, "auxiliary", min(dict.fromkeys(near or targets), key=lambda y: abs(order[y] - order[x])), order[x]))
+            targets = [*at, *(x for x in main if x not in at)]
+            known = set(targets)
+            for x, t in zip(n.node_id, n.node_type):
+                if t in vocab.AUXILIARY_TYPES:
+                    out, into = beside.get(x, ([], []))
+                    near = [y for y in (*out, *into) if y in known]
+                    host = min(near, key=lambda y: (abs(order[y] - order[x]), order[y])) if near else min(targets, key=lambda y: abs(order[y] - order[x]))
+                    rows.append((x, "auxiliary", host, order[x]))
         placed = {r[0] for r in rows}
         rows += [(x, "unassigned", "", order[x]) for x in n.node_id if x not in placed]
         return pd.DataFrame([(key[0], *r) for r in rows], columns=["chapter", "node_id", "place", "parent", "position"])
 
-    right = edges.select(*(F.col(c).alias(c) for c in ("chapter", "source_id", "target_id", "relation_type")))
-    left = left.select(*(F.col(c).alias(c) for c in left.columns))
-    return left.groupBy("chapter").cogroup(right.groupBy("chapter")).applyInPandas(plan, PLAN)
+    fresh = lambda df: df.select(*(F.col(c).alias(c) for c in df.columns))  # noqa: E731  both sides come from the same columns
+    return fresh(left).groupBy("chapter").cogroup(fresh(right).groupBy("chapter")).applyInPandas(plan, PLAN)
