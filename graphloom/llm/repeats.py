@@ -60,7 +60,7 @@ def split_kinds(t: pa.Table) -> tuple[pa.ChunkedArray, pa.Table]:
     return t.filter(pa.array(kind == SENT)).column("blob"), t.filter(pa.array(kind == OWN)).select(["part", "blob"])
 
 
-def _pairs(docs: np.ndarray, keys: np.ndarray, n: int) -> list[tuple[int, bytes]]:
+def _pairs(docs: np.ndarray, keys: np.ndarray, m: int) -> list[tuple[int, bytes]]:
     """(document, anchor) pairs, each once, by the document's bucket."""
     if not len(docs):
         return []
@@ -68,12 +68,14 @@ def _pairs(docs: np.ndarray, keys: np.ndarray, n: int) -> list[tuple[int, bytes]
     docs, keys = docs[o], keys[o]
     new = np.concatenate(([True], (docs[1:] != docs[:-1]) | (keys[1:] != keys[:-1])))
     docs, keys = docs[new], keys[new]
-    return deal(doc_bucket(docs, n), docs, (keys >> U64(32)).astype(np.uint32), keys.astype(np.uint32))
+    return deal(doc_bucket(docs, m), docs, (keys >> U64(32)).astype(np.uint32), keys.astype(np.uint32))
 
 
-def shared_anchors(docs: DataFrame, anchors: Callable, n: int, flush: int = FLUSH) -> DataFrame:
+def shared_anchors(docs: DataFrame, anchors: Callable, n: int, m: int, flush: int = FLUSH) -> DataFrame:
     """(part, blob) of (document, anchor's bucket, anchor) where another document has the anchor too.
 
+    n: buckets of anchors, one for each shuffle partition; m: buckets of documents, of which there
+    are more, as they hold texts. Rows from one kind to the other are n * m at most.
     anchors: (data, bounds) -> hashes, documents' places in the chunk, flags; an anchor counts
     only if one of its holders has it flagged.
     """
@@ -87,7 +89,7 @@ def shared_anchors(docs: DataFrame, anchors: Callable, n: int, flush: int = FLUS
         group = np.repeat(np.arange(len(first)), size)
         settled = (least != most) & flagged
         mine = settled[group]
-        own = _pairs(docs[mine], keys[mine], n)
+        own = _pairs(docs[mine], keys[mine], m)
         if own:
             yield kind_batch(OWN, own)
         # One entry for a settled group or a single document; several unflagged holders each need an answer.
@@ -130,7 +132,7 @@ def shared_anchors(docs: DataFrame, anchors: Callable, n: int, flush: int = FLUS
             many = (np.minimum.reduceat(docs, first) != np.maximum.reduceat(docs, first)) | (np.bitwise_or.reduceat(notes, first) & 2 > 0)
             many &= np.bitwise_or.reduceat(notes, first) & 1 > 0
             answer = np.repeat(many, np.diff(np.append(first, len(low)))) & (notes & 2 == 0)
-            rows = _pairs(docs[answer], low[answer].astype(U64) | U64(key[0].as_py()) << U64(32), n)
+            rows = _pairs(docs[answer], low[answer].astype(U64) | U64(key[0].as_py()) << U64(32), m)
         return pa.concat_tables([blob_table(rows), passing.cast(blob_table([]).schema)])
 
     return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(lean_task(task), KINDS).groupBy("part").applyInArrow(lean_pair(meet), BLOBS)
@@ -154,13 +156,13 @@ class Members:
         return self.known[np.minimum(np.searchsorted(self.known, wanted), len(self.known) - 1)] == wanted
 
 
-def with_blobs(docs: DataFrame, blobs: DataFrame, n: int, function: Callable, schema: str) -> DataFrame:
+def with_blobs(docs: DataFrame, blobs: DataFrame, m: int, function: Callable, schema: str) -> DataFrame:
     """function(documents, blobs) -> table, for each bucket of the documents that blobs may name."""
-    left = with_maybe(docs.where("doc_id is not null"), blob_filter(blobs)).where("__maybe").drop("__maybe").withColumn("part", doc_bucket_column(F.col("doc_id"), n))
+    left = with_maybe(docs.where("doc_id is not null"), blob_filter(blobs)).where("__maybe").drop("__maybe").withColumn("part", doc_bucket_column(F.col("doc_id"), m))
     return left.groupBy("part").cogroup(blobs.groupBy("part")).applyInArrow(lean_pair(function), schema)
 
 
-def mark_rows(docs: np.ndarray, tags: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) -> list[tuple[int, bytes]]:
+def mark_rows(docs: np.ndarray, tags: np.ndarray, starts: np.ndarray, ends: np.ndarray, m: int) -> list[tuple[int, bytes]]:
     """Marks by the document's bucket; those of one text that touch are one."""
     if not len(docs):
         return []
@@ -174,7 +176,7 @@ def mark_rows(docs: np.ndarray, tags: np.ndarray, starts: np.ndarray, ends: np.n
     new[1:] |= starts[1:] + offset[1:] > reach[:-1]
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(docs)) - 1
-    return deal(doc_bucket(docs[first], n), docs[first], tags[first], starts[first].astype(np.uint32), (reach[last] - offset[last]).astype(np.uint32))
+    return deal(doc_bucket(docs[first], m), docs[first], tags[first], starts[first].astype(np.uint32), (reach[last] - offset[last]).astype(np.uint32))
 
 
 class Marks:
@@ -197,17 +199,17 @@ class Marks:
         return np.cumsum(change[:total]) > 0
 
 
-def moved_rows(seen: DataFrame, marks: DataFrame, n: int, rewrite: Callable, schema: str) -> DataFrame:
+def moved_rows(seen: DataFrame, marks: DataFrame, m: int, rewrite: Callable, schema: str) -> DataFrame:
     """rewrite(rows, Marks) -> table with the schema's columns, over the rows of ``seen`` (with __maybe) that marks may name."""
 
     def marked(left: pa.Table, right: pa.Table) -> pa.Table:
         return rewrite(left.drop_columns(["part"]), Marks(right.column("blob")))
 
-    moved = seen.where("__maybe and doc_id is not null").drop("__maybe").withColumn("part", doc_bucket_column(F.col("doc_id"), n))
+    moved = seen.where("__maybe and doc_id is not null").drop("__maybe").withColumn("part", doc_bucket_column(F.col("doc_id"), m))
     return moved.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(lean_pair(marked), schema)
 
 
-def cut_out(docs: DataFrame, marks: DataFrame, n: int, rewrite: Callable, schema: str) -> DataFrame:
+def cut_out(docs: DataFrame, marks: DataFrame, m: int, rewrite: Callable, schema: str) -> DataFrame:
     """rewrite(rows, Marks) -> table with the schema's columns, over all rows; only documents that marks may name are moved."""
     seen = with_maybe(docs, blob_filter(marks))
 
@@ -218,4 +220,4 @@ def cut_out(docs: DataFrame, marks: DataFrame, n: int, rewrite: Callable, schema
                 yield from rewrite(pa.Table.from_batches([batch.slice(i, 2000)]), none).to_batches()
 
     untouched = seen.where("not __maybe or doc_id is null").drop("__maybe").mapInArrow(lean_task(alone), schema)
-    return untouched.unionByName(moved_rows(seen, marks, n, rewrite, schema))
+    return untouched.unionByName(moved_rows(seen, marks, m, rewrite, schema))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import U64, chunks, lean, mix, powers, prefix_sums, ragged, rolling, word_hashes, words
-from .exchange import BLOBS, blob_filter, buckets, deal, gather, stored_lean, with_maybe
+from .exchange import BLOBS, blob_filter, buckets, deal, gather, partitions, stored_lean, with_maybe
 from .repeats import KINDS, Marks, Members, blob_table, cut_out, keyed, kind_table, mark_rows, moved_rows, shared_anchors, split_kinds, tagged, with_blobs
 
 WINDOW = 50
@@ -31,13 +31,13 @@ def _windows(data: np.ndarray, bounds: np.ndarray, window: int, size: int) -> tu
 
 def repeat_marks(source: DataFrame, window: int = WINDOW) -> DataFrame:
     """(part, blob): marks of the runs of ``window`` words of each row (doc_id, text, tag) that also start in a document with a smaller id."""
-    n, block = buckets(source.sparkSession), window // 2
+    n, m, block = partitions(source.sparkSession), buckets(source.sparkSession), window // 2
 
     def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple:
         hashes, first, at, who = _windows(data, bounds, window, block)
         return rolling(hashes, block)[at], who, (at - first[who]) % block == 0
 
-    hits = stored_lean(shared_anchors(source, anchors, n), "anchors")
+    hits = stored_lean(shared_anchors(source, anchors, n, m), "anchors")
 
     def extend(left: pa.Table, right: pa.Table) -> pa.Table:
         member, found = Members(right.column("blob")), []
@@ -67,7 +67,7 @@ def repeat_marks(source: DataFrame, window: int = WINDOW) -> DataFrame:
         later = names > _least(h, h2, names)
         sent = ~later
         parts = ((h[sent] >> U64(40)) % U64(n)).astype(np.int64)
-        return kind_table(deal(parts, names[sent], h[sent], h2[sent], tag[sent], at[sent]), mark_rows(names[later], tag[later], at[later], at[later] + window, n))
+        return kind_table(deal(parts, names[sent], h[sent], h2[sent], tag[sent], at[sent]), mark_rows(names[later], tag[later], at[later], at[later] + window, m))
 
     def meet(t: pa.Table) -> pa.Table:
         sent, passing = split_kinds(t)
@@ -75,9 +75,9 @@ def repeat_marks(source: DataFrame, window: int = WINDOW) -> DataFrame:
         o = np.argsort(h)
         h, h2, names, tag, at = h[o], h2[o], names[o], tag[o], at[o]
         later = names > _least(h, h2, names)
-        return pa.concat_tables([blob_table(mark_rows(names[later], tag[later], at[later], at[later] + window, n)), passing.cast(blob_table([]).schema)])
+        return pa.concat_tables([blob_table(mark_rows(names[later], tag[later], at[later], at[later] + window, m)), passing.cast(blob_table([]).schema)])
 
-    return stored_lean(with_blobs(source, hits, n, extend, KINDS).groupBy("part").applyInArrow(lean(meet), BLOBS), "marks")
+    return stored_lean(with_blobs(source, hits, m, extend, KINDS).groupBy("part").applyInArrow(lean(meet), BLOBS), "marks")
 
 
 def _kept(texts: pa.ChunkedArray, ids: np.ndarray, tags: np.ndarray, marks: Marks, normalise: bool) -> tuple[np.ndarray, np.ndarray, list[bytes]]:

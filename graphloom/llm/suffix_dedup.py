@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import BYTE_VALUE, U64, chunks, lean, ragged, rolling, runs
-from .exchange import BLOBS, buckets, narrow, packed_column, read_column, stored_lean
+from .exchange import BLOBS, buckets, narrow, packed_column, partitions, read_column, stored_lean
 from .repeats import KINDS, Marks, Members, blob_table, cut_out, keyed, kind_table, mark_rows, shared_anchors, split_kinds, tagged, with_blobs
 
 WINDOW, SPAN = 50, 24
@@ -232,7 +232,7 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, span: int = SPA
     Ids may be any whole numbers. A text is handled whole, so a task needs memory for the longest;
     a run of one letter, however long, is one entry.
     """
-    n, width = buckets(docs.sparkSession), 2 * window - span
+    n, m, width = partitions(docs.sparkSession), buckets(docs.sparkSession), 2 * window - span
     wide = window - span
     source = tagged(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")))
 
@@ -240,7 +240,7 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, span: int = SPA
         hashes, _, who = minimizers(data, bounds, window, span)
         return hashes, who, np.ones(len(who), bool)
 
-    hits = stored_lean(shared_anchors(source, anchors, n, FLUSH), "anchors")
+    hits = stored_lean(shared_anchors(source, anchors, n, m, FLUSH), "anchors")
 
     def sort(left: pa.Table, right: pa.Table) -> pa.Table:
         member, found = Members(right.column("blob")), []
@@ -266,7 +266,7 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, span: int = SPA
         first = np.flatnonzero(new)
         later = names > np.repeat(np.minimum.reduceat(names, first), np.diff(np.append(first, len(names))))
         whole = later & (after.astype(np.int64) + before >= window)
-        own = mark_rows(names[whole], tag[whole], (at - before)[whole], (at + extent + after)[whole], n)
+        own = mark_rows(names[whole], tag[whole], (at - before)[whole], (at + extent + after)[whole], m)
         rows, names, tag, at, extent, after, before, part = (c[~later] for c in (rows, names, tag, at, extent, after, before, part))
         cuts = np.append(runs(part), len(part))
         return kind_table([(int(part[a]), front_coded(*(c[a:b] for c in (rows, names, tag.view(np.uint32), at, extent, after, before)))) for a, b in zip(cuts, cuts[1:])], own)
@@ -282,10 +282,10 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, span: int = SPA
             names, tag, at, extent, after, before = (np.concatenate([c[i] for _, _, c in found])[place] for i in range(6))
             rows = np.frombuffer(b"".join([found[f][0][r] for f, r in zip(of, row)]), np.uint8).reshape(-1, width)
             hit, nearest, furthest = repeated(rows, np.array(lcp, np.uint8), names, after, before, window, span)
-            marks = mark_rows(names[hit], tag[hit].astype(np.uint32).view(np.int32), at[hit] - furthest, (at + extent)[hit] - nearest + window, n)
+            marks = mark_rows(names[hit], tag[hit].astype(np.uint32).view(np.int32), at[hit] - furthest, (at + extent)[hit] - nearest + window, m)
         return pa.concat_tables([blob_table(marks), passing.cast(blob_table([]).schema)])
 
-    marks = stored_lean(with_blobs(source, hits, n, sort, KINDS).groupBy("part").applyInArrow(lean(merge), BLOBS), "marks")
+    marks = stored_lean(with_blobs(source, hits, m, sort, KINDS).groupBy("part").applyInArrow(lean(merge), BLOBS), "marks")
 
     def rewrite(t: pa.Table, marks: Marks) -> pa.Table:
         ids, tags = t.column("doc_id").fill_null(0).to_numpy(), t.column("tag").to_numpy()
@@ -313,4 +313,4 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, span: int = SPA
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         return pa.table([t.column("doc_id"), join(size), join(gone), join(number), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
-    return cut_out(source, marks, n, rewrite, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    return cut_out(source, marks, m, rewrite, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:bigint,end:bigint>>, kept binary")
