@@ -178,3 +178,29 @@ def evidence_anchors(nodes: DataFrame, pages: DataFrame, width: int = 600) -> Da
     split = refs.withColumn("page_id", F.split_part("ref", F.lit("#"), F.lit(1))).withColumn("block_id", F.split_part("ref", F.lit("#"), F.lit(2)))
     found = split.join(pages, ["page_id", "block_id"], "left")
     return found.select("node_id", F.coalesce("nth", F.lit(0)).alias("nth"), F.coalesce("page_id", F.lit("")).alias("page_id"), F.coalesce("block_id", F.lit("")).alias("block_id"), F.substring(F.coalesce("text", F.lit("")), 1, width).alias("anchor_text"), F.when(F.col("ref").isNull(), F.least("confidence", F.lit(0.5))).otherwise(F.col("confidence")).alias("confidence"))
+
+
+def manual_ids(drafts: DataFrame, used: DataFrame, prefix: str) -> DataFrame:
+    """drafts (display_name, ord) with node_id: prefix_manual_name_n, n the first numbers that ``used`` (node_id) leaves free, in the order of ord.
+
+    The r-th free number of a name is at most r plus how many of its numbers are taken, so each
+    name's numbers are counted up to there and the taken ones left out.
+    """
+    part = F.substring(F.regexp_replace(F.regexp_replace(F.lower(T.trimmed(F.col("display_name"))), r"[^\p{L}\p{N}]+", "_"), "^_+|_+$", ""), 1, 48)
+    named = drafts.withColumn("base", F.concat_ws("_", F.lit(prefix), F.lit("manual"), F.when(part == "", "manual_node").otherwise(part)))
+    named = named.withColumn("r", F.row_number().over(Window.partitionBy("base").orderBy("ord", "display_name")))
+    taken = used.select("node_id", F.regexp_extract("node_id", r"^(.*)_([1-9]\d{0,8})$", 1).alias("base"), F.regexp_extract("node_id", r"^(.*)_([1-9]\d{0,8})$", 2).try_cast("int").alias("n")).where("base <> ''").select("base", "n").distinct()
+    # Taken numbers less the free ones before them: the r-th free one comes after all with fewer than r before.
+    taken = taken.withColumn("free_before", F.col("n") - F.row_number().over(Window.partitionBy("base").orderBy("n")))
+    ahead = named.join(taken, "base").where("free_before < r").groupBy("base", "r").agg(F.count(F.lit(1)).alias("skipped"))
+    out = named.join(ahead, ["base", "r"], "left")
+    return out.withColumn("node_id", F.concat_ws("_", "base", (F.col("r") + F.coalesce("skipped", F.lit(0))).cast("string"))).select(*drafts.columns, "node_id")
+
+
+def occurrence_rows(nodes: DataFrame, owners: DataFrame) -> DataFrame:
+    """(node_id, chapter, section, temporary_id, place): where each canonical node occurs, each place once, in the order of ord.
+
+    nodes: (temporary_id, chapter, section, ord); owners: (temporary_id, node_id).
+    """
+    seen = nodes.join(owners, "temporary_id").groupBy("node_id", "chapter", "section", "temporary_id").agg(F.min("ord").alias("ord"))
+    return seen.withColumn("place", F.row_number().over(Window.partitionBy("node_id").orderBy("ord", "temporary_id")) - 1).drop("ord")

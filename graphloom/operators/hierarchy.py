@@ -57,7 +57,29 @@ def ancestors(parents: DataFrame) -> DataFrame:
         reach, step = stored(reach.unionByName(more), "reach"), step * 2
 
 
-def cycle_members(parents: DataFrame, max_rounds: int = 32) -> DataFrame:
+def upward(starts: DataFrame, parents: DataFrame) -> DataFrame:
+    """(node_id): starts and all nodes above them, where each child has one parent (child, parent); cycles are walked once.
+
+    Pointers double, and what is reached with them, until a round reaches nothing new.
+    """
+    reached, jump = starts.select("node_id").distinct(), parents.select("child", "parent")
+    while True:
+        new = stored(reached.join(jump.withColumnRenamed("child", "node_id"), "node_id").select(F.col("parent").alias("node_id")).distinct().join(reached, "node_id", "left_anti"), "above")
+        if new.isEmpty():
+            return reached
+        reached = stored(reached.unionByName(new), "reached")
+        jump = stored(jump.join(jump.select(F.col("child").alias("parent"), F.col("parent").alias("far")), "parent").select("child", F.col("far").alias("parent")), "jumps")
+
+
+def written_back(nodes: DataFrame, parents: DataFrame) -> DataFrame:
+    """nodes (node_id, display_name, ...) with parent_id and parent_name of a projected forest (child, parent); empty for roots and for children without a clear parent."""
+    names = nodes.select(F.col("node_id").alias("parent"), F.col("display_name").alias("parent_name"))
+    found = parents.join(names, "parent", "left").select(F.col("child").alias("node_id"), F.col("parent").alias("parent_id"), "parent_name")
+    out = nodes.drop("parent_id", "parent_name").join(found, "node_id", "left")
+    return out.withColumn("parent_id", F.coalesce("parent_id", F.lit(""))).withColumn("parent_name", F.coalesce("parent_name", F.lit("")))
+
+
+def cycle_members(parents: DataFrame) -> DataFrame:
     """(node_id, cycle_id) of the nodes on cycles where each node has one parent at most; cycle_id is the smallest member.
 
     Pointers double each round; after as many steps as there are nodes every pointer is on a
@@ -65,7 +87,7 @@ def cycle_members(parents: DataFrame, max_rounds: int = 32) -> DataFrame:
     """
     jump = parents.select(F.col("child").alias("node_id"), F.col("parent").alias("to"), F.least("child", "parent").alias("low"))
     state = None
-    for _ in range(max_rounds):
+    while True:
         nxt = jump.select(F.col("node_id").alias("to"), F.col("to").alias("to2"), F.col("low").alias("low2"))
         # Those whose pointer runs out lead to a root, and are lost here.
         jump = stored(jump.join(nxt, "to").select("node_id", F.col("to2").alias("to"), F.least("low", "low2").alias("low")), "jumps")

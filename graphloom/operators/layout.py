@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text as T
+from . import graph, hierarchy
+
 
 def grid(nodes: DataFrame, width: float = 180.0, height: float = 64.0, gap: float = 40.0, aspect: float = 1.6) -> DataFrame:
     """(group, node_id, x, y, width, height): nodes (group, node_id, ord) of each group in rows of ceil(sqrt(n * aspect))."""
@@ -75,3 +78,74 @@ def widest_column(boxes: DataFrame) -> DataFrame:
     """(group, ratio): share of a group's boxes in its fullest column."""
     count = boxes.groupBy("group", F.round("x", 3).alias("x")).agg(F.count(F.lit(1)).alias("k"))
     return count.groupBy("group").agg((F.max("k") / F.sum("k")).alias("ratio"))
+
+
+def percentile(values: DataFrame, group: str, value: str, fraction: float) -> DataFrame:
+    """(group, value): the nearest-rank percentile of each group, to three decimals: of n values the ceil(n * fraction)-th, the first at least."""
+    w = Window.partitionBy(group)
+    ranked = values.select(group, value).withColumn("k", F.row_number().over(w.orderBy(value))).withColumn("n", F.count(F.lit(1)).over(w))
+    at = F.greatest(F.lit(1), F.least(F.col("n"), F.ceil(F.col("n") * fraction)))
+    return ranked.where(F.col("k") == at).select(group, F.round(value, 3).alias(value))
+
+
+def route_order(edges: DataFrame) -> DataFrame:
+    """edges (group, view_id, relation_type, relation_family) with place: which is routed first in its group: by kind, resolved ones first, then by name."""
+    # Fixed values.
+    rank = {"contains": 0, "explains": 1, "prerequisite": 2, "progressive": 2, "derives_to": 3}
+    kind = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in rank.items() for x in kv)), F.col("relation_type")), F.lit(2))
+    w = Window.partitionBy("group").orderBy(kind, (F.col("relation_family") == "unresolved").cast("int"), "view_id")
+    return edges.withColumn("place", F.row_number().over(w) - 1)
+
+
+def edge_classes(edges: DataFrame, scopes: DataFrame, parents: DataFrame) -> DataFrame:
+    """edges (edge_id, relation_family, relation_type, source_id, target_id) with layout_scope and class.
+
+    class: unresolved_semantics; for symmetric relations symmetry_conflict if a directional one
+    joins the same ends, else same_rank; semantic_cycle inside a cycle of directional relations of
+    one scope; rank_enforced within a scope; cross_scope if the ends' scopes (node_id, scope_id)
+    meet in a forest (child, parent); else order_conflict.
+    """
+    end = lambda side: scopes.select(F.col("node_id").alias(f"{side}_id"), F.col("scope_id").alias(f"{side}_scope"))
+    rows = edges.withColumn("way", T.directionality(F.col("relation_type"))).join(end("source"), "source_id", "left").join(end("target"), "target_id", "left")
+    rows = rows.withColumn("lo", F.least("source_id", "target_id")).withColumn("hi", F.greatest("source_id", "target_id"))
+    same = F.coalesce(F.col("source_scope") == F.col("target_scope"), F.lit(False))
+    directed = rows.where("way = 'directional'")
+    local = directed.where(same).select(F.concat_ws("\u001f", "source_scope", "source_id").alias("a"), F.concat_ws("\u001f", "source_scope", "target_id").alias("b"))
+    scc = graph.strong_components(local.select(F.col("a").alias("node_id")).union(local.select("b")).distinct(), local)
+    ring = lambda side: scc.select(F.col("node_id").alias(f"{side}_key"), F.col("scc").alias(f"{side}_scc"))
+    rows = rows.withColumn("source_key", F.concat_ws("\u001f", "source_scope", "source_id")).withColumn("target_key", F.concat_ws("\u001f", "source_scope", "target_id")).join(ring("source"), "source_key", "left").join(ring("target"), "target_key", "left")
+    rows = rows.join(directed.select("lo", "hi", F.lit(True).alias("conflict")).distinct(), ["lo", "hi"], "left")
+    meet = hierarchy.lowest_common(rows.where("source_scope is not null and target_scope is not null").select(F.col("source_scope").alias("a"), F.col("target_scope").alias("b")).distinct(), parents)
+    rows = rows.join(meet.select(F.col("a").alias("source_scope"), F.col("b").alias("target_scope"), F.col("lca").alias("layout_scope")), ["source_scope", "target_scope"], "left")
+    cyclic = same & (F.col("way") == "directional") & F.coalesce(F.col("source_scc") == F.col("target_scc"), F.lit(False))
+    found = (
+        F.when(F.col("relation_family") == "unresolved", "unresolved_semantics").when((F.col("way") == "symmetric") & F.coalesce("conflict", F.lit(False)), "symmetry_conflict").when(F.col("way") == "symmetric", "same_rank")
+        .when(cyclic, "semantic_cycle").when(same, "rank_enforced").when(F.col("layout_scope").isNotNull(), "cross_scope").otherwise("order_conflict")
+    )
+    return rows.select(*edges.columns, "layout_scope", found.alias("class"))
+
+
+def route_issues(edges: DataFrame, boxes: DataFrame, routes: DataFrame) -> DataFrame:
+    """(code, object_id): edges (edge_id, source_id, target_id) whose ends have no box (node_id), and those that have but for which no route (edge_id, status) was found."""
+    known = boxes.select("node_id").distinct()
+    ends = edges.select("edge_id", F.explode(F.array("source_id", "target_id")).alias("node_id"))
+    lost = ends.join(known, "node_id", "left_anti").select("edge_id").distinct()
+    failed = edges.join(lost, "edge_id", "left_anti").join(routes.where("status = 'routed'"), "edge_id", "left_anti")
+    return lost.select(F.lit("edge_route_missing_endpoint").alias("code"), F.col("edge_id").alias("object_id")).unionByName(failed.select(F.lit("edge_route_failed").alias("code"), F.col("edge_id").alias("object_id")))
+
+
+def nesting_issues(children: DataFrame, boxes: DataFrame, tolerance: float = 0.5) -> DataFrame:
+    """(code, object_id): children (child, parent) without a box (node_id, x, y, width, height), or whose box leaves their parent's."""
+    b = lambda key, p: boxes.select(F.col("node_id").alias(key), *(F.col(c).alias(f"{p}_{c}") for c in ("x", "y", "width", "height")))
+    missing = children.join(boxes.select(F.col("node_id").alias("child")), "child", "left_anti").select(F.lit("layout_coordinate_missing").alias("code"), F.col("child").alias("object_id"))
+    both = children.join(b("child", "c"), "child").join(b("parent", "p"), "parent")
+    outside = (F.col("c_x") < F.col("p_x") - tolerance) | (F.col("c_y") < F.col("p_y") - tolerance) | (F.col("c_x") + F.col("c_width") > F.col("p_x") + F.col("p_width") + tolerance) | (F.col("c_y") + F.col("c_height") > F.col("p_y") + F.col("p_height") + tolerance)
+    return missing.unionByName(both.where(outside).select(F.lit("geometry_child_out_of_bounds").alias("code"), F.col("child").alias("object_id")))
+
+
+def arrow_occlusions(arrows: DataFrame, boxes: DataFrame, cell: float = 512.0) -> DataFrame:
+    """(edge_id, node_id): arrow boxes (group, edge_id, x, y, width, height) that lie over a card. They meet in grid cells."""
+    a = arrows.select("group", F.concat(F.lit("edge:"), "edge_id").alias("node_id"), "x", "y", "width", "height")
+    b = boxes.select("group", F.concat(F.lit("node:"), "node_id").alias("node_id"), "x", "y", "width", "height")
+    met = overlaps(a.unionByName(b), cell, 0.0).where(F.col("a").startswith("edge:") & F.col("b").startswith("node:"))
+    return met.select(F.substring("a", 6, 1 << 30).alias("edge_id"), F.substring("b", 6, 1 << 30).alias("node_id")).distinct()

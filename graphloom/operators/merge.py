@@ -71,6 +71,15 @@ def applied(local: DataFrame, planned: DataFrame, content: tuple[str, ...] = (),
     return merged.join(edited, ["record_type", "object_id"], "left").withColumn("value", F.when(reset, "needs_revision").otherwise(F.col("value"))).drop("edited")
 
 
+def revised(local: DataFrame, planned: DataFrame, revision: int, expected_revision: int, **options) -> tuple[DataFrame, int]:
+    """(values, revision) after applying a plan to the revision that it was made for; conflicts that are open, or another revision, are errors."""
+    if expected_revision != revision:
+        raise ValueError(f"revision {revision}, not {expected_revision}")
+    if not planned.where(F.col("outcome").isin("conflict", "new_object_conflict")).isEmpty():
+        raise ValueError("the plan has open conflicts")
+    return applied(local, planned, **options), revision + 1
+
+
 def fingerprint(values: DataFrame) -> DataFrame:
     """(fingerprint): equal for equal documents, whatever the order of rows. Rows are hashed and added up, so it takes no sort and no single list."""
     h = F.sha2(F.concat_ws("\u001f", *KEY, T.canonical_json(F.col("value"))), 256)

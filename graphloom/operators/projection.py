@@ -72,3 +72,24 @@ def layer_edges(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFram
     ids = nodes.select("node_id").distinct()
     kept = edges.join(ids.withColumnRenamed("node_id", "source_id"), "source_id", "left_semi").join(ids.withColumnRenamed("node_id", "target_id"), "target_id", "left_semi")
     return kept.withColumn("scope", T.edge_scope(F.col("relation_type"))), edges.join(kept, edges.columns, "left_anti")
+
+
+def membership_status(memberships: DataFrame) -> DataFrame:
+    """(node_id, review_status): the most pressing status among the memberships (node_id, review_status) of a node; empty if none is open or accepted."""
+    has = lambda s: F.bool_or(F.col("review_status") == s)
+    status = F.when(has("needs_revision"), "needs_revision").when(has("needs_expert_review"), "needs_expert_review").when(has("pending"), "pending").when(has("accepted"), "accepted").otherwise("")
+    return memberships.groupBy("node_id").agg(status.alias("review_status"))
+
+
+def shown(instances_: DataFrame, relations: DataFrame, hidden: DataFrame, include_rejected: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cards, relations, ledger (relation_id, representation)) of a view without its hidden cards (view_id): a relation with a hidden end goes as well, and the ledger says ``view_hidden``.
+
+    instances_: (view_id, node_id, ...); relations: (relation_id, source_view, target_view, review_status).
+    """
+    gone = hidden.select("view_id").distinct()
+    cards = instances_.join(gone, "view_id", "left_anti")
+    mark = lambda c: gone.select(F.col("view_id").alias(c), F.lit(True).alias(f"h_{c}"))
+    seen = relations.join(mark("source_view"), "source_view", "left").join(mark("target_view"), "target_view", "left")
+    rejected = (F.col("review_status") == "rejected") & ~F.lit(include_rejected)
+    seen = seen.withColumn("representation", F.when(rejected, "filtered").when(F.coalesce(F.col("h_source_view") | F.col("h_target_view"), F.col("h_source_view"), F.col("h_target_view"), F.lit(False)), "view_hidden").otherwise("line"))
+    return cards, seen.where("representation = 'line'").select(*relations.columns), seen.select("relation_id", "representation")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vocab
+from . import graph, hierarchy
 
 
 def issue(df: DataFrame, code: str, object_id: Column | str, severity: str = "error") -> DataFrame:
@@ -49,6 +50,7 @@ def document_issues(doc: dict[str, DataFrame]) -> DataFrame:
     ends = r.select("relation_id", "lifecycle_state", F.explode(F.array("source_id", "target_id")).alias("node_id"))
     fact = Window.partitionBy("relation_family", "source_id", "relation_type", "target_id").orderBy("ord", "relation_id")
     structure = active.where("relation_family = 'structure'")
+    single = structure.groupBy(F.col("target_id").alias("child")).agg(F.count_distinct("source_id").alias("k"), F.min("source_id").alias("parent")).where("k = 1").select("child", "parent")
     with_state = s.join(n.select(F.col("node_id").alias("scope_id"), F.col("lifecycle_state").alias("node_state")), "scope_id")
     return report(
         issue(m.where("schema_version <> 2"), "schema_version_invalid", "document_id"), issue(m.where("document_id = ''"), "document_id_missing", "document_id"),
@@ -63,7 +65,7 @@ def document_issues(doc: dict[str, DataFrame]) -> DataFrame:
         issue(ends.where(life == "active").join(archived, "node_id", "left_semi").select("relation_id").distinct(), "active_relation_archived_endpoint", "relation_id"),
         issue(r.withColumn("k", F.row_number().over(fact)).where("k > 1"), "duplicate_relation_fact", "relation_id"), issue(lost_members(r, "relation_id", "occurrence_ids", o, "occurrence_id"), "relation_occurrence_missing", "relation_id"),
         issue(r.where("relation_family = 'structure' and relation_type <> 'contains'"), "structure_relation_type_invalid", "relation_id"), issue(scoped.where("relation_family = 'structure' and not (a and b)"), "structure_endpoint_role_invalid", "relation_id"),
-        issue(structure.groupBy("target_id").agg(F.count_distinct("source_id").alias("k")).where("k > 1"), "structure_multiple_parents", "target_id"),
+        issue(structure.groupBy("target_id").agg(F.count_distinct("source_id").alias("k")).where("k > 1"), "structure_multiple_parents", "target_id"), issue(hierarchy.cycle_members(single), "structure_cycle", "node_id"),
         issue(r.where("relation_family = 'membership' and relation_type <> 'contains'"), "membership_relation_type_invalid", "relation_id"), issue(scoped.where("relation_family = 'membership' and not a"), "membership_scope_missing", "relation_id"), issue(scoped.where("relation_family = 'membership' and b"), "membership_target_is_scope", "relation_id"),
         issue(lost_members(p, "profile_id", "node_ids", n, "node_id"), "profile_node_missing", "profile_id"), issue(lost_members(p, "profile_id", "relation_ids", r, "relation_id"), "profile_relation_missing", "profile_id"), issue(lost_members(p, "profile_id", "membership_ids", r, "relation_id"), "profile_membership_missing", "profile_id"),
     ).distinct()
@@ -85,6 +87,9 @@ def draft_issues(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     parents = nodes.select(F.col("node_id").alias("parent_id"), F.col("review_status").alias("parent_status"), F.col("node_type").alias("parent_type"))
     children = ok.where(F.col("node_type") != "container").select("node_id", "parent_id").where("parent_id <> ''")
     inside = good.where(F.col("relation_type").isin(*vocab.BACKBONE)).join(children.select(F.col("node_id").alias("source_id"), F.col("parent_id").alias("pa")), "source_id").join(children.select(F.col("node_id").alias("target_id"), F.col("parent_id").alias("pb")), "target_id").where("pa = pb").groupBy("pa").agg(F.count(F.lit(1)).alias("k"))
+    owned = ok.where("parent_id <> ''").join(ok.select(F.col("node_id").alias("parent_id")), "parent_id", "left_semi")
+    contains = good.where("relation_type = 'contains'").select(F.col("source_id").alias("parent_id"), F.col("target_id").alias("node_id")).distinct()
+    learning = whole.where(F.col("relation_type").isin(*vocab.BACKBONE)).select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))
     crowded = children.groupBy("parent_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").join(inside.withColumnRenamed("pa", "parent_id"), "parent_id", "left").where("coalesce(k, 0) = 0")
     return report(
         issue(nodes.where("review_status = 'pending'"), "node_pending_review", "node_id", "warning"), issue(nodes.where("review_status = 'needs_revision'"), "node_needs_revision", "node_id", "warning"),
@@ -96,10 +101,22 @@ def draft_issues(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         issue(whole.where("relation_type <> 'contains' and evidence = ''"), "edge_missing_evidence", eid, "warning"), issue(ok.join(parents, "parent_id").where("parent_status <> 'accepted'"), "structure_parent_not_accepted", "node_id"),
         issue(ok.where("trim(display_name) <> ''").groupBy(F.trim("display_name").alias("name")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "duplicate_node_name", "name", "warning"),
         issue(ok.join(touched, "node_id", "left_anti"), "isolated_node", "node_id", "warning"), issue(crowded, "chapter_main_path_missing", "parent_id", "info"),
+        issue(owned.join(contains, ["parent_id", "node_id"], "left_anti"), "structure_relation_not_accepted", "node_id"), issue(learning_cycles(learning), "learning_path_cycle", "cycle_id", "warning"),
         issue(ok.agg(F.count(F.lit(1)).alias("n")).where("n = 0"), "no_accepted_nodes", F.lit("")),
     ).distinct()
 
 
+def learning_cycles(edges: DataFrame) -> DataFrame:
+    """(cycle_id, members): groups of two nodes or more that lead to each other over edges (a, b), named by their smallest member."""
+    nodes = edges.select(F.col("a").alias("node_id")).union(edges.select("b")).distinct()
+    return graph.strong_components(nodes, edges).groupBy(F.col("scc").alias("cycle_id")).agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+
+
+def first_cycles(cycles: DataFrame, keep: int = 10) -> DataFrame:
+    """The first ``keep`` of ``learning_cycles``, for a report."""
+    return cycles.orderBy("cycle_id").limit(keep)
+
+
 def rollup(issues: DataFrame) -> DataFrame:
     """(severity, code, n), errors first."""
     rank = F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warning", 1).otherwise(2)
@@ -125,37 +142,3 @@ def document_quality(doc: dict[str, DataFrame], ledger: DataFrame, projection_is
         shown(issue(dangling(r.where("lifecycle_state = 'active'"), "relation_id", ledger, "relation_id"), "relation_representation_missing", "relation_id"), "displayability"),
         shown(projection_issues.select("code", F.lit("warning").alias("severity"), "object_id"), "displayability"),
     )
-
-
-def preflight_issues(nodes: DataFrame, scopes: DataFrame, relations: DataFrame, choices: DataFrame, supported: tuple[str, ...]) -> DataFrame:
-    """What keeps the accepted part of a document from being published.
-
-    nodes: (node_id, review_status) that are active; scopes: (scope_id); relations: (relation_id,
-    relation_family, source_id, target_id, relation_type, review_status) that are active; choices:
-    (node_id, relation_id) of confirmed primary memberships.
-    """
-    ok = nodes.where("review_status = 'accepted'").select("node_id")
-    good = relations.where("review_status = 'accepted'")
-    scope = scopes.select(F.col("scope_id").alias("node_id"))
-    chosen = ok.join(scope, "node_id", "left_anti")
-    ends = good.where("relation_family in ('semantic', 'unresolved')").select("relation_id", F.explode(F.array("source_id", "target_id")).alias("node_id")).join(scope, "node_id", "left_anti")
-    members = good.where("relation_family = 'membership'").join(scopes.select(F.col("scope_id").alias("source_id")), "source_id", "left_semi").select(F.col("target_id").alias("node_id"), "relation_id", "source_id")
-    count = members.groupBy("node_id").agg(F.count(F.lit(1)).alias("n"))
-    asked = chosen.join(choices.withColumnRenamed("relation_id", "chosen_id"), "node_id", "left")
-    valid = asked.join(members.withColumnRenamed("relation_id", "chosen_id"), ["node_id", "chosen_id"], "left_semi")
-    open_ = asked.where("chosen_id is null").join(count, "node_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    inner = good.where("relation_family = 'semantic'").join(ok.withColumnRenamed("node_id", "source_id"), "source_id", "left_semi").join(ok.withColumnRenamed("node_id", "target_id"), "target_id", "left_semi")
-    used = valid.join(members.withColumnRenamed("relation_id", "chosen_id"), ["node_id", "chosen_id"]).select("source_id").distinct()
-    return report(
-        issue(ends.join(ok, "node_id", "left_anti"), "accepted_relation_endpoint_not_accepted", "relation_id"), issue(chosen.agg(F.count(F.lit(1)).alias("n")).where("n = 0"), "no_accepted_nodes", F.lit("")),
-        issue(asked.where("chosen_id is not null").join(valid.select("node_id"), "node_id", "left_anti"), "primary_membership_invalid", "node_id"),
-        issue(open_.where("n = 1"), "primary_membership_confirmation_required", "node_id"), issue(open_.where("n > 1"), "primary_membership_required", "node_id"), issue(open_.where("n = 0"), "accepted_membership_missing", "node_id"),
-        issue(dangling(used, "source_id", ok, "node_id"), "required_scope_not_accepted", "source_id"), issue(good.where("relation_family = 'unresolved'"), "unresolved_relation_not_publishable", "relation_id"),
-        issue(inner.where(~F.col("relation_type").isin(*supported)), "relation_type_unsupported", "relation_id"),
-    ).distinct()
-
-
-def preflight_status(issues: DataFrame) -> DataFrame:
-    """(status): ready without issues, needs_decision if all are open membership choices, otherwise blocked."""
-    decision = F.col("code").isin("primary_membership_required", "primary_membership_confirmation_required")
-    return issues.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.min(decision), F.lit(True)).alias("d")).select(F.when(F.col("n") == 0, "ready").when(F.col("d"), "needs_decision").otherwise("blocked").alias("status"))

@@ -109,3 +109,41 @@ def resynchronized(old: DataFrame, new: DataFrame) -> DataFrame:
     current = new.join(known, fact, "left").withColumn("relation_id", F.coalesce("old_id", "relation_id")).drop("old_id").withColumn("lifecycle_state", F.lit("active"))
     missing = old.join(current.select("relation_id"), "relation_id", "left_anti").select(*new.columns).withColumn("lifecycle_state", F.lit("archived"))
     return current.select(*new.columns, "lifecycle_state").unionByName(missing)
+
+
+# The fields that a command may change, by record type; they must be these for results to agree.
+EDITABLE = {
+    "node": ("display_name", "node_name", "node_type", "cognitive_level", "subject_tags", "review_status", "review_notes", "lifecycle_state"),
+    "relation": ("relation_type", "review_status", "reasoning_summary", "confidence", "proposed_relation_type", "lifecycle_state"),
+    "scope": ("structural_role", "reading_order", "review_status", "lifecycle_state"),
+    "profile": ("target_protocol", "selected_node_ids", "selected_relation_ids", "primary_membership_by_node"),
+}
+
+
+def checked_commands(log: DataFrame, editable: dict[str, tuple[str, ...]] = EDITABLE) -> DataFrame:
+    """log (record_type, field_name, expected_revision, revision_before, ...) with verdict: ok, stale (another revision was expected), unknown_record or field_not_editable."""
+    table = F.create_map(*(x for k, v in editable.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    fields = F.try_element_at(table, F.col("record_type"))
+    stale_ = F.col("expected_revision").isNotNull() & (F.col("expected_revision") != F.col("revision_before"))
+    return log.withColumn("verdict", F.when(stale_, "stale").when(fields.isNull(), "unknown_record").when(~F.array_contains(fields, F.col("field_name")), "field_not_editable").otherwise("ok"))
+
+
+def replaced(current: DataFrame, candidate: DataFrame, revision: int, expected_revision: int) -> tuple[DataFrame, int]:
+    """(values, revision) after a whole document takes the place of another: nothing happens if both say the same, otherwise the revision rises by one. Values are those of ``merge.fields``."""
+    from .merge import fingerprint
+
+    if expected_revision != revision:
+        raise ValueError(f"revision {revision}, not {expected_revision}")
+    same = fingerprint(current).first()["fingerprint"] == fingerprint(candidate).first()["fingerprint"]
+    return (current, revision) if same else (candidate, revision + 1)
+
+
+def profiles_upserted(profiles: DataFrame, changes: DataFrame) -> DataFrame:
+    """profiles (profile_id, based_on_revision, ...) with the last change of each in its place; a new one is based on the revision that its change names."""
+    return upserted(profiles, changes.select(*profiles.columns, "order"), ["profile_id"], "order")
+
+
+def relations_edited(relations: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
+    """relations (relation_id, ...) with ``added`` in the place of equal ids and without ``removed`` (relation_id)."""
+    left = relations.join(added.select("relation_id"), "relation_id", "left_anti").unionByName(added.select(*relations.columns))
+    return left.join(removed.select("relation_id").distinct(), "relation_id", "left_anti")

@@ -8,6 +8,7 @@ from graphloom.operators import layout as L
 from graphloom.operators import merge as M
 from graphloom.operators import pages as P
 from graphloom.operators import projection as V
+from graphloom.operators import publishing as B
 from graphloom.operators import reading as R
 from graphloom.operators import rules
 from graphloom.operators import session as S
@@ -133,15 +134,32 @@ def test_catalogue_acceptance(spark):
 
 
 def test_publish_needs_a_choice(spark):
-    n = spark.createDataFrame([("c", "accepted"), ("k", "accepted")], "node_id string, review_status string")
-    s = spark.createDataFrame([("c",)], "scope_id string")
-    r = spark.createDataFrame([("m", "membership", "c", "k", "contains", "accepted")], "relation_id string, relation_family string, source_id string, target_id string, relation_type string, review_status string")
-    none = spark.createDataFrame([], "node_id string, relation_id string")
-    issues = rules.preflight_issues(n, s, r, none, ("explains",))
-    assert rows(issues.select("code", "object_id")) == [("primary_membership_confirmation_required", "k")]
-    assert rules.preflight_status(issues).first()[0] == "needs_decision"
-    done = rules.preflight_issues(n, s, r, spark.createDataFrame([("k", "m")], "node_id string, relation_id string"), ("explains",))
-    assert rules.preflight_status(done).first()[0] == "ready"
+    state = "active", "accepted"
+    doc = {
+        "nodes": spark.createDataFrame([("c", *state), ("k", *state), ("b", "active", "pending")], "node_id string, lifecycle_state string, review_status string"),
+        "scopes": spark.createDataFrame([("c", "active"), ("b", "active")], "scope_id string, lifecycle_state string"),
+        "relations": spark.createDataFrame([("m", "membership", "c", "k", "contains", *state, 1), ("s", "structure", "b", "c", "contains", *state, 2), ("s2", "structure", "c", "b", "contains", *state, 3)], "relation_id string, relation_family string, source_id string, target_id string, relation_type string, lifecycle_state string, review_status string, ord int"),
+        "occurrences": spark.createDataFrame([("o",)], "occurrence_id string"),
+    }
+    choices = "node_id string, relation_id string"
+    can = B.Capability(("explains",))
+    found = B.preflight(doc, B.Profile(spark.createDataFrame([], choices)), can)
+    assert rows(found.issues.select("code", "object_id")) == [("primary_membership_confirmation_required", "k")]
+    assert B.gate(found.issues).first()[0] == "needs_decision"
+    mine = B.Profile(spark.createDataFrame([("k", "m")], choices))
+    blocked = B.preflight(doc, mine, can)
+    assert rows(blocked.issues.select("code", "object_id")) == [("required_scope_not_accepted", "b")] and rows(blocked.ancestors) == [("b",), ("c",)]
+    doc["relations"] = doc["relations"].where("relation_id = 'm'")
+    done = B.preflight(doc, mine, can)
+    assert B.gate(done.issues).first()[0] == "ready" and rows(done.nodes) == [("k",)]
+    assert {r.name: r.n for r in done.counts.collect()} == {"nodes_not_accepted": 1, "relations_not_accepted": 0, "selected_knowledge_nodes": 1, "selected_semantic_relations": 0, "secondary_memberships_omitted": 0, "occurrences_omitted": 1}
+    now = spark.createDataFrame([("doc", 3, "fp")], "document_id string, revision int, business_fingerprint string")
+    one, two = B.plan_identity(done, now, mine, can), B.plan_identity(done, now.withColumn("revision", F.lit(4)), mine, B.Capability(("explains",), version="2"))
+    assert B.stale_parts(one, one).isEmpty() and rows(B.stale_parts(one, two)) == [("capability_version",), ("revision",)]
+    assert one.first()[0].startswith("plan_") and one.first()[0] != two.first()[0]
+    asked = B.Profile(spark.createDataFrame([("k", "m")], choices), spark.createDataFrame([("k",), ("b",), ("zz",)], "node_id string"), spark.createDataFrame([("m",), ("no",)], "relation_id string"), protocol="p9")
+    got = B.preflight(doc, asked, can).issues
+    assert rows(got.select("code", "object_id")) == [("selected_node_missing", "zz"), ("selected_node_not_accepted", "b"), ("selected_relation_missing", "no"), ("target_protocol_unsupported", "p9")]
 
 
 def test_projection_ends(spark):
