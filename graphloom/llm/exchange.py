@@ -27,7 +27,7 @@ _SCHEMA = pa.schema([("part", pa.int32()), ("blob", pa.binary())])
 
 
 #: Buckets for each shuffle partition: Spark reads several in a task, which holds one of them at a time.
-BUCKETS_A_PARTITION = 4
+BUCKETS_A_PARTITION = 2
 
 
 def partitions(spark: SparkSession) -> int:
@@ -35,7 +35,7 @@ def partitions(spark: SparkSession) -> int:
 
 
 def buckets(spark: SparkSession) -> int:
-    """Four times as many buckets as the session has shuffle partitions, so that a bucket is a fraction of what a task is meant to hold."""
+    """Twice as many buckets as the session has shuffle partitions, so that a bucket is a part of what a task is meant to hold."""
     return BUCKETS_A_PARTITION * partitions(spark)
 
 
