@@ -6,13 +6,13 @@ import io
 import json
 import re
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import text as T
 
@@ -68,19 +68,67 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return f.select("path", kind.alias("kind"), "content")
 
 
+_STREAM = re.compile(rb"<<((?:[^<>]|<(?!<)|>(?!>)|<<[^<>]*>>)*)>>\s*stream\r?\n(.*?)\r?\n?endstream", re.S)
+_SHOWN = re.compile(rb"(?P<one>\((?:\\.|[^\\()])*\))\s*(?:Tj|')|\[(?P<many>(?:\((?:\\.|[^\\()])*\)|[^\]()])*)\]\s*TJ|/\S+\s+(?P<size>[\d.]+)\s+Tf|(?P<dx>-?[\d.]+)\s+(?P<dy>-?[\d.]+)\s+T[dD]\b|(?P<m>(?:-?[\d.]+\s+){6})Tm\b|(?P<begin>\bBT\b)", re.S)
+_STRING = re.compile(rb"\(((?:\\.|[^\\()])*)\)", re.S)
+_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+BLOCK = "array<struct<block_id:string,text:string,x:double,y:double,width:double,height:double>>"
+
+
+def _pdf_text(raw: bytes) -> str:
+    plain = re.sub(rb"\\([0-7]{1,3}|\r?\n|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else b"" if m[1][-1:] == b"\n" and m[1] != b"n" else _ESCAPES.get(m[1], m[1]), raw, flags=re.S)
+    return plain.decode("utf-16", "replace") if plain[:2] in (b"\xfe\xff", b"\xff\xfe") else plain.decode("latin-1")
+
+
+def pdf_blocks_of(content: bytes) -> list[tuple[str, str, float, float, float, float]]:
+    """(block_id, text, x, y, width, height) of the strings that a PDF's content streams show, those that are compressed too; blank ones are left out.
+
+    Places come from the text operators; a width is that of average letters of the font's size.
+    """
+    streams = []
+    for m in _STREAM.finditer(content):
+        try:
+            streams.append(zlib.decompress(m[2]) if b"FlateDecode" in m[1] else m[2])
+        except zlib.error:  # an encoding that isn't text, or a stream that is cut off
+            continue
+    out = []
+    for body in (_STREAM.sub(b" ", content), *streams):
+        x = y = 0.0
+        size = 12.0
+        for m in _SHOWN.finditer(body):
+            if m["begin"]:
+                x = y = 0.0
+            elif m["size"]:
+                size = float(m["size"])
+            elif m["dx"]:
+                x, y = x + float(m["dx"]), y + float(m["dy"])
+            elif m["m"]:
+                x, y = (float(v) for v in m["m"].split()[4:6])
+            else:
+                text = "".join(_pdf_text(t) for t in _STRING.findall(m["one"] if m["one"] is not None else m["many"]))
+                if text.strip():
+                    out.append((f"native-{len(out) + 1}", text, max(0.0, x), max(0.0, y), len(text) * size / 2, size))
+    return out
+
+
 def pdf_pages(f: DataFrame) -> DataFrame:
-    """(path, page_count, text) of PDF files: pages counted by their objects, text from the strings that are shown."""
-    body = F.decode("content", "ISO-8859-1")
-    pages = F.size(F.regexp_extract_all(body, F.lit(r"/Type\s*/Page(?![s\w])"), F.lit(0)))
-    shown = F.regexp_extract_all(body, F.lit(r"\(((?:\\.|[^\\()])*)\)\s*Tj"), F.lit(1))
-    plain = F.transform(shown, lambda s: F.regexp_replace(F.regexp_replace(s, r"\\n", "\n"), r"\\([()\\])", "$1"))
+    """(path, page_count, text, blocks) of PDF files: pages counted by their objects, text and blocks from the strings that are shown."""
+
+    @F.pandas_udf(BLOCK)
+    def blocks(content: pd.Series) -> pd.Series:
+        names = ("block_id", "text", "x", "y", "width", "height")
+        return content.map(lambda c: [dict(zip(names, b)) for b in pdf_blocks_of(bytes(c))])
+
+    pages = F.size(F.regexp_extract_all(F.decode("content", "ISO-8859-1"), F.lit(r"/Type\s*/Page(?![s\w])"), F.lit(0)))
     magic = F.when(F.substring("content", 1, 4) == F.lit(b"%PDF"), F.col("path")).otherwise(F.raise_error(F.concat(F.lit("not a PDF: "), F.col("path"))))
-    return f.where("kind = 'pdf'").select(magic.alias("path"), F.greatest(pages, F.lit(1)).alias("page_count"), F.array_join(plain, "\n").alias("text"))
+    found = f.where("kind = 'pdf'").select(magic.alias("path"), F.greatest(pages, F.lit(1)).alias("page_count"), blocks("content").alias("blocks"))
+    return found.select("path", "page_count", F.array_join(F.transform("blocks", lambda b: b["text"]), "\n").alias("text"), "blocks")
 
 
 def page_ranges(pdfs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(path, range_id, first, last) for each of ranges (first, last, label): in bounds, or an error."""
-    r = pdfs.crossJoin(ranges)
+    """(path, range_id, first, last) for each of ranges (first, last, label), the list of a request: in bounds, or an error."""
+    wanted = ranges.agg(F.sort_array(F.collect_list(F.struct("first", "last", "label")))).scalar()
+    r = pdfs.select("path", "page_count", F.explode(wanted).alias("r")).select("path", "page_count", "r.*")
     bad = (F.col("first") < 1) | (F.col("last") < F.col("first")) | (F.col("last") > F.col("page_count"))
     ident = F.concat(F.lit("_p"), F.col("first").cast("string"), F.lit("_p"), F.col("last").cast("string"), F.when(F.col("label") != "", F.concat(F.lit("_"), T.safe_id_part(F.col("label")))).otherwise(""))
     return r.select(F.when(bad, F.raise_error(F.lit("page range out of bounds"))).otherwise(F.col("path")).alias("path"), ident.alias("range_id"), "first", "last")
@@ -124,14 +172,16 @@ def sheet_rows(content: bytes, sheet: str) -> Iterator[tuple[int, dict[str, str]
     book = zipfile.ZipFile(io.BytesIO(content))
     strip = lambda tag: tag.rpartition("}")[2]
     root = ElementTree.fromstring(book.read("xl/workbook.xml"))
-    names = [e.get("name") for e in root.iter() if strip(e.tag) == "sheet"]
-    if sheet not in names:
+    ids = {e.get("name"): next(v for k, v in e.items() if strip(k) == "id" and k != "id") for e in root.iter() if strip(e.tag) == "sheet"}
+    if sheet not in ids:
         return
+    targets = {e.get("Id"): e.get("Target") for e in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels")).iter() if e.get("Id")}
+    part = targets[ids[sheet]].removeprefix("/xl/").removeprefix("xl/")
     shared = []
     if "xl/sharedStrings.xml" in book.namelist():
         shared = ["".join(t.text or "" for t in si.iter() if strip(t.tag) == "t") for si in ElementTree.fromstring(book.read("xl/sharedStrings.xml")) if strip(si.tag) == "si"]
     heading: list[str] | None = None
-    for i, row in enumerate(e for e in ElementTree.fromstring(book.read(f"xl/worksheets/sheet{names.index(sheet) + 1}.xml")).iter() if strip(e.tag) == "row"):
+    for i, row in enumerate(e for e in ElementTree.fromstring(book.read(f"xl/{part}")).iter() if strip(e.tag) == "row"):
         cells: dict[int, str] = {}
         for c in row:
             value = "".join(t.text or "" for t in c.iter() if strip(t.tag) in ("v", "t"))
@@ -142,35 +192,8 @@ def sheet_rows(content: bytes, sheet: str) -> Iterator[tuple[int, dict[str, str]
             yield i, {heading[k]: v for k, v in cells.items() if k < len(heading) and heading[k]}
 
 
-class SheetSource(DataSource):
-    """spark.read.format("sheet").option("sheet", name): (path, row, cells map<string,string>) of workbooks, read whole by one task each."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "sheet"
-
-    def schema(self) -> str:
-        return "path string, row int, cells map<string,string>"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _SheetReader(self.options)
-
-
-class _SheetReader(DataSourceReader):
-    def __init__(self, options):
-        self.paths, self.sheet = options["path"].split(","), options["sheet"]
-
-    def partitions(self):
-        return [InputPartition(p) for p in self.paths]
-
-    def read(self, partition):
-        with open(partition.value.removeprefix("file://"), "rb") as f:
-            for i, cells in sheet_rows(f.read(), self.sheet):
-                yield partition.value, i, cells
-
-
 def sheets(files_: DataFrame, sheet: str) -> DataFrame:
-    """(path, row, cells) of a sheet of workbooks (path, content), wherever Spark read them from."""
+    """(path, row, cells) of a sheet of workbooks (path, content), wherever Spark read them from: ``spark.read.format("binaryFile")``."""
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

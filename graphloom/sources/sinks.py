@@ -10,6 +10,7 @@ from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..operators import merge
@@ -22,6 +23,17 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
 
+def _replace(spark: SparkSession, source: str, target: str) -> None:
+    """Renames a file over another in one step."""
+    jvm = spark.sparkContext._jvm
+    fs, Path = _fs(spark, target)
+    kind = jvm.org.apache.hadoop.fs.Options.Rename
+    over = spark.sparkContext._gateway.new_array(kind, 1)
+    over[0] = kind.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(Path(source)), fs.makeQualified(Path(target)), over)
+
+
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
     fs, Path = _fs(spark, path)
     out = fs.create(Path(path), True)
@@ -29,15 +41,44 @@ def _write_text(spark: SparkSession, path: str, text: str) -> None:
     out.close()
 
 
-def write_bundle(tables: dict[str, DataFrame], path: str) -> dict[str, int]:
-    """Each table as Parquet under path, and manifest.json with their counts."""
-    counts = {}
+def table_digest(df: DataFrame) -> DataFrame:
+    """(rows, sha256): equal for equal rows in any order; each row is hashed as JSON, and the hashes are added up."""
+    h = F.sha2(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))), 256)
+    parts = [F.coalesce(F.sum(F.conv(F.substring(h, 8 * i + 1, 8), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string") for i in range(8)]
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.sha2(F.concat_ws("|", *parts), 256).alias("sha256"))
+
+
+def write_bundle(tables: dict[str, DataFrame], path: str, **notes: str) -> dict[str, dict]:
+    """Each table as Parquet under path, and manifest.json with the rows and the digest of each, and notes."""
+    found = {}
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
-        counts[name] = df.sparkSession.read.parquet(f"{path}/{name}").count()
+        found[name] = table_digest(df.sparkSession.read.parquet(f"{path}/{name}")).first().asDict()
     spark = next(iter(tables.values())).sparkSession
-    _write_text(spark, f"{path}/manifest.json", json.dumps({"tables": counts}, sort_keys=True))
-    return counts
+    _write_text(spark, f"{path}/manifest.json", json.dumps({"tables": found, **notes}, sort_keys=True))
+    return found
+
+
+def checked_bundle(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables that a bundle's manifest names, or an error if one doesn't fit its digest."""
+    manifest = json.loads(spark.read.option("wholetext", True).text(f"{path}/manifest.json").first()[0])
+    out = {name: spark.read.parquet(f"{path}/{name}") for name in manifest["tables"]}
+    for name, df in out.items():
+        if table_digest(df).first().asDict() != manifest["tables"][name]:
+            raise ValueError(f"{name} doesn't fit the manifest of {path}")
+    return out
+
+
+def export_reviewed(drafts: dict[str, DataFrame], formal: dict[str, DataFrame], issues: DataFrame, path: str) -> bool:
+    """Whether the gate is passed: drafts and issues are always written; formal tables only if no issue is an error, and those of an earlier export go if one is."""
+    spark = issues.sparkSession
+    passed = issues.where("severity = 'error'").isEmpty()
+    fs, Path = _fs(spark, path)
+    if not passed:
+        for name in formal:
+            fs.delete(Path(f"{path}/{name}"), True)
+    write_bundle({**drafts, "quality": issues, **(formal if passed else {})}, path, gate="passed" if passed else "blocked")
+    return passed
 
 
 def read_bundle(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
@@ -62,8 +103,7 @@ def publish(tables: dict[str, DataFrame], root: str, blockers: DataFrame, run_id
             fs.rename(Path(staging), Path(f"{root}/.failed-{run}"))
         raise
     _write_text(spark, f"{root}/.current-{run}", json.dumps({"run": run}))
-    fs.delete(Path(f"{root}/current.json"), False)
-    fs.rename(Path(f"{root}/.current-{run}"), Path(f"{root}/current.json"))
+    _replace(spark, f"{root}/.current-{run}", f"{root}/current.json")
     return final
 
 
@@ -122,8 +162,7 @@ def write_workbook(tables: dict[str, DataFrame], path: str, hidden: tuple[str, .
     out = fs.create(Path(part), True)
     out.write(bytearray(workbook(sheets, hidden)))
     out.close()
-    fs.delete(Path(path), False)
-    fs.rename(Path(part), Path(path))
+    _replace(spark, part, path)
 
 
 def append_events(events: DataFrame, path: str, secrets: tuple[str, ...] = ("message",)) -> None:
@@ -134,7 +173,9 @@ def append_events(events: DataFrame, path: str, secrets: tuple[str, ...] = ("mes
 def quality_markdown(issues: DataFrame, per_rule: int = 20) -> str:
     """A report by severity and rule; each rule with its count and its first objects."""
     order = {"error": 0, "warning": 1, "info": 2}
-    rows = issues.groupBy("severity", "code").agg(F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_set("object_id")), 1, per_rule).alias("first")).collect()
+    place = F.row_number().over(Window.partitionBy("severity", "code").orderBy("object_id"))
+    first = issues.select("severity", "code", "object_id").distinct().withColumn("k", place).where(F.col("k") <= per_rule).groupBy("severity", "code").agg(F.array_sort(F.collect_list("object_id")).alias("first"))
+    rows = issues.groupBy("severity", "code").agg(F.count(F.lit(1)).alias("n")).join(first, ["severity", "code"]).collect()
     lines = ["# Quality report"]
     for severity in order:
         found = sorted((r for r in rows if r["severity"] == severity), key=lambda r: r["code"])
@@ -145,8 +186,8 @@ def quality_markdown(issues: DataFrame, per_rule: int = 20) -> str:
 
 def layer_mapping_json(layers: DataFrame, edges: DataFrame, dropped: DataFrame) -> DataFrame:
     """One row of JSON: counts by layer and scope, and how many edges lacked an end."""
-    by = lambda df, c: df.groupBy(c).agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(c, "n")))).alias(c))
-    return by(layers, "layer").crossJoin(by(edges, "scope")).crossJoin(dropped.agg(F.count(F.lit(1)).alias("dropped"))).select(F.to_json(F.struct("layer", "scope", "dropped")).alias("value"))
+    by = lambda df, c: df.groupBy(c).agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(c, "n"))))).scalar().alias(c)
+    return dropped.agg(F.count(F.lit(1)).alias("dropped")).select(F.to_json(F.struct(by(layers, "layer"), by(edges, "scope"), "dropped")).alias("value"))
 
 
 def inline_json(text: str) -> str:

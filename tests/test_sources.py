@@ -43,12 +43,11 @@ def test_workbook_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("a", ["x", "y"], 1.5), ("b & <c>", [], 2.0)], "id string, tags array<string>, w double")
     path = str(tmp_path / "w.xlsx")
     sinks.write_workbook({"nodes": df}, path, hidden=("nodes",))
-    spark.dataSource.register(readers.SheetSource)
-    cells = spark.read.format("sheet").option("sheet", "nodes").load(path)
+    files = spark.read.format("binaryFile").load(path)
+    cells = readers.sheets(files, "nodes")
     got = readers.typed(cells, {"id": "string", "tags": "array<string>", "w": "double", "none": "int"})
     assert sorted(map(tuple, got.collect())) == [("a", ["x", "y"], 1.5, None), ("b & <c>", [], 2.0, None)]
-    again = readers.sheets(spark.read.format("binaryFile").load(path), "nodes")
-    assert again.count() == 2
+    assert readers.sheets(files, "none").count() == 0
 
 
 def test_publish_is_all_or_nothing(spark, tmp_path):
@@ -60,10 +59,32 @@ def test_publish_is_all_or_nothing(spark, tmp_path):
     with pytest.raises(Exception):
         sinks.publish({"nodes": spark.range(1).select(F.raise_error(F.lit("boom")).cast("int").alias("x"))}, root, none, "r3")
     assert json.loads((tmp_path / "pub/current.json").read_text()) == {"run": "r1"}
-    assert json.loads((tmp_path / "pub/r1/manifest.json").read_text()) == {"tables": {"nodes": 3}}
+    assert json.loads((tmp_path / "pub/r1/manifest.json").read_text())["tables"]["nodes"]["rows"] == 3
+    sinks.publish(t, root, none, "r4")
+    assert json.loads((tmp_path / "pub/current.json").read_text()) == {"run": "r4"}
+    assert sinks.checked_bundle(spark, f"{root}/r1")["nodes"].count() == 3
+    spark.range(4).write.mode("overwrite").parquet(f"{root}/r1/nodes")
+    with pytest.raises(ValueError, match="manifest"):
+        sinks.checked_bundle(spark, f"{root}/r1")
+    spark.range(3).write.mode("overwrite").parquet(f"{root}/r1/nodes")
     assert sinks.read_bundle(spark, f"{root}/r1", ["nodes"])["nodes"].count() == 3
 
 
+def test_reviewed_export_has_a_gate(spark, tmp_path):
+    path, drafts, formal = f"file://{tmp_path}/out", {"drafts": spark.range(2)}, {"nodes": spark.range(1)}
+    issue = lambda severity: spark.createDataFrame([("edge_self_loop", severity, "a")], "code string, severity string, object_id string")
+    assert sinks.export_reviewed(drafts, formal, issue("warning"), path) and (tmp_path / "out/nodes").exists()
+    assert not sinks.export_reviewed(drafts, formal, issue("error"), path) and not (tmp_path / "out/nodes").exists()
+    assert set(sinks.checked_bundle(spark, path)) == {"drafts", "quality"}
+
+
+def test_compressed_pdf_blocks(spark, tmp_path):
+    body = zlib.compress(b"BT /F1 10 Tf 1 0 0 1 50 700 Tm (Hel\\(lo) Tj 0 -20 Td [(W) -80 (orld)] TJ ( ) Tj ET")
+    (tmp_path / "z.pdf").write_bytes(b"%PDF-1.5\n1 0 obj << /Type /Page >> endobj\n2 0 obj << /Length " + str(len(body)).encode() + b" /Filter /FlateDecode >> stream\n" + body + b"\nendstream endobj")
+    (page,) = readers.pdf_pages(readers.files(spark, str(tmp_path))).collect()
+    assert page.text == "Hel(lo\nWorld" and [(b.block_id, b.x, b.y, b.width, b.height) for b in page.blocks] == [("native-1", 50.0, 700.0, 30.0, 10.0), ("native-2", 50.0, 680.0, 25.0, 10.0)]
+
+
 def test_recorded_models(spark):
     df = spark.createDataFrame([(1, "s", "ok"), (2, "s", "bad")], "batch_id int, system string, user string")
 
