@@ -1,7 +1,8 @@
 """Matroska media columns: EBML elements, clusters, lacing and cues as packet tables.
 
 ``mux_payloads`` stores bytes as the 8-bit PCM samples of an audio track; ``packet_table`` and
-``demux`` read any Matroska bytes, whoever wrote them.
+``demux`` read any Matroska bytes, whoever wrote them. Times are nanoseconds: ticks of the file's
+own scale, and for the further frames of a lace the track's default duration each.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +20,10 @@ from .bytescan import lean_task
 # Element ids of the Matroska specification.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
 TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID, AUDIO = 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0xE1
-SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH, TIMESTAMP_SCALE, DURATION = 0xB5, 0x9F, 0x6264, 0x2AD7B1, 0x4489
-TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0xE7, 0xA3, 0xA0, 0xA1
+SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH, TIMESTAMP_SCALE, DURATION, DEFAULT_DURATION = 0xB5, 0x9F, 0x6264, 0x2AD7B1, 0x4489, 0x23E383
+TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, REFERENCE_BLOCK = 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
+#: Nanoseconds of a tick where a file doesn't say.
+TICK = 1_000_000
 CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 DOC_TYPE, MUXING_APP, WRITING_APP = 0x4282, 0x4D80, 0x5741
 MASTERS = {SEGMENT, INFO, TRACKS, CLUSTER, CUES, TRACK_ENTRY, AUDIO, BLOCK_GROUP, CUE_POINT, CUE_POSITIONS}
@@ -67,7 +71,7 @@ def mux(payload: bytes) -> bytes:
     frames = [payload[i : i + FRAME] for i in range(0, len(payload), FRAME)]
     head = element(INFO, number(TIMESTAMP_SCALE, 1_000_000) + element(DURATION, struct.pack(">d", len(payload) * 1000 / RATE)) + element(MUXING_APP, b"graphloom") + element(WRITING_APP, b"graphloom"))
     audio = element(AUDIO, element(SAMPLING_FREQUENCY, struct.pack(">f", RATE)) + number(CHANNELS, 1) + number(BIT_DEPTH, 8))
-    head += element(TRACKS, element(TRACK_ENTRY, number(TRACK_NUMBER, 1) + number(TRACK_UID, 1) + number(TRACK_TYPE, 2) + element(CODEC_ID, b"A_PCM/INT/LIT") + audio))
+    head += element(TRACKS, element(TRACK_ENTRY, number(TRACK_NUMBER, 1) + number(TRACK_UID, 1) + number(TRACK_TYPE, 2) + number(DEFAULT_DURATION, FRAME * 1_000_000_000 // RATE) + element(CODEC_ID, b"A_PCM/INT/LIT") + audio))
     body, cues, per = [head], [], FRAMES_A_BLOCK * BLOCKS_A_CLUSTER
     at = len(head)
     for c in range(0, len(frames), per):
@@ -130,10 +134,13 @@ def lace_sizes(raw: bytes, at: int, end: int, mode: int) -> tuple[list[int], int
 
 def parse(raw: bytes) -> tuple[list[tuple], list[tuple], list[str], str]:
     """Packets, cues and codecs of a file in file order; status ok, or what is wrong, with all that precedes the fault."""
-    packets: list[tuple] = []
+    packets: list[list] = []
     cues: list[tuple] = []
     codecs: list[str] = []
     segment, cluster, clock, cue_time, cue_track = 0, 0, 0, 0, 0
+    scale, entry, group = TICK, 0, 0  # group: the first packet of the block group that is open
+    durations: dict[int, int] = {}
+    status = ""
     ends: list[tuple[int, int]] = []  # (kind, end) of the masters that are open
     at = 0
     try:
@@ -155,9 +162,20 @@ def parse(raw: bytes) -> tuple[list[tuple], list[tuple], list[str], str]:
                     segment = at
                 elif kind == CLUSTER:
                     cluster, clock = begin - segment, 0
+                elif kind == BLOCK_GROUP:
+                    group = len(packets)
                 continue
             if kind == TIMESTAMP:
                 clock = int.from_bytes(raw[at:end], "big")
+            elif kind == TIMESTAMP_SCALE:
+                scale = int.from_bytes(raw[at:end], "big") or TICK
+            elif kind == TRACK_NUMBER:
+                entry = int.from_bytes(raw[at:end], "big")
+            elif kind == DEFAULT_DURATION:
+                durations[entry] = int.from_bytes(raw[at:end], "big")
+            elif kind == REFERENCE_BLOCK:
+                for p in packets[group:]:
+                    p[4] = False  # it needs another block
             elif kind == CODEC_ID:
                 codecs.append(raw[at:end].decode("ascii", "replace"))
             elif kind == CUE_TIME:
@@ -172,12 +190,13 @@ def parse(raw: bytes) -> tuple[list[tuple], list[tuple], list[str], str]:
                 mode = flags >> 1 & 3
                 sizes, p = lace_sizes(raw, p + 3, end, mode)
                 for i, s in enumerate(sizes):
-                    packets.append((track, clock + relative, p, s, kind == BLOCK or flags >= 0x80, LACINGS[mode], i, cluster))
+                    packets.append([track, clock + relative, p, s, kind == BLOCK or flags >= 0x80, LACINGS[mode], i, cluster])
                     p += s
             at = end
     except (ValueError, IndexError, struct.error) as e:
-        return packets, cues, codecs, str(e) or "cut off"
-    return packets, cues, codecs, "ok" if segment else "no segment"
+        status = str(e) or "cut off"
+    timed = [(p[0], p[1] * scale + p[6] * durations.get(p[0], 0), *p[2:]) for p in packets]
+    return timed, [(t * scale, *c) for t, *c in cues], codecs, status or ("ok" if segment else "no segment")
 
 
 def _each(function, names: list[str], types: list[pa.DataType]):
@@ -198,7 +217,7 @@ def mux_payloads(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null text is empty: 64 zero bytes. Rows are independent, so ties and repeated rows each give
     a row, a null id stays, no rows give none, and other columns are ignored. A file depends on
-    the text alone.
+    the text alone. A text of any length is one file, made whole, and takes its size a few times.
     """
 
     def one(raw: bytes) -> tuple[int, bytes]:
@@ -233,12 +252,16 @@ def packet_table(df: DataFrame, id_col: str = "doc_id", media_col: str = "media"
 
 
 def media_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stores every text, reads it back and digests it; the feature tells of packets, clusters, lacings, length and signal."""
+    """Stores every text, reads it back and digests it; the feature tells of packets, clusters, lacings, length and signal (level, and the sum of steps from sample to sample).
+
+    Odd input as in ``mux_payloads``.
+    """
 
     def one(raw: bytes) -> tuple:
         packets, cues, codecs, status = parse(raw)
         payload = b"".join(raw[p[2] : p[2] + p[3]] for p in packets)
-        return packets, cues, codecs, status, payload, raw
+        samples = np.frombuffer(payload, np.uint8).astype(np.int16)
+        return packets, cues, codecs, status, payload, raw, int(samples.sum(dtype=np.int64)), int(np.abs(np.diff(samples)).sum(dtype=np.int64))
 
     media = mux_payloads(df, id_col, text_col).select("doc_id", F.struct("n_bytes", "media").alias("m"))
 
@@ -248,10 +271,10 @@ def media_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 part = batch.slice(lo, 500)
                 m = part.column(1)
                 rows = [one(v.as_buffer().to_pybytes()) for v in m.field("media")]
-                cols = [pa.array(c, t) for c, t in zip(zip(*rows), (_PACKET_ARROW, _CUE_ARROW, pa.list_(pa.string()), pa.string(), pa.binary(), pa.binary()))]
-                yield pa.RecordBatch.from_arrays([part.column(0), m.field("n_bytes"), *cols], names=["doc_id", "n_bytes", "packets", "cues", "codecs", "status", "payload", "media"])
+                cols = [pa.array(c, t) for c, t in zip(zip(*rows), (_PACKET_ARROW, _CUE_ARROW, pa.list_(pa.string()), pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), m.field("n_bytes"), *cols], names=["doc_id", "n_bytes", "packets", "cues", "codecs", "status", "payload", "media", "level", "steps"])
 
-    read = media.mapInArrow(lean_task(task), f"doc_id long, n_bytes long, {MEDIA}, payload binary, media binary")
+    read = media.mapInArrow(lean_task(task), f"doc_id long, n_bytes long, {MEDIA}, payload binary, media binary, level long, steps long")
     count = lambda name: F.size(F.filter("packets", lambda p: p["lacing"] == name))
     return read.select(
         "doc_id", "n_bytes",
@@ -262,6 +285,7 @@ def media_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.sha2("media", 256).alias("media_sha256"),
         F.concat_ws("|", F.col("status"), F.array_join("codecs", "+"), F.concat(F.lit("packets="), F.size("packets")), F.concat(F.lit("clusters="), F.size("cues")),
                     *(F.concat(F.lit(f"{n}="), count(n)) for n in LACINGS),
-                    F.concat(F.lit("last_ms="), F.coalesce(F.array_max(F.transform("packets", lambda p: p["timestamp"])), F.lit(0))),
+                    F.concat(F.lit("last_ns="), F.coalesce(F.array_max(F.transform("packets", lambda p: p["timestamp"])), F.lit(0))),
+                    F.concat(F.lit("level="), F.col("level")), F.concat(F.lit("steps="), F.col("steps")),
                     F.concat(F.lit("crc="), F.hex(F.crc32("payload")))).alias("feature"),
     )

@@ -146,8 +146,8 @@ def test_lacing(mode):
 
 def test_packets(spark):
     raw = media.mux(bytes(range(256)) * 200)
-    unknown = raw.replace(media.CLUSTER.to_bytes(4, "big"), media.CLUSTER.to_bytes(4, "big"))
-    packets, cues, codecs, status = media.parse(unknown)
+    packets, cues, codecs, status = media.parse(raw)
+    assert [p[1] for p in packets] == [64_000_000 * i for i in range(100)]
     assert status == "ok" and len(packets) == 100 and [c[2] for c in cues] == sorted({p[7] for p in packets}) and packets[-1][1] >= cues[-1][0]
     df = spark.createDataFrame([(1, bytearray(raw)), (2, bytearray(raw[:3000])), (3, bytearray(b"junk")), (4, None)], "doc_id long, media binary")
     got = {r.doc_id: (r.status == "ok", len(r.packets)) for r in media.demux(df).collect()}
@@ -155,6 +155,22 @@ def test_packets(spark):
     assert media.packet_table(df).where("doc_id = 1").agg(F.sum("size")).first()[0] == 256 * 200
 
 
+def test_unknown_sizes_scales_and_references():
+    whole, unknown = media.element, lambda kind, body: kind.to_bytes(4, "big") + b"\x01" + b"\xff" * 7 + body
+    tracks = whole(media.TRACKS, whole(media.TRACK_ENTRY, media.number(media.TRACK_NUMBER, 2) + media.number(media.DEFAULT_DURATION, 7)))
+    block = lambda at, flags, frames, mode: b"\x82" + at.to_bytes(2, "big") + bytes([flags | mode << 1]) + media.lace(frames, mode)
+    one = media.number(media.TIMESTAMP, 10) + whole(media.SIMPLE_BLOCK, block(1, 0x80, [b"aa", b"b", b"ccc"], 1)) + whole(media.SIMPLE_BLOCK, block(2, 0, [b"dd"], 0))
+    two = media.number(media.TIMESTAMP, 20) + whole(media.BLOCK_GROUP, whole(media.BLOCK, block(0, 0, [b"ee"], 0))) + whole(media.BLOCK_GROUP, whole(media.BLOCK, block(3, 0, [b"f", b"g"], 2)) + whole(media.REFERENCE_BLOCK, b"\xfd"))
+    body = whole(media.INFO, media.number(media.TIMESTAMP_SCALE, 500)) + tracks + unknown(media.CLUSTER, one) + unknown(media.CLUSTER, two) + whole(media.CUES, whole(media.CUE_POINT, media.number(media.CUE_TIME, 20) + whole(media.CUE_POSITIONS, media.number(media.CUE_TRACK, 2) + media.number(media.CUE_CLUSTER, 99))))
+    raw = whole(media.EBML, b"") + unknown(media.SEGMENT, body)
+    packets, cues, _, status = media.parse(raw)
+    assert status == "ok" and cues == [(10_000, 2, 99)] and len({p[7] for p in packets}) == 2
+    assert [(p[0], p[1], raw[p[2] : p[2] + p[3]], p[4], p[5]) for p in packets] == [
+        (2, 5500, b"aa", True, "xiph"), (2, 5507, b"b", True, "xiph"), (2, 5514, b"ccc", True, "xiph"), (2, 6000, b"dd", False, "none"),
+        (2, 10_000, b"ee", True, "none"), (2, 11_500, b"f", False, "fixed"), (2, 11_507, b"g", False, "fixed"),
+    ]
+
+
 def test_fingerprints(spark, docs):
     rows = fingerprint.fingerprints(frame(spark, docs)).collect()
     text = {i: t or "" for i, t in docs}
@@ -451,6 +467,7 @@ OPERATORS = {
     "op2": (lambda d: ngram_join.jaccard_components(d), 1),
     "op3": (lambda d: suffix_dedup.remove_repeated_bytes(d), 1),
     "op4": (lambda d: fingerprint.fingerprints(d), 1),
+    "op5": (lambda d: langid.identify(d, langid.fit(d.withColumn("lang", F.lit("x")))), 1),
     "op7": (lambda d: token_counts.token_counts(d, queries.tokenizer_file("piece_bpe_32k.model")), 1),
     "op8": (lambda d: packing.pack_documents(d, queries.tokenizer_file("word_bpe_49k.json")), 1),
     "op9": (lambda d: substring_dedup.remove_repeats(d), 1),
@@ -462,11 +479,13 @@ OPERATORS = {
 def test_odd_tables(name, spark):
     """Empty tables, nulls in all columns, repeated rows, and columns with names that operators use."""
     run, _ = OPERATORS[name]
-    schema = "doc_id long, text string, source string, part int, blob binary, kept string, n_words int, range int, __maybe boolean"
+    schema = "doc_id long, text string, source string, part int, blob binary, kept string, n_words int, range int, __maybe boolean, row int, tag int, found string"
     assert run(spark.createDataFrame([], schema)).count() == 0
-    extra = (1, bytearray(b"x"), "k", 2, 3, True)
-    rows = [(5, "a b c d e f g", "s", *extra), (5, "a b c d e f g", "s", *extra), (None, None, None, *(None,) * 6), (7, None, None, *extra), (8, "x", "s", *extra)]
+    extra = (1, bytearray(b"x"), "k", 2, 3, True, 4, 5, "f")
+    rows = [(5, "a b c d e f g", "s", *extra), (5, "a b c d e f g", "s", *extra), (None, None, None, *(None,) * 9), (7, None, None, *extra), (8, "x", "s", *extra)]
     assert run(spark.createDataFrame(rows, schema)).count() == len(rows)
+    nulls = [(None,) * 12] * 3
+    assert run(spark.createDataFrame(nulls, schema)).count() == 3
 
 
 def test_rolling_hash_of_spans():
