@@ -139,6 +139,33 @@ def start_nodes(scores: DataFrame) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).where("rank = 1").select("chapter", "node_id")
 
 
+def spread_isolated(ranks: DataFrame) -> DataFrame:
+    """ranks (group, node_id, rank, ord, linked) with nodes that no relation links spread over the ranks of their group, by their place ord in it; halves go to the even rank."""
+    w = Window.partitionBy("group")
+    rows = ranks.withColumn("top", F.max("rank").over(w)).withColumn("n", F.count(F.lit(1)).over(w))
+    spread = F.least(F.col("top"), F.bround(F.col("ord") / F.greatest(F.lit(1), F.col("n") - 1) * F.col("top"), 0).cast("int"))
+    return rows.withColumn("rank", F.when(~F.col("linked") & (F.col("top") > 0) & (F.col("n") > 1), spread).otherwise(F.col("rank"))).drop("top", "n")
+
+
+def ordered_ranks(ranks: DataFrame, edges: DataFrame) -> DataFrame:
+    """(group, node_id, rank, place): the order inside each rank of ranks (group, node_id, rank, ord): by the mean place of the predecessors in ranks before, over edges (group, a, b); those without any come last, equal ones by ord.
+
+    A rank follows from those before it, so there is a round of joins for each.
+    """
+    top = ranks.agg(F.max("rank")).first()[0]
+    placed = None
+    for k in range(0 if top is None else top + 1):
+        here = ranks.where(F.col("rank") == k)
+        if placed is None:
+            mean = here.select("group", "node_id", F.lit(None).cast("double").alias("mean"))
+        else:
+            mean = edges.join(placed.select("group", F.col("node_id").alias("a"), "place"), ["group", "a"]).groupBy("group", F.col("b").alias("node_id")).agg(F.avg("place").alias("mean"))
+        order = Window.partitionBy("group").orderBy(F.col("mean").asc_nulls_last(), "ord")
+        new = here.join(mean, ["group", "node_id"], "left").select("group", "node_id", "rank", (F.row_number().over(order) - 1).alias("place"))
+        placed = stored(new if placed is None else placed.unionByName(new), "places")
+    return placed if placed is not None else ranks.select("group", "node_id", "rank", F.lit(0).alias("place"))
+
+
 PLAN = "chapter string, node_id string, place string, parent string, position long"
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import layout as L
 from ..operators import merge as M
 from ..operators import projection as V
 from ..operators import publishing as B
@@ -223,12 +224,16 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
     return E.windowed(A.table(spark, d, "events")).select("window_start", "event_type", "n", F.round("total", 6).alias("total"))
 
 
+def event_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return L.percentile(A.table(spark, d, "events"), "event_type", "value", 0.95)
+
+
 def streamed_event_windows(spark: SparkSession, d: str) -> DataFrame:
     """The same windows from a stream that is read to its end."""
     return E.drained(spark, f"{d}/events.parquet").select("window_start", "event_type", "n", F.round("total", 6).alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (integrity_report, document_quality, projection_ledger, projection_issues, publish_preflight, publish_status, membership_choice, quality_report, quality_rollup, three_way_merge, merge_outcomes, field_baseline_hash, document_fingerprint, command_log_fold, stale_commands, undo_state, command_history, bulk_accept, archive_cascade, publish_counts, publish_ancestors, publish_selection, membership_status, hidden_cards, command_verdicts, view_states, event_windows, streamed_event_windows)}
+QUERIES = {f.__name__: f for f in (integrity_report, document_quality, projection_ledger, projection_issues, publish_preflight, publish_status, membership_choice, quality_report, quality_rollup, three_way_merge, merge_outcomes, field_baseline_hash, document_fingerprint, command_log_fold, stale_commands, undo_state, command_history, bulk_accept, archive_cascade, publish_counts, publish_ancestors, publish_selection, membership_status, hidden_cards, command_verdicts, event_percentiles, view_states, event_windows, streamed_event_windows)}
 
 DOCUMENT_SQL = r"""
   nodes AS (SELECT 'n' || CAST(n_nationkey AS VARCHAR) AS node_id, CASE WHEN n_nationkey % 11 = 5 THEN 'archived' ELSE 'active' END AS lifecycle_state, CASE WHEN n_nationkey % 7 = 3 THEN 'pending' ELSE 'accepted' END AS review_status FROM nation
@@ -380,5 +385,6 @@ ORACLE_SQL = {
       s AS (SELECT user_id, event_type, max(value) AS value FROM events WHERE event_id < 1000 GROUP BY ALL)
       SELECT user_id, event_type, value, event_id FROM c WHERE k = 1 UNION ALL SELECT s.user_id, s.event_type, s.value, -1 FROM s WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.user_id = s.user_id AND c.event_type = s.event_type)""",
     "event_windows": WINDOWS_SQL,
+    "event_percentiles": "SELECT event_type, round(value, 3) AS value FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events) q WHERE k = greatest(1, least(n, CAST(ceil(n * 0.95::DOUBLE) AS BIGINT)))",
     "streamed_event_windows": WINDOWS_SQL,
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import canonical as C
+from ..operators import completion as K
 from ..sources import adapters as A
 
 NODES_SQL = r"""
@@ -175,9 +176,55 @@ RELATIONS_SQL = r"""
   families AS (SELECT r.*, CASE WHEN relation_type <> 'contains' THEN 'semantic' WHEN a.node_id IS NOT NULL AND b.node_id IS NOT NULL THEN 'structure' WHEN a.node_id IS NOT NULL THEN 'membership' ELSE 'unresolved' END AS family
     FROM r LEFT JOIN scopes a ON a.node_id = r.source_id LEFT JOIN scopes b ON b.node_id = r.target_id)"""
 
-QUERIES = {f.__name__: f for f in (mention_canonicalize, alias_mapping, node_id_collision, type_normalize_counts, relation_profile, relation_consolidate, relation_unresolved, draft_dedup_merge, reference_resolution, subject_metadata, evidence_sanitize, evidence_anchors, formal_edges, family_classification, migrated_relations)}
+def _completion(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """An order's claims as a model's answer; first claims are seeds already; a quarter of the parts, and some pages, aren't known."""
+    c = A.local_claims(spark, d).withColumn("ref", F.concat(F.lit("page:"), (F.col("source_key") % 97).cast("string")))
+    ends = [F.col("source_key").cast("string").alias("source_node_id"), F.col("target_key").cast("string").alias("target_node_id")]
+    answers = c.groupBy(F.col("order_key").alias("answer_id")).agg(F.to_json(F.array_sort(F.collect_list(F.struct("line", *ends, "relation_type", F.array("ref").alias("evidence_refs"), "confidence")))).alias("answer"))
+    first = c.where("line = 1").select(*ends, T.relation_type(F.col("relation_type")).alias("relation_type"), "ref", "confidence")
+    seeds = first.groupBy("source_node_id", "relation_type", "target_node_id").agg(F.first("ref").alias("ref"), F.min("confidence").alias("confidence"))
+    text = lambda v, name: F.lit(v).alias(name)
+    seeds = seeds.select("source_node_id", "relation_type", "target_node_id", text("explicit", "evidence_type"), text("same_page", "inference_scope"), F.array("ref").alias("evidence_refs"), text("", "evidence_text"), "confidence", text("", "reasoning_summary"), text("seed", "relation_source"), text("accepted", "review_status"))
+    part = A.table(spark, d, "part")
+    refs = part.where("p_partkey % 97 % 3 <> 0").select(F.concat(F.lit("page:"), (F.col("p_partkey") % 97).cast("string")).alias("evidence_ref"))
+    return K.completed(seeds, answers, part.where("p_size % 4 <> 1").select(F.col("p_partkey").cast("string").alias("node_id")), refs)
+
+
+def completed_relations(spark: SparkSession, d: str) -> DataFrame:
+    relations, _ = _completion(spark, d)
+    return relations.select("source_node_id", "relation_type", "target_node_id", "relation_source", "review_status", F.round("confidence", 6).alias("confidence"), F.array_join("evidence_refs", "|").alias("evidence_refs"))
+
+
+def completion_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    return _completion(spark, d)[1]
+
+
+def manual_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers for parts' names beside those that every third part has taken."""
+    p = A.table(spark, d, "part")
+    used = p.where("p_partkey % 3 = 0").select(F.concat_ws("_", F.lit("math_manual"), F.translate(F.lower("p_name"), " ", "_"), (F.col("p_partkey") % 5 + 1).cast("string")).alias("node_id"))
+    return C.manual_ids(p.select(F.col("p_name").alias("display_name"), F.col("p_partkey").alias("ord")), used, "math").select("ord", "node_id")
+
+
+QUERIES = {f.__name__: f for f in (completed_relations, completion_diagnostics, manual_ids, mention_canonicalize, alias_mapping, node_id_collision, type_normalize_counts, relation_profile, relation_consolidate, relation_unresolved, draft_dedup_merge, reference_resolution, subject_metadata, evidence_sanitize, evidence_anchors, formal_edges, family_classification, migrated_relations)}
+
+COMPLETION_SQL = f"""WITH {CLAIMS_SQL},
+  raw AS (SELECT CAST(source_key AS VARCHAR) AS s, relation_type AS t, CAST(target_key AS VARCHAR) AS g, confidence, ord, line, 'page:' || CAST(source_key % 97 AS VARCHAR) AS ref, source_key % 97 IN (SELECT p_partkey % 97 FROM part WHERE p_partkey % 97 % 3 <> 0) AS told,
+    source_key <> target_key AND source_key IN (SELECT p_partkey FROM part WHERE p_size % 4 <> 1) AND target_key IN (SELECT p_partkey FROM part WHERE p_size % 4 <> 1) AS fits FROM claims),
+  seeds AS (SELECT s, t, g, min(ref) AS ref, min(confidence) AS confidence FROM raw WHERE line = 1 GROUP BY s, t, g),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY s, t, g ORDER BY ord DESC) AS k FROM raw WHERE fits),
+  final AS (SELECT s, t, g, 'llm_relation_completion' AS origin, CASE WHEN told THEN 'pending' ELSE 'needs_expert_review' END AS status, confidence, CASE WHEN told THEN ref ELSE '' END AS refs FROM ranked WHERE k = 1
+    UNION ALL SELECT s, t, g, 'seed', 'accepted', confidence, ref FROM seeds x WHERE NOT EXISTS (SELECT 1 FROM ranked r WHERE r.s = x.s AND r.t = x.t AND r.g = x.g))"""
 
 ORACLE_SQL = {
+    "completed_relations": f"{COMPLETION_SQL} SELECT s AS source_node_id, t AS relation_type, g AS target_node_id, origin AS relation_source, status AS review_status, round(confidence, 6) AS confidence, refs AS evidence_refs FROM final",
+    "completion_diagnostics": f"""{COMPLETION_SQL} SELECT 'raw_relation_count' AS name, count(*) AS n FROM raw UNION ALL SELECT 'invalid_endpoint_or_type_count', count(*) FROM raw WHERE NOT fits UNION ALL SELECT 'filtered_evidence_ref_count', count(*) FROM raw WHERE fits AND NOT told
+      UNION ALL SELECT 'seed_relation_count', count(*) FROM seeds UNION ALL SELECT 'final_relation_count', count(*) FROM final UNION ALL SELECT 'final_type:' || t, count(*) FROM final GROUP BY t
+      UNION ALL SELECT 'raw_type:' || CASE t WHEN 'progressive' THEN 'sequence' WHEN 'derives_to' THEN 'derived_from' WHEN 'explains' THEN 'related' ELSE t END, count(*) FROM raw GROUP BY t""",
+    "manual_ids": """WITH p AS (SELECT p_partkey AS ord, 'math_manual_' || replace(lower(p_name), ' ', '_') AS base, p_partkey % 3 = 0 AS taken, p_partkey % 5 + 1 AS n FROM part),
+      wanted AS (SELECT ord, base, row_number() OVER (PARTITION BY base ORDER BY ord) AS r FROM p), taken AS (SELECT DISTINCT base, n FROM p WHERE taken),
+      numbers AS (SELECT base, unnest(range(1, k + 6)) AS n FROM (SELECT base, count(*) AS k FROM p GROUP BY base) q), free AS (SELECT base, n, row_number() OVER (PARTITION BY base ORDER BY n) AS r FROM numbers a WHERE NOT EXISTS (SELECT 1 FROM taken t WHERE t.base = a.base AND t.n = a.n))
+      SELECT ord, w.base || '_' || CAST(f.n AS VARCHAR) AS node_id FROM wanted w JOIN free f ON f.base = w.base AND f.r = w.r""",
     "mention_canonicalize": f"WITH {NODES_SQL} SELECT node_id, display_name, node_type, chapter, member_count, confidence, aliases, source_ids FROM canonical",
     "alias_mapping": f"""WITH {NODES_SQL},
       joined AS (SELECT n.*, c.node_id, c.member_count FROM nodes n JOIN canonical c ON n.mention = c.mention AND n.node_type = c.node_type AND n.chapter_key = c.chapter_key),

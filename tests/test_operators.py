@@ -182,3 +182,61 @@ def test_reading_order_comes_from_the_text(spark):
     kids = spark.createDataFrame([("p", "k1", "subtract"), ("p", "k2", "Divide"), ("p", "k3", "missing"), ("q", "k4", "only child")], "parent_id string, child_id string, name string")
     assert rows(R.reading_sequences(kids, anchors)) == [("p", "k1", 2, "evidence_backed"), ("p", "k2", 1, "evidence_backed"), ("p", "k3", None, "unavailable")]
     assert [R.ordinal(x) for x in ("12", "③", "十", "二十一", "第四", "x")] == [12, 3, 10, 21, 4, 0]
+
+
+def test_places_inside_ranks(spark):
+    ranks = spark.createDataFrame([("g", "a", 0, 0), ("g", "b", 0, 1), ("g", "c", 1, 2), ("g", "d", 1, 3), ("g", "e", 1, 4), ("g", "f", 2, 5)], "`group` string, node_id string, rank int, ord int")
+    edges = spark.createDataFrame([("g", "b", "c"), ("g", "a", "d"), ("g", "d", "f")], "`group` string, a string, b string")
+    assert rows(G.ordered_ranks(ranks, edges).where("rank = 1").select("node_id", "place")) == [("c", 1), ("d", 0), ("e", 2)]
+    loose = ranks.withColumn("linked", F.col("node_id") != "e")
+    assert rows(G.spread_isolated(loose).where("node_id = 'e'").select("rank")) == [(2,)]
+
+
+def test_edge_classes(spark):
+    e = spark.createDataFrame([("e1", "semantic", "prerequisite", "a", "b"), ("e2", "semantic", "derives_to", "b", "a"), ("e3", "semantic", "contrast", "a", "b"), ("e4", "semantic", "parallel", "a", "c"), ("e5", "semantic", "explains", "a", "c"), ("e6", "semantic", "explains", "c", "d"), ("e7", "unresolved", "contains", "a", "d"), ("e8", "semantic", "explains", "a", "x"), ("e9", "semantic", "explains", "d", "x2")], "edge_id string, relation_family string, relation_type string, source_id string, target_id string")
+    scopes = spark.createDataFrame([("a", "s1"), ("b", "s1"), ("c", "s1"), ("d", "s2"), ("x", "s9"), ("x2", "s2")], "node_id string, scope_id string")
+    parents = spark.createDataFrame([("s1", "top"), ("s2", "top")], "child string, parent string")
+    got = {r.edge_id: r["class"] for r in L.edge_classes(e, scopes, parents).collect()}
+    assert got == {"e1": "semantic_cycle", "e2": "semantic_cycle", "e3": "symmetry_conflict", "e4": "symmetry_conflict", "e5": "rank_enforced", "e6": "cross_scope", "e7": "unresolved_semantics", "e8": "order_conflict", "e9": "rank_enforced"}
+    assert [r.view_id for r in L.route_order(spark.createDataFrame([("g", "v1", "derives_to", "semantic"), ("g", "v2", "contains", "unresolved"), ("g", "v3", "contains", "semantic"), ("g", "v4", "what", "semantic")], "`group` string, view_id string, relation_type string, relation_family string")).orderBy("place").collect()] == ["v3", "v2", "v4", "v1"]
+
+
+def test_geometry_rules(spark):
+    box = "`group` string, node_id string, x double, y double, width double, height double"
+    b = spark.createDataFrame([("g", "p", 0.0, 0.0, 100.0, 100.0), ("g", "k", 10.0, 10.0, 20.0, 20.0), ("g", "out", 90.0, 90.0, 20.0, 20.0)], box)
+    kids = spark.createDataFrame([("k", "p"), ("out", "p"), ("lost", "p")], "child string, parent string")
+    assert rows(L.nesting_issues(kids, b)) == [("geometry_child_out_of_bounds", "out"), ("layout_coordinate_missing", "lost")]
+    edges = spark.createDataFrame([("e1", "k", "out"), ("e2", "k", "lost"), ("e3", "p", "k")], "edge_id string, source_id string, target_id string")
+    assert rows(L.route_issues(edges, b, spark.createDataFrame([("e1", "routed"), ("e3", "failed")], "edge_id string, status string"))) == [("edge_route_failed", "e3"), ("edge_route_missing_endpoint", "e2")]
+    arrows = spark.createDataFrame([("g", "e1", 25.0, 25.0, 4.0, 4.0), ("g", "e2", 300.0, 0.0, 4.0, 4.0)], "`group` string, edge_id string, x double, y double, width double, height double")
+    assert rows(L.arrow_occlusions(arrows, b)) == [("e1", "k"), ("e1", "p")]
+
+
+def test_completion_groups(spark):
+    from graphloom.operators import completion as K
+
+    n = spark.createDataFrame([("n1", "One", ["p1#b"], 1), ("n2", "One", [], 2), ("n3", "Two", [], 3), ("n4", "Two", [], 4), ("n5", "Three", [], 5)], "node_id string, chapter string, evidence_refs array<string>, ord int")
+    pages = spark.createDataFrame([("p1", 1), ("p2", 2), ("p3", 3)], "page_id string, page_index int")
+    titles = spark.createDataFrame([("Chapter Two", 2, 3, 0)], "title string, start_page int, end_page int, ord int")
+    members, found = K.completion_groups(n, pages, titles)
+    assert rows(members.select("chapter_key", "node_id")) == [("one", "n1"), ("one", "n2"), ("two", "n3"), ("two", "n4")]
+    assert rows(found.select("chapter_key", "page_id", "place")) == [("one", "p1", 0), ("two", "p2", 0), ("two", "p3", 1)]
+    alone = K.completion_groups(n.where("chapter = 'Two'"), pages, titles.where("ord > 0"))[1]
+    assert alone.count() == 3
+    p = spark.createDataFrame([("p1", 1, "1", "ok", False, "text", [("b", "said", 0.5, [0.0])]), ("p2", 2, "2", "ok", False, "text", [])], "page_id string, page_index int, printed_page_number string, ocr_status string, requires_visual_review boolean, source_text string, blocks array<struct<block_id:string,text:string,confidence:double,bbox:array<double>>>")
+    got = {r.page_id: r.payload for r in K.page_payloads(p).collect()}
+    assert '"text":"","blocks":[{"evidence_ref":"p1#b","text":"said"' in got["p1"] and '"text":"text","blocks":[]' in got["p2"]
+
+
+def test_documents_take_each_others_place(spark):
+    d = spark.createDataFrame([("node", "a", "name", "x")], "record_type string, object_id string, field_name string, value string")
+    assert S.replaced(d, d, 3, 3)[1] == 3 and S.replaced(d, d.withColumn("value", F.lit("y")), 3, 3)[1] == 4
+    with pytest.raises(ValueError, match="revision"):
+        S.replaced(d, d, 3, 2)
+    change = spark.createDataFrame([("node", "a", "name", "x", "x", "z", "change")], "record_type string, object_id string, field_name string, base string, local string, remote string, outcome string")
+    values, revision = M.revised(d, change, 3, 3)
+    assert revision == 4 and values.first().value == "z"
+    with pytest.raises(ValueError, match="conflicts"):
+        M.revised(d, change.withColumn("outcome", F.lit("conflict")), 3, 3)
+    names = spark.createDataFrame([("c", "Sub"), ("p", "Top")], "node_id string, display_name string")
+    assert rows(H.written_back(names, spark.createDataFrame([("c", "p")], "child string, parent string"))) == [("c", "Sub", "p", "Top"), ("p", "Top", "", "")]
