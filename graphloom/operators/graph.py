@@ -8,26 +8,39 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vocab
-from ..storage import stored
+from ..storage import measured, stored
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node_id, component): the smallest node reachable over edges (a, b), whatever their direction. Hooks and pointer doubling; edges are contracted each round."""
-    labels = nodes.select("node_id").distinct().withColumn("component", F.col("node_id"))
-    rest = edges.select("a", "b").where("a <> b").distinct()
-    while not rest.isEmpty():
+def linked(edges: DataFrame) -> DataFrame:
+    """(v, label): the smallest vertex reachable from each vertex of edges (a, b), whatever their direction.
+
+    Each round hooks every vertex to its smallest neighbour, shortens the chains by doubling, and
+    contracts the edges; a few rounds suffice, as at least half of the vertices with edges go.
+    """
+    labels = None
+    rest, seen = measured(edges.select("a", "b").where("a <> b").distinct(), "edges", n=F.count(F.lit(1)))
+    while seen["n"]:
         both = rest.select(F.col("a").alias("v"), F.col("b").alias("u")).union(rest.select("b", "a"))
-        up = stored(both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("top")), "hooks")
+        up = stored(both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("label")), "hooks")
         while True:
-            over = up.select(F.col("v").alias("top"), F.col("top").alias("over"))
-            moved = stored(up.join(over, "top").select("v", F.col("over").alias("top"), (F.col("over") != F.col("top")).alias("moved")), "chains")
-            up = moved.select("v", "top")
-            if moved.where("moved").isEmpty():
+            step = lambda df, to: df.select(F.col("v").alias("label"), F.col("label").alias(to))
+            two = up.join(step(up, "two"), "label").select("v", F.col("two").alias("label"))
+            four = two.join(step(two, "four"), "label").select("v", F.col("four").alias("label"), (F.col("four") != F.col("label")).alias("moved"))
+            up, moved = measured(four, "chains", n=F.count_if("moved"))
+            up = up.select("v", "label")
+            if not moved["n"]:
                 break
-        labels = stored(labels.join(up.withColumnRenamed("v", "component"), "component", "left").select("node_id", F.coalesce("top", "component").alias("component")), "labels")
-        a, b = up.select(F.col("v").alias("a"), F.col("top").alias("ta")), up.select(F.col("v").alias("b"), F.col("top").alias("tb"))
-        rest = stored(rest.join(a, "a").join(b, "b").where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "edges")
-    return labels
+        over = up.select(F.col("v").alias("label"), F.col("label").alias("top"))
+        labels = up if labels is None else stored(labels.join(over, "label", "left").select("v", F.coalesce("top", "label").alias("label")), "labels")
+        a, b = up.select(F.col("v").alias("a"), F.col("label").alias("la")), up.select(F.col("v").alias("b"), F.col("label").alias("lb"))
+        rest, seen = measured(rest.join(a, "a").join(b, "b").where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), "edges", n=F.count(F.lit(1)))
+    return labels if labels is not None else rest.select(F.col("a").alias("v"), F.col("b").alias("label"))
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node_id, component): the smallest node reachable over edges (a, b), whatever their direction."""
+    found = linked(edges).select(F.col("v").alias("node_id"), F.col("label").alias("component"))
+    return nodes.select("node_id").distinct().join(found, "node_id", "left").select("node_id", F.coalesce("component", "node_id").alias("component"))
 
 
 def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -59,13 +72,12 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def _trimmed(edges: DataFrame) -> DataFrame:
     """The edges (a, b) left when nodes without in- or out-edges have gone, again and again: such nodes are on no cycle."""
-    edges = stored(edges, "trimmed")
-    n = edges.count()
-    while n:
+    edges, seen = measured(edges, "trimmed", n=F.count(F.lit(1)))
+    while seen["n"]:
         entered, left = edges.select(F.col("b").alias("a")).distinct(), edges.select(F.col("a").alias("b")).distinct()
-        edges = stored(edges.join(entered, "a", "left_semi").join(left, "b", "left_semi").select("a", "b"), "trimmed")
-        before, n = n, edges.count()
-        if n == before:
+        before = seen["n"]
+        edges, seen = measured(edges.join(entered, "a", "left_semi").join(left, "b", "left_semi").select("a", "b"), "trimmed", n=F.count(F.lit(1)))
+        if seen["n"] == before:
             break
     return edges
 
@@ -74,24 +86,26 @@ def _spread(values: DataFrame, edges: DataFrame) -> DataFrame:
     """(node_id, c): the smallest value c of any node from which edges (a, b) lead to this one."""
     while True:
         got = edges.join(values.withColumnRenamed("node_id", "a"), "a").groupBy("b").agg(F.min("c").alias("m"))
-        nxt = stored(values.join(got.withColumnRenamed("b", "node_id"), "node_id", "left").select("node_id", F.least("c", F.coalesce("m", "c")).alias("c"), (F.coalesce("m", "c") < F.col("c")).alias("moved")), "spread")
+        nxt, seen = measured(values.join(got.withColumnRenamed("b", "node_id"), "node_id", "left").select("node_id", F.least("c", F.coalesce("m", "c")).alias("c"), (F.coalesce("m", "c") < F.col("c")).alias("moved")), "spread", n=F.count_if("moved"))
         values = nxt.select("node_id", "c")
-        if nxt.where("moved").isEmpty():
+        if not seen["n"]:
             return values
 
 
-def longest_ranks(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """(node_id, rank): length of the longest path of edges (a, b) that ends in each node. The edges must have no cycle.
+def longest_ranks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node_id, rank): length of the longest path of edges (a, b) that ends in each node. A cycle is an error.
 
-    Each round only nodes that moved push their successors, so a round's cost follows what changed.
+    Each round only nodes that moved push their successors, so a round's cost follows what
+    changed. Without a cycle no path has more edges than there are nodes with one.
     """
     ranks = nodes.select("node_id").distinct().withColumn("rank", F.lit(0))
     moved = ranks
-    for _ in range(max_rounds):
+    most = edges.agg(F.count_distinct("a").alias("n")).first()["n"]
+    for _ in range(most + 1):
         push = edges.join(moved.withColumnRenamed("node_id", "a"), "a").groupBy("b").agg((F.max("rank") + 1).alias("r")).withColumnRenamed("b", "node_id")
-        nxt = stored(ranks.join(push, "node_id", "left").select("node_id", F.greatest("rank", F.coalesce("r", "rank")).alias("rank"), (F.coalesce("r", "rank") > F.col("rank")).alias("moved")), "ranks")
+        nxt, seen = measured(ranks.join(push, "node_id", "left").select("node_id", F.greatest("rank", F.coalesce("r", "rank")).alias("rank"), (F.coalesce("r", "rank") > F.col("rank")).alias("moved")), "ranks", n=F.count_if("moved"))
         ranks, moved = nxt.select("node_id", "rank"), nxt.where("moved").select("node_id", "rank")
-        if moved.isEmpty():
+        if not seen["n"]:
             return ranks
     raise ValueError("the edges have a cycle")
 

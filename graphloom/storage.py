@@ -5,9 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _own: list[str] = []
+_written: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,4 +27,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df in the shared folder and reads it again: the lineage is cut, and what was written survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/graphloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def measured(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """stored(), and aggregates over the rows that come of the same job."""
+    seen = Observation()
+    out = stored(df.observe(seen, *(c.alias(k) for k, c in metrics.items())), name)
+    return out, seen.get
+
+
+def discard_stored(spark: SparkSession) -> int:
+    """Deletes all that this driver has stored so far, and says how many tables. For the end of a job: what still reads them fails afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    gone = 0
+    while _written:
+        p = path(_written.pop())
+        gone += p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return gone
