@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import linked
 from .bytescan import U64, chunks, lean, lean_pair, lean_task, mix, powers, prefix_sums, ragged, runs, word_hashes, words
 from .exchange import BLOBS, buckets, deal, doc_bucket, gather, id_filter, small_batches, stored, stored_lean, table, with_maybe
 from .repeats import FLUSH, KINDS, kind_batch
@@ -278,14 +279,19 @@ def star_pairs(lists_: DataFrame) -> DataFrame:
     return both.select(F.least("doc", "l.doc").alias("a"), F.greatest("doc", "l.doc").alias("b")).distinct()
 
 
-def apart_pairs(lists_: DataFrame, labels: DataFrame) -> DataFrame:
+#: Tasks' worth of lists for each bucket, so that the many lists of one family of near copies don't meet in one.
+LIST_DEALS = 8
+
+
+def apart_pairs(lists_: DataFrame, labels: DataFrame, n: int) -> DataFrame:
     """(a, b): pairs of one long list that may link and are in different components so far."""
     rows = lists_.join(labels.withColumnRenamed("v", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
     mixed = rows.groupBy("part", "low").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("part", "low")
     rows = rows.join(mixed, ["part", "low"])
 
     def pairs(t: pa.Table) -> pa.Table:
-        low, docs, light, size, label = (t.column(c).to_numpy() for c in ("low", "doc", "light", "size", "label"))
+        part, low, docs, light, size, label = (t.column(c).to_numpy() for c in ("part", "low", "doc", "light", "size", "label"))
+        low = part << 32 | low
         o = np.argsort(low)
         low, docs, light, size, label = (c[o] for c in (low, docs, light, size, label))
         # A count that doesn't fit bounds nothing.
@@ -304,7 +310,8 @@ def apart_pairs(lists_: DataFrame, labels: DataFrame) -> DataFrame:
         got = np.unique(np.concatenate(found, 1), axis=1) if found else np.zeros((2, 0), np.int64)
         return pa.table([pa.array(got[0]), pa.array(got[1])], names=["a", "b"])
 
-    return rows.groupBy("part").applyInArrow(lean(pairs), "a long, b long").distinct()
+    dealt = rows.withColumn("deal", F.pmod(F.xxhash64("part", "low"), F.lit(LIST_DEALS * n)))
+    return dealt.groupBy("deal").applyInArrow(lean(pairs), "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -323,31 +330,6 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return left.select("a", "b", "x", "y").mapInArrow(lean_task(test), "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(v, label): the smallest vertex reachable from each vertex of edges (a, b).
-
-    Each round hooks every vertex to its smallest neighbour, shortens the chains by doubling, and
-    contracts the edges; a few rounds suffice, as at least half of the vertices with edges go.
-    """
-    labels = None
-    while not edges.isEmpty():
-        both = edges.select(F.col("a").alias("v"), F.col("b").alias("u")).union(edges.select("b", "a"))
-        up = stored(both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("label")), "hooks")
-        while True:
-            over = up.select(F.col("v").alias("label"), F.col("label").alias("top"))
-            further = stored(up.join(over, "label", "left").select("v", F.coalesce("top", "label").alias("label"), (F.coalesce("top", "label") != F.col("label")).alias("moved")), "chains")
-            up = further.select("v", "label")
-            if further.where("moved").isEmpty():
-                break
-        if labels is None:
-            labels = up
-        else:
-            labels = stored(labels.join(up.select(F.col("v").alias("label"), F.col("label").alias("top")), "label", "left").select("v", F.coalesce("top", "label").alias("label")), "labels")
-        a, b = up.select(F.col("v").alias("a"), F.col("label").alias("la")), up.select(F.col("v").alias("b"), F.col("label").alias("lb"))
-        edges = stored(edges.join(a, "a").join(b, "b").where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), "contracted")
-    return labels if labels is not None else edges.select(F.col("a").alias("v"), F.col("b").alias("label"))
-
-
 def _band(size: Column) -> Column:
     return F.size(F.filter(F.array(*(F.lit(int(e)) for e in EDGES[EDGES < 2**31])), lambda e: e <= size)) - 1
 
@@ -409,11 +391,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     with small_batches(spark, 400):
         links = stored(verified(pairs.union(fine).union(star_pairs(long_lists)).distinct(), sets), "links")
-    labels = components(links)
+    labels = linked(links)
     with small_batches(spark, 400):
-        more = stored(verified(apart_pairs(long_lists, labels), sets), "more-links")
+        more = stored(verified(apart_pairs(long_lists, labels, n), sets), "more-links")
     if not more.isEmpty():
-        labels = components(links.union(more))
+        labels = linked(links.union(more))
     return source.select("doc_id").join(one, "doc_id", "left").join(labels.withColumnRenamed("v", "set_id").withColumnRenamed("label", "linked"), "set_id", "left").select(
         "doc_id", F.coalesce("size", F.lit(0)).alias("n_shingles"), F.coalesce("linked", "set_id").alias("component_id"), "set_id"
     )
