@@ -60,6 +60,21 @@ def edge_scope(c: Column) -> Column:
     return F.when(t == "contains", "hierarchy").when(t.isin(*vocab.BACKBONE), "learning_path").otherwise("semantic")
 
 
+def display_spec(family: Column, kind: Column) -> Column:
+    """struct (key, label, stroke, line_width, dash, arrow_mode, directional, semantics_pending): how a relation is drawn; a type that isn't known is named as it was given."""
+
+    def spec(key: str, v: tuple, pending: bool, label: Column | None = None) -> Column:
+        text, stroke, width, dash, arrows, directed = v
+        return F.struct(F.lit(key).alias("key"), (F.lit(text) if label is None else label).alias("label"), F.lit(stroke).alias("stroke"), F.lit(width).alias("line_width"), F.array(*map(F.lit, dash)).cast("array<int>").alias("dash"), F.lit(arrows).alias("arrow_mode"), F.lit(directed).alias("directional"), F.lit(pending).alias("semantics_pending"))
+
+    raw, normal = trimmed(F.coalesce(kind, F.lit(""))), relation_type(kind)
+    unknown = F.when(raw != "", F.concat(F.lit("未知关系〔"), raw, F.lit("〕"))).otherwise(F.lit(vocab.DISPLAY_UNKNOWN[0]))
+    out = F.when((family == "unresolved") & (normal == "contains"), spec("unresolved_contains", vocab.DISPLAY_UNRESOLVED, True))
+    for key, v in vocab.DISPLAY.items():
+        out = out.when(normal == key, spec(key, v, False))
+    return out.otherwise(spec("unknown", vocab.DISPLAY_UNKNOWN, True, unknown))
+
+
 def progress_mode(c: Column) -> Column:
     return lookup(F.lower(trimmed(c)), vocab.PROGRESS_MODES, "off")
 
