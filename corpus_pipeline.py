@@ -28,8 +28,9 @@ def _small_batches(spark: SparkSession) -> None:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without text or letters go; a missing language is filled in."""
     _small_batches(spark)
-    found = langid.identify(docs, langid.fit(docs)).where(F.col("lang_pred") != "und")
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    found = langid.identify(rows, langid.fit(docs), text_col="row.text").where(F.col("lang_pred") != "und")
+    return found.select(*(F.coalesce("row.lang", "lang_pred").alias("lang") if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,13 +38,13 @@ def test_nothing_comes_of_nothing(spark, tmp_path):
 
 
 def test_other_columns_come_along(spark):
-    rows = [(1, "ein Haus und ein Baum", "de", "a", 21, 1, "x", True, 7, b"z"), (2, "ein Haus und ein Baum", "de", "a", 21, 2, "x", True, 7, b"z"), (3, "the cat sat on the mat", None, None, 22, 3, None, None, None, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row int, kept string, __maybe boolean, position int, tag binary")
+    rows = [(1, "ein Haus und ein Baum", "de", "a", 21, 1, "x", True, 7, b"z", 0.5, "p"), (2, "ein Haus und ein Baum", "de", "a", 21, 2, "x", True, 7, b"z", 0.5, "p"), (3, "the cat sat on the mat", None, None, 22, 3, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row int, kept string, __maybe boolean, position int, tag binary, score double, lang_pred string")
     kept = docs
     for _, stage in pipeline.STAGES[:4]:
         kept = stage(spark, kept, "")
         assert kept.columns == docs.columns
-    assert sorted((r.doc_id, r.row, r.kept, r.position) for r in kept.collect()) == [(1, 1, "x", 7), (3, 3, None, None)]
+    assert sorted((r.doc_id, r.row, r.kept, r.position, r.score, r.lang_pred) for r in kept.collect()) == [(1, 1, "x", 7, 0.5, "p"), (3, 3, None, None, None, None)]
 
 
 @pytest.mark.parametrize("name", ["op1_matroska", "op10_mixing"])
