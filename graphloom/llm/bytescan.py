@@ -31,6 +31,7 @@ def release() -> None:
     if len(_powers[0]) > 1 << 17:
         _powers[:] = [np.ones(1, U64), np.ones(1, U64)]
     pa.default_memory_pool().release_unused()
+    pa.set_memory_pool(pa.system_memory_pool())  # for later tasks: the C library gives back what others would keep
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # another C library
