@@ -240,3 +240,16 @@ def test_documents_take_each_others_place(spark):
         M.revised(d, change.withColumn("outcome", F.lit("conflict")), 3, 3)
     names = spark.createDataFrame([("c", "Sub"), ("p", "Top")], "node_id string, display_name string")
     assert rows(H.written_back(names, spark.createDataFrame([("c", "p")], "child string, parent string"))) == [("c", "Sub", "p", "Top"), ("p", "Top", "", "")]
+
+
+def test_small_edits(spark):
+    p = spark.createDataFrame([("a", 1, "x"), ("b", 1, "y")], "profile_id string, based_on_revision int, target string")
+    change = spark.createDataFrame([("a", 4, "z", 1), ("a", 5, "w", 2), ("c", 5, "n", 3)], "profile_id string, based_on_revision int, target string, `order` int")
+    assert rows(S.profiles_upserted(p, change)) == [("a", 5, "w"), ("b", 1, "y"), ("c", 5, "n")]
+    r = spark.createDataFrame([("r1", "old"), ("r2", "keep"), ("r3", "gone")], "relation_id string, text string")
+    assert rows(S.relations_edited(r, spark.createDataFrame([("r1", "new"), ("r4", "more")], r.schema), r.where("relation_id = 'r3'"))) == [("r1", "new"), ("r2", "keep"), ("r4", "more")]
+    n = spark.createDataFrame([("t1", "c", "s", 2), ("t2", "c", "s", 1), ("t1", "c", "s", 3)], "temporary_id string, chapter string, section string, ord int")
+    o = spark.createDataFrame([("t1", "n"), ("t2", "n")], "temporary_id string, node_id string")
+    assert rows(C.occurrence_rows(n, o).select("temporary_id", "place")) == [("t1", 1), ("t2", 0)]
+    e = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("d", "e"), ("e", "f"), ("f", "d")], "a string, b string")
+    assert rows(rules.first_cycles(rules.learning_cycles(e), 1)) == [("a", 2)] and rows(rules.learning_cycles(e)) == [("a", 2), ("d", 3)]
