@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, langid, media, mixing, ngram_join, packing, substring_dedup, suffix_dedup, token_counts
+from . import chat, exact_dedup, fim, fingerprint, langid, media, mixing, ngram_join, packing, repair, substring_dedup, suffix_dedup, token_counts
 
 
 def tokenizer_file(name: str) -> str:
@@ -65,6 +65,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
+
+
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = _table(spark, sf_dir, "conversations")
+    return repair.repair_reports(repair.damaged(told), originals=told)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fill_in_middle_digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_matroska": op1_matroska,
     "op2_jaccard_join": op2_jaccard_join,
@@ -76,6 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_mixing": op10_mixing,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_structure_repair": op12_structure_repair,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -132,4 +148,17 @@ ORACLE_SQL: dict[str, str] = {
       placed AS (SELECT doc_id, k.source, r, r // 8 AS block, r // 8 // quota AS cycle, r // 8 % quota AS nth, quota, slots FROM ranked k JOIN sized s ON s.source = k.source)
       SELECT p.doc_id, p.source, p.quota / p.slots AS target_weight, p.block, p.cycle, c.slot, (p.cycle * p.slots + c.slot) * 8 + p.r % 8 AS position, p.nth + 1 - (c.slot + 1) * p.quota / p.slots AS deviation
       FROM placed p JOIN cycle c ON c.source = p.source AND c.nth = p.nth""",
+    "op11_exact_dedup": r"""
+      WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+      SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = min(doc_id) OVER same AS kept, sha256(t) AS text_sha256 FROM t WINDOW same AS (PARTITION BY t)""",
+    "op13_fill_in_middle": r"""
+      WITH t AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || doc_id) AS d FROM documents),
+        h AS (SELECT doc_id, t, ('0x' || d[1:8])::BIGINT AS h1, ('0x' || d[9:16])::BIGINT AS h2, ('0x' || d[17:24])::BIGINT AS h3, ('0x' || d[25:32])::BIGINT AS h4 FROM t),
+        u AS (SELECT *, list_transform(regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]'), lambda x: length(x)) AS sizes FROM h),
+        c AS (SELECT *, len(sizes) AS n, least(h1 % (len(sizes) + 1), h2 % (len(sizes) + 1)) AS a, greatest(h1 % (len(sizes) + 1), h2 % (len(sizes) + 1)) AS b FROM u),
+        p AS (SELECT doc_id, t, n, CAST(coalesce(list_sum(sizes[1:a]), 0) AS BIGINT) AS pc, CAST(coalesce(list_sum(sizes[a+1:b]), 0) AS BIGINT) AS mc,
+          CASE WHEN t = '' OR regexp_matches(t, '<[PSM]>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM c),
+        o AS (SELECT *, left(t, pc) AS pre, substr(t, pc + 1, mc) AS mid, substr(t, pc + mc + 1) AS suf FROM p)
+      SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN pc END AS prefix_chars, CASE WHEN form <> 'plain' THEN mc END AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN concat('<P>', pre, '<S>', suf, '<M>', mid) ELSE concat('<S>', suf, '<P>', pre, '<M>', mid) END) AS output_sha256, sha256(t) AS restored_sha256 FROM o""",
 }
