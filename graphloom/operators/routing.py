@@ -176,11 +176,12 @@ def _routed(edges: DataFrame, around: DataFrame, points: DataFrame, clearance: f
 
 
 def stretches(routes: DataFrame, points: DataFrame) -> DataFrame:
-    """(edge_id, group, way, line, place): the stretches of channels between neighbouring crossings that routes take, each by where it ends."""
+    """(edge_id, group, way, line, place): the stretches of runs between neighbouring crossings that routes take, each by where it ends; the ways out of cards are none."""
     seg = routes.select("edge_id", "group", F.explode(F.arrays_zip(F.slice("points", 1, F.size("points") - 1).alias("p"), F.slice("points", 2, F.size("points") - 1).alias("q"))).alias("s"))
     seg = seg.select("edge_id", "group", F.least("s.p.x", "s.q.x").alias("xa"), F.greatest("s.p.x", "s.q.x").alias("xb"), F.least("s.p.y", "s.q.y").alias("ya"), F.greatest("s.p.y", "s.q.y").alias("yb"))
-    v = points.join(seg.where("xa = xb").withColumnRenamed("xa", "x"), ["group", "x"]).where("y > ya and y <= yb").select("edge_id", "group", F.lit("v").alias("way"), F.col("xi").alias("line"), F.col("yi").alias("place"))
-    h = points.join(seg.where("ya = yb and xa < xb").withColumnRenamed("ya", "y"), ["group", "y"]).where("x > xa and x <= xb").select("edge_id", "group", F.lit("h").alias("way"), F.col("yi").alias("line"), F.col("xi").alias("place"))
+    before = lambda at, line, run, i: points.withColumn("from", F.lag(at).over(Window.partitionBy("group", line, run).orderBy(i)))
+    v = before("y", "xi", "vrun", "yi").join(seg.where("xa = xb").withColumnRenamed("xa", "x"), ["group", "x"]).where("from >= ya and y <= yb").select("edge_id", "group", F.lit("v").alias("way"), F.col("xi").alias("line"), F.col("yi").alias("place"))
+    h = before("x", "yi", "hrun", "xi").join(seg.where("ya = yb and xa < xb").withColumnRenamed("ya", "y"), ["group", "y"]).where("from >= xa and x <= xb").select("edge_id", "group", F.lit("h").alias("way"), F.col("yi").alias("line"), F.col("xi").alias("place"))
     return v.unionByName(h)
 
 

@@ -66,7 +66,7 @@ class Grid:
             else:
                 at = [x for x in self.xs if xa <= x <= xb]
                 out += [((p, ya), (q, ya)) for p, q in zip(at, at[1:])]
-        return out
+        return [(p, q) for p, q in out if self.free(p, p) and self.free(q, q)]
 
 
 def scenes(seed):
