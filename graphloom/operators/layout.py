@@ -7,39 +7,47 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from . import graph, hierarchy
+from ..storage import stored
+from . import graph, hierarchy, scans
 
 
 def grid(nodes: DataFrame, width: float = 180.0, height: float = 64.0, gap: float = 40.0, aspect: float = 1.6) -> DataFrame:
     """(group, node_id, x, y, width, height): nodes (group, node_id, ord) of each group in rows of ceil(sqrt(n * aspect))."""
-    w = Window.partitionBy("group")
-    rows = nodes.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("i", F.row_number().over(w.orderBy("ord", "node_id")) - 1)
+    rows = scans.running(nodes.select("group", "node_id", "ord"), ["group"], ["ord", "node_id"]).withColumn("i", F.col("idx") - 1)
     rows = rows.withColumn("columns", F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("n") * aspect))).cast("int"))
     return rows.select("group", "node_id", ((F.col("i") % F.col("columns")) * (width + gap)).alias("x"), (F.floor(F.col("i") / F.col("columns")) * (height + gap)).alias("y"), F.lit(width).alias("width"), F.lit(height).alias("height"))
 
 
 def columns(nodes: DataFrame) -> DataFrame:
     """nodes (group, node_id, ord) with rank: three columns in turn."""
-    w = Window.partitionBy("group")
-    rows = nodes.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("i", F.row_number().over(w.orderBy("ord", "node_id")) - 1)
+    rows = scans.running(nodes.select("group", "node_id", "ord"), ["group"], ["ord", "node_id"]).withColumn("i", F.col("idx") - 1)
     return rows.select("group", "node_id", (F.col("i") % F.least(F.lit(3), F.col("n"))).alias("rank"))
 
 
-def shelves(units: DataFrame, shelf_width: float, gap: float = 40.0) -> DataFrame:
+def shelves(units: DataFrame, shelf_width: float | None = None, gap: float = 40.0, aspect: float = 1.6) -> DataFrame:
     """units (group, unit_id, ord, width, height) with x, y: left to right in the order of ord, a new shelf where one doesn't fit.
 
-    The fold is over a group's list of sizes, in JVM expressions.
+    Without a width each group has its own: of the widest unit and of the width at which all
+    units, with their gaps, would fill a page of the aspect, the greater. How far a shelf from
+    each unit on would go follows from running totals; which units begin one, from doubling; so
+    groups may be of any size. A unit wider than the shelf has one of its own.
     """
-    lists = units.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("ord", "unit_id", F.col("width").cast("double").alias("width"), F.col("height").cast("double").alias("height")))).alias("units"))
-
-    def step(s, u):
-        full = (s["x"] > 0) & (s["x"] + u["width"] > shelf_width)
-        x, y = F.when(full, 0.0).otherwise(s["x"]), F.when(full, s["y"] + s["tall"] + gap).otherwise(s["y"])
-        return F.struct((x + u["width"] + gap).alias("x"), y.alias("y"), F.when(full, u["height"]).otherwise(F.greatest(s["tall"], u["height"])).alias("tall"), F.concat(s["out"], F.array(F.struct(x.alias("x"), y.alias("y")))).alias("out"))
-
-    zero = F.expr("named_struct('x', 0D, 'y', 0D, 'tall', 0D, 'out', cast(array() as array<struct<x:double,y:double>>))")
-    placed = lists.withColumn("at", F.aggregate("units", zero, step, lambda s: s["out"]))
-    return placed.select("group", F.explode(F.arrays_zip("units", "at")).alias("z")).select("group", "z.units.unit_id", "z.at.x", "z.at.y", "z.units.width", "z.units.height")
+    units = units.select("group", "unit_id", "ord", F.col("width").cast("double").alias("width"), F.col("height").cast("double").alias("height"))
+    if shelf_width is None:
+        page = F.sqrt(F.greatest(F.lit(1.0), F.sum((F.col("width") + gap) * (F.col("height") + gap))) * aspect)
+        units = units.join(units.groupBy("group").agg(F.greatest(F.max("width"), page).alias("shelf")), "group")
+    else:
+        units = units.withColumn("shelf", F.lit(float(shelf_width)))
+    # Widths in shelves, so that one width serves all groups.
+    share = (F.col("width") + gap) / (F.col("shelf") + gap)
+    exact = shelf_width is not None
+    rows = stored(scans.running(units, ["group"], ["ord", "unit_id"], total=(F.col("width") + gap) if exact else share), "units")
+    starts = scans.greedy_starts(scans.last_within(rows, float(shelf_width) + gap if exact else 1.0)).withColumn("begins", F.lit(1))
+    shelved = scans.running(rows.drop("n", "total").withColumnRenamed("idx", "place").join(starts.withColumnRenamed("idx", "place"), ["group", "place"], "left"), ["group"], ["place"], shelf_no=F.col("begins"), right=F.col("width") + gap)
+    shelved = stored(shelved.drop("n", "idx"), "shelved")
+    each = shelved.groupBy("group", "shelf_no").agg(F.min(F.col("right") - F.col("width") - gap).alias("left"), F.max("height").alias("tall"))
+    down = scans.running(each, ["group"], ["shelf_no"], below=F.col("tall") + gap).select("group", "shelf_no", "left", (F.col("below") - F.col("tall") - gap).alias("y"))
+    return shelved.join(down, ["group", "shelf_no"]).select("group", "unit_id", (F.col("right") - F.col("width") - gap - F.col("left")).alias("x"), "y", "width", "height")
 
 
 def overlaps(boxes: DataFrame, cell: float = 512.0, tolerance: float = 1.0) -> DataFrame:

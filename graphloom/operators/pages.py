@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions import vocab
+from ..storage import stored
+from . import scans
 
 
 def continuity(pages: DataFrame, threshold: float = 0.62) -> DataFrame:
@@ -16,10 +17,8 @@ def continuity(pages: DataFrame, threshold: float = 0.62) -> DataFrame:
     pages: (book, page_index, page_id, text, image_sha256, printed). Scores are whole hundredths
     until the end, so they don't depend on the order of additions.
     """
-    w = Window.partitionBy("book").orderBy("page_index")
-    now = pages.withColumn("squeezed", T.squeezed(F.col("text")))
-    before = lambda c: F.lag(c).over(w).alias(f"p_{c}")
-    pair = now.select("*", *(before(c) for c in ("page_id", "page_index", "squeezed", "image_sha256", "printed"))).where("p_page_id is not null")
+    now = scans.running(pages.withColumn("squeezed", T.squeezed(F.col("text"))), ["book"], ["page_index"])
+    pair = scans.with_previous(now, "book", ["page_id", "page_index", "squeezed", "image_sha256", "printed"])
     pair = pair.withColumn("a", T.page_number(F.col("p_printed"))).withColumn("b", T.page_number(F.col("printed")))
     pair = pair.withColumn("tail", F.right("p_squeezed", F.lit(180))).withColumn("head", F.substring("squeezed", 1, 180))
     missing = (F.col("squeezed") == "") | (F.col("p_squeezed") == "")
@@ -56,12 +55,14 @@ def chapters(pages: DataFrame) -> DataFrame:
 
     pages: (book, page_index, heading), heading empty where there is none.
     """
-    w = Window.partitionBy("book").orderBy("page_index")
-    found = pages.withColumn("last", F.last(F.when(F.col("heading") != "", F.col("heading")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    starts = found.where((F.col("heading") != "") & (F.col("last").isNull() | (F.col("last") != F.col("heading")))).select("book", "page_index", "heading")
+    headed = scans.running(pages.where("heading <> ''").select("book", "page_index", "heading"), ["book"], ["page_index"])
+    first = headed.where("idx = 1").select("book", "page_index", "heading")
+    starts = first.unionByName(scans.with_previous(headed, "book", ["heading"]).where("heading <> p_heading").select("book", "page_index", "heading"))
     ends = pages.groupBy("book").agg(F.min("page_index").alias("first"), F.max("page_index").alias("final"))
-    numbered = starts.select("book", F.row_number().over(w).alias("chapter_no"), F.col("heading").alias("title"), F.col("page_index").alias("start_page"), (F.lead("page_index").over(w) - 1).alias("end"))
-    some = numbered.join(ends, "book").select("book", "chapter_no", "title", "start_page", F.coalesce("end", "final").alias("end_page"))
+    places = scans.running(starts, ["book"], ["page_index"])
+    numbered = places.select("book", F.col("idx").alias("chapter_no"), F.col("heading").alias("title"), F.col("page_index").alias("start_page"))
+    follow = places.select("book", (F.col("idx") - 1).alias("chapter_no"), (F.col("page_index") - 1).alias("end"))
+    some = numbered.join(follow, ["book", "chapter_no"], "left").join(ends, "book").select("book", "chapter_no", "title", "start_page", F.coalesce("end", "final").alias("end_page"))
     none = ends.join(starts, "book", "left_anti").select("book", F.lit(1).alias("chapter_no"), F.lit("选定页面范围").alias("title"), F.col("first").alias("start_page"), F.col("final").alias("end_page"))
     return some.unionByName(none)
 
@@ -86,25 +87,25 @@ def section_titles(text):
 def batches(pages: DataFrame, max_pages: int = 4, max_chars: int = 12_000) -> DataFrame:
     """pages (book, page_index, chars) with batch_no: a batch closes when it has max_pages pages or the next page would exceed max_chars.
 
-    The fold runs over the books' page lists in JVM expressions; a book's (index, size) list is small even if its text isn't.
+    How far a batch from each page would go follows from running totals and the few pages behind
+    it; the pages on which batches begin are then found by doubling, in books of any size.
     """
-    lists = pages.groupBy("book").agg(F.array_sort(F.collect_list(F.struct("page_index", F.col("chars").cast("long").alias("chars")))).alias("pages"))
-    zero = F.expr("named_struct('batch', 0, 'n', 0, 'chars', 0L, 'out', cast(array() as array<int>))")
-
-    def step(s, p):
-        cut = (s["n"] > 0) & ((s["n"] >= max_pages) | (s["chars"] + p["chars"] > max_chars))
-        batch = s["batch"] + F.when(cut, 1).otherwise(0)
-        return F.struct(batch.alias("batch"), F.when(cut, 1).otherwise(s["n"] + 1).alias("n"), F.when(cut, p["chars"]).otherwise(s["chars"] + p["chars"]).alias("chars"), F.concat(s["out"], F.array(batch)).alias("out"))
-
-    folded = lists.withColumn("batch", F.aggregate("pages", zero, step, lambda s: s["out"]))
-    return folded.select("book", F.explode(F.arrays_zip("pages", "batch")).alias("z")).select("book", F.col("z.pages.page_index").alias("page_index"), F.col("z.batch").alias("batch_no"))
+    placed = scans.running(pages.select("book", "page_index", "chars"), ["book"], ["page_index"], total=F.col("chars").cast("long"))
+    rows = stored(placed.select(F.col("book").alias("group"), "page_index", "idx", "n", "total", (F.col("total") - F.coalesce(F.col("chars").cast("long"), F.lit(0))).alias("ahead")), "pages")
+    asked = rows.withColumn("j", F.explode(F.sequence(F.col("idx") + 1, F.col("idx") + max_pages - 1))) if max_pages > 1 else rows.limit(0).withColumn("j", F.col("idx"))
+    fits = asked.join(rows.select("group", F.col("idx").alias("j"), F.col("total").alias("then")), ["group", "j"]).where(F.col("then") - F.col("ahead") <= max_chars)
+    far = fits.groupBy("group", "idx").agg(F.max("j").alias("last"))
+    cuts = rows.select("group", "idx").join(far, ["group", "idx"], "left").select("group", "idx", F.coalesce("last", "idx").alias("last"))
+    starts = scans.greedy_starts(cuts).withColumn("starts", F.lit(1))
+    marked = rows.join(starts, ["group", "idx"], "left").select("group", "page_index", F.coalesce("starts", F.lit(0)).alias("starts"))
+    out = scans.running(marked, ["group"], ["page_index"], batch_no=F.col("starts"))
+    return out.select(F.col("group").alias("book"), "page_index", (F.col("batch_no") - 1).cast("int").alias("batch_no"))
 
 
 def chunks(nodes: DataFrame, size: int = 80) -> DataFrame:
     """nodes (chapter, node_id) with chunk_no: groups of at most ``size`` of a chapter; a chapter of one node has none."""
-    w = Window.partitionBy("chapter")
-    rows = nodes.withColumn("n", F.count(F.lit(1)).over(w)).where("n >= 2").withColumn("rank", F.row_number().over(w.orderBy("node_id")))
-    return rows.select("chapter", "node_id", F.floor((F.col("rank") - 1) / size).alias("chunk_no"))
+    rows = scans.running(nodes.select("chapter", "node_id"), ["chapter"], ["node_id"]).where("n >= 2")
+    return rows.select("chapter", "node_id", F.floor((F.col("idx") - 1) / size).alias("chunk_no"))
 
 
 def selected_pages(total: int, wanted: list[int] | None) -> list[int]:

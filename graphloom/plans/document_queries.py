@@ -37,8 +37,8 @@ def _document(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     semantic = line.select(F.concat_ws("#", F.lit("x"), "l_orderkey", "l_linenumber", "l_partkey").alias("relation_id"), F.when(F.col("l_linenumber") == 7, "unresolved").otherwise("semantic").alias("relation_family"), _ident("s", F.col("l_suppkey")).alias("source_id"), _ident("s", F.col("l_partkey") % 104).alias("target_id"), F.when(F.col("l_returnflag") == "A", "prerequisite").when(F.col("l_returnflag") == "R", "contrast").otherwise("related_to").alias("relation_type"), (F.col("l_orderkey") * 10 + F.col("l_linenumber") + 1_000_000).alias("ord"))
     relations = member.unionByName(second).unionByName(structure).unionByName(twice).unionByName(ring).unionByName(semantic)
     relations = relations.withColumn("lifecycle_state", F.when(F.col("ord") % 23 == 1, "archived").otherwise("active")).withColumn("review_status", F.when(F.col("ord") % 6 == 1, "rejected").when(F.col("ord") % 6 == 2, "pending").otherwise("accepted")).withColumn("occurrence_ids", F.array(_ident("o", F.col("ord") % 120)))
-    occurrences = s.select(_ident("o", k).alias("occurrence_id"), _ident("s", k + F.when(k % 19 == 3, 500).otherwise(0)).alias("node_id"), F.lit("active").alias("lifecycle_state"), F.array(_ident("e", k % 33)).alias("evidence_anchor_ids"))
-    evidence = A.table(spark, d, "benchmark").where("item_id < 30").select(_ident("e", F.col("item_id")).alias("anchor_id"))
+    occurrences = s.select(_ident("o", k).alias("occurrence_id"), _ident("s", k + F.when(k % 19 == 3, 500).otherwise(0)).alias("node_id"), F.lit("active").alias("lifecycle_state"), F.array(_ident("e", k % 33 + F.when(k % 13 == 5, 1_000_000_000).otherwise(0))).alias("evidence_anchor_ids"))
+    evidence = A.table(spark, d, "benchmark").select(_ident("e", F.col("item_id")).alias("anchor_id"))
     profiles = A.table(spark, d, "region").select(_ident("p", F.col("r_regionkey")).alias("profile_id"), F.array(_ident("s", F.col("r_regionkey") * 30)).alias("node_ids"), F.array(_ident("m", F.col("r_regionkey"))).alias("relation_ids"), F.array(F.lit("m1")).alias("membership_ids"))
     meta = A.table(spark, d, "region").where("r_regionkey < 2").select((F.col("r_regionkey") + 1).alias("schema_version"), F.when(F.col("r_regionkey") == 1, "").otherwise("doc").alias("document_id"))
     return {"nodes": nodes, "scopes": scopes, "relations": relations, "occurrences": occurrences, "evidence": evidence, "profiles": profiles, "meta": meta}
@@ -248,7 +248,7 @@ DOCUMENT_SQL = r"""
     UNION ALL SELECT 'x#' || CAST(l_orderkey AS VARCHAR) || '#' || CAST(l_linenumber AS VARCHAR) || '#' || CAST(l_partkey AS VARCHAR), CASE WHEN l_linenumber = 7 THEN 'unresolved' ELSE 'semantic' END, 's' || CAST(l_suppkey AS VARCHAR), 's' || CAST(l_partkey % 104 AS VARCHAR),
       CASE l_returnflag WHEN 'A' THEN 'prerequisite' WHEN 'R' THEN 'contrast' ELSE 'related_to' END, l_orderkey * 10 + l_linenumber + 1000000 FROM lineitem),
   relations AS (SELECT *, CASE WHEN ord % 23 = 1 THEN 'archived' ELSE 'active' END AS lifecycle_state, CASE ord % 6 WHEN 1 THEN 'rejected' WHEN 2 THEN 'pending' ELSE 'accepted' END AS review_status FROM facts),
-  occurrences AS (SELECT 'o' || CAST(s_suppkey AS VARCHAR) AS occurrence_id, 's' || CAST(s_suppkey + CASE WHEN s_suppkey % 19 = 3 THEN 500 ELSE 0 END AS VARCHAR) AS node_id, s_suppkey % 33 AS anchor FROM supplier),
+  occurrences AS (SELECT 'o' || CAST(s_suppkey AS VARCHAR) AS occurrence_id, 's' || CAST(s_suppkey + CASE WHEN s_suppkey % 19 = 3 THEN 500 ELSE 0 END AS VARCHAR) AS node_id, s_suppkey % 33 + CASE WHEN s_suppkey % 13 = 5 THEN 1000000000 ELSE 0 END AS anchor FROM supplier),
   ends AS (SELECT relation_id, lifecycle_state, source_id AS node_id FROM relations UNION ALL SELECT relation_id, lifecycle_state, target_id FROM relations),
   lone AS (SELECT target_id AS child, min(source_id) AS parent FROM relations WHERE relation_family = 'structure' AND lifecycle_state = 'active' AND review_status <> 'rejected' GROUP BY target_id HAVING count(DISTINCT source_id) = 1),
   chase AS (SELECT child AS origin, parent AS place, 1 AS steps FROM lone UNION ALL SELECT origin, s.parent, steps + 1 FROM chase c JOIN lone s ON s.child = c.place WHERE c.place <> c.origin AND steps < 50),
@@ -258,7 +258,7 @@ DOCUMENT_SQL = r"""
     UNION SELECT 'node_lifecycle_invalid', node_id FROM nodes WHERE lifecycle_state = 'lost' UNION SELECT 'node_review_status_invalid', node_id FROM nodes WHERE review_status = 'odd'
     UNION SELECT 'scope_role_invalid', 'n9' UNION SELECT 'scope_node_lifecycle_mismatch', scope_id FROM scopes JOIN nodes ON node_id = scope_id WHERE lifecycle_state <> 'active'
     UNION SELECT 'occurrence_node_missing', occurrence_id FROM occurrences WHERE node_id NOT IN (SELECT node_id FROM nodes) UNION SELECT 'active_occurrence_archived_node', occurrence_id FROM occurrences o JOIN nodes n ON n.node_id = o.node_id WHERE n.lifecycle_state = 'archived'
-    UNION SELECT 'occurrence_evidence_missing', occurrence_id FROM occurrences WHERE anchor >= 30 OR anchor NOT IN (SELECT item_id FROM benchmark)
+    UNION SELECT 'occurrence_evidence_missing', occurrence_id FROM occurrences WHERE anchor NOT IN (SELECT item_id FROM benchmark)
     UNION SELECT 'relation_endpoint_missing', relation_id FROM ends WHERE node_id NOT IN (SELECT node_id FROM nodes)
     UNION SELECT 'active_relation_archived_endpoint', relation_id FROM ends e JOIN nodes n ON n.node_id = e.node_id WHERE e.lifecycle_state = 'active' AND n.lifecycle_state = 'archived'
     UNION SELECT 'duplicate_relation_fact', relation_id FROM (SELECT relation_id, row_number() OVER (PARTITION BY relation_family, source_id, relation_type, target_id ORDER BY ord, relation_id) AS k FROM relations) q WHERE k > 1

@@ -78,7 +78,7 @@ def relation_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _chapters(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    nodes = A.local_nodes(spark, d).select(A.chapter("chapter", "ord").alias("chapter"), F.col("ord").alias("key"), F.lpad(F.col("temporary_id"), 9, "0").alias("node_id"), T.node_type(F.col("node_type")).alias("node_type"), "ord")
+    nodes = A.local_nodes(spark, d).select("chapter", F.col("ord").alias("key"), F.lpad(F.col("temporary_id"), 9, "0").alias("node_id"), T.node_type(F.col("node_type")).alias("node_type"), "ord")
     ends = nodes.select("chapter", "key", "node_id")
     c = A.local_claims(spark, d).select("source_key", "target_key", T.relation_type(F.col("relation_type")).alias("relation_type"))
     edges = c.join(ends.select(F.col("key").alias("source_key"), F.col("chapter"), F.col("node_id").alias("source_id")), "source_key").join(ends.select(F.col("key").alias("target_key"), F.col("chapter").alias("other"), F.col("node_id").alias("target_id")), "target_key")
@@ -98,10 +98,12 @@ def start_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def isolated_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """Parts that no certain claim names."""
-    c = A.local_claims(spark, d).where("confidence >= 1")
-    used = c.select(F.col("source_key").alias("p_partkey")).union(c.select("target_key"))
-    return A.table(spark, d, "part").select("p_partkey").join(used, "p_partkey", "left_anti")
+    """Parts that no claim names, and documents that no label describes."""
+    ident = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string")).alias("node_id")
+    c = A.local_claims(spark, d)
+    used = c.select(ident("p", "source_key")).union(c.select(ident("p", "target_key"))).union(A.table(spark, d, "labels").select(ident("d", "doc_id")))
+    nodes = A.table(spark, d, "part").select(ident("p", "p_partkey")).union(A.table(spark, d, "documents").select(ident("d", "doc_id")))
+    return nodes.join(used, "node_id", "left_anti")
 
 
 def duplicate_names(spark: SparkSession, d: str) -> DataFrame:
@@ -125,7 +127,7 @@ def symmetry_conflicts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _cards(spark: SparkSession, d: str) -> DataFrame:
-    return A.table(spark, d, "part").select(A.chapter().alias("group"), F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("node_id"), F.col("p_partkey").alias("ord"), F.col("p_size"))
+    return A.table(spark, d, "part").select(F.col("p_brand").alias("group"), F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("node_id"), F.col("p_partkey").alias("ord"), F.col("p_size"))
 
 
 def shelf_grid(spark: SparkSession, d: str) -> DataFrame:
@@ -164,7 +166,7 @@ LAYERS_SQL = f"""{CLOSURE_SQL},
     FROM forest f LEFT JOIN chain c ON c.node_id = f.node_id)"""
 BACKBONE_SQL = f"""{CLAIMS_SQL}, backbone AS (SELECT DISTINCT source_key AS a, target_key AS b FROM claims WHERE relation_type IN ('prerequisite', 'progressive', 'derives_to') AND source_key <> target_key)"""
 SCORES_SQL = f"""WITH {CLAIMS_SQL},
-  n AS (SELECT p_brand || '-' || CAST(p_partkey // 1000 AS VARCHAR) AS chapter, p_partkey, lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS node_id, CASE p_type WHEN 'ECONOMY' THEN 4 WHEN 'LARGE' THEN 3 WHEN 'SMALL' THEN 3 WHEN 'MEDIUM' THEN 2 END AS base FROM part),
+  n AS (SELECT p_brand AS chapter, p_partkey, lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS node_id, CASE p_type WHEN 'ECONOMY' THEN 4 WHEN 'LARGE' THEN 3 WHEN 'SMALL' THEN 3 WHEN 'MEDIUM' THEN 2 END AS base FROM part),
   e AS (SELECT DISTINCT s.chapter, s.node_id AS a, t.node_id AS b, relation_type FROM claims c JOIN n s ON s.p_partkey = c.source_key JOIN n t ON t.p_partkey = c.target_key
     WHERE s.chapter = t.chapter AND s.node_id <> t.node_id AND s.base IS NOT NULL AND t.base IS NOT NULL AND relation_type IN ('prerequisite', 'progressive', 'derives_to')),
   w AS (SELECT *, CASE relation_type WHEN 'prerequisite' THEN 3 ELSE 2 END AS weight FROM e),
@@ -197,20 +199,21 @@ ORACLE_SQL = {
       SELECT component, count(*) AS members FROM low GROUP BY component""",
     "node_score": f"{SCORES_SQL} SELECT chapter, node_id, score, incoming FROM scores",
     "start_nodes": f"{SCORES_SQL} SELECT chapter, node_id FROM (SELECT *, row_number() OVER (PARTITION BY chapter ORDER BY incoming, score DESC, p_partkey) AS r FROM scores) q WHERE r = 1",
-    "isolated_nodes": f"WITH {CLAIMS_SQL}, u AS (SELECT source_key AS k FROM claims WHERE confidence >= 1 UNION SELECT target_key FROM claims WHERE confidence >= 1) SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT k FROM u)",
+    "isolated_nodes": f"""WITH {CLAIMS_SQL}, u AS (SELECT source_key AS k FROM claims UNION SELECT target_key FROM claims)
+      SELECT 'p' || CAST(p_partkey AS VARCHAR) AS node_id FROM part WHERE p_partkey NOT IN (SELECT k FROM u) UNION ALL SELECT 'd' || CAST(doc_id AS VARCHAR) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
     "duplicate_names": "SELECT trim(p_name) AS name, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1",
     "duplicate_edges": f"WITH {CLAIMS_SQL} SELECT CAST(source_key AS VARCHAR) || '--' || relation_type || '--' || CAST(target_key AS VARCHAR) AS edge_id, count(*) AS n FROM claims GROUP BY 1 HAVING count(*) > 1",
     "relation_counts": f"WITH {CLAIMS_SQL} SELECT k AS node_id, count(*) AS n FROM (SELECT source_key AS k FROM claims UNION ALL SELECT target_key FROM claims) q GROUP BY k",
     "symmetry_conflicts": f"""WITH {CLAIMS_SQL}, p AS (SELECT least(source_key, target_key) AS lo, greatest(source_key, target_key) AS hi, relation_type IN ('contrast', 'parallel') AS sym FROM claims)
       SELECT lo, hi FROM p GROUP BY lo, hi HAVING bool_or(sym) AND bool_or(NOT sym)""",
-    "shelf_grid": """WITH c AS (SELECT p_brand || '-' || CAST(p_partkey // 1000 AS VARCHAR) AS "group", lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS node_id, row_number() OVER w - 1 AS i, greatest(1, CAST(ceil(sqrt(count(*) OVER v * 1.6)) AS BIGINT)) AS k FROM part WINDOW v AS (PARTITION BY p_brand, p_partkey // 1000), w AS (PARTITION BY p_brand, p_partkey // 1000 ORDER BY p_partkey))
+    "shelf_grid": """WITH c AS (SELECT p_brand AS "group", lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS node_id, row_number() OVER w - 1 AS i, greatest(1, CAST(ceil(sqrt(count(*) OVER v * 1.6)) AS BIGINT)) AS k FROM part WINDOW v AS (PARTITION BY p_brand), w AS (PARTITION BY p_brand ORDER BY p_partkey))
       SELECT "group", node_id, (i % k) * 220.0::DOUBLE AS x, (i // k) * 104.0::DOUBLE AS y, 180.0::DOUBLE AS width, 64.0::DOUBLE AS height FROM c""",
-    "column_fallback": """WITH c AS (SELECT p_brand || '-' || CAST(p_partkey // 1000 AS VARCHAR) AS "group", row_number() OVER (PARTITION BY p_brand, p_partkey // 1000 ORDER BY p_partkey) - 1 AS i, count(*) OVER (PARTITION BY p_brand, p_partkey // 1000) AS n FROM part) SELECT "group", i % least(3, n) AS rank, count(*) AS n FROM c GROUP BY ALL""",
-    "geometry_overlap": """WITH b AS (SELECT p_brand || '-' || CAST(p_partkey // 1000 AS VARCHAR) AS "group", lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS node_id, p_partkey % 37 * 60.0 AS x, p_partkey % 23 * 45.0 AS y, p_size * 4.0 AS w, p_size * 3.0 AS h FROM part)
+    "column_fallback": """WITH c AS (SELECT p_brand AS "group", row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS i, count(*) OVER (PARTITION BY p_brand) AS n FROM part) SELECT "group", i % least(3, n) AS rank, count(*) AS n FROM c GROUP BY ALL""",
+    "geometry_overlap": """WITH b AS (SELECT p_brand AS "group", lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS node_id, p_partkey % 37 * 60.0 AS x, p_partkey % 23 * 45.0 AS y, p_size * 4.0 AS w, p_size * 3.0 AS h FROM part)
       SELECT a."group", a.node_id AS a, b.node_id AS b FROM b a JOIN b b ON a."group" = b."group" AND a.node_id < b.node_id AND a.x + 1 < b.x + b.w AND b.x + 1 < a.x + a.w AND a.y + 1 < b.y + b.h AND b.y + 1 < a.y + a.h""",
     "port_allocation": """WITH e AS (SELECT DISTINCT l_suppkey AS card, CASE WHEN l_returnflag = 'A' THEN 'left' ELSE 'right' END AS side, CAST(l_orderkey AS VARCHAR) || '#' || CAST(l_linenumber AS VARCHAR) || '#' || CAST(l_partkey AS VARCHAR) || '#' || CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR) AS edge_id, l_partkey AS opposite FROM lineitem WHERE l_suppkey < 20)
       SELECT card, side, edge_id, round(row_number() OVER (PARTITION BY card, side ORDER BY opposite, edge_id) * 1.0::DOUBLE / (count(*) OVER (PARTITION BY card, side) + 1), 9) AS fraction FROM e""",
-    "shelf_packing": """WITH RECURSIVE u AS (SELECT p_brand || '-' || CAST(p_partkey // 1000 AS VARCHAR) AS g, lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS unit_id, p_size * 10.0::DOUBLE AS w, p_size % 7 * 20.0::DOUBLE + 20 AS h, row_number() OVER (PARTITION BY p_brand, p_partkey // 1000 ORDER BY p_partkey) AS i FROM part),
+    "shelf_packing": """WITH RECURSIVE u AS (SELECT p_brand AS g, lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS unit_id, p_size * 10.0::DOUBLE AS w, p_size % 7 * 20.0::DOUBLE + 20 AS h, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i FROM part),
       walk AS (SELECT g, unit_id, w, h, i, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, h AS tall FROM u WHERE i = 1
         UNION ALL SELECT u.g, u.unit_id, u.w, u.h, u.i, CASE WHEN k.x + k.w + 40 + u.w > 1200 THEN 0.0 ELSE k.x + k.w + 40 END, CASE WHEN k.x + k.w + 40 + u.w > 1200 THEN k.y + k.tall + 40 ELSE k.y END, CASE WHEN k.x + k.w + 40 + u.w > 1200 THEN u.h ELSE greatest(k.tall, u.h) END FROM walk k JOIN u ON u.g = k.g AND u.i = k.i + 1)
       SELECT g AS "group", unit_id, x, y, w AS width, h AS height FROM walk""",

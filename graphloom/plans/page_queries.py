@@ -36,7 +36,7 @@ def _headed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chapter_islands(spark: SparkSession, d: str) -> DataFrame:
-    bare = F.col("book").startswith("src3/")
+    bare = F.col("book") == "src3"
     return P.chapters(_headed(spark, d).withColumn("heading", F.when(bare, "").otherwise(F.col("heading")))).withColumn("start_page", F.col("start_page").cast("long")).withColumn("end_page", F.col("end_page").cast("long")).withColumn("chapter_no", F.col("chapter_no").cast("long"))
 
 
@@ -46,7 +46,7 @@ def page_batches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def node_chunks(spark: SparkSession, d: str) -> DataFrame:
-    nodes = A.table(spark, d, "part").select(A.chapter().alias("chapter"), F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("node_id"))
+    nodes = A.table(spark, d, "part").select(F.col("p_brand").alias("chapter"), F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("node_id"))
     return P.chunks(nodes, 20).groupBy("chapter", "chunk_no").agg(F.count(F.lit(1)).alias("n"), F.min("node_id").alias("first"))
 
 
@@ -105,8 +105,7 @@ def reading_sequence(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (page_continuity, conversation_continuity, duplicate_pages, chapter_islands, page_batches, node_chunks, redact_secrets, structural_numbers, page_title_extract, status_value_counts, progress_modes, quality_labels, cached_evidence, reading_sequence)}
 
-BOOK_SQL = "source || '/' || CAST(doc_id // 400 AS VARCHAR)"
-PAGES_SQL = f"""pages AS (SELECT {BOOK_SQL} AS book, row_number() OVER (PARTITION BY {BOOK_SQL} ORDER BY doc_id) AS page_index, doc_id, text FROM documents)"""
+PAGES_SQL = """pages AS (SELECT source AS book, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page_index, doc_id, text FROM documents)"""
 _ENDS = vocab.SENTENCE_ENDS.replace("'", "''")
 _SCORE_SQL = r"""
   marked AS (SELECT *, sq = '' OR psq = '' AS missing, page_index = pidx + 1 AS follows, a IS NOT NULL AND b IS NOT NULL AS numbered, pimg <> '' AND pimg = img AS same_image,
@@ -136,7 +135,7 @@ ORACLE_SQL = {
       SELECT page_id AS next_page_id, continuity_score::DOUBLE AS continuity_score, signals, severe OR continuity_score < 0.62 AS needs_model_review FROM result""",
     "duplicate_pages": f"WITH {PAGES_SQL} SELECT book, sha256(text) AS image_sha256, count(*) AS n, min(page_index) AS first_page FROM pages GROUP BY book, sha256(text) HAVING count(*) > 1",
     "chapter_islands": f"""WITH {PAGES_SQL},
-      h AS (SELECT book, page_index, CASE WHEN NOT starts_with(book, 'src3/') AND n_chars % 4 = 0 THEN 'H' || CAST(n_chars % 12 AS VARCHAR) ELSE '' END AS heading FROM pages p JOIN documents d ON d.doc_id = p.doc_id),
+      h AS (SELECT book, page_index, CASE WHEN book <> 'src3' AND n_chars % 4 = 0 THEN 'H' || CAST(n_chars % 12 AS VARCHAR) ELSE '' END AS heading FROM pages p JOIN documents d ON d.doc_id = p.doc_id),
       found AS (SELECT *, lag(heading) OVER (PARTITION BY book ORDER BY page_index) AS last FROM h WHERE heading <> ''),
       starts AS (SELECT *, row_number() OVER w AS chapter_no, lead(page_index) OVER w - 1 AS stop FROM found WHERE last IS NULL OR last <> heading WINDOW w AS (PARTITION BY book ORDER BY page_index)),
       span AS (SELECT book, min(page_index) AS a, max(page_index) AS z FROM h GROUP BY book)
@@ -147,7 +146,7 @@ ORACLE_SQL = {
         UNION ALL SELECT p.book, p.page_index, CASE WHEN w.k >= 4 OR w.chars + length(p.text) > 12000 THEN w.batch_no + 1 ELSE w.batch_no END, CASE WHEN w.k >= 4 OR w.chars + length(p.text) > 12000 THEN 1 ELSE w.k + 1 END,
           CASE WHEN w.k >= 4 OR w.chars + length(p.text) > 12000 THEN length(p.text) ELSE w.chars + length(p.text) END FROM walk w JOIN pages p ON p.book = w.book AND p.page_index = w.page_index + 1)
       SELECT book, batch_no, min(page_index) AS first_page, max(page_index) AS last_page FROM walk GROUP BY book, batch_no""",
-    "node_chunks": """WITH p AS (SELECT p_brand || '-' || CAST(p_partkey // 1000 AS VARCHAR) AS chapter, p_partkey FROM part),
+    "node_chunks": """WITH p AS (SELECT p_brand AS chapter, p_partkey FROM part),
       n AS (SELECT chapter, lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS node_id, count(*) OVER (PARTITION BY chapter) AS k, row_number() OVER (PARTITION BY chapter ORDER BY p_partkey) AS r FROM p)
       SELECT chapter, (r - 1) // 20 AS chunk_no, count(*) AS n, min(node_id) AS first FROM n WHERE k >= 2 GROUP BY ALL""",
     "redact_secrets": r"""WITH a AS (SELECT doc_id, 'Authorization: Bearer abc.DEF-12 password=''x1'' ' || text AS t FROM documents),
@@ -161,5 +160,5 @@ ORACLE_SQL = {
     "progress_modes": "SELECT CASE event_id % 6 WHEN 0 THEN 'full' WHEN 1 THEN 'summary' WHEN 3 THEN 'full' ELSE 'off' END AS mode, count(*) AS n FROM events GROUP BY ALL",
     "quality_labels": "SELECT source, CASE WHEN quality IS NULL THEN 'pending' WHEN quality = 1 AND toxic = 0 THEN 'accepted' ELSE 'rejected' END AS review_status, count(*) AS n FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY ALL",
     "cached_evidence": f"""WITH c AS (SELECT DISTINCT text FROM documents WHERE doc_id % 3 = 0)
-      SELECT {BOOK_SQL} AS book, CASE WHEN c.text IS NULL THEN 'computed' ELSE 'cached' END AS result, c.text IS NOT NULL AS cache_hit, count(*) AS n FROM documents d LEFT JOIN c ON c.text = d.text GROUP BY ALL""",
+      SELECT source AS book, CASE WHEN c.text IS NULL THEN 'computed' ELSE 'cached' END AS result, c.text IS NOT NULL AS cache_hit, count(*) AS n FROM documents d LEFT JOIN c ON c.text = d.text GROUP BY ALL""",
 }

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators import scans
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -41,20 +43,11 @@ def local_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return claim.where(F.col("target_key").isNotNull())
 
 
-#: Ids that share a book, and parts that share a chapter's number: both stay small in tables of any size.
-BOOK_IDS, CHAPTER_PARTS = 400, 1000
-
-
-def chapter(brand: str = "p_brand", key: str = "p_partkey"):
-    """The chapter of a part: its brand and its thousand."""
-    return F.concat_ws("-", brand, F.expr(f"{key} div {CHAPTER_PARTS}").cast("string"))
-
-
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page evidence of books: (book, page_index, page_id, text, image_sha256, doc_id). A book holds a source's documents of BOOK_IDS ids; they are its pages in order."""
-    d = table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", F.expr(f"doc_id div {BOOK_IDS}").cast("string")).alias("book"), "doc_id", "text")
-    index = F.row_number().over(Window.partitionBy("book").orderBy("doc_id"))
-    return d.select("book", index.alias("page_index"), "doc_id", "text").withColumn("page_id", F.concat_ws(":", "book", F.lit("page"), F.col("page_index").cast("string"))).withColumn("image_sha256", F.sha2("text", 256))
+    """Page evidence of books: (book, page_index, page_id, text, image_sha256, doc_id). A source is a book; its documents are its pages in order."""
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("book"), "doc_id", "text")
+    placed = scans.running(d, ["book"], ["doc_id"]).withColumn("page_index", F.col("idx").cast("int"))
+    return placed.select("book", "page_index", "doc_id", "text", F.concat_ws(":", "book", F.lit("page"), F.col("page_index").cast("string")).alias("page_id"), F.sha2("text", 256).alias("image_sha256"))
 
 
 def forest_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
