@@ -1,14 +1,14 @@
-"""Graphs of any size by DataFrame rounds: components, strong components, ranks; and plans of single chapters, which are small, by group."""
+"""Graphs of any size by DataFrame rounds: components, strong components, ranks; and plans of chapters."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vocab
 from ..storage import measured, stored
+from . import scans
 
 
 def linked(edges: DataFrame) -> DataFrame:
@@ -180,63 +180,78 @@ def ordered_ranks(ranks: DataFrame, edges: DataFrame) -> DataFrame:
     return placed if placed is not None else ranks.select("group", "node_id", "rank", F.lit(0).alias("place"))
 
 
-PLAN = "chapter string, node_id string, place string, parent string, position long"
+def _followed(starts: DataFrame, to: DataFrame) -> DataFrame:
+    """(chapter, node_id, steps): starts (chapter, node_id) and all nodes that pointers (chapter, node_id, to) lead to from there, by doubling; one on a cycle counts when it is met first."""
+    seen = starts.select("chapter", "node_id", F.lit(0).cast("long").alias("steps"))
+    jump, length = to.select("chapter", "node_id", "to"), 1
+    while True:
+        far = seen.join(jump, ["chapter", "node_id"]).select("chapter", F.col("to").alias("node_id"), (F.col("steps") + length).alias("steps"))
+        new, found = measured(far.join(seen.select("chapter", "node_id"), ["chapter", "node_id"], "left_anti").groupBy("chapter", "node_id").agg(F.min("steps").alias("steps")), "followed", n=F.count(F.lit(1)))
+        if not found["n"]:
+            return seen
+        seen, length = stored(seen.unionByName(new), "seen"), length * 2
+        jump = stored(jump.join(jump.select("chapter", F.col("node_id").alias("to"), F.col("to").alias("next")), ["chapter", "to"]).select("chapter", "node_id", F.col("next").alias("to")), "jumps")
+
+
+def main_paths(scores: DataFrame, strong: DataFrame) -> DataFrame:
+    """(chapter, node_id, position): each chapter's walk from its start node along the heaviest edge to a node that it hasn't visited.
+
+    scores: (chapter, node_id, ord, score, incoming); strong: (chapter, source_id, target_id, weight). All
+    chapters walk together. Until a walk meets itself it follows each node's best edge to an
+    unvisited node, and such a stretch of any length is found by doubling; then the visited
+    nodes leave the choice, and it goes on from where it is.
+    """
+    aim = scores.select("chapter", F.col("node_id").alias("target_id"), "score", "incoming", "ord")
+    rank = F.struct((-F.col("weight")).alias("w"), (-F.col("score")).alias("s"), "incoming", "ord", "target_id")
+    edges = stored(strong.join(aim, ["chapter", "target_id"]).select("chapter", F.col("source_id").alias("node_id"), "target_id", rank.alias("rank")), "ahead")
+    ends = stored(start_nodes(scores).withColumn("position", F.lit(0).cast("long")), "starts")
+    path = ends
+    while True:
+        free = edges.join(path.select("chapter", F.col("node_id").alias("target_id")), ["chapter", "target_id"], "left_anti")
+        best = stored(free.groupBy("chapter", "node_id").agg(F.min("rank").alias("rank")).select("chapter", "node_id", F.col("rank.target_id").alias("to")), "best")
+        walked = _followed(ends, best).join(ends.select("chapter", F.col("position").alias("at")), "chapter")
+        new, seen = measured(walked.where("steps > 0").select("chapter", "node_id", (F.col("at") + F.col("steps")).alias("position")), "walked", n=F.count(F.lit(1)))
+        if not seen["n"]:
+            return path
+        path = stored(path.unionByName(new), "path")
+        ends = stored(new.groupBy("chapter").agg(F.max_by("node_id", "position").alias("node_id"), F.max("position").alias("position")).select("chapter", "node_id", "position"), "ends")
 
 
 def chapter_plans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """PLAN rows: each knowledge node's place (path, branch, auxiliary or unassigned) in its chapter, what it hangs on, and its position.
+    """(chapter, node_id, place, parent, position): each knowledge node's place (path, branch, auxiliary or unassigned) in its chapter, what it hangs on, and its position.
 
-    Paths follow the heaviest unvisited edge, so they are walked step by step, one chapter at a
-    time: a task holds a chapter's ids and edges, and takes time in proportion to them. Chapters
-    must be of a bounded size.
+    nodes: (chapter, node_id, node_type, ord), ord tells nodes of a chapter apart. A branch hangs on its first predecessor
+    on the path, else its first successor there, else on the path's first node by ord; an
+    auxiliary node on the nearest main node by place that a relation links it to, else on the
+    nearest of all, of equal ones the first on the path, then by place. Chapters may be of any size.
     """
-    scores = node_scores(nodes, edges).select("chapter", "node_id", "score", "incoming")
-    left = nodes.select("chapter", "node_id", "node_type", "ord").join(scores, ["chapter", "node_id"], "left")
-    strong = backbone(nodes, edges).select("chapter", "source_id", "target_id", "weight")
-    helpers = nodes.where(F.col("node_type").isin(*vocab.AUXILIARY_TYPES)).select("chapter", "node_id")
+    scores = stored(node_scores(nodes, edges).select("chapter", "node_id", "ord", "score", "incoming"), "scores")
+    strong = stored(backbone(nodes, edges).select("chapter", "source_id", "target_id", "weight"), "backbone")
+    path = main_paths(scores, strong)
+    is_main = F.col("node_type").isin(*vocab.MAIN_TYPES)
+    placed = scans.running(nodes.select("chapter", "node_id", "node_type", "ord"), ["chapter"], ["ord"], mains=is_main.cast("long"))
+    placed = stored(placed.select("chapter", "node_id", "node_type", (F.col("idx") - 1).alias("index"), "mains", is_main.alias("main")).join(path, ["chapter", "node_id"], "left"), "placed")
+
+    on = lambda key: path.select("chapter", F.col("node_id").alias(key), F.struct("position", F.col("node_id").alias("node")).alias("at"))
+    behind = strong.join(on("source_id"), ["chapter", "source_id"]).groupBy("chapter", F.col("target_id").alias("node_id")).agg(F.min("at").alias("behind"))
+    ahead = strong.join(on("target_id"), ["chapter", "target_id"]).groupBy("chapter", F.col("source_id").alias("node_id")).agg(F.min("at").alias("ahead"))
+    roots = placed.where("position is not null").groupBy("chapter").agg(F.min_by("node_id", "index").alias("root"))
+    branch = placed.where("main and position is null").join(behind, ["chapter", "node_id"], "left").join(ahead, ["chapter", "node_id"], "left").join(roots, "chapter", "left")
+    branch = branch.select("chapter", "node_id", F.lit("branch").alias("place"), F.coalesce("behind.node", "ahead.node", "root").alias("parent"), F.col("index").alias("position"))
+
+    helpers = placed.where(F.col("node_type").isin(*vocab.AUXILIARY_TYPES)).select("chapter", "node_id", "index", "mains")
+    mains = placed.where("main").select("chapter", F.col("node_id").alias("host"), F.col("index").alias("host_index"), F.col("mains").alias("number"), F.struct(F.col("position").isNull().alias("off"), F.coalesce("position", "index").alias("at")).alias("turn"))
     ends = edges.where("relation_type <> 'contains'").select("chapter", "source_id", "target_id")
-    loose = ends.join(helpers.withColumnRenamed("node_id", "source_id"), ["chapter", "source_id"], "left_semi").unionByName(ends.join(helpers.withColumnRenamed("node_id", "target_id"), ["chapter", "target_id"], "left_semi")).distinct()
-    right = strong.unionByName(loose.withColumn("weight", F.lit(0)))
-
-    def plan(key: tuple, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        n = n.sort_values("ord")
-        order = {x: i for i, x in enumerate(n.node_id)}
-        score, incoming = dict(zip(n.node_id, n.score)), dict(zip(n.node_id, n.incoming))
-        main = [x for x, t in zip(n.node_id, n.node_type) if t in vocab.MAIN_TYPES]
-        ahead: dict[str, list] = {}
-        behind: dict[str, list] = {}
-        beside: dict[str, tuple[list, list]] = {}
-        for a, b, w in zip(e.source_id, e.target_id, e.weight):
-            if w:
-                ahead.setdefault(a, []).append(((-w, -score[b], incoming[b], order[b]), b))
-                behind.setdefault(b, []).append(a)
-            else:
-                beside.setdefault(a, ([], []))[0].append(b)
-                beside.setdefault(b, ([], []))[1].append(a)
-        rows: list[tuple] = []
-        at: dict[str, int] = {}
-        here = min(main, key=lambda x: (incoming[x], -score[x], order[x]), default=None)
-        while here is not None:
-            rows.append((here, "path", "", len(at)))
-            at[here] = len(at)
-            here = min((r for r in ahead.get(here, ()) if r[1] not in at), default=(None, None))[1]
-        root = min(at, key=order.get, default=None)
-        for x in main:
-            if x not in at:
-                near = [y for y in behind.get(x, ()) if y in at] or [b for _, b in ahead.get(x, ()) if b in at]
-                rows.append((x, "branch", min(near, key=at.get) if near else root, order[x]))
-        if main:
-            targets = [*at, *(x for x in main if x not in at)]
-            known = set(targets)
-            for x, t in zip(n.node_id, n.node_type):
-                if t in vocab.AUXILIARY_TYPES:
-                    out, into = beside.get(x, ([], []))
-                    near = [y for y in (*out, *into) if y in known]
-                    host = min(near, key=lambda y: (abs(order[y] - order[x]), order[y])) if near else min(targets, key=lambda y: abs(order[y] - order[x]))
-                    rows.append((x, "auxiliary", host, order[x]))
-        placed = {r[0] for r in rows}
-        rows += [(x, "unassigned", "", order[x]) for x in n.node_id if x not in placed]
-        return pd.DataFrame([(key[0], *r) for r in rows], columns=["chapter", "node_id", "place", "parent", "position"])
-
-    fresh = lambda df: df.select(*(F.col(c).alias(c) for c in df.columns))  # noqa: E731  both sides come from the same columns
-    return fresh(left).groupBy("chapter").cogroup(fresh(right).groupBy("chapter")).applyInPandas(plan, PLAN)
+    beside = ends.unionByName(ends.select("chapter", F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"))).distinct()
+    far = F.abs(F.col("host_index") - F.col("index"))
+    linked = helpers.join(beside.withColumnRenamed("source_id", "node_id").withColumnRenamed("target_id", "host"), ["chapter", "node_id"]).join(mains, ["chapter", "host"])
+    linked = linked.groupBy("chapter", "node_id").agg(F.min(F.struct(far.alias("far"), "host_index", "host")).alias("h")).select("chapter", "node_id", F.col("h.host").alias("linked"))
+    near = helpers.withColumn("number", F.explode(F.array("mains", F.col("mains") + 1))).join(mains, ["chapter", "number"])
+    near = near.groupBy("chapter", "node_id").agg(F.min(F.struct(far.alias("far"), "turn", "host")).alias("h")).select("chapter", "node_id", F.col("h.host").alias("near"))
+    helped = helpers.join(near, ["chapter", "node_id"]).join(linked, ["chapter", "node_id"], "left")
+    helped = helped.select("chapter", "node_id", F.lit("auxiliary").alias("place"), F.coalesce("linked", "near").alias("parent"), F.col("index").alias("position"))
+
+    walked = path.select("chapter", "node_id", F.lit("path").alias("place"), F.lit("").alias("parent"), "position")
+    known = stored(walked.unionByName(branch).unionByName(helped), "plans")
+    rest = placed.join(known.select("chapter", "node_id"), ["chapter", "node_id"], "left_anti").select("chapter", "node_id", F.lit("unassigned").alias("place"), F.lit("").alias("parent"), F.col("index").alias("position"))
+    return known.unionByName(rest)

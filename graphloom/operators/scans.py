@@ -21,7 +21,7 @@ def running(df: DataFrame, group: list[str], order: list[str], **sums: Column) -
     """df, stored, with ``idx``, each row's place in its group from 1 on, ``n``, the group's rows, and the running totals of ``sums``, the row's own included.
 
     Order must tell rows of a group apart, or it is arbitrary among equals, but the same in all totals. Null
-    summands count as 0. Columns of df keep their names; group columns may be null.
+    summands, columns named by F.col, count as 0. Columns of df keep their names; group columns may be null.
     """
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = df.repartitionByRange(parts, *group, *order).sortWithinPartitions(*group, *order)

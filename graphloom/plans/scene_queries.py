@@ -9,29 +9,60 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import layout as L
+from ..operators import placement as P
 from ..operators import routing as R
 from ..sources import adapters as A
+from ..storage import stored
 
 
 def order_scenes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(cards (group, node_id, ord), edges (group, edge_id, source_id, target_id, relation_type, place)) of all orders."""
+    """(cards (group, node_id, ord), edges (group, edge_id, source_id, target_id, relation_type, relation_family, place)) of all orders."""
     c = A.local_claims(spark, d).select("order_key", "line", "source_key", "target_key", T.relation_type(F.col("relation_type")).alias("relation_type"))
     name = lambda k: F.lpad(F.col(k).cast("string"), 9, "0")
     group = F.col("order_key").cast("string").alias("group")
     ends = c.select(group, F.explode(F.array(F.struct(name("source_key").alias("node_id"), F.col("line").alias("ord")), F.struct(name("target_key").alias("node_id"), (F.col("line") + 1).alias("ord")))).alias("e"))
     cards = ends.groupBy("group", "e.node_id").agg(F.min("e.ord").alias("ord"))
-    edges = c.select(group, F.concat_ws("#", "order_key", "line").alias("edge_id"), name("source_key").alias("source_id"), name("target_key").alias("target_id"), "relation_type", F.col("line").alias("place"))
+    edges = c.select(group, F.concat_ws("#", "order_key", "line").alias("edge_id"), name("source_key").alias("source_id"), name("target_key").alias("target_id"), "relation_type", F.when(F.col("relation_type") == "related_to", "unresolved").otherwise("semantic").alias("relation_family"), F.col("line").alias("place"))
     return cards, edges
 
 
-def edge_routes(spark: SparkSession, d: str) -> DataFrame:
+def _laid_out(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     cards, edges = order_scenes(spark, d)
-    found = R.orthogonal_routes(L.grid(cards), edges)
+    return stored(P.component_layout(cards, edges), "scenes"), edges
+
+
+def scene_layout(spark: SparkSession, d: str) -> DataFrame:
+    return _laid_out(spark, d)[0].drop("component")
+
+
+def edge_routes(spark: SparkSession, d: str) -> DataFrame:
+    """Routes of all relations of all scenes, and where their labels stand."""
+    cards, edges = _laid_out(spark, d)
+    found = stored(R.orthogonal_routes(cards, edges), "routes")
+    important = edges.select("group", "edge_id", "place", (F.col("relation_family") == "unresolved").alias("important"))
+    labels = P.label_places(found.join(important, ["group", "edge_id"]), cards).select("group", "edge_id", F.col("x").alias("label_x"), F.col("y").alias("label_y"), "visible", "reason")
     path = F.array_join(F.transform("points", lambda p: F.concat_ws(",", p["x"].cast("decimal(18,1)"), p["y"].cast("decimal(18,1)"))), " ")
-    return found.select("group", "edge_id", "status", F.round("cost", 6).alias("cost"), F.coalesce(path, F.lit("")).alias("path"))
+    routes = found.select("group", "edge_id", "status", F.round("cost", 6).alias("cost"), F.coalesce(path, F.lit("")).alias("path"))
+    return routes.join(labels, ["group", "edge_id"])
+
+
+def nested_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Regions, nations and market segments as nested frames around the cards of suppliers and customers."""
+    n, s, c = (A.table(spark, d, t) for t in ("nation", "supplier", "customer"))
+    ident = lambda p, *k: F.concat(F.lit(p), F.concat_ws(":", *(F.col(x).cast("string") for x in k)))
+    scope = lambda df, me, parent, order: df.select(me.alias("scope_id"), parent.alias("parent_id"), order.cast("long").alias("ord")).distinct()
+    scopes = (
+        scope(A.table(spark, d, "region"), ident("r", "r_regionkey"), F.lit(""), F.col("r_regionkey")).unionByName(scope(n, ident("n", "n_nationkey"), ident("r", "n_regionkey"), F.col("n_nationkey")))
+        .unionByName(scope(c, ident("m", "c_nationkey", "c_mktsegment"), ident("n", "c_nationkey"), F.lit(0)))
+    )
+    nodes = s.select(ident("n", "s_nationkey").alias("group"), ident("s", "s_suppkey").alias("node_id")).unionByName(c.select(ident("m", "c_nationkey", "c_mktsegment").alias("group"), ident("c", "c_custkey").alias("node_id")))
+    none = nodes.limit(0).select("group", F.col("node_id").alias("source_id"), F.col("node_id").alias("target_id"), F.lit("").alias("relation_type"), F.lit("").alias("relation_family"))
+    frames, cards, issues = P.nested_layout(scopes, nodes, none)
+    box = lambda df, kind, me: df.select(F.lit(kind).alias("kind"), F.col(me).alias("object_id"), *(F.round(v, 6).alias(v) for v in ("x", "y", "width", "height")))
+    told = issues.select(F.col("code").alias("kind"), "object_id", *(F.lit(None).cast("double").alias(v) for v in ("x", "y", "width", "height")))
+    return box(frames, "frame", "scope_id").unionByName(box(cards, "card", "node_id")).unionByName(told)
 
 
-QUERIES = {f.__name__: f for f in (edge_routes,)}
+QUERIES = {f.__name__: f for f in (scene_layout, edge_routes, nested_frames)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -89,7 +89,7 @@ def plain_plans(nodes, edges):
                 continue
             far = lambda y: abs(index[y] - index[x])  # noqa: E731, B023
             if kind[x] in vocab.AUXILIARY_TYPES and main:
-                near = {b for e in own for a, b in ((e["source_id"], e["target_id"]), (e["target_id"], e["source_id"])) if a == x and b in path + rest}
+                near = {b for e in own if e["relation_type"] != "contains" for a, b in ((e["source_id"], e["target_id"]), (e["target_id"], e["source_id"])) if a == x and b in path + rest}
                 out[chapter, x] = ("auxiliary", min(near, key=lambda y: (far(y), index[y])) if near else min(path + rest, key=far), index[x])
             else:
                 out[chapter, x] = ("unassigned", "", index[x])
