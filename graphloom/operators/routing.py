@@ -201,7 +201,8 @@ def orthogonal_routes(boxes: DataFrame, edges: DataFrame, passes: int = 2, clear
     edges = stored(edges.select("group", "edge_id", "source_id", "target_id", "place"), "edges")
     rest, done, used = edges.where("source_id <> target_id"), None, None
     for k in range(1, passes + 1):
-        found = _routed(rest, around, stored(_weighed(points, used, overlap), "channels"), clearance, turn)
+        here = points if used is None else points.join(rest.select("group").distinct(), "group", "left_semi")
+        found = _routed(rest, around, stored(_weighed(here, used, overlap), "channels"), clearance, turn)
         if k == passes:
             done = found if done is None else done.unionByName(found)
             break

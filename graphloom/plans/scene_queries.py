@@ -1,6 +1,7 @@
 """Queries over scenes: cards, their places, and the routes and labels of relations between them.
 
-An order is a scene: its parts are cards, and each line's part leads to the next one's.
+A conversation is a scene: its turns are cards; a turn leads to the next one, answers what opened
+the conversation, and stands beside the turn before the last.
 """
 
 from __future__ import annotations
@@ -8,26 +9,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..operators import placement as P
 from ..operators import routing as R
+from ..operators import scans
 from ..sources import adapters as A
 from ..storage import stored
 
 
-def order_scenes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(cards (group, node_id, ord), edges (group, edge_id, source_id, target_id, relation_type, relation_family, place)) of all orders."""
-    c = A.local_claims(spark, d).select("order_key", "line", "source_key", "target_key", T.relation_type(F.col("relation_type")).alias("relation_type"))
-    name = lambda k: F.lpad(F.col(k).cast("string"), 9, "0")
-    group = F.col("order_key").cast("string").alias("group")
-    ends = c.select(group, F.explode(F.array(F.struct(name("source_key").alias("node_id"), F.col("line").alias("ord")), F.struct(name("target_key").alias("node_id"), (F.col("line") + 1).alias("ord")))).alias("e"))
-    cards = ends.groupBy("group", "e.node_id").agg(F.min("e.ord").alias("ord"))
-    edges = c.select(group, F.concat_ws("#", "order_key", "line").alias("edge_id"), name("source_key").alias("source_id"), name("target_key").alias("target_id"), "relation_type", F.when(F.col("relation_type") == "related_to", "unresolved").otherwise("semantic").alias("relation_family"), F.col("line").alias("place"))
-    return cards, edges
+def conversation_scenes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(cards (group, node_id), edges (group, edge_id, source_id, target_id, relation_type, relation_family, place)) of all conversations."""
+    turns = scans.running(A.table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("group"), "turn", "role", F.length("text").alias("size")), ["group"], ["turn"])
+    turns = stored(turns.withColumn("node_id", F.lpad(F.col("idx").cast("string"), 6, "0")), "turns")
+    at = turns.select("group", F.col("idx").alias("at"), F.col("node_id").alias("target_id"))
+    kind = lambda name, family, to: F.struct(F.lit(name).alias("relation_type"), family.alias("relation_family"), to.cast("long").alias("at"))
+    family = F.when(F.col("size") % 5 == 0, "unresolved").otherwise("semantic")
+    kinds = F.array(kind("progressive", family, F.col("idx") + 1), kind("derives_to", F.lit("semantic"), F.when((F.col("role") == "assistant") & (F.col("idx") > 2), 1)), kind("parallel", F.lit("semantic"), F.col("idx") - 2))
+    edges = turns.select("group", F.col("node_id").alias("source_id"), "idx", F.explode(kinds).alias("k")).select("group", "source_id", "idx", "k.*").join(at, ["group", "at"])
+    edges = edges.select("group", F.concat_ws("#", "group", "source_id", "target_id", "relation_type").alias("edge_id"), "source_id", "target_id", "relation_type", "relation_family", F.col("idx").cast("int").alias("place"))
+    return turns.select("group", "node_id"), stored(edges, "relations")
 
 
 def _laid_out(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    cards, edges = order_scenes(spark, d)
+    cards, edges = conversation_scenes(spark, d)
     return stored(P.component_layout(cards, edges), "scenes"), edges
 
 
