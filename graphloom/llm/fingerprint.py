@@ -1,12 +1,13 @@
 """Homomorphic multiset fingerprints of documents, with DataFrame functions alone.
 
 A text is the multiset of its paragraphs (lines, cut at sentence ends). Each paragraph hashes to
-a wide vector: plus or minus 1 in each of 124 signed lanes (modulo 2**16) and a value in each of 4
+a wide vector: plus or minus 1 in each of 124 signed lanes (modulo 2**32) and a value in each of 4
 dense lanes (modulo 2**48). A fingerprint is the sum: order doesn't matter, and a paragraph is
 inserted or deleted by adding or subtracting its vector. Equal fingerprints are a matter of all
 lanes. Likeness comes from the signed ones: the squared distance of two sums estimates the
 paragraphs that one text has and the other hasn't, their squared norms estimate all paragraphs.
-It holds for texts of any length, with an error of about a tenth.
+It holds for texts of fewer than 2**31 paragraphs, with an error of about a tenth; a paragraph
+weighs by the square of its repetitions.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from .exchange import partitions
 HALF = 31
 HASHES, DENSE = 2, 4
 SIGNED = HASHES * 2 * HALF
-_SHORT, _WIDE, _LIMB = (1 << 16) - 1, (1 << 48) - 1, 24
+_SHORT, _WIDE, _LIMB = (1 << 32) - 1, (1 << 48) - 1, 24
 
 
 def paragraphs(text: Column) -> Column:
@@ -71,8 +72,8 @@ def vector_of() -> Column:
 
 
 def encode(v: Column) -> Column:
-    """Hexadecimal text of a vector: 4 digits for each signed lane, 12 for each dense one."""
-    return F.array_join(F.transform(v, lambda x, i: F.lower(F.lpad(F.hex(x), F.when(i < SIGNED, 4).otherwise(12), "0"))), "")
+    """Hexadecimal text of a vector: 8 digits for each signed lane, 12 for each dense one."""
+    return F.array_join(F.transform(v, lambda x, i: F.lower(F.lpad(F.hex(x), F.when(i < SIGNED, 8).otherwise(12), "0"))), "")
 
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
@@ -85,11 +86,11 @@ def combine(a: Column, b: Column, sign: int = 1) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """Of all paragraphs of two texts, the share that both have, as their vectors tell it: 1 for equal vectors, below 1 for others, 0 at least."""
-    whole = lambda x: (x + 32768).bitwiseAND(F.lit(_SHORT)) - 32768
-    square = lambda v: F.aggregate(v, F.lit(0).cast("bigint"), lambda acc, x: acc + whole(x) * whole(x))
+    whole = lambda x: ((x + (1 << 31)).bitwiseAND(F.lit(_SHORT)) - (1 << 31)).cast("double")
+    square = lambda v: F.aggregate(v, F.lit(0.0), lambda acc, x: acc + whole(x) * whole(x))
     x, y = F.slice(a, 1, SIGNED), F.slice(b, 1, SIGNED)
     apart = square(F.zip_with(x, y, lambda p, q: p - q))
-    near = 1 - apart / F.greatest(square(x) + square(y), F.lit(1))
+    near = 1 - apart / F.greatest(square(x) + square(y), F.lit(1.0))
     return F.when(a == b, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(near, F.lit(1.0 - 1 / 1024))))
 
 

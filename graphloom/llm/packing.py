@@ -1,9 +1,10 @@
 """Packing of tokenised documents into windows by best-fit decreasing.
 
-Each input partition packs its own documents: no shuffle, no global order, and a partition of
-some thousand documents already leaves almost no gaps. Overlong documents are cut into full
-windows first; what is left of them and all shorter ones go, longest first, each into the
-tightest open window, which a segment tree over remaining capacity finds.
+Overlong documents are cut into full windows first; what is left of them and all shorter ones go,
+longest first, each into the tightest open window, which a segment tree over remaining capacity
+finds. ``pack_documents`` packs the rows of each input partition in their order, block by block.
+``pack_table`` heeds no order: pieces shorter than a window, a few numbers each, are dealt out anew,
+so that a task packs thousands of them however the table lies in files.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import measured
 from .bytescan import SEPARATOR, HashSlots, chunks, lean_task, ragged, word_hashes, words
+from .exchange import partitions
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 #: Pieces that a task packs together; more begin a new block, so a task's memory is bounded.
@@ -212,6 +215,82 @@ def tokenizer(path: str, end_id: int, keep: bool) -> WordTokenizer:
     return _known[path, end_id]
 
 
+def _rows(found: list[tuple], schema: str) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(found), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found[i : i + 50_000])], names=[c.split()[0] for c in schema.split(", ")])
+
+
+def pieces(batches: Iterator[pa.RecordBatch], tokens: WordTokenizer, window: int) -> Iterator[tuple | None]:
+    """(doc_id, start, length, crc of ids, tokens of the document) of all pieces of a window at most, and None after each document."""
+    for batch in batches:
+        names = batch.column(0).to_pylist()
+        for lo, hi, data, bounds in chunks(batch.column(1), CHUNK):
+            ids, cut = tokens.ids(data, bounds)
+            raw, cut = memoryview(ids.astype("<u4")).cast("B"), cut.tolist()
+            for i in range(hi - lo):
+                total = cut[i + 1] - cut[i]
+                for start in range(0, total, window):
+                    length = min(window, total - start)
+                    at = 4 * (cut[i] + start)
+                    yield names[lo + i], start, length, zlib.crc32(raw[at : at + 4 * length]), total
+                yield None
+
+
+def placed(rest: list[tuple], window: int, sequence: int) -> tuple[list[tuple], int]:
+    """Pieces with their sequence, place and the sequence's tokens, and how many sequences there are, numbered on from one."""
+    place = best_fit_decreasing([p[2] for p in rest], window)
+    fill: dict[int, int] = {}
+    for p, (w, _) in zip(rest, place):
+        fill[w] = fill.get(w, 0) + p[2]
+    return [(*p, sequence + w, at, fill[w]) for p, (w, at) in zip(rest, place)], len(fill)
+
+
+_CUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, piece long"
+#: Pieces that a task packs at least, where the table has as many: the last window of each task is what stays open.
+LEAST_PIECES = 4096
+
+
+def pack_table(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``pack_documents``, packed without regard to order: how the table lies in partitions makes no gaps.
+
+    Texts are tokenised where they are, and their pieces are stored. Pieces shorter than a window
+    are dealt out by their numbers over so many tasks that each has LEAST_PIECES to BLOCK_PIECES of
+    them (all of them in one if there are fewer). Odd tables as there.
+    """
+    spark = docs.sparkSession
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, found = TaskContext.get().partitionId() << 36, []
+        for piece in pieces(batches, tokenizer(tokenizer_path, end_id, True), window):
+            if piece is not None:
+                found.append((*piece, number))
+                number += 1
+            elif len(found) >= 50_000:
+                yield from _rows(found, _CUT)
+                found.clear()
+        yield from _rows(found, _CUT)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sequence, rest = TaskContext.get().partitionId() << 36, []
+        for batch in batches:
+            rest.extend(zip(*(c.to_pylist() for c in batch.columns)))
+            if len(rest) >= 2 * BLOCK_PIECES:  # not reached where pieces are dealt out evenly
+                found, opened = placed(sorted(rest, key=lambda p: p[5]), window, sequence)
+                yield from _rows([(*p[:5], 2 * p[6] + 1, *p[7:]) for p in found], PIECES)
+                sequence += opened
+                rest.clear()
+        found, _ = placed(sorted(rest, key=lambda p: p[5]), window, sequence)
+        yield from _rows([(*p[:5], 2 * p[6] + 1, *p[7:]) for p in found], PIECES)
+
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    all_pieces, seen = measured(texts.mapInArrow(lean_task(cut), _CUT), "pieces", short=F.count_if(F.col("length") < window))
+    short = seen["short"] or 0
+    tasks = min(max(1, short // LEAST_PIECES), max(partitions(spark), -(-short // BLOCK_PIECES)))
+    full = all_pieces.where(F.col("length") == window).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("piece") * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.col("length").alias("sequence_tokens"))
+    dealt = all_pieces.where(F.col("length") < window).repartition(tasks, "piece")
+    return full.unionByName(dealt.mapInArrow(lean_task(pack), PIECES))
+
+
 def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", block_pieces: int = BLOCK_PIECES, keep_tokenizer: bool = True) -> DataFrame:
     """A row for each piece of a document: where its ids lie in the document and in a sequence.
 
@@ -227,46 +306,30 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 2048, end
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, sequence = tokenizer(tokenizer_path, end_id, keep_tokenizer), TaskContext.get().partitionId() << 36
+        sequence = TaskContext.get().partitionId() << 36
         full: list[tuple] = []
         rest: list[tuple] = []
 
-        def rows(found: list[tuple]) -> Iterator[pa.RecordBatch]:
-            for i in range(0, len(found), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found[i : i + 50_000])], names=[c.split()[0] for c in PIECES.split(", ")])
-
         def packed() -> Iterator[pa.RecordBatch]:
             nonlocal sequence
-            place = best_fit_decreasing([p[2] for p in rest], window)
-            fill: dict[int, int] = {}
-            for p, (w, _) in zip(rest, place):
-                fill[w] = fill.get(w, 0) + p[2]
-            yield from rows([(*p, sequence + w, at, fill[w]) for p, (w, at) in zip(rest, place)])
-            sequence += len(fill)
+            found, opened = placed(rest, window, sequence)
+            yield from _rows(found, PIECES)
+            sequence += opened
             rest.clear()
 
-        for batch in batches:
-            names = batch.column(0).to_pylist()
-            for lo, hi, data, bounds in chunks(batch.column(1), CHUNK):
-                ids, cut = tokens.ids(data, bounds)
-                raw, cut = memoryview(ids.astype("<u4")).cast("B"), cut.tolist()
-                for i in range(hi - lo):
-                    total = cut[i + 1] - cut[i]
-                    for start in range(0, total, window):
-                        length = min(window, total - start)
-                        at = 4 * (cut[i] + start)
-                        piece = (names[lo + i], start, length, zlib.crc32(raw[at : at + 4 * length]), total)
-                        if length == window:
-                            full.append((*piece, sequence, 0, window))
-                            sequence += 1
-                        else:
-                            rest.append(piece)
-                    if len(rest) >= block_pieces:
-                        yield from packed()
+        for piece in pieces(batches, tokenizer(tokenizer_path, end_id, keep_tokenizer), window):
+            if piece is None:  # a document ends
+                if len(rest) >= block_pieces:
+                    yield from packed()
+            elif piece[2] == window:
+                full.append((*piece, sequence, 0, window))
+                sequence += 1
                 if len(full) >= 50_000:
-                    yield from rows(full)
+                    yield from _rows(full, PIECES)
                     full.clear()
-        yield from rows(full)
+            else:
+                rest.append(piece)
+        yield from _rows(full, PIECES)
         yield from packed()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean_task(task), PIECES)

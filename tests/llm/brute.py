@@ -90,7 +90,7 @@ def _chained(h, k):
 
 
 def fingerprint(text):
-    """124 signed lanes modulo 2**16 and 4 dense ones modulo 2**48."""
+    """124 signed lanes modulo 2**32 and 4 dense ones modulo 2**48."""
     lanes, dense = [0] * 124, [0] * 4
     for p in re.split(r"\n+|(?<=[.!?])[ \t\n\x0b\f\r]+", text or ""):
         if p:
@@ -100,17 +100,17 @@ def fingerprint(text):
                 lanes[j] += 1 if bits[j // 62] >> j % 62 & 1 else -1
             for k in range(4):
                 dense[k] += _chained(h, k) & (2**48 - 1)
-    return [x % 2**16 for x in lanes] + [x % 2**48 for x in dense]
+    return [x % 2**32 for x in lanes] + [x % 2**48 for x in dense]
 
 
 def fingerprint_text(v):
-    return "".join(f"{x:04x}" for x in v[:124]) + "".join(f"{x:012x}" for x in v[124:])
+    return "".join(f"{x:08x}" for x in v[:124]) + "".join(f"{x:012x}" for x in v[124:])
 
 
 def likeness(a, b):
     if a == b:
         return 1.0
-    whole = lambda x: (x + 32768) % 65536 - 32768
+    whole = lambda x: (x + 2**31) % 2**32 - 2**31
     square = lambda v: sum(whole(x) ** 2 for x in v[:124])
     near = 1 - square([x - y for x, y in zip(a, b)]) / max(1, square(a) + square(b))
     return max(0.0, min(near, 1 - 1 / 1024))

@@ -410,6 +410,32 @@ def test_little_padding(spark, sf):
     assert len(fill) <= -(-sum(fill.values()) // 2048) + 1
 
 
+def test_little_padding_in_any_partitions(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    path, seen = queries.tokenizer_file("word_bpe_49k.json"), []
+    for parts in (1, 64, 256):
+        rows = packing.pack_table(docs.repartition(parts, "doc_id"), path).collect()
+        fill, at = {}, {}
+        for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+            assert r.offset == at.get(r.sequence_id, 0)
+            at[r.sequence_id] = r.offset + r.length
+            fill[r.sequence_id] = r.sequence_tokens
+        assert at == fill and max(fill.values()) <= 2048
+        assert len(fill) <= -(-sum(fill.values()) // 2048) + 1
+        seen.append(sorted((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in rows))
+    whole = packing.pack_documents(docs, path).collect()
+    assert seen[0] == seen[1] == seen[2] == sorted((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in whole)
+    assert packing.pack_table(docs.limit(0), path).count() == 0
+
+
+def test_a_line_repeated_without_end_is_unlike_nothing(spark):
+    docs = [(3, "x\n" * 65_536), (2, ""), (1, "x\n" * 40_000), (0, "y\n" * 200_000 + "z")]
+    got = {r.doc_id: r.near_next for r in fingerprint.fingerprints(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[3] == 0 and got[2] == 0 and got[1] < 0.2
+    again = [(2, "x\n" * 1_000_000), (1, "x\n" * 999_000)]
+    assert fingerprint.fingerprints(spark.createDataFrame(again, "doc_id long, text string")).where("doc_id = 2").first().near_next > 0.99
+
+
 def test_best_fit_decreasing():
     r = random.Random(2)
     lengths = [r.randint(1, 64) for _ in range(500)]
@@ -469,7 +495,7 @@ OPERATORS = {
     "op4": (lambda d: fingerprint.fingerprints(d), 1),
     "op5": (lambda d: langid.identify(d, langid.fit(d.withColumn("lang", F.lit("x")))), 1),
     "op7": (lambda d: token_counts.token_counts(d, queries.tokenizer_file("piece_bpe_32k.model")), 1),
-    "op8": (lambda d: packing.pack_documents(d, queries.tokenizer_file("word_bpe_49k.json")), 1),
+    "op8": (lambda d: packing.pack_table(d, queries.tokenizer_file("word_bpe_49k.json")), 1),
     "op9": (lambda d: substring_dedup.remove_repeats(d), 1),
     "op10": (lambda d: mixing.mix(d), 1),
 }
