@@ -161,4 +161,28 @@ ORACLE_SQL: dict[str, str] = {
         o AS (SELECT *, left(t, pc) AS pre, substr(t, pc + 1, mc) AS mid, substr(t, pc + mc + 1) AS suf FROM p)
       SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN pc END AS prefix_chars, CASE WHEN form <> 'plain' THEN mc END AS middle_chars,
         sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN concat('<P>', pre, '<S>', suf, '<M>', mid) ELSE concat('<S>', suf, '<P>', pre, '<M>', mid) END) AS output_sha256, sha256(t) AS restored_sha256 FROM o""",
+    "op12_structure_repair": r"""
+      WITH RECURSIVE tab AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM (SELECT CAST(range AS BIGINT) AS i FROM range(256)) q),
+        named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, t, list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS bytes FROM conversations, tab),
+        hashed AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) % 20 AS kind FROM named),
+        hurt AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM hashed WHERE kind <> 0),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, left(role, 1) AS k FROM hurt),
+        r AS (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n, lag(k) OVER (PARTITION BY conv_id ORDER BY i) AS before, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 3 ELSE 0 END AS fault FROM placed),
+        moves(was, now, gap, gone) AS (VALUES ('n', 's', 0, false), ('n', 'u', 0, false), ('n', 'a', 1, false), ('s', 'u', 0, false), ('s', 'a', 1, false), ('u', 'u', 1, false), ('u', 'a', 0, false), ('a', 'u', 0, false), ('a', 'a', 1, false), ('n', 'n', 0, true), ('s', 's', 0, true), ('u', 'u', 0, true), ('a', 'a', 0, true)),
+        walk AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, 'n' AS state, CAST(0 AS BIGINT) AS cost, '' AS audit FROM r
+          UNION ALL SELECT conv_id, i, state, cost, audit FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, state ORDER BY cost, audit) AS pick FROM (
+            SELECT w.conv_id, r.i, m.now AS state, CAST(w.cost + CASE WHEN m.gone THEN 2 ELSE 5 * m.gap + CASE WHEN r.fault = 3 THEN 5 ELSE 0 END + CASE WHEN m.now = r.k THEN 0 ELSE 1 END END AS BIGINT) AS cost,
+              w.audit || CASE WHEN m.gone THEN 'D' ELSE repeat('I', m.gap) || CASE WHEN m.now = r.k THEN 'K' ELSE 'R' END END AS audit
+            FROM walk w JOIN r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1 JOIN moves m ON m.was = w.state
+            WHERE m.gone OR (r.fault NOT IN (1, 2) AND (m.now = r.k OR m.now <> 's'))) c) p WHERE pick = 1),
+        done AS (SELECT conv_id, cost, audit FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY cost, audit) AS pick FROM (
+          SELECT w.conv_id, w.cost + CASE w.state WHEN 's' THEN 10 WHEN 'u' THEN 5 ELSE 0 END AS cost, w.audit || CASE w.state WHEN 's' THEN 'II' WHEN 'u' THEN 'I' ELSE '' END AS audit
+          FROM walk w JOIN (SELECT DISTINCT conv_id, n FROM r) s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND s.n = w.i) e) q WHERE pick = 1),
+        letters AS (SELECT conv_id, p, audit[p] AS x, CASE WHEN audit[p] <> 'I' THEN length(replace(audit[1:p], 'I', '')) END AS i, length(replace(audit[1:p], 'D', '')) AS place FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS p FROM done) q WHERE audit[p] <> 'D'),
+        kept AS (SELECT l.conv_id, p, x, place, role, k, text FROM letters l LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM l.conv_id AND r.i = l.i),
+        heads AS (SELECT conv_id, CASE WHEN k = 's' AND x = 'K' THEN 1 ELSE 0 END AS head FROM kept WHERE place = 1),
+        said AS (SELECT kept.conv_id, string_agg(CASE WHEN x = 'K' THEN role WHEN (place - head) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(CASE WHEN x <> 'I' THEN text END, ''), chr(10) ORDER BY p) AS said FROM kept JOIN heads ON heads.conv_id IS NOT DISTINCT FROM kept.conv_id GROUP BY kept.conv_id),
+        counted AS (SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (i > 1 AND before || k NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id)
+      SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+      FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN said s ON s.conv_id IS NOT DISTINCT FROM o.conv_id""",
 }
