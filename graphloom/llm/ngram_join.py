@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import linked
+from ..storage import measured
 from .bytescan import U64, chunks, lean, lean_pair, lean_task, mix, powers, prefix_sums, ragged, runs, word_hashes, words
 from .exchange import BLOBS, buckets, deal, doc_bucket, gather, id_filter, small_batches, stored, stored_lean, table, with_maybe
 from .repeats import FLUSH, KINDS, kind_batch
@@ -339,12 +340,34 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Null text, and text without words, has no shingles and is linked with nothing; with fewer
     than five words all of them are one. Equal texts share a set. Repeated rows of an id give one
-    row each; a null id gives a row of its own (component null). No rows give none; other columns
+    row each; rows that share an id but not their text are vertices of their own, each with its own
+    links. A null id gives a row of its own (component null). No rows give none; other columns
     are ignored. Sets are whole, whatever the text's length.
     """
-    spark = docs.sparkSession
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    told = F.xxhash64("text")
+    several = source.where("doc_id is not null").groupBy("doc_id").agg(F.min(told).alias("lo"), F.max(told).alias("hi"))
+    several, seen = measured(several.where("lo <> hi").select("doc_id"), "shared-ids", n=F.count(F.lit(1)))
+    if not seen["n"]:
+        return _components(source)
+
+    # Texts of shared ids get ids of their own, below all others.
+    rows = source.join(several.select("doc_id", F.lit(True).alias("shared")), "doc_id", "left").withColumn("told", F.when(F.col("shared"), told))
+    least = source.agg(F.min("doc_id")).first()[0]
+    names = rows.where("shared").select("doc_id", "told").distinct()
+    names = stored(names.withColumn("vertex", F.lit(least) - 1 - F.monotonically_increasing_id()), "vertices")
+    named = rows.join(names, ["doc_id", "told"], "left").withColumn("vertex", F.coalesce("vertex", "doc_id"))
+    found = _components(named.select(F.col("vertex").alias("doc_id"), "text")).withColumnRenamed("doc_id", "vertex")
+    found = stored(found.join(names.select("vertex", "doc_id"), "vertex", "left").withColumn("doc_id", F.coalesce("doc_id", "vertex")), "found")
+    top = lambda key, name: found.groupBy(F.col(key)).agg(F.min("doc_id").alias(name))
+    out = found.join(top("component_id", "component"), "component_id", "left").join(top("set_id", "set"), "set_id", "left")
+    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.col("set").alias("set_id"))
+
+
+def _components(source: DataFrame) -> DataFrame:
+    """The same for (doc_id, text) rows of which all with one id have one text."""
+    spark = source.sparkSession
     n = buckets(spark)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = stored_lean(first_round(source, n), "segments")
     profile = found.where(F.col("kind") == CLASS).select(F.col("a").alias("doc_id"), F.col("b").alias("set_id"), F.col("n").alias("size"))
     one = profile.groupBy("doc_id").agg(F.min("set_id").alias("set_id"), F.max("size").alias("size"))

@@ -66,6 +66,25 @@ def test_jaccard_of_many_near_copies(spark):
     assert got == brute.jaccard(docs)
 
 
+def test_jaccard_of_shared_ids(spark):
+    """Texts of one id are vertices of their own; a component's id is the smallest of its documents'."""
+    r = random.Random(12)
+    prose = lambda n: [str(r.random()) for _ in range(n)]
+    base, other = prose(300), prose(200)
+    docs = [(1, base), (2, base[1:]), (2, other), (3, other[:-1]), (2, base[1:]), (4, prose(30)), (9, base[2:]), (9, ["short"]), (-5, other[1:]), (7, []), (7, prose(50)), (None, base)]
+    docs = [(i, " ".join(w)) for i, w in docs]
+    plain = brute.jaccard(list(enumerate(t for _, t in docs)))
+    known = {}
+    for k, (i, _) in enumerate(docs):
+        if i is not None:
+            known.setdefault(plain[k][1], []).append(i)
+    want = sorted((i, plain[k][0], min(known[plain[k][1]])) for k, (i, t) in enumerate(docs) if i is not None)
+    # the null row links with nothing, and gives its base no smaller id
+    rows = ngram_join.jaccard_components(frame(spark, docs)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in rows if r.doc_id is not None) == want
+    assert [r.component_id for r in rows if r.doc_id is None] == [None] and len(rows) == len(docs)
+
+
 def test_substring_dedup(spark, docs):
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.remove_repeats(frame(spark, docs)).collect()}
     assert got == brute.substring_dedup(docs)
