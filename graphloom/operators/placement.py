@@ -1,4 +1,4 @@
-"""Places of cards in a scene: rings, bands and grids of components, packed on shelves; nested frames of scopes; labels on routes.
+"""Places of cards in a scene: rings, bands and grids of components, packed on shelves; nested frames of scopes; columns of reading sequences; labels on routes.
 
 Everything is done for all components, scopes or routes of all scenes in the same rounds.
 """
@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..storage import measured, stored
-from . import graph, hierarchy, layout, scans, scene
+from . import graph, hierarchy, layout, routing, scans, scene
 
 #: Sizes and distances of a scene.
 CARD_WIDTH, CARD_HEIGHT, RANK_GAP, ROW_GAP, COMPONENT_GAP, ASPECT = 250.0, 86.0, 80.0, 28.0, 72.0, 1.6
@@ -256,3 +256,41 @@ def label_places(routes: DataFrame, cards: DataFrame, width: float = LABEL_WIDTH
     reason = F.when(~F.col("routed"), "route_unavailable").when(F.col("x").isNull(), "no_safe_slot").when(~shown, "overview_density").otherwise("")
     size = lambda v: F.when(F.col("x").isNotNull(), F.lit(v))
     return out.select("group", "edge_id", "x", "y", size(width).alias("width"), size(height).alias("height"), shown.alias("visible"), reason.alias("reason"))
+
+
+def reading_places(cards: DataFrame, sequences: DataFrame) -> DataFrame:
+    """cards (group, node_id, x, y, width, height) with the items of reading sequences (group, sequence_id, parent_id, node_id, ordinal) in columns of their own.
+
+    A sequence of two or more items whose cards are there stands right of its parent, one under the other in the
+    order of ordinal (then node_id) about the parent's middle, not above 0. As long as cards other than its own and the parent's
+    come nearer than a route's clearance, the column moves right of all of these. Sequences of a
+    scene follow each other by sequence_id, as each sees what those before have moved; all scenes go
+    together, so there are as many rounds as the most sequences of a scene. A parent without a card moves nothing.
+    """
+    wide = max(RANK_GAP, 96.0)
+    cards = stored(cards.select("group", "node_id", *(F.col(c).cast("double").alias(c) for c in ("x", "y", "width", "height"))), "cards")
+    known = cards.select("group", "node_id")
+    items = sequences.join(known, ["group", "node_id"], "left_semi").join(known.withColumnRenamed("node_id", "parent_id"), ["group", "parent_id"], "left_semi")
+    full = items.groupBy("group", "sequence_id").agg(F.count(F.lit(1)).alias("k")).where("k >= 2").select("group", "sequence_id")
+    turns = scans.running(full, ["group"], ["sequence_id"]).select("group", "sequence_id", F.col("idx").alias("turn"))
+    items, seen = measured(items.join(turns, ["group", "sequence_id"]).select("group", "turn", "parent_id", "node_id", "ordinal"), "sequences", top=F.max("turn"))
+    for turn in range(1, (seen["top"] or 0) + 1):
+        here = items.where(F.col("turn") == turn)
+        sized = scans.running(here.join(cards.select("group", "node_id", "width", "height"), ["group", "node_id"]), ["group"], ["ordinal", "node_id"], reach=F.col("height") + ROW_GAP)
+        total = sized.groupBy("group").agg((F.max("reach") - ROW_GAP).alias("total"))
+        parent = cards.select("group", F.col("node_id").alias("parent_id"), (F.col("x") + F.col("width") + wide).alias("x"), (F.col("y") + F.col("height") / 2).alias("middle"))
+        moving = sized.join(total, "group").join(parent, ["group", "parent_id"])
+        moving = stored(moving.select("group", "node_id", "parent_id", "x", (F.greatest(F.lit(0.0), F.col("middle") - F.col("total") / 2) + F.col("reach") - F.col("height") - ROW_GAP).alias("y"), "width", "height"), "moving")
+        own = moving.select("group", "node_id").union(moving.select("group", "parent_id")).distinct()
+        others = stored(cards.join(moving.select("group").distinct(), "group", "left_semi").join(own, ["group", "node_id"], "left_anti"), "others")
+        while True:
+            c = routing.CLEARANCE
+            around = moving.select("group", "node_id", (F.col("x") - c).alias("x"), (F.col("y") - c).alias("y"), (F.col("width") + 2 * c).alias("width"), (F.col("height") + 2 * c).alias("height"))
+            hit = scene.meets(around, others).where("x < o_x + o_width and o_x < x + width and y < o_y + o_height and o_y < y + height")
+            past, met = measured(hit.groupBy("group").agg((F.max(F.col("o_x") + F.col("o_width")) + wide).alias("past")), "blockers", n=F.count(F.lit(1)))
+            if not met["n"]:
+                break
+            moving = stored(moving.join(past, "group", "left").withColumn("x", F.coalesce("past", "x")).drop("past"), "moving")
+        new = moving.select("group", "node_id", F.col("x").alias("nx"), F.col("y").alias("ny"))
+        cards = stored(cards.join(new, ["group", "node_id"], "left").select("group", "node_id", F.coalesce("nx", "x").alias("x"), F.coalesce("ny", "y").alias("y"), "width", "height"), "cards")
+    return cards

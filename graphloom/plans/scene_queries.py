@@ -66,6 +66,14 @@ def nested_frames(spark: SparkSession, d: str) -> DataFrame:
     return box(frames, "frame", "scope_id").unionByName(box(cards, "card", "node_id")).unionByName(told)
 
 
-QUERIES = {f.__name__: f for f in (scene_layout, edge_routes, nested_frames)}
+def reading_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Cards of conversations with the answers in a column beside what opened them."""
+    turns = scans.running(A.table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("group"), "turn", "role"), ["group"], ["turn"])
+    turns = stored(turns.withColumn("node_id", F.lpad(F.col("idx").cast("string"), 6, "0")), "turns")
+    items = turns.where("role = 'assistant' and idx > 1").select("group", F.lit("answers").alias("sequence_id"), F.lpad(F.lit("1"), 6, "0").alias("parent_id"), "node_id", F.col("idx").alias("ordinal"))
+    return P.reading_places(_laid_out(spark, d)[0], items)
+
+
+QUERIES = {f.__name__: f for f in (scene_layout, edge_routes, nested_frames, reading_columns)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -236,3 +236,43 @@ def test_label_places(spark):
     got = P.label_places(df.repartition(4), spark.createDataFrame(cards, "group string, node_id string, x double, y double, width double, height double")).collect()
     assert {(x.group, x.edge_id): (x.x, x.y, x.visible, x.reason) for x in got} == plain_labels(routes, cards)
     assert len(got) == len(routes) and {x.reason for x in got} == {"", "route_unavailable", "no_safe_slot", "overview_density"}
+
+
+def plain_reading(cards, sequences):
+    at = {(g, n): [x, y, w, h] for g, n, x, y, w, h in cards}
+    named = defaultdict(list)
+    for g, s, p, n, o in sequences:
+        if (g, n) in at and (g, p) in at:
+            named[g, s].append((o, n, p))
+    for (g, _), items in sorted(named.items()):
+        if len(items) < 2:
+            continue
+        items.sort()
+        own = {n for _, n, _ in items} | {items[0][2]}
+        px, py, pw, ph = at[g, items[0][2]]
+        total = sum(at[g, n][3] for _, n, _ in items) + P.ROW_GAP * (len(items) - 1)
+        x, y0 = px + pw + 96, max(0.0, py + ph / 2 - total / 2)
+        while True:
+            y, column = y0, []
+            for _, n, _ in items:
+                column.append((n, y, *at[g, n][2:]))
+                y += at[g, n][3] + P.ROW_GAP
+            hit = [b for (k, n), b in at.items() if k == g and n not in own and any(x - 14 < b[0] + b[2] and b[0] < x + w + 14 and cy - 14 < b[1] + b[3] and b[1] < cy + h + 14 for _, cy, w, h in column)]
+            if not hit:
+                break
+            x = max(b[0] + b[2] for b in hit) + 96
+        for n, cy, _, _ in column:
+            at[g, n][:2] = [x, cy]
+    return {k: tuple(v) for k, v in at.items()}
+
+
+def test_reading_places(spark):
+    r = random.Random(10)
+    cards = [(g, f"n{i}", r.randint(0, 12) * 160.0, r.randint(0, 8) * 110.0, r.choice([100.0, 140.0]), r.choice([50.0, 80.0])) for g, n in (("a", 25), ("b", 9), ("c", 3)) for i in range(n)]
+    sequences = [("a", s, p, f"n{i}", r.randint(0, 3)) for s, p, own in (("s1", "n0", (1, 2, 3)), ("s2", "n4", (5, 6, 7, 8)), ("s3", "n1", (9, 10)), ("s4", "ghost", (11, 12)), ("s5", "n2", (13,))) for i in own]
+    sequences += [("b", "z", "n8", f"n{i}", -i) for i in (0, 1, 2)] + [("b", "y", "n3", "n4", 1), ("b", "y", "n3", "lost", 2), ("none", "s", "n0", "n1", 1)]
+    df = spark.createDataFrame(cards, "group string, node_id string, x double, y double, width double, height double")
+    got = P.reading_places(df.repartition(3), spark.createDataFrame(sequences, "group string, sequence_id string, parent_id string, node_id string, ordinal int")).collect()
+    want = plain_reading(cards, sequences)
+    assert {(c.group, c.node_id): (c.x, c.y, c.width, c.height) for c in got} == want
+    assert sum(want[c[:2]] != c[2:] for c in cards) >= 8
