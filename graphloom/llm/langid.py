@@ -7,6 +7,7 @@ under a language is a sum over its bytes, found in tables. The shortest code win
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -123,12 +124,18 @@ def fit(docs: DataFrame, per_language: int = FIT_DOCUMENTS, id_col: str = "doc_i
                         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found.astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
     got = sample.mapInArrow(lean_task(tally), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-    languages = sorted(set(got["lang"].to_pylist()))
+    lang = got["lang"].combine_chunks().dictionary_encode()
+    languages = sorted(lang.dictionary.to_pylist())
     found, at = np.unique(got["gram"].to_numpy().astype(np.uint64), return_inverse=True)
     counts = np.zeros((len(languages), len(found)), np.int64)
     if languages:
-        counts[np.searchsorted(np.array(languages), np.array(got["lang"].to_pylist())), at] = got["n"].to_numpy()
-    return Trees(languages, found, counts)
+        row = np.searchsorted(np.array(languages), np.array(lang.dictionary.to_pylist()))
+        counts[row[lang.indices.to_numpy()], at] = got["n"].to_numpy()
+    trees = Trees(languages, found, counts)
+    del got, lang, at, found, counts
+    gc.collect()  # trees of earlier calls are in cycles with the functions that used them
+    release()
+    return trees
 
 
 def identify(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
