@@ -12,13 +12,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytescan import HashSlots, chunks, lean_task, mix, release
 
 #: Documents of each language that the trees are fitted on, as expected: those whose hash is below a threshold.
 FIT_DOCUMENTS = 400
+#: Bytes of text of each language that the trees are fitted on, at most; a single document may be longer.
+FIT_BYTES = 4 << 20
 #: A thousandth of a bit is the unit of code lengths.
 UNIT = 1000
 #: Bytes of the longest context.
@@ -102,16 +104,22 @@ class Trees:
         return out
 
 
-def fit(docs: DataFrame, per_language: int = FIT_DOCUMENTS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Trees:
+def fit(docs: DataFrame, per_language: int = FIT_DOCUMENTS, max_bytes: int = FIT_BYTES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Trees:
     """Trees of all languages, from documents with text and language that aren't held out.
 
     About ``per_language`` documents of each language are read, each whole: those whose hashed id
-    is below a threshold. What comes to the driver has at most as many rows as they have bytes.
+    is below a threshold. Of these, documents are taken by their hashes, long ones last, as far as
+    a language's bytes go, and at least one. What comes to the driver has at most as many rows as
+    they have bytes.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     share = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))  # a row for each language
     limit = (F.lit(float(per_language << 30)) / F.col("n")).cast("long")
-    sample = docs.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < limit).select("lang", "text")
+    sample = docs.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < limit)
+    size = F.octet_length("text")
+    order = Window.partitionBy("lang").orderBy(8 * size > max_bytes, F.xxhash64("doc_id"), "text")
+    sample = sample.withColumn("nth", F.row_number().over(order)).withColumn("bytes", F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    sample = sample.where((F.col("bytes") <= max_bytes) | (F.col("nth") == 1)).select("lang", "text")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
