@@ -284,34 +284,51 @@ def star_pairs(lists_: DataFrame) -> DataFrame:
 LIST_DEALS = 8
 
 
-def apart_pairs(lists_: DataFrame, labels: DataFrame, n: int) -> DataFrame:
-    """(a, b): pairs of one long list that may link and are in different components so far."""
-    rows = lists_.join(labels.withColumnRenamed("v", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-    mixed = rows.groupBy("part", "low").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("part", "low")
-    rows = rows.join(mixed, ["part", "low"])
+#: Rows of a long list that meet in one task; a longer list is cut into blocks, and each two of them meet.
+LIST_BLOCK = 16384
+
+
+def apart_pairs(lists_: DataFrame, labels: DataFrame, n: int, block: int = LIST_BLOCK) -> DataFrame:
+    """(a, b): pairs of one long list that may link and are in different components so far.
+
+    What such two share lies in long lists, so a set of which less than three quarters do links
+    with none. Within a list, sets go by size, and each looks only at the sizes that it could
+    link to; those of the most frequent component look at no others, but are looked at.
+    """
+    rows = lists_.where(4 * (F.col("size") - F.col("light")) >= 3 * F.col("size"))
+    rows = rows.join(labels.withColumnRenamed("v", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    mixed = rows.groupBy("part", "low").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("k")).where("x <> y")
+    rows = rows.join(mixed.select("part", "low", F.ceil(F.col("k") / block).alias("blocks")), ["part", "low"])
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
 
     def pairs(t: pa.Table) -> pa.Table:
-        part, low, docs, light, size, label = (t.column(c).to_numpy() for c in ("part", "low", "doc", "light", "size", "label"))
-        low = part << 32 | low
-        o = np.argsort(low)
-        low, docs, light, size, label = (c[o] for c in (low, docs, light, size, label))
-        # A count that doesn't fit bounds nothing.
-        sketch = np.frombuffer(b"".join(s.as_buffer().to_pybytes() for s in t.column("sketch")), np.uint16).reshape(-1, SKETCH)[o].astype(np.int64)
-        sketch[sketch == 65535] = 1 << 40
+        part, low, x, y, own, docs, light, size, label = (t.column(c).to_numpy() for c in ("part", "low", "x", "y", "own", "doc", "light", "size", "label"))
+        o = np.lexsort((size, y, x, low, part))
+        part, low, x, y, own, docs, light, size, label = (c[o] for c in (part, low, x, y, own, docs, light, size, label))
+        sketches = np.frombuffer(b"".join(s.as_buffer().to_pybytes() for s in t.column("sketch")), np.uint16).reshape(-1, SKETCH)[o]
         heavy, found = size - light, []
-        start = np.append(runs(low), len(low))
-        for x, y in zip(start[:-1], start[1:]):
-            for i in range(x, y - 1):
-                j = np.arange(i + 1, y)
-                need = 3 * (size[i] + size[i + 1 : y])
-                j = j[(label[i + 1 : y] != label[i]) & (7 * np.minimum(heavy[i], heavy[i + 1 : y]) >= need)]
-                j = j[7 * np.minimum(sketch[i], sketch[j]).sum(1) >= 3 * (size[i] + size[j])]
+        cut = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (low[1:] != low[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])))) if len(low) else np.zeros(0, int)
+        for u, v in zip(cut, np.append(cut[1:], len(low))):
+            s, h, name, doc, half = size[u:v], heavy[u:v], label[u:v], docs[u:v], own[u:v]
+            # A count that doesn't fit bounds nothing.
+            sketch = sketches[u:v].astype(np.int64)
+            sketch[sketch == 65535] = 1 << 40
+            values, many = np.unique(name, return_counts=True)
+            main = name == values[many.argmax()]
+            least = np.searchsorted(s, -(-3 * s // 4), "left")
+            most = np.searchsorted(s, np.minimum(4 * s // 3, 7 * h // 3 - s), "right")
+            for i in np.flatnonzero(~main & (most > least)):
+                j = np.arange(least[i], most[i])
+                need = 3 * (s[i] + s[j])
+                j = j[(name[j] != name[i]) & (main[j] | (j > i)) & (7 * h[j] >= need) & ((half[j] != half[i]) | (x[u] == y[u]))]
+                j = j[7 * np.minimum(sketch[i], sketch[j]).sum(1) >= 3 * (s[i] + s[j])]
                 if len(j):
-                    found.append(np.stack((np.minimum(docs[i], docs[j]), np.maximum(docs[i], docs[j]))))
+                    found.append(np.stack((np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j]))))
         got = np.unique(np.concatenate(found, 1), axis=1) if found else np.zeros((2, 0), np.int64)
         return pa.table([pa.array(got[0]), pa.array(got[1])], names=["a", "b"])
 
-    dealt = rows.withColumn("deal", F.pmod(F.xxhash64("part", "low"), F.lit(LIST_DEALS * n)))
+    dealt = rows.withColumn("deal", F.pmod(F.xxhash64("part", "low", "x", "y"), F.lit(LIST_DEALS * n)))
     return dealt.groupBy("deal").applyInArrow(lean(pairs), "a long, b long").distinct()
 
 

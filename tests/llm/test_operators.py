@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -66,6 +67,38 @@ def test_jaccard_of_many_near_copies(spark):
     assert got == brute.jaccard(docs)
 
 
+def test_long_lists_in_blocks(spark):
+    """Pairs of a long list that may link, whatever the blocks that it is cut into."""
+    r, rows, labels = np.random.default_rng(3), [], []
+    for doc in range(240):
+        size = int(r.integers(30, 60))
+        heavy = int(r.integers(size // 2, size + 1))
+        sketch = np.bincount(r.integers(0, 64, heavy) if doc % 3 else np.arange(heavy) % 64, minlength=64).astype(np.uint16)
+        rows += [(part, 5, doc, size - heavy, size, bytearray(sketch.tobytes())) for part in range(1 + doc % 2)]
+        labels += [(doc, 0 if doc % 4 else doc % 16)] if doc % 5 else []
+    label, by, want = dict(labels), {x[2]: x for x in rows}, set()
+    for a, b in itertools.combinations(sorted(by), 2):
+        (_, _, _, la, sa, ka), (_, _, _, lb, sb, kb) = by[a], by[b]
+        shared = np.minimum(np.frombuffer(ka, np.uint16), np.frombuffer(kb, np.uint16)).sum()
+        if label.get(a, a) != label.get(b, b) and 4 * min(sa, sb) >= 3 * max(sa, sb) and 7 * min(sa - la, sb - lb, shared) >= 3 * (sa + sb):
+            want.add((a, b))
+    lists = spark.createDataFrame(rows, "part long, low long, doc long, light long, size long, sketch binary")
+    known = spark.createDataFrame(labels, "v long, label long")
+    for block in (7, 100, 1000):
+        got = ngram_join.apart_pairs(lists, known, 2, block).collect()
+        assert sorted((x.a, x.b) for x in got) == sorted(want) and want
+
+
+def test_jaccard_of_a_template(spark):
+    """Documents of which most is the same and that link with none, and a few copies among them."""
+    r = random.Random(8)
+    same = [str(r.random()) for _ in range(34)]
+    docs = [(i, " ".join(same + [str(r.random()) for _ in range(10)])) for i in range(800)]
+    docs += [(2000 + i, t + " more") for i, t in docs[:20]]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(frame(spark, docs)).collect()}
+    assert got == {i: (len(t.split()) - 4, i % 2000) for i, t in docs}
+
+
 def test_jaccard_of_shared_ids(spark):
     """Texts of one id are vertices of their own; a component's id is the smallest of its documents'."""
     r = random.Random(12)
@@ -228,6 +261,10 @@ def test_language(spark, sf):
     odd = spark.createDataFrame([(1, None, "x"), (2, "12 34 !!", "x"), (3, "", "x"), (None, "der die und das ist", None), (4, "ααα βββ", None)], "doc_id long, text string, lang_pred string")
     rows = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(odd, langid.fit(docs)).collect()}
     assert [rows[k] for k in (1, 2, 3)] == [("und", 0.0)] * 3 and rows[None][0] != "und" and rows[4][0] != "und"
+    few = langid.fit(docs, max_bytes=20_000)  # no more than the bytes allow, but some of each language
+    assert few.languages == langid.fit(docs).languages and len(few.code[0]) <= 257
+    one = spark.createDataFrame([(1, "le chat " * 50, "fr"), (4, "the dog " * 5, "en")], "doc_id long, text string, lang string")
+    assert langid.fit(one, max_bytes=60).languages == ["en", "fr"]
     untaught = langid.fit(docs.where("doc_id < 0"))
     assert {r.lang_pred for r in langid.identify(docs, untaught).collect()} == {"und"}
 
