@@ -64,11 +64,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs documents that were stored in the order of the mixture, and numbers sequences in that order.
 
-    Spark deals the files of a table out by their size, so the order is taken from the names of
-    the files and the places of their rows.
+    Spark deals the files of a table out by their size, so the order is taken from the numbers in
+    the names of the files (compared as numbers, of any length) and the places of their rows.
     """
     _small_batches(spark)
-    placed = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    placed = docs.select("doc_id", "text", F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).try_cast("long").alias("__file"), F.col("_metadata.row_index").alias("__row"))
     ordered = placed.repartitionByRange(partitions(spark), "__file", "__row").sortWithinPartitions("__file", "__row")
     return packing.pack_documents(ordered, tokenizer_file("word_bpe_49k.json"), block_pieces=MIXED_PIECES, keep_tokenizer=False)
 
