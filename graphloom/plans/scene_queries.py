@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import manual as M
 from ..operators import placement as P
 from ..operators import routing as R
 from ..operators import scans
@@ -74,6 +75,31 @@ def reading_columns(spark: SparkSession, d: str) -> DataFrame:
     return P.reading_places(_laid_out(spark, d)[0], items)
 
 
-QUERIES = {f.__name__: f for f in (scene_layout, edge_routes, nested_frames, reading_columns)}
-
-ORACLE_SQL: dict[str, str] = {}
+def manual_positions(spark: SparkSession, d: str) -> DataFrame:
+    """Orders of a customer as cards in rows of four, of which a reviewer moves every third."""
+    orders = scans.running(A.table(spark, d, "orders").select(F.col("o_custkey").alias("group"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("node_id"), "o_orderkey", "o_totalprice"), ["group"], ["node_id"])
+    at = F.col("idx") - 1
+    box = (F.lit(200.0).alias("width"), F.lit(80.0).alias("height"))
+    rows = stored(orders.select("group", "node_id", "o_orderkey", (at % 4 * 240).cast("double").alias("x"), (F.floor(at / 4) * 120).cast("double").alias("y"), *box, F.floor("o_totalprice").cast("long").alias("p"), "n"), "cards")
+    cards = rows.select("group", "node_id", "x", "y", "width", "height")
+    wish = rows.where("o_orderkey % 3 = 0").select("group", "node_id", F.when(F.col("o_orderkey") % 7 != 0, F.col("p") % 900).alias("x"), (F.col("p") * 7 % (F.ceil(F.col("n") / 4) * 120 + 200)).alias("y"))
+    frames = rows.groupBy("group").agg(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(960.0).alias("width"), (F.ceil(F.max("n") / 4) * 120 + 160).cast("double").alias("height"))
+    placed, issues = M.manual_places(cards, wish, frames)
+    return placed.join(issues.withColumnRenamed("object_id", "node_id"), ["group", "node_id"], "left").select(F.col("group").alias("scene_id"), "node_id", "x", "y", "code")
+
+
+QUERIES = {f.__name__: f for f in (scene_layout, edge_routes, nested_frames, reading_columns, manual_positions)}
+
+ORACLE_SQL: dict[str, str] = {
+    "manual_positions": """WITH RECURSIVE o AS (SELECT o_custkey AS g, lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS id, o_orderkey AS k, CAST(floor(o_totalprice) AS BIGINT) AS p,
+        row_number() OVER (PARTITION BY o_custkey ORDER BY lpad(CAST(o_orderkey AS VARCHAR), 12, '0')) - 1 AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
+      c AS (SELECT g, id, CAST(i % 4 * 240 AS DOUBLE) AS x, CAST(i // 4 * 120 AS DOUBLE) AS y, (n + 3) // 4 * 120 AS h, k, p FROM o),
+      w AS (SELECT g, id, row_number() OVER (PARTITION BY g ORDER BY id) AS r, CASE WHEN k % 7 <> 0 THEN CAST(p % 900 AS DOUBLE) END AS x, CAST(p * 7 % (h + 200) AS DOUBLE) AS y, h FROM c WHERE k % 3 = 0),
+      walk AS (SELECT g, CAST(0 AS BIGINT) AS r, list({'id': id, 'x': x, 'y': y} ORDER BY id) AS now, CAST(NULL AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS code FROM c GROUP BY g
+        UNION ALL SELECT g, r, CASE WHEN code = '' THEN list_transform(now, lambda b: CASE WHEN b.id = s.id THEN {'id': s.id, 'x': s.x, 'y': s.y} ELSE b END) ELSE now END, id, code FROM (
+          SELECT a.g, w.r, a.now, w.id, w.x, w.y, CASE WHEN w.x IS NULL THEN 'manual_position_invalid' WHEN w.x < -1 OR w.y < -1 OR w.x + 200 > 961 OR w.y + 80 > w.h + 161 THEN 'manual_position_out_of_scope'
+            WHEN len(list_filter(a.now, lambda b: b.id <> w.id AND w.x + 1 < b.x + 200 AND b.x + 1 < w.x + 200 AND w.y + 1 < b.y + 80 AND b.y + 1 < w.y + 80)) > 0 THEN 'manual_position_overlap' ELSE '' END AS code
+          FROM walk a JOIN w ON w.g = a.g AND w.r = a.r + 1) s),
+      e AS (SELECT g, unnest(arg_max(now, r)) AS b FROM walk GROUP BY g)
+      SELECT e.g AS scene_id, e.b.id AS node_id, e.b.x AS x, e.b.y AS y, nullif(k.code, '') AS code FROM e LEFT JOIN walk k ON k.g = e.g AND k.id = e.b.id""",
+}
