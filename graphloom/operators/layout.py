@@ -89,11 +89,16 @@ def widest_column(boxes: DataFrame) -> DataFrame:
 
 
 def percentile(values: DataFrame, group: str, value: str, fraction: float) -> DataFrame:
-    """(group, value): the nearest-rank percentile of each group, to three decimals: of n values the ceil(n * fraction)-th, the first at least."""
-    w = Window.partitionBy(group)
-    ranked = values.select(group, value).withColumn("k", F.row_number().over(w.orderBy(value))).withColumn("n", F.count(F.lit(1)).over(w))
-    at = F.greatest(F.lit(1), F.least(F.col("n"), F.ceil(F.col("n") * fraction)))
-    return ranked.where(F.col("k") == at).select(group, F.round(value, 3).alias(value))
+    """(group, value): the nearest-rank percentile of each group, to three decimals: of n values the ceil(n * fraction)-th, the first at least.
+
+    Equal values are counted first, and their running totals come of a scan over ranges, so a group may hold all rows.
+    """
+    counted = values.groupBy(F.col(group).alias("g"), F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("k"))
+    ranked = scans.running(counted, ["g"], ["v"], upto=F.col("k"))
+    whole = values.groupBy(F.col(group).alias("h")).agg(F.count(F.lit(1)).alias("all"))  # a row for each group
+    at = F.greatest(F.lit(1), F.least(F.col("all"), F.ceil(F.col("all") * fraction)))
+    found = ranked.join(whole, F.col("g").eqNullSafe(F.col("h"))).where((F.col("upto") >= at) & (F.col("upto") - F.col("k") < at))
+    return found.select(F.col("g").alias(group), F.round("v", 3).alias(value))
 
 
 def route_order(edges: DataFrame) -> DataFrame:

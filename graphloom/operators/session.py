@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import stored
+from . import hierarchy, scans
+
 
 def folded(log: DataFrame) -> DataFrame:
     """log (document_id, at, command_id, action, value, expected_revision) with revision, is_stale, value_after.
@@ -19,15 +22,33 @@ def folded(log: DataFrame) -> DataFrame:
 
 
 def stale(log: DataFrame) -> DataFrame:
-    """log with revision_before and is_stale, where a stale command changes nothing: the fold over a document's commands in JVM expressions."""
-    lists = log.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("at", "command_id", "expected_revision"))).alias("c"))
-
-    def step(s, c):
-        late = c["expected_revision"].isNotNull() & (c["expected_revision"] != s["revision"])
-        return F.struct((s["revision"] + F.when(late, 0).otherwise(1)).cast("bigint").alias("revision"), F.concat(s["out"], F.array(F.struct(c["command_id"].alias("command_id"), s["revision"].alias("revision_before"), late.alias("is_stale")))).alias("out"))
-
-    zero = F.expr("named_struct('revision', 0L, 'out', cast(array() as array<struct<command_id:bigint,revision_before:bigint,is_stale:boolean>>))")
-    return lists.select("document_id", F.explode(F.aggregate("c", zero, step, lambda s: s["out"])).alias("o")).select("document_id", "o.*")
+    """(document_id, command_id, revision_before, is_stale) of a log (document_id, at, command_id, expected_revision), where a stale command changes nothing.
+
+    Commands that expect nothing always count. Less those before it, a command expects that so many
+    of the others have counted; the ones that count are the first that expects 0, the first after it
+    that expects 1, and so on. So each command points to the next one in its document that expects one
+    more, and who is on the way from the first is found by doubling: a document may hold any
+    share of all commands, and rounds are as many as the logarithm of the longest chain.
+    Commands of a null document are those of one more document.
+    """
+    doc = F.coalesce(F.concat(F.lit("d"), F.col("document_id").cast("string")), F.lit("-")).alias("doc")
+    free = F.col("expected_revision").isNull()
+    rows = scans.running(log.select("document_id", doc, "at", "command_id", "expected_revision"), ["doc"], ["at", "command_id"], free=free.cast("long"))
+    rows = stored(rows.withColumn("wants", F.when(~free, F.col("expected_revision") - F.col("free")).cast("long")).drop("n", "at"), "commands")
+
+    wants = rows.where("wants >= 0")
+    node = F.concat_ws("\u001f", "doc", F.col("idx").cast("string"))
+    meets = wants.select("doc", "wants", "idx", F.lit(1).alias("own")).unionByName(wants.select("doc", (F.col("wants") + 1).alias("wants"), "idx", F.lit(0).alias("own")))
+    meets = meets.withColumnRenamed("idx", "at")
+    met = stored(scans.running(meets, ["doc", "wants"], ["at", "own"], nth=F.col("own").cast("long")).withColumn("node", F.concat_ws("\u001f", "doc", F.col("at").cast("string"))), "expected")
+    there = met.where("own = 1").select("doc", "wants", "nth", F.col("node").alias("parent"))
+    onward = met.where("own = 0").select("doc", "wants", (F.col("nth") + 1).alias("nth"), F.col("node").alias("child")).join(there, ["doc", "wants", "nth"]).select("child", "parent")
+    counted = hierarchy.upward(there.where("wants = 0 and nth = 1").select(F.col("parent").alias("node_id")), stored(onward, "onward"))
+
+    done = rows.withColumn("node_id", node).join(counted.withColumn("counts", F.lit(True)), "node_id", "left").withColumn("counts", free | F.coalesce("counts", F.lit(False)))
+    order = done.withColumnRenamed("idx", "place").drop("free")
+    told = scans.running(order, ["doc"], ["place"], upto=F.col("counts").cast("long"))
+    return told.select("document_id", "command_id", (F.col("upto") - F.col("counts").cast("long")).alias("revision_before"), (~F.col("counts")).alias("is_stale"))
 
 
 def as_of(log: DataFrame, revision: int) -> DataFrame:

@@ -1,5 +1,6 @@
 """Scans over ranges, greedy cuts and walks against plain loops, with one group that holds most rows."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from graphloom.functions import vocab
 from graphloom.operators import graph as G
 from graphloom.operators import layout as L
 from graphloom.operators import pages as P
-from graphloom.operators import scans
+from graphloom.operators import scans, session
 
 from .test_whole import plain_plans
 
@@ -98,3 +99,32 @@ def test_walks_of_dense_chapters_and_long_chains(spark):
     want = plain_plans([x.asDict() for x in n.collect()], [x.asDict() for x in e.collect()])
     assert got == want
     assert sum(v[0] == "path" for k, v in want.items() if k[0] == "d") == 90
+
+
+def test_stale_commands_of_documents_of_any_size(spark):
+    """The fold, one command after the other, of logs of which one document holds most."""
+    r = random.Random(6)
+    log = [(r.choice(["a", "a", "a", "b", "c", None]), i // 2, i, r.choice([None, r.randrange(3), i // 3, i // 2, -1])) for i in range(900)]
+    log += [("d", i, 1000 + i, i) for i in range(300)] + [("e", i, 2000 + i, 0) for i in range(50)]
+    revision, want = {}, []
+    for doc, _, command, expected in sorted(log, key=lambda c: c[1:3]):
+        now = revision.get(doc, 0)
+        late = expected is not None and expected != now
+        want.append((command, doc, now, late))
+        revision[doc] = now + (not late)
+    r.shuffle(log)
+    got = session.stale(spark.createDataFrame(log, "document_id string, at long, command_id long, expected_revision long"))
+    assert sorted((x.command_id, x.document_id, x.revision_before, x.is_stale) for x in got.collect()) == sorted(want, key=lambda w: w[0])
+    assert revision["d"] == 300 and revision["e"] == 1 and session.stale(spark.createDataFrame([], "document_id string, at long, command_id long, expected_revision long")).count() == 0
+
+
+def test_percentiles_of_groups_of_any_size(spark):
+    r = random.Random(7)
+    values = [(r.choice(["a", "b", None]), r.choice([None, float(r.randrange(40)), r.random()])) for _ in range(700)] + [("one", 3.0)]
+    got = L.percentile(spark.createDataFrame(values, "g string, v double"), "g", "v", 0.95).collect()
+    want = {}
+    for g in {g for g, _ in values}:
+        own = sorted((v for h, v in values if h == g), key=lambda v: (v is not None, v or 0.0))
+        at = own[max(1, math.ceil(len(own) * 0.95)) - 1]
+        want[g] = None if at is None else round(at, 3)
+    assert {x.g: x.v for x in got} == want
