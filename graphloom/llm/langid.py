@@ -186,6 +186,8 @@ def identify(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: st
         release()
         return out
 
+    # Or Spark would predict once more for each filter on what was predicted, in a Python worker of its own.
+    predict = predict.asNondeterministic()
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "bits_per_byte")]
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), predict(F.col(text_col)).alias("found"))
     return rows.select("row.*", "found.*")

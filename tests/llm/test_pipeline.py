@@ -73,3 +73,9 @@ def test_sequences_follow_the_mixture(spark, tmp_path, monkeypatch):
     for ids in blocks:
         for source, rest in (("long", 1), ("short", 0)):
             assert abs(sum(i % 2 == rest for i in ids) - weights[source] * len(ids)) <= 16
+
+
+def test_languages_are_predicted_once(spark, tmp_path):
+    frame(spark, made()).write.parquet(str(tmp_path / "documents.parquet"))
+    found = pipeline.identify_language(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), "")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
