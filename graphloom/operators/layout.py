@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -53,14 +56,27 @@ def shelves(units: DataFrame, shelf_width: float | None = None, gap: float = 40.
 def overlaps(boxes: DataFrame, cell: float = 512.0, tolerance: float = 1.0) -> DataFrame:
     """(group, a, b): pairs of boxes (group, node_id, x, y, width, height) of a group that overlap by more than the tolerance.
 
-    Boxes meet in the grid cells that they touch, so no box is held against all others.
+    Boxes meet in the grid cells that they touch, so no box is held against all others. A pair
+    counts in the cell where its common area begins, so it is found once, however many cells it
+    shares; only pairs of ids that have several boxes are compared with each other. Cells are dealt over
+    all partitions, as few bytes of boxes come to many pairs.
     """
     span = lambda lo, size: F.sequence(F.floor(F.col(lo) / cell), F.floor((F.col(lo) + F.col(size)) / cell))
-    cells = boxes.withColumn("cx", F.explode(span("x", "width"))).withColumn("cy", F.explode(span("y", "height")))
-    a, b = cells.alias("a"), cells.alias("b")
+    counted = boxes.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("group", "node_id")))
+    touched = counted.withColumn("cx", F.explode(span("x", "width"))).withColumn("cy", F.explode(span("y", "height")))
+    parts = max(1, int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cells = lambda which: touched.where(which).repartition(parts, "group", "cx", "cy")
     hit = lambda lo, size: (F.col(f"a.{lo}") + tolerance < F.col(f"b.{lo}") + F.col(f"b.{size}")) & (F.col(f"b.{lo}") + tolerance < F.col(f"a.{lo}") + F.col(f"a.{size}"))
-    met = a.join(b, (F.col("a.group") == F.col("b.group")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col("a.node_id") < F.col("b.node_id")) & hit("x", "width") & hit("y", "height"))
-    return met.select(F.col("a.group").alias("group"), F.col("a.node_id").alias("a"), F.col("b.node_id").alias("b")).distinct()
+    begins = lambda lo, at: F.floor(F.greatest(F.col(f"a.{lo}"), F.col(f"b.{lo}")) / cell) == F.col(f"a.{at}")
+    same = reduce(and_, (F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("group", "cx", "cy")))
+    over = same & (F.col("a.node_id") < F.col("b.node_id")) & hit("x", "width") & hit("y", "height") & begins("x", "cx") & begins("y", "cy")
+
+    def met(one: str, two: str) -> DataFrame:
+        # Merged, as a join by broadcast has as few tasks as the boxes have files.
+        pairs = cells(one).alias("a").join(cells(two).alias("b").hint("merge"), over)
+        return pairs.select(F.col("a.group").alias("group"), F.col("a.node_id").alias("a"), F.col("b.node_id").alias("b"))
+
+    return met("n = 1", "n = 1").unionByName(met("n > 1", "n > 0").unionByName(met("n = 1", "n > 1")).distinct())
 
 
 def ports(ends: DataFrame) -> DataFrame:

@@ -145,7 +145,7 @@ def shelf_packing(spark: SparkSession, d: str) -> DataFrame:
 
 def geometry_overlap(spark: SparkSession, d: str) -> DataFrame:
     boxes = _cards(spark, d).select("group", "node_id", (F.col("ord") % 37 * 60.0).alias("x"), (F.col("ord") % 23 * 45.0).alias("y"), (F.col("p_size") * 4.0).alias("width"), (F.col("p_size") * 3.0).alias("height"))
-    return L.overlaps(boxes)
+    return L.overlaps(boxes, 128.0)  # boxes are 200 by 150 at most
 
 
 def port_allocation(spark: SparkSession, d: str) -> DataFrame:

@@ -177,6 +177,17 @@ def test_layout(spark):
     assert L.close_ports(p, 30.0).count() == 1
 
 
+def test_overlaps_are_found_once_in_many_tasks(spark, sf):
+    box = [("g", f"n{i % 35:02}", i * 37 % 300 - 150.0, i * 53 % 200 - 90.0, float(i * 13 % 90), float(i * 29 % 70)) for i in range(40)]
+    b = spark.createDataFrame(box, "`group` string, node_id string, x double, y double, width double, height double")
+    apart = lambda p, q, at: p[at] + 1 >= q[at] + q[at + 2] or q[at] + 1 >= p[at] + p[at + 2]
+    want = sorted({("g", p[1], q[1]) for p in box for q in box if p[1] < q[1] and not apart(p, q, 2) and not apart(p, q, 3)})
+    assert want and rows(L.overlaps(b, 16.0)) == want == rows(L.overlaps(b))
+    from graphloom.plans import catalogue
+
+    assert "Broadcast" not in catalogue.QUERIES["geometry_overlap"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_reading_order_comes_from_the_text(spark):
     anchors = spark.createDataFrame([("p", "a1", "2. Ｓｕｂｔｒａｃｔ it\n① Divide first\n第三步 Other")], "parent_id string, anchor_id string, text string")
     kids = spark.createDataFrame([("p", "k1", "subtract"), ("p", "k2", "Divide"), ("p", "k3", "missing"), ("q", "k4", "only child")], "parent_id string, child_id string, name string")
