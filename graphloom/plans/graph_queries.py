@@ -100,8 +100,8 @@ def start_nodes(spark: SparkSession, d: str) -> DataFrame:
 def isolated_nodes(spark: SparkSession, d: str) -> DataFrame:
     """Parts that no claim names, and documents that no label describes."""
     ident = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string")).alias("node_id")
-    c = A.local_claims(spark, d)
-    used = c.select(ident("p", "source_key")).union(c.select(ident("p", "target_key"))).union(A.table(spark, d, "labels").select(ident("d", "doc_id")))
+    named = A.local_claims(spark, d).select(F.explode(F.array("source_key", "target_key")).alias("key")).distinct()  # a row for each part, not for each claim
+    used = named.select(ident("p", "key")).union(A.table(spark, d, "labels").select("doc_id").distinct().select(ident("d", "doc_id")))
     nodes = A.table(spark, d, "part").select(ident("p", "p_partkey")).union(A.table(spark, d, "documents").select(ident("d", "doc_id")))
     return nodes.join(used, "node_id", "left_anti")
 

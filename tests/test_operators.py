@@ -37,6 +37,13 @@ def test_claims_resolve_and_self_loops_do_not(spark):
     assert r.where(~C.is_resolved()).count() == 1
 
 
+def test_isolated_nodes_meet_each_named_part_once(spark, sf):
+    from graphloom.plans import catalogue
+
+    plan = catalogue.QUERIES["isolated_nodes"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [key#" in plan
+
+
 def test_same_image_needs_review(spark):
     p = spark.createDataFrame([("b", 1, "p1", "one.", "h", ""), ("b", 2, "p2", "two.", "h", "")], "book string, page_index int, page_id string, text string, image_sha256 string, printed string")
     (r,) = P.continuity(p).collect()
