@@ -100,8 +100,10 @@ def consolidated(claims: DataFrame) -> DataFrame:
 def reference_index(drafts: DataFrame) -> DataFrame:
     """(reference, node_id): ids, names and display names, as they are and in lower case; the first draft that claims one has it.
 
-    drafts: (ord, node_id, node_name, display_name).
+    drafts: (ord, node_id, node_name, display_name). Keys are sorted before they are merged, so drafts
+    are dealt over all partitions first, however few files they came in.
     """
+    drafts = drafts.repartition(max(1, int(drafts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     keys = F.flatten(F.array(*(F.array(T.trimmed(F.col(c)), F.lower(T.trimmed(F.col(c)))) for c in ("node_id", "node_name", "display_name"))))
     rows = drafts.select("ord", "node_id", F.posexplode(keys).alias("pos", "reference")).where("reference <> ''")
     return rows.groupBy("reference").agg(F.min_by("node_id", F.struct("ord", "pos")).alias("node_id"))

@@ -37,6 +37,13 @@ def test_claims_resolve_and_self_loops_do_not(spark):
     assert r.where(~C.is_resolved()).count() == 1
 
 
+def test_references_are_sorted_in_all_partitions(spark):
+    drafts = spark.createDataFrame([(2, "n2", "Set", "sets"), (1, "n1", "set", "Map")], "ord long, node_id string, node_name string, display_name string").coalesce(1)
+    index = C.reference_index(drafts)
+    assert {r.reference: r.node_id for r in index.collect()} == {"n1": "n1", "n2": "n2", "set": "n1", "Map": "n1", "map": "n1", "Set": "n2", "sets": "n2"}
+    assert "Repartition 4, true" in index._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_isolated_nodes_meet_each_named_part_once(spark, sf):
     from graphloom.plans import catalogue
 
