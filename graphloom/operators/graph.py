@@ -112,6 +112,7 @@ def longest_ranks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def condensed_ranks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node_id, scc, rank): ranks of strong components, so that members of a cycle share one."""
+    edges = stored(edges.select("a", "b"), "edges")
     scc = stored(strong_components(nodes, edges), "members")
     a, b = scc.select(F.col("node_id").alias("a"), F.col("scc").alias("sa")), scc.select(F.col("node_id").alias("b"), F.col("scc").alias("sb"))
     over = stored(edges.join(a, "a").join(b, "b").where("sa <> sb").select(F.col("sa").alias("a"), F.col("sb").alias("b")).distinct(), "condensed")

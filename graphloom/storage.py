@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
+#: Most bytes of a table that is broadcast, and rows that are sampled for each range, while an intermediate table is written: all of it passes through the driver, once in every round.
+BROADCAST, SAMPLED = 64 * 1024, 20
+
 _own: list[str] = []
 _written: list[str] = []
 
@@ -23,10 +28,32 @@ def shared_folder(spark: SparkSession) -> str:
     return top
 
 
+@contextmanager
+def _through_driver(spark: SparkSession) -> Iterator[None]:
+    """Holds the session's settings for broadcasts and samples to BROADCAST and SAMPLED; lower ones stay."""
+    conf = spark._jsparkSession.sessionState().conf()
+    most = {
+        "spark.sql.autoBroadcastJoinThreshold": (conf.autoBroadcastJoinThreshold(), BROADCAST), "spark.sql.execution.rangeExchange.sampleSizePerPartition": (conf.rangeExchangeSampleSizePerPartition(), SAMPLED),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": (BROADCAST + 1 if conf.contains("spark.sql.adaptive.autoBroadcastJoinThreshold") else 0, BROADCAST),
+    }
+    held = {k: (spark.conf.get(k, None), bound) for k, (now, bound) in most.items() if now > bound}
+    for k, (_, bound) in held.items():
+        spark.conf.set(k, str(bound))
+    try:
+        yield
+    finally:
+        for k, (before, _) in held.items():
+            spark.conf.unset(k) if before is None else spark.conf.set(k, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df in the shared folder and reads it again: the lineage is cut, and what was written survives lost executors."""
+    """Writes df in the shared folder and reads it again: the lineage is cut, and what was written survives lost executors.
+
+    What passes through the driver meanwhile is bounded, so that rounds of joins send it as much for a large table as for a small one.
+    """
     path = f"{shared_folder(df.sparkSession)}/graphloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _through_driver(df.sparkSession):
+        df.write.parquet(path)
     _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
