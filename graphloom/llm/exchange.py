@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import stored
+from .. import storage
+from ..storage import tidied
 from .bytescan import lean_task
 
 __all__ = ["BLOBS", "blob_filter", "buckets", "deal", "doc_bucket", "doc_bucket_column", "gather", "id_filter", "maybe_rows", "narrow", "pack", "packed_column", "partitions", "read_column", "small_batches", "stored", "stored_lean", "table", "unpack", "with_maybe"]
@@ -158,6 +159,11 @@ def maybe_rows(df: DataFrame, bitmap: DataFrame, id_col: str = "doc_id") -> Data
     return with_maybe(df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(id_col).cast("long").alias("doc_id")), bitmap)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The same as of ``storage``; a corpus operator is a row of jobs, and after each the driver gives back what it took."""
+    return tidied(storage.stored(df, name))
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
     """While tables are written, Python gets so many rows at a time: whole texts or sets are large."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -58,6 +59,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidied(df: DataFrame) -> DataFrame:
+    """df, after the driver has collected its garbage, Python's first, as that holds on to the JVM's.
+
+    Plans, broadcasts and shuffle files of the jobs so far go now and not when the heap is full, and
+    the heap shrinks to what is in use: beside it the JVM needs as much again for code and threads.
+    """
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
+
+
 def measured(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
     """stored(), and aggregates over the rows that come of the same job."""
     seen = Observation()

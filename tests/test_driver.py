@@ -1,5 +1,9 @@
 """What rounds of joins send to the driver doesn't follow the size of the tables."""
 
+import gc
+import weakref
+
+from graphloom.llm import exchange
 from graphloom.operators import graph, scans
 from graphloom.storage import stored
 
@@ -39,3 +43,21 @@ def test_settings_of_the_session_come_back(spark):
     before = [spark.conf.get(n, None) for n in names]
     stored(spark.range(3).toDF("k"), "few")
     assert [spark.conf.get(n, None) for n in names] == before
+
+
+def test_corpus_tables_leave_no_garbage_with_the_driver(spark):
+    """What a job held in a cycle is gone when its table is stored."""
+
+    class Held:
+        pass
+
+    held = Held()
+    held.me, held.df = held, spark.range(5)
+    gone = weakref.ref(held)
+    del held
+    gc.disable()
+    try:
+        out = exchange.stored(spark.range(3).toDF("k"), "few")
+        assert gone() is None and out.count() == 3
+    finally:
+        gc.enable()
