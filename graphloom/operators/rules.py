@@ -20,16 +20,30 @@ def report(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df by its keys over all shuffle partitions before it is grouped: what a task holds is a share of the rows, whatever the size of files and however well rows compress."""
+    return df.repartition(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def repeated(df: DataFrame, key: str) -> DataFrame:
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return dealt(df.select(key), key).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
 def dangling(df: DataFrame, key: str, known: DataFrame, known_key: str) -> DataFrame:
     return df.join(known.select(F.col(known_key).alias(key)).distinct(), key, "left_anti")
 
 
+def lost(df: DataFrame, key: str, known: DataFrame, known_key: str) -> DataFrame:
+    """The same as dangling, where many rows share a key, or there are few against all that is known: keys are looked up once each, and rows meet those that are missing."""
+    keys = df.select(key).distinct()
+    found = known.select(F.col(known_key).alias(key)).join(keys, key, "left_semi")
+    missing = dangling(keys, key, found, key).select(F.col(key).alias("__missing"))
+    return df.join(missing, F.col(key).eqNullSafe(F.col("__missing")), "left_semi")
+
+
 def lost_members(df: DataFrame, key: str, listed: str, known: DataFrame, known_key: str) -> DataFrame:
-    return dangling(df.select(F.col(key), F.explode(listed).alias("__m")), "__m", known, known_key).select(key).distinct()
+    """The keys of rows that list what isn't known; a key comes as often as it does."""
+    return lost(df.select(F.col(key), F.explode(listed).alias("__m")), "__m", known, known_key).select(key)
 
 
 def document_issues(doc: dict[str, DataFrame]) -> DataFrame:
@@ -48,11 +62,12 @@ def document_issues(doc: dict[str, DataFrame]) -> DataFrame:
     scoped = r.join(s.select(F.col("scope_id").alias("source_id"), F.lit(True).alias("a")), "source_id", "left").join(s.select(F.col("scope_id").alias("target_id"), F.lit(True).alias("b")), "target_id", "left").withColumn("a", F.coalesce("a", F.lit(False))).withColumn("b", F.coalesce("b", F.lit(False)))
     archived = n.where("lifecycle_state = 'archived'").select("node_id")
     ends = r.select("relation_id", "lifecycle_state", F.explode(F.array("source_id", "target_id")).alias("node_id"))
-    fact = Window.partitionBy("relation_family", "source_id", "relation_type", "target_id").orderBy("ord", "relation_id")
+    facts = ("relation_family", "source_id", "relation_type", "target_id")
+    fact = Window.partitionBy(*facts).orderBy("ord", "relation_id")
     structure = active.where("relation_family = 'structure'")
     single = structure.groupBy(F.col("target_id").alias("child")).agg(F.count_distinct("source_id").alias("k"), F.min("source_id").alias("parent")).where("k = 1").select("child", "parent")
     with_state = s.join(n.select(F.col("node_id").alias("scope_id"), F.col("lifecycle_state").alias("node_state")), "scope_id")
-    return report(
+    issues = report(
         issue(m.where("schema_version <> 2"), "schema_version_invalid", "document_id"), issue(m.where("document_id = ''"), "document_id_missing", "document_id"),
         *(issue(repeated(df, k), f"duplicate_{what}", k) for df, k, what in ((n, "node_id", "node_id"), (r, "relation_id", "relation_id"), (o, "occurrence_id", "occurrence_id"), (e, "anchor_id", "evidence_id"), (s, "scope_id", "scope_id"), (p, "profile_id", "profile_id"))),
         issue(n.where(bad_life), "node_lifecycle_invalid", "node_id"), issue(n.where(bad_status), "node_review_status_invalid", "node_id"),
@@ -60,15 +75,16 @@ def document_issues(doc: dict[str, DataFrame]) -> DataFrame:
         issue(s.where(bad_life), "scope_lifecycle_invalid", "scope_id"), issue(s.where(bad_status), "scope_review_status_invalid", "scope_id"), issue(with_state.where("lifecycle_state <> node_state"), "scope_node_lifecycle_mismatch", "scope_id"),
         issue(dangling(o, "node_id", n, "node_id"), "occurrence_node_missing", "occurrence_id"), issue(o.where(bad_life), "occurrence_lifecycle_invalid", "occurrence_id"),
         issue(o.where(life == "active").join(archived, "node_id", "left_semi"), "active_occurrence_archived_node", "occurrence_id"), issue(lost_members(o, "occurrence_id", "evidence_anchor_ids", e, "anchor_id"), "occurrence_evidence_missing", "occurrence_id"),
-        issue(r.where(~F.col("relation_family").isin(*vocab.RELATION_FAMILIES)), "relation_family_invalid", "relation_id"), issue(dangling(ends, "node_id", n, "node_id").select("relation_id").distinct(), "relation_endpoint_missing", "relation_id"),
+        issue(r.where(~F.col("relation_family").isin(*vocab.RELATION_FAMILIES)), "relation_family_invalid", "relation_id"), issue(lost(ends, "node_id", n, "node_id"), "relation_endpoint_missing", "relation_id"),
         issue(r.where(bad_life), "relation_lifecycle_invalid", "relation_id"), issue(r.where(bad_status), "relation_review_status_invalid", "relation_id"),
-        issue(ends.where(life == "active").join(archived, "node_id", "left_semi").select("relation_id").distinct(), "active_relation_archived_endpoint", "relation_id"),
-        issue(r.withColumn("k", F.row_number().over(fact)).where("k > 1"), "duplicate_relation_fact", "relation_id"), issue(lost_members(r, "relation_id", "occurrence_ids", o, "occurrence_id"), "relation_occurrence_missing", "relation_id"),
+        issue(ends.where(life == "active").join(archived, "node_id", "left_semi"), "active_relation_archived_endpoint", "relation_id"),
+        issue(dealt(r.select(*facts, "ord", "relation_id"), *facts).withColumn("k", F.row_number().over(fact)).where("k > 1"), "duplicate_relation_fact", "relation_id"), issue(lost_members(r, "relation_id", "occurrence_ids", o, "occurrence_id"), "relation_occurrence_missing", "relation_id"),
         issue(r.where("relation_family = 'structure' and relation_type <> 'contains'"), "structure_relation_type_invalid", "relation_id"), issue(scoped.where("relation_family = 'structure' and not (a and b)"), "structure_endpoint_role_invalid", "relation_id"),
         issue(structure.groupBy("target_id").agg(F.count_distinct("source_id").alias("k")).where("k > 1"), "structure_multiple_parents", "target_id"), issue(hierarchy.cycle_members(single), "structure_cycle", "node_id"),
         issue(r.where("relation_family = 'membership' and relation_type <> 'contains'"), "membership_relation_type_invalid", "relation_id"), issue(scoped.where("relation_family = 'membership' and not a"), "membership_scope_missing", "relation_id"), issue(scoped.where("relation_family = 'membership' and b"), "membership_target_is_scope", "relation_id"),
         issue(lost_members(p, "profile_id", "node_ids", n, "node_id"), "profile_node_missing", "profile_id"), issue(lost_members(p, "profile_id", "relation_ids", r, "relation_id"), "profile_relation_missing", "profile_id"), issue(lost_members(p, "profile_id", "membership_ids", r, "relation_id"), "profile_membership_missing", "profile_id"),
-    ).distinct()
+    )
+    return dealt(issues, "code", "object_id").distinct()
 
 
 def draft_issues(nodes: DataFrame, edges: DataFrame) -> DataFrame:
