@@ -37,7 +37,7 @@ def lost(df: DataFrame, key: str, known: DataFrame, known_key: str) -> DataFrame
     """The same as dangling, where many rows share a key, or there are few against all that is known: keys are looked up once each, and rows meet those that are missing."""
     keys = df.select(key).distinct()
     found = known.select(F.col(known_key).alias(key)).join(keys, key, "left_semi")
-    missing = dangling(keys, key, found, key).select(F.col(key).alias("__missing"))
+    missing = keys.join(found, key, "left_anti").select(F.col(key).alias("__missing"))
     return df.join(missing, F.col(key).eqNullSafe(F.col("__missing")), "left_semi")
 
 
