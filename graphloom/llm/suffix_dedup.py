@@ -3,8 +3,9 @@
 Only suffixes that can share 50 bytes with another document are sorted. In every window of 50
 bytes the least hash of its 24-byte spans is an anchor (so equal windows have equal anchors), and
 anchors that one document alone holds end there. For the rest, tasks sort the suffixes that begin
-at anchors, together with the bytes before them, into runs; a run goes out front-coded (common
-prefix with its predecessor, then what differs), all suffixes of one anchor to one task. There a
+at anchors, as far as windows with that anchor reach, together with the bytes before them, into
+runs; a run goes out front-coded (common prefix with its predecessor, then what differs) and
+compressed, all suffixes of one anchor to one task. There a
 loser tree merges the runs: it compares common-prefix lengths, and bytes only beyond a prefix that
 both are known to share; the lengths it puts out are the suffix array's LCP table, whose intervals
 decide all windows of 50 bytes around an anchor, without hashes.
@@ -13,6 +14,7 @@ decide all windows of 50 bytes around an anchor, without hashes.
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +32,16 @@ FLUSH = 800_000
 SLICE = 20_000
 
 
-def minimizers(data: np.ndarray, bounds: np.ndarray, window: int = WINDOW, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, places and documents of the anchors: spans whose hash is the least of some window inside one document."""
+def minimizers(data: np.ndarray, bounds: np.ndarray, window: int = WINDOW, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, places and documents of the anchors: spans whose hash is the least of some window inside one document.
+
+    The last array has the least hash (its ``low_bits``) of the window that begins at p at p + window - span; 0 is none.
+    """
     size, wide = np.diff(bounds), window - span + 1
     hashes = rolling(BYTE_VALUE[data], span)
     if len(data) < window:
-        return hashes[:0], np.zeros(0, np.int64), np.zeros(0, np.int64)
-    low = (hashes >> U64(32)).astype(np.uint32) | np.uint32(1)
+        return hashes[:0], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+    low = low_bits(hashes)
     least = low[: len(data) - window + 1].copy()
     reach, step = low, 1
     while step * 2 <= wide:
@@ -57,7 +62,12 @@ def minimizers(data: np.ndarray, bounds: np.ndarray, window: int = WINDOW, span:
     who = np.searchsorted(bounds, at, "right") - 1
     inside = (size[who] >= window) & (at + span <= bounds[who + 1])
     at, who = at[inside], who[inside]
-    return hashes[at], at, who
+    return hashes[at], at, who, padded
+
+
+def low_bits(hashes: np.ndarray) -> np.ndarray:
+    """What windows compare of the hashes; never 0."""
+    return (hashes >> U64(32)).astype(np.uint32) | np.uint32(1)
 
 
 def _near(edges: np.ndarray, before: int, limit: int) -> np.ndarray:
@@ -66,13 +76,18 @@ def _near(edges: np.ndarray, before: int, limit: int) -> np.ndarray:
     return at[(at >= 0) & (at < limit)]
 
 
-def front_coded(rows: np.ndarray, docs: np.ndarray, *columns: np.ndarray) -> bytes:
-    """A sorted run: rows (n x width bytes) as common prefix and remainder, with document and further whole numbers."""
+def front_coded(rows: np.ndarray, docs: np.ndarray, *columns: np.ndarray, blank: np.ndarray | None = None) -> bytes:
+    """A sorted run: rows (n x width bytes) as common prefix and remainder, with document and further whole numbers, compressed.
+
+    blank: places of the rows that are 0 and that ``decoded`` can tell from the columns; they take no room.
+    """
     n, width = rows.shape
     lcp = common(rows)
     base = int(docs.min())
-    rest = rows[np.arange(width) >= lcp[:, None]]
-    return b"".join((struct.pack("<qqB", n, base, len(columns)), *(packed_column(narrow(c)) for c in (docs - base, *columns)), lcp.tobytes(), rest.tobytes()))
+    sent = np.arange(width) >= lcp[:, None]
+    rest = rows[sent if blank is None else sent & ~blank]
+    raw = b"".join((struct.pack("<qqB", n, base, len(columns)), *(packed_column(narrow(c)) for c in (docs - base, *columns)), lcp.tobytes(), rest.tobytes()))
+    return struct.pack("<q", len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def common(rows: np.ndarray) -> np.ndarray:
@@ -84,21 +99,25 @@ def common(rows: np.ndarray) -> np.ndarray:
     return lcp
 
 
-def decoded(blob: bytes, width: int) -> tuple[list[bytes], list[int], list[np.ndarray]]:
-    """A run's rows, their common prefixes, and the other columns."""
+def decoded(blob: bytes, width: int, blank: Callable | None = None) -> tuple[list[bytes], list[int], list[np.ndarray]]:
+    """A run's rows, their common prefixes, and the other columns; blank: columns -> the places that were left out."""
+    blob = pa.decompress(blob[8:], struct.unpack_from("<q", blob)[0], codec="zstd", asbytes=True)
     n, base, more = struct.unpack_from("<qqB", blob)
     p, columns = 17, []
     for _ in range(more + 1):
         column, p = read_column(blob, p, n)
         columns.append(column.astype(np.int64))
     columns[0] += base
-    lcp = list(blob[p : p + n])
-    p += n
+    lcp = np.frombuffer(blob, np.uint8, n, p)
+    sent = np.arange(width) >= lcp[:, None]
+    if blank is not None:
+        sent &= ~blank(columns)
+    rest = np.zeros((n, width), np.uint8)
+    rest[sent] = np.frombuffer(blob, np.uint8, offset=p + n)
+    rest, lcp = rest.tobytes(), lcp.tolist()
     row, rows = b"", []
-    for k in lcp:
-        q = p + width - k
-        row = row[:k] + blob[p:q]
-        p = q
+    for end, k in zip(range(width, len(rest) + 1, width), lcp):
+        row = row[:k] + rest[end - width + k : end]
         rows.append(row)
     return rows, lcp, columns
 
@@ -199,21 +218,30 @@ def repeated(rows: np.ndarray, lcp: np.ndarray, docs: np.ndarray, after: np.ndar
     return keep[hit], nearest[hit].astype(np.int64), furthest[hit].astype(np.int64)
 
 
-def contexts(data: np.ndarray, bounds: np.ndarray, at: np.ndarray, who: np.ndarray, window: int, wide: int) -> tuple[np.ndarray, ...]:
+def blanks(after: np.ndarray, before: np.ndarray, window: int, wide: int) -> np.ndarray:
+    """Places of the rows of ``contexts`` that lie beyond the bytes after and before the anchor."""
+    return np.concatenate((np.arange(window) >= after[:, None], np.arange(wide) >= before[:, None]), axis=1)
+
+
+def contexts(data: np.ndarray, bounds: np.ndarray, at: np.ndarray, who: np.ndarray, own: np.ndarray, least: np.ndarray, window: int, wide: int) -> tuple[np.ndarray, ...]:
     """Anchors with the bytes around them: rows, places in the document, documents, extents, bytes after and before.
 
-    A row holds ``window`` bytes from the anchor on and ``wide`` bytes before it, backwards; what
-    lies outside the document is 0. Neighbours with equal rows, as in a run of one letter, are one
-    entry that extends from the first to the last: their windows overlap.
+    A row has room for ``window`` bytes from the anchor on and ``wide`` bytes before it, backwards;
+    it holds those of the windows whose anchor this is, by its hash (``own``) and the windows' least
+    ones, and 0 elsewhere. Which windows these are depends on the same bytes, and a window that
+    documents share has the same anchor in each, so no window is decided by less than the whole of
+    it. Neighbours with equal rows, as in a run of one letter, are one entry that extends from the
+    first to the last: their windows overlap.
     """
     steps = np.concatenate((np.arange(window), -1 - np.arange(wide)))
     found = []
     for i in range(0, len(at), SLICE):
         p, w = at[i : i + SLICE], who[i : i + SLICE]
-        after, before = np.minimum(bounds[w + 1] - p, window), np.minimum(p - bounds[w], wide)
+        # Column j is the window that begins wide - j bytes before the anchor.
+        mine = least[p[:, None] + np.arange(wide + 1)] == own[i : i + SLICE, None]
+        after, before = window - mine[:, ::-1].argmax(1), wide - mine.argmax(1)
         rows = data[np.clip(p[:, None] + steps, 0, len(data) - 1)]
-        rows[:, :window][np.arange(window) >= after[:, None]] = 0
-        rows[:, window:][np.arange(wide) >= before[:, None]] = 0
+        rows[blanks(after, before, window, wide)] = 0
         new = np.ones(len(p), bool)
         new[1:] = (rows[1:] != rows[:-1]).any(1) | (w[1:] != w[:-1]) | (p[1:] - p[:-1] > window - SPAN + 1) | (after[1:] != after[:-1]) | (before[1:] != before[:-1])
         first = np.flatnonzero(new)
@@ -237,7 +265,7 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, span: int = SPA
     source = tagged(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")))
 
     def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple:
-        hashes, _, who = minimizers(data, bounds, window, span)
+        hashes, _, who, _ = minimizers(data, bounds, window, span)
         return hashes, who, np.ones(len(who), bool)
 
     hits = stored_lean(shared_anchors(source, anchors, n, m, FLUSH), "anchors")
@@ -246,13 +274,13 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, span: int = SPA
         member, found = Members(right.column("blob")), []
         ids, tags = left.column("doc_id").to_numpy(), left.column("tag").to_numpy()
         for lo, hi, data, bounds in chunks(left.column("text")):
-            hashes, at, who = minimizers(data, bounds, window, span)
+            hashes, at, who, least = minimizers(data, bounds, window, span)
             keys = keyed(hashes, n)
             hit = member(ids[lo:hi][who], keys)
             at, who, keys = at[hit], who[hit], keys[hit]
             if not len(at):
                 continue
-            rows, place, w, extent, after, before = contexts(data, bounds, at, who, window, wide)
+            rows, place, w, extent, after, before = contexts(data, bounds, at, who, low_bits(hashes[hit]), least, window, wide)
             part = keys[np.searchsorted(at, place + bounds[w])] >> U64(32)
             found.append((rows, ids[lo:hi][w], tags[lo:hi][w], place, extent, after, before, part.astype(np.int64)))
         if not found:
@@ -269,11 +297,12 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, span: int = SPA
         own = mark_rows(names[whole], tag[whole], (at - before)[whole], (at + extent + after)[whole], m)
         rows, names, tag, at, extent, after, before, part = (c[~later] for c in (rows, names, tag, at, extent, after, before, part))
         cuts = np.append(runs(part), len(part))
-        return kind_table([(int(part[a]), front_coded(*(c[a:b] for c in (rows, names, tag.view(np.uint32), at, extent, after, before)))) for a, b in zip(cuts, cuts[1:])], own)
+        coded = [front_coded(*(c[a:b] for c in (rows, names, tag.view(np.uint32), at, extent, after, before)), blank=blanks(after[a:b], before[a:b], window, wide)) for a, b in zip(cuts, cuts[1:])]
+        return kind_table(list(zip(part[cuts[:-1]].tolist(), coded)), own)
 
     def merge(t: pa.Table) -> pa.Table:
         sent, passing = split_kinds(t)
-        found = [decoded(b.as_buffer().to_pybytes(), width) for b in sent]
+        found = [decoded(b.as_buffer().to_pybytes(), width, lambda c: blanks(c[4], c[5], window, wide)) for b in sent]
         marks: list[tuple[int, bytes]] = []
         if found:
             of, row, lcp = merged([(r, p) for r, p, _ in found], width)

@@ -155,6 +155,35 @@ def test_a_long_run_of_one_letter(spark):
     assert got == {1: (70, 0, 0), 2: (300_001, 300_000, 1), 3: (61, 60, 1)}
 
 
+def test_runs_hold_what_their_windows_need():
+    r = random.Random(8)
+    texts = [" ".join(r.choice(("stone", "river", "of", "a", "light", "ß", str(r.randint(0, 10**6)))) for _ in range(n)).encode() for n in (900, 7, 0, 700)] + [b"z" * 400, b"ab" * 200]
+    data, bounds = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    hashes, at, who, least = suffix_dedup.minimizers(data, bounds)
+    rows, place, w, extent, after, before = suffix_dedup.contexts(data, bounds, at, who, suffix_dedup.low_bits(hashes), least, 50, 26)
+    windows = {(i, j) for i, t in enumerate(texts) for j in range(len(t) - 49)}
+    # every window is whole in a row of its anchor, and prose has hardly one that is in two
+    held = [(i, p - b + k) for i, p, b, a in zip(w.tolist(), place.tolist(), before.tolist(), after.tolist()) for k in range(b + a - 49)]
+    assert set(held) <= windows and {x for x in windows if x[0] < 4} <= set(held)
+    assert sum(x[0] < 4 for x in held) < 1.1 * sum(x[0] < 4 for x in windows)
+    assert all(row[:a].tobytes() == texts[i][p : p + a] and not row[a:50].any() and row[50 : 50 + b].tobytes() == texts[i][p - b : p][::-1] and not row[50 + b :].any() for row, i, p, a, b in zip(rows, w.tolist(), place.tolist(), after.tolist(), before.tolist()))
+    o = np.argsort(rows.view("S76").ravel(), kind="stable")
+    rows, columns = rows[o], [c[o].astype(np.int64) for c in (w, place, extent, after, before)]
+    blob = suffix_dedup.front_coded(rows, *columns, blank=suffix_dedup.blanks(after[o], before[o], 50, 26))
+    got, _, back = suffix_dedup.decoded(blob, 76, lambda c: suffix_dedup.blanks(c[3], c[4], 50, 26))
+    assert got == [x.tobytes() for x in rows] and all((x == y).all() for x, y in zip(back, columns))
+    assert len(blob) < 40 * len(rows)
+
+
+def test_suffix_dedup_of_few_letters(spark):
+    r = random.Random(12)
+    word = lambda n, letters: "".join(r.choice(letters) for _ in range(n))
+    shared = [word(n, letters) for n, letters in ((50, "ab"), (51, "abc"), (49, "ab"), (120, "ab\0"), (76, "abcdefgh"), (300, "xyz"))]
+    docs = [(i, "".join(r.choice((r.choice(shared), word(r.randint(0, 60), "ab"), r.choice("ab") * r.randint(0, 90), r.choice(("ab", "abc")) * r.randint(0, 50))) for _ in range(r.randint(0, 12)))) for i in range(120)]
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in suffix_dedup.remove_repeated_bytes(frame(spark, docs)).collect()}
+    assert got == brute.suffix_dedup(docs)
+
+
 def test_loser_tree():
     r = random.Random(3)
     rows = [sorted(bytes(r.choice(b"ab") for _ in range(6)) for _ in range(r.randint(0, 30))) for _ in range(5)]
