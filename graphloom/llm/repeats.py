@@ -156,9 +156,18 @@ class Members:
         return self.known[np.minimum(np.searchsorted(self.known, wanted), len(self.known) - 1)] == wanted
 
 
+def named(blobs: DataFrame) -> DataFrame:
+    """The bitmap of the documents that stored blobs name, stored as well.
+
+    Spark holds on to its last write, with the shuffle files behind it, until the next one. This one
+    is small, so the files of the pass before are gone when texts move in the next pass.
+    """
+    return stored(blob_filter(blobs), "named")
+
+
 def with_blobs(docs: DataFrame, blobs: DataFrame, m: int, function: Callable, schema: str) -> DataFrame:
     """function(documents, blobs) -> table, for each bucket of the documents that blobs may name."""
-    left = with_maybe(docs.where("doc_id is not null"), blob_filter(blobs)).where("__maybe").drop("__maybe").withColumn("part", doc_bucket_column(F.col("doc_id"), m))
+    left = with_maybe(docs.where("doc_id is not null"), named(blobs)).where("__maybe").drop("__maybe").withColumn("part", doc_bucket_column(F.col("doc_id"), m))
     return left.groupBy("part").cogroup(blobs.groupBy("part")).applyInArrow(lean_pair(function), schema)
 
 
@@ -211,7 +220,7 @@ def moved_rows(seen: DataFrame, marks: DataFrame, m: int, rewrite: Callable, sch
 
 def cut_out(docs: DataFrame, marks: DataFrame, m: int, rewrite: Callable, schema: str) -> DataFrame:
     """rewrite(rows, Marks) -> table with the schema's columns, over all rows; only documents that marks may name are moved."""
-    seen = with_maybe(docs, blob_filter(marks))
+    seen = with_maybe(docs, named(marks))
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = Marks()

@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import U64, chunks, lean, mix, powers, prefix_sums, ragged, rolling, word_hashes, words
-from .exchange import BLOBS, blob_filter, buckets, deal, gather, partitions, stored_lean, with_maybe
-from .repeats import KINDS, Marks, Members, blob_table, cut_out, keyed, kind_table, mark_rows, moved_rows, shared_anchors, split_kinds, tagged, with_blobs
+from .exchange import BLOBS, buckets, deal, gather, partitions, stored_lean, with_maybe
+from .repeats import KINDS, Marks, Members, blob_table, cut_out, keyed, kind_table, mark_rows, moved_rows, named, shared_anchors, split_kinds, tagged, with_blobs
 
 WINDOW = 50
 
@@ -130,7 +130,7 @@ def cut_documents(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row"))
     whole = tagged(rows)
     marks = repeat_marks(whole.select("doc_id", "text", "tag"), window)
-    seen = with_maybe(whole, blob_filter(marks))
+    seen = with_maybe(whole, named(marks))
 
     def rewrite(t: pa.Table, marks: Marks) -> pa.Table:
         _, _, kept = _kept(t.column("text"), t.column("doc_id").to_numpy(), t.column("tag").to_numpy(), marks, False)
