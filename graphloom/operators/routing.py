@@ -3,22 +3,30 @@
 Channels run beside cards (a clearance away) and through their centres, as far as no card's
 clearance is in the way; such a free stretch is a run, and runs cross at points. A state of the
 search is a point and the way an edge came to it; a move goes to any point of the run across, so
-a round of joins adds one bend to all edges. Edges only look at states that can still be on a
-route within their bound, and bounds grow for those that find none.
+a round adds one bend to all edges. Scenes of up to POINTS points are dealt out with a share of
+their edges each, and all rounds of a share go on in one task (``route_search``). In larger ones a
+round is one of joins; there edges only look at states that can still be on a route within their
+bound, and bounds grow for those that find none.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..storage import measured, stored
+from ..storage import measured, small_batches, stored
+from .route_search import Scene
 
 #: Distances and penalties of a scene.
 CLEARANCE, TURN, OVERLAP = 14.0, 24.0, 10.0
 #: How much longer than the straight way an edge looks at first, and how its bound grows.
 SLACK, GROWTH = 240.0, 4.0
+#: Most points of a scene that tasks hold whole, and points times edges of a task's share of it.
+POINTS, SHARE = 2**17, 2**24
 
 
 def _around(boxes: DataFrame, clearance: float) -> DataFrame:
@@ -175,6 +183,48 @@ def _routed(edges: DataFrame, around: DataFrame, points: DataFrame, clearance: f
         slack *= GROWTH
 
 
+def _searched(clearance: float, turn: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task from rows (group, edges, channels), a share of a scene's edges and all its points, to (edge_id, group, cost, path)."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            edges, channels = batch.column("edges"), batch.column("channels")
+            ids, boxes = edges.values.field("edge_id"), [edges.values.field(c).values.to_numpy(zero_copy_only=False).reshape(-1, 6) for c in ("source", "target")]
+            points = [channels.values.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y", "vrun", "hrun", "vcum", "hcum")]
+            of, out = [], []
+            for row in range(batch.num_rows):
+                (a, b), (p, q) = ([o[row].as_py(), o[row + 1].as_py()] for o in (edges.offsets, channels.offsets))
+                best: dict = {}  # a card that is there twice has twice as many sides
+                for e, cost, path in Scene(*(c[p:q] for c in points)).routes(*(c[a:b] for c in boxes), clearance, turn):
+                    name = ids[a + int(e)].as_py()
+                    best[name] = min(best.get(name, (cost, path)), (cost, path))
+                of += [row] * len(best)
+                out += best.items()
+            step = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+            paths = pa.array([[{"x": x, "y": y} for x, y in path] for _, (_, path) in out], pa.list_(step))
+            columns = [pa.array([name for name, _ in out], ids.type), batch.column("group").take(pa.array(of, pa.int64())), pa.array([cost for _, (cost, _) in out], pa.float64()), paths]
+            yield pa.RecordBatch.from_arrays(columns, names=["edge_id", "group", "cost", "path"])
+
+    return task
+
+
+def _routed_whole(edges: DataFrame, around: DataFrame, points: DataFrame, clearance: float, turn: float) -> DataFrame:
+    """The same as of ``_routed``, for scenes of which a task can hold all points."""
+    spark, count = edges.sparkSession, F.count(F.lit(1))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    box = lambda key, name: around.select("group", F.col("node_id").alias(key), F.array("x0", "xm", "x1", "y0", "ym", "y1").alias(name))
+    known = edges.join(box("source_id", "source"), ["group", "source_id"]).join(box("target_id", "target"), ["group", "target_id"])
+    shares = known.groupBy("group").agg(count.alias("e")).join(points.groupBy("group").agg(count.alias("p")), "group").select("group", F.ceil(F.col("e") * F.col("p") / SHARE).cast("long").alias("shares"))
+    asked = known.join(shares, "group").select("group", F.pmod(F.xxhash64("edge_id"), "shares").alias("share"), F.struct("edge_id", "source", "target").alias("e"))
+    asked = asked.repartition(parts, "group", "share").groupBy("group", "share").agg(F.collect_list("e").alias("edges"))
+    scenes = points.groupBy("group").agg(F.collect_list(F.struct("x", "y", "vrun", "hrun", "vcum", "hcum")).alias("channels")).join(shares, "group")
+    scenes = scenes.select("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), "channels").repartition(parts, "group", "share")
+    kind = dict(edges.dtypes)
+    found = asked.join(scenes, ["group", "share"]).select("group", "edges", "channels").mapInArrow(_searched(clearance, turn), f"edge_id {kind['edge_id']}, group {kind['group']}, cost double, path array<struct<x: double, y: double>>")
+    with small_batches(spark):
+        return stored(_bends(found), "routes-found")
+
+
 def stretches(routes: DataFrame, points: DataFrame) -> DataFrame:
     """(edge_id, group, way, line, place): the stretches of runs between neighbouring crossings that routes take, each by where it ends; the ways out of cards are none."""
     seg = routes.select("edge_id", "group", F.explode(F.arrays_zip(F.slice("points", 1, F.size("points") - 1).alias("p"), F.slice("points", 2, F.size("points") - 1).alias("q"))).alias("s"))
@@ -185,7 +235,7 @@ def stretches(routes: DataFrame, points: DataFrame) -> DataFrame:
     return v.unionByName(h)
 
 
-def orthogonal_routes(boxes: DataFrame, edges: DataFrame, passes: int = 2, clearance: float = CLEARANCE, turn: float = TURN, overlap: float = OVERLAP) -> DataFrame:
+def orthogonal_routes(boxes: DataFrame, edges: DataFrame, passes: int = 2, clearance: float = CLEARANCE, turn: float = TURN, overlap: float = OVERLAP, whole: int = POINTS) -> DataFrame:
     """(group, edge_id, status, cost, points): edges (group, edge_id, source_id, target_id, place) routed around boxes (group, node_id, x, y, width, height).
 
     points go from a side's middle of the source to one of the target with right angles only, a
@@ -195,14 +245,23 @@ def orthogonal_routes(boxes: DataFrame, edges: DataFrame, passes: int = 2, clear
     others are routed again, with overlap for each unit of length beside each kept edge, and so
     on for so many passes. status is routed, or failed where no way leads out of the cards'
     clearances; edges of which an end has no box, and loops, are failed too. No edges give no rows.
+    Scenes of up to ``whole`` points are searched by tasks that hold all of them, larger ones by rounds of joins, with the same routes.
     """
     around = stored(_around(boxes, clearance), "boxes")
     points = stored(_points(around), "channels")
+    large, sized = measured(points.groupBy("group").agg(F.count(F.lit(1)).alias("points")).where(F.col("points") > whole).select("group"), "large", n=F.count(F.lit(1)))
+
+    def routed(edges: DataFrame, points: DataFrame) -> DataFrame:
+        if not sized["n"]:
+            return _routed_whole(edges, around, points, clearance, turn)
+        small, rest = ([df.join(large, "group", how) for df in (edges, points)] for how in ("left_anti", "left_semi"))
+        return _routed_whole(small[0], around, small[1], clearance, turn).unionByName(_routed(rest[0], around, stored(rest[1], "channels"), clearance, turn))
+
     edges = stored(edges.select("group", "edge_id", "source_id", "target_id", "place"), "edges")
     rest, done, used = edges.where("source_id <> target_id"), None, None
     for k in range(1, passes + 1):
         here = points if used is None else points.join(rest.select("group").distinct(), "group", "left_semi")
-        found = _routed(rest, around, stored(_weighed(here, used, overlap), "channels"), clearance, turn)
+        found = routed(rest, stored(_weighed(here, used, overlap), "channels"))
         if k == passes:
             done = found if done is None else done.unionByName(found)
             break

@@ -47,6 +47,18 @@ def _through_driver(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(k) if before is None else spark.conf.set(k, before)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 256) -> Iterator[None]:
+    """While tables are written, Python gets so many rows at a time: each may hold a whole scene."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df in the shared folder and reads it again: the lineage is cut, and what was written survives lost executors.
 

@@ -4,6 +4,7 @@ import heapq
 import random
 from collections import defaultdict
 
+from graphloom import storage
 from graphloom.operators import layout, routing
 
 BOX = "group string, node_id string, x double, y double, width double, height double"
@@ -152,3 +153,39 @@ def test_a_laid_out_scene(spark):
     got = routing.orthogonal_routes(boxes, edges).collect()
     assert {r.edge_id for r in got if r.status == "failed"} == {f"e{i}" for i in range(1, 40) if i * 4 % 40 == 0}
     assert routing.orthogonal_routes(boxes.limit(0), edges.limit(0)).count() == 0
+
+
+def test_scenes_in_tasks_and_by_rounds_of_joins_have_the_same_routes(spark):
+    boxes, edges = scenes(5)
+    edges += [("g1", f"twin{i}", "n0", "n1", i) for i in range(4)]
+    boxes, edges = ([r for r in rows if r[0] in ("g0", "g1", "shut")] for rows in (boxes, edges))
+    sizes = sorted(r["count"] for r in routing.channel_points(spark.createDataFrame(boxes, BOX)).groupBy("group").count().collect())
+    in_tasks, mixed = routes(spark, boxes, edges), routes(spark, boxes, edges, whole=sizes[1])
+    assert sizes[0] < sizes[1] < sizes[2] and set(in_tasks) == {e[1] for e in edges}
+    assert in_tasks == mixed
+
+
+def test_shares_of_a_scene_have_the_same_routes(spark, monkeypatch):
+    boxes, edges = scenes(9)
+    at_once = routes(spark, boxes, edges)
+    monkeypatch.setattr(routing, "SHARE", 200)
+    assert routes(spark, boxes, edges) == at_once
+
+
+def comb(bends):
+    """A closed room with walls that leave a way at one end in turn: a route has to go up and down between them."""
+    right = 120.0 * bends + 200.0
+    walls = [("s", f"w{i}", 120.0 * i, 0.0 if i % 2 else -460.0, 20.0, 1500.0) for i in range(bends)]
+    room = [("s", "top", -300.0, -460.0, right + 300, 20.0), ("s", "bottom", -300.0, 1480.0, right + 300, 20.0), ("s", "left", -300.0, -460.0, 20.0, 1960.0), ("s", "right", right - 20, -460.0, 20.0, 1960.0)]
+    return [*walls, *room, ("s", "a", -200.0, 500.0, 60.0, 40.0), ("s", "b", right - 140, 500.0, 60.0, 40.0)]
+
+
+def test_tables_do_not_grow_in_number_with_the_bends(spark):
+    written = []
+    for bends in (1, 8):
+        boxes, before = comb(bends), len(storage._written)
+        r = routes(spark, boxes, [("s", "e", "a", "b", 0)])["e"]
+        written.append(len(storage._written) - before)
+        grid = Grid(boxes)
+        assert r.cost == grid.cost("a", "b", grid.neighbours()) and len(r.points) > bends
+    assert written[0] == written[1] <= 12
