@@ -270,6 +270,7 @@ def orthogonal_routes(boxes: DataFrame, edges: DataFrame, passes: int = 2, clear
         ranked = taken.join(order, "edge_id")
         ahead = ranked.groupBy("group", "way", "line", "place").agg(F.min("rank").alias("first"))
         behind = ranked.join(ahead, ["group", "way", "line", "place"]).where("rank <> first").select("edge_id").distinct()
+        behind = stored(behind, "routes-behind")
         kept = stored(found.join(behind, "edge_id", "left_anti"), "routes-kept")
         done = kept if done is None else done.unionByName(kept)
         rest, seen = measured(rest.join(behind, "edge_id", "left_semi"), "edges", n=F.count(F.lit(1)))
